@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, simhash
+from . import byte_bpe, decontamination, near_embeddings, simhash
 from .common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN)
 
