@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, near_embeddings, pii, simhash
+from . import byte_bpe, decontamination, flat_tokens, near_embeddings, pii, simhash, token_files
 from .common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
