@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, flat_tokens, near_embeddings, pii, simhash, token_files, toxicity
+from . import byte_bpe, decontamination, flat_tokens, near_embeddings, pii, quality, simhash, token_files, toxicity, url_filter
 from .common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
