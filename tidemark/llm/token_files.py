@@ -40,6 +40,9 @@ FILE_IDS = 1 << 22
 #: Pieces of texts whose ids a worker remembers.
 CACHE_PIECES = 500_000
 
+#: Punctuation after a word that is a match of its own. No apostrophe: contractions are matches too.
+_TAIL = ".,;:!?|"
+
 _HEAD = struct.Struct("<4sIIQQQ")
 _BLOCK = struct.Struct("<IBH")
 
@@ -49,8 +52,9 @@ class PieceEncoder:
 
     A piece is what stands between single spaces. No match of the byte-level pattern goes from a character that isn't white
     space on to a space, so a text's ids are those of its pieces, each with the space before it. A text with a piece that is
-    empty or has white space at an edge is encoded as a whole. New pieces are encoded together, as one text, and their ids
-    are told apart by the tokens' bytes.
+    empty or has white space at an edge is encoded as a whole. A Latin word with punctuation after it is two matches, so its
+    ids are the word's and the punctuation's. New words and pieces are encoded together, as one text, and their ids are told
+    apart by the tokens' bytes.
     """
 
     def __init__(self, path: str):
@@ -67,6 +71,8 @@ class PieceEncoder:
             pre = json.load(f).get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -80,7 +86,7 @@ class PieceEncoder:
         cuts = np.searchsorted(ends, np.cumsum(sizes)) + 1
         raw, at = ids.tobytes(), 0
         for piece, cut in zip(new, cuts.tolist(), strict=True):
-            self.known[piece] = raw[4 * at : 4 * cut]
+            self.words[piece] = raw[4 * at : 4 * cut]
             at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -88,20 +94,31 @@ class PieceEncoder:
             return self.whole(texts)
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
+        if len(self.words) > CACHE_PIECES:
+            self.words.clear()
         if len(self.first) > CACHE_PIECES // 4:
             self.first.clear()
-        known, out, whole, waiting, new = self.known, [], [], [], {}
+        known, words, out, whole, waiting, new = self.known, self.words, [b""] * len(texts), [], [], {}
         for k, text in enumerate(texts):
             pieces = text.split(" ")
-            missing = [p for p in pieces if p not in known]
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
-                whole.append(k)
-            else:
-                new.update(dict.fromkeys(missing))
-                waiting.append((k, pieces))
-            out.append(b"")
-        if new:
-            self.learn(list(new))
+            waiting.append((k, pieces))
+            for p in [p for p in pieces if p not in known]:
+                if p not in new:
+                    if not p or p[0].isspace() or p[-1].isspace():
+                        waiting.pop()
+                        whole.append(k)
+                        break
+                    word = p.rstrip(_TAIL)
+                    if word is not p and (not word.isalpha() or max(word) > "\u024f"):
+                        word = p
+                    new[p] = word
+        lacking = [w for w in dict.fromkeys(new.values()) if w not in words]
+        if lacking:
+            self.learn(lacking)
+        tails = list({p[len(w) :] for p, w in new.items() if len(w) < len(p)} - self.tails.keys())
+        self.tails.update(zip(tails, self.whole(tails), strict=True))
+        for p, w in new.items():
+            known[p] = words[w] + self.tails[p[len(w) :]] if len(w) < len(p) else words[w]
         begin = list(dict.fromkeys(p[0] for _, p in waiting if p[0] not in self.first))
         self.first.update(zip(begin, self.whole(begin), strict=True))
         for k, got in zip(whole, self.whole([texts[k] for k in whole]), strict=True):
