@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -101,7 +102,7 @@ def normal_two_sided(z) -> np.ndarray:
     return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=[float])(np.asarray(z, float))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation under normality: by the t distribution with n - 2 degrees of freedom.
 
@@ -119,7 +120,7 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def _quantile_udf(function, p: float):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def quantile(df: pd.Series) -> pd.Series:
         got = pd.Series(function(p, df.to_numpy(float)))
         return got.where(got.notna(), None)

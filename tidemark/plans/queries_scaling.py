@@ -1 +1,60 @@
-"""Queries."""
+"""Queries of bias correction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..operators import scaling
+from .inputs import round_all, table
+
+_P = "with p as (select l_orderkey, l_linenumber, l_suppkey as loc_id, l_quantity as x, l_extendedprice / 1000 as y from lineitem), s as (select loc_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy, regr_slope(y, x) as b, regr_intercept(y, x) as a from p group by 1) "
+_OUT = "select p.l_orderkey, p.l_linenumber, p.loc_id, p.y, round({0}, 6) as x from p join s on p.loc_id = s.loc_id"
+
+
+def pairs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("loc_id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@query(_P + _OUT.format("(x - x0) / (x1 - x0) * (y1 - y0) + y0"))
+def scale_min_max(spark, sf_dir):
+    got = scaling.scaled(pairs(spark, sf_dir), "x", "y", "min_max")
+    return got.withColumn("x", F.round("x", 6))
+
+
+@query(_P + _OUT.format("(x - mx) / sx * sy + my"))
+def scale_mean_std(spark, sf_dir):
+    got = scaling.scaled(pairs(spark, sf_dir), "x", "y", "mean_std")
+    return got.withColumn("x", F.round("x", 6))
+
+
+@query(_P + _OUT.format("abs(b) * x + a"))
+def scale_linreg(spark, sf_dir):
+    got = scaling.scaled(pairs(spark, sf_dir), "x", "y", "linreg")
+    return got.withColumn("x", F.round("x", 6))
+
+
+@query(_P + "select loc_id, round(b, 8) as slope, round(a, 6) as intercept from s")
+def linreg_parameters(spark, sf_dir):
+    got = scaling.moment_parameters(pairs(spark, sf_dir), "x", "y", ["loc_id"])
+    return got.select("loc_id", F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query(
+    _P + ", r as (select loc_id, y, row_number() over (partition by loc_id order by y) - 1 as i, count(*) over (partition by loc_id) as n from p), "
+    "w as (select distinct loc_id, n, unnest([0.0, 5.0, 10.0, 30.0, 50.0, 70.0, 90.0, 95.0, 100.0])::double as percentile from r), "
+    "a as (select *, greatest(0.0, least(percentile / 100 * n - 0.5, n - 1.0)) as pos from w) "
+    "select a.loc_id, a.percentile, round(l.y + (a.pos - floor(a.pos)) * (h.y - l.y), 9) as value from a join r l on a.loc_id = l.loc_id and l.i = floor(a.pos) join r h on a.loc_id = h.loc_id and h.i = least(floor(a.pos) + 1, a.n - 1)"
+)
+def hazen_percentiles(spark, sf_dir):
+    return round_all(scaling.rank_percentiles(pairs(spark, sf_dir), "y"), 9)
+
+
+@query(None)
+def cdf_matching(spark, sf_dir):
+    return scaling.cdf_match(pairs(spark, sf_dir), "x", "y")
+
+
+@query(None)
+def cdf_parameters(spark, sf_dir):
+    return scaling.cdf_parameters(pairs(spark, sf_dir), "x", "y", percentiles=list(scaling.PERCENTILES))
