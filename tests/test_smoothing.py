@@ -1,0 +1,56 @@
+import numpy as np
+import pytest
+
+from tidemark.operators import smoothing as S
+
+
+def cube(n):
+    c = (n - 1) / 2
+    x, y, z = np.meshgrid(*[np.arange(n)] * 3, indexing="ij")
+    d = np.sqrt((x - c) ** 2 + (y - c) ** 2 + (z - c) ** 2)
+    with np.errstate(divide="ignore"):
+        v = 1 / (d / d.max()) ** 2
+    m = slice(n // 2 - 5, n // 2 + 5)
+    v[m, m, m] = np.nan
+    return v
+
+
+def test_golden_1d():
+    data = np.sin(np.linspace(0, 2 * np.pi, 100)) + np.random.RandomState(123).rand(100)
+    data[50:60] = np.nan
+    exclude = np.r_[True, np.zeros(99, bool)]
+    got = S.smooth(data, exclude=exclude)
+    assert np.isnan(got.values[0]) and got.flag == S.FINE
+    assert got.s == pytest.approx(483.1286967, rel=1e-4)
+    assert got.values[[55, 10, 80]] == pytest.approx([0.267432, 1.043243, -0.413490], abs=2e-5)
+
+
+def test_golden_2d():
+    got = S.smooth(cube(50)[25])
+    assert got.s == pytest.approx(1.7333483, rel=1e-4)
+    assert got.values[[3, 25, 47], [3, 25, 47]] == pytest.approx([1.928477, 37.990380, 1.7554522], rel=1e-4)
+
+
+def test_golden_3d():
+    got = S.smooth(cube(50))
+    assert got.s == pytest.approx(0.6171467, rel=1e-4)
+    assert got.values[[25, 3, 47], [25, 3, 47], [25, 3, 47]] == pytest.approx([45.33357123, 1.2932548, 1.1756009], rel=1e-4)
+
+
+def test_transform_and_edges(spark):
+    a = np.random.RandomState(0).rand(4, 5, 6)
+    assert np.allclose(S.dct(S.dct(a), inverse=True), a) and np.isclose((S.dct(a) ** 2).sum(), (a**2).sum())
+    with pytest.raises(ValueError):
+        S.dct(np.zeros((1, 1, 1, 1)))
+    assert S.smooth(np.array([1.0])).flag == S.TOO_FEW
+    known = np.zeros((6, 7), bool)
+    known[1, 2] = known[5, 5] = True
+    i, j = S.nearest_known(known, [1, 1])
+    for r in range(6):
+        for c in range(7):
+            assert (r - i[r, c]) ** 2 + (c - j[r, c]) ** 2 == min((r - 1) ** 2 + (c - 2) ** 2, (r - 5) ** 2 + (c - 5) ** 2)
+    with pytest.raises(NotImplementedError):
+        S.robust_weights(np.zeros(3), 0.5, np.ones(3, bool), "bisquare")
+    df = spark.createDataFrame([(1, [1.0, 2.0, None, 4.0, 5.0]), (2, None), (3, [1.0])], "k int, a array<double>")
+    got = {r.k: r for r in S.smooth_arrays(df, "a").collect()}
+    assert got[2].smoothed is None and got[3].smoothed_flag == S.TOO_FEW and got[1].smoothed[2] == pytest.approx(3, abs=0.2)

@@ -1 +1,124 @@
-"""Queries."""
+"""Queries of whole validations, upscaling and smoothing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..operators import calculators, smoothing, upscale
+from ..sources.datasets import Dataset, frame
+from .inputs import SERIES_SQL, round_all, series, table
+from .validation import Validation
+
+KINDS = ("click", "error", "view")
+
+
+def _validation(spark, sf_dir, **kw):
+    sets = {k: Dataset(frame(series(spark, sf_dir, k).select("loc_id", "ts", "value")), ["value"]) for k in KINDS}
+    run = calculators.pairwise("ref", "k1", calc_spearman=False, analytical_cis=False)
+    return Validation(sets, "click", {(3, 2): run}, temporal_window=0.5, **kw)
+
+
+def _locations(spark, sf_dir):
+    """All locations that have events, and one that has none."""
+    ids = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("loc_id")).distinct()
+    return ids.unionAll(ids.agg((F.max("loc_id") + 84).alias("loc_id")))
+
+
+def _match_cte(name: str, kind: str) -> str:
+    return f"""{name} as (select event_id, v from (select r.event_id, o.value as v, row_number() over (partition by r.loc_id, r.ts order by abs(epoch_us(o.ts) - epoch_us(r.ts)), o.ts desc) as rn
+  from r join ({SERIES_SQL.format(kind=kind)}) o on r.loc_id = o.loc_id and o.ts between r.ts - interval 12 hours and r.ts + interval 12 hours) where rn = 1)"""
+
+
+_WIDE = (
+    "with r as (" + SERIES_SQL.format(kind="click") + "), " + _match_cte("e", "error") + ", " + _match_cte("v", "view")
+    + ", w as (select r.loc_id, r.value as click, e.v as error, v.v as view from r join e on r.event_id = e.event_id join v on r.event_id = v.event_id), "
+    "l as (select distinct user_id % 16 as loc_id from events union all select max(user_id % 16) + 84 from events), "
+)
+
+
+def _pair_sql(a: str, b: str, x: str, y: str) -> str:
+    return (
+        f"select l.loc_id, '{a}.value_with_{b}.value' as combo, m.n_obs, m.\"BIAS\", m.\"RMSD\", m.\"R\", m.urmsd, case when m.n_obs is null then 7 when m.n_obs < 10 then 1 else 0 end as status from l left join "
+        f"(select loc_id, count(*)::int as n_obs, round(avg({x} - {y}), 6) + 0.0 as \"BIAS\", round(sqrt(avg(({x}-{y})*({x}-{y}))), 6) as \"RMSD\", round(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), 6) as \"R\", round(sqrt(var_pop({x} - {y})), 6) as urmsd from w group by 1) m on l.loc_id = m.loc_id"
+    )
+
+
+_PAIRS = (("click", "error"), ("click", "view"), ("error", "view"))
+_COLUMNS = ["loc_id", "combo", "n_obs", "BIAS", "RMSD", "R", "urmsd", "status"]
+
+
+@query(_WIDE.rstrip(", ") + " " + " union all ".join(_pair_sql(a, b, a, b) for a, b in _PAIRS))
+def validation_unscaled(spark, sf_dir):
+    """Three datasets matched at once, every pair compared, a status for every location."""
+    return round_all(_validation(spark, sf_dir, scaling=None).calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS))
+
+
+_STATS = "s as (select loc_id, " + ", ".join(f"avg({k}) as m_{k}, stddev_pop({k}) as s_{k}" for k in KINDS) + " from w group by 1), "
+_SCALED = "z as (select w.loc_id, click, (error - m_error) / s_error * s_click + m_click as error, (view - m_view) / s_view * s_click + m_click as view from w join s on w.loc_id = s.loc_id) "
+
+
+@query(_WIDE + _STATS + _SCALED + " union all ".join(_pair_sql(a, b, a, b).replace("from w group", "from z group") for a, b in _PAIRS))
+def validation_mean_std(spark, sf_dir):
+    return round_all(_validation(spark, sf_dir, scaling="mean_std").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS))
+
+
+@query(None)
+def validation_cdf_matched(spark, sf_dir):
+    return _validation(spark, sf_dir, scaling="cdf_match").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS)
+
+
+@query(None)
+def validation_triple(spark, sf_dir):
+    sets = {k: Dataset(frame(series(spark, sf_dir, k).select("loc_id", "ts", "value")), ["value"]) for k in KINDS}
+    run = calculators.triple_collocation(["ref", "k1", "k2"], "ref")
+    v = Validation(sets, "click", {(3, 3): run}, temporal_window=0.5, scaling=None)
+    return v.calc(spark, _locations(spark, sf_dir))
+
+
+_MASK = (
+    "m as (select event_id from (select r.event_id, o.value < 15 as flag, row_number() over (partition by r.loc_id, r.ts order by abs(epoch_us(o.ts) - epoch_us(r.ts)), o.ts desc) as rn from r join ("
+    + SERIES_SQL.format(kind="signup") + ") o on r.loc_id = o.loc_id and o.ts between r.ts - interval 12 hours and r.ts + interval 12 hours) where rn = 1 and flag)"
+)
+
+
+@query(_WIDE.replace(", w as (", ", " + _MASK + ", w as (").replace("join v on r.event_id = v.event_id)", "join v on r.event_id = v.event_id where r.event_id not in (select event_id from m))").rstrip(", ") + " " + " union all ".join(_pair_sql(a, b, a, b) for a, b in _PAIRS))
+def validation_masked(spark, sf_dir):
+    mask = series(spark, sf_dir, "signup").select("loc_id", "ts", (F.col("value") < 15).alias("flag"))
+    v = _validation(spark, sf_dir, scaling=None, masking_datasets={"m": (Dataset(frame(mask), ["flag"]), "flag")})
+    return round_all(v.calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS))
+
+
+_UP = (
+    "with o as (select l_suppkey as p, l_shipdate as ts, avg(l_quantity) as value from lineitem where l_suppkey <= 24 group by 1, 2), k as (select p % 4 as loc_id, p, ts, value from o), "
+    "n as (select loc_id, p, count(value) as n from k group by 1, 2), b as (select loc_id, p from (select *, row_number() over (partition by loc_id order by n desc, p) as rn from n) where rn = 1), "
+    "s as (select distinct k.loc_id, k.ts from k join b on k.loc_id = b.loc_id and k.p = b.p), "
+    "c as (select s.loc_id, s.ts, q.p, q.value, row_number() over (partition by s.loc_id, s.ts, q.p order by abs(epoch_us(q.ts) - epoch_us(s.ts)), q.ts desc) as rn from s join k q on s.loc_id = q.loc_id and q.ts between s.ts - interval 36 hours and s.ts + interval 36 hours) "
+    "select loc_id, ts, round(avg(value), 6) as value from c where rn = 1 group by 1, 2"
+)
+
+
+def _upscaled(spark, sf_dir, **kw):
+    t = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 24")
+    obs = t.groupBy(F.col("l_suppkey").alias("loc_id"), F.col("l_shipdate").alias("ts")).agg(F.avg("l_quantity").alias("value"))
+    lookup = obs.select((F.col("loc_id") % 4).alias("loc_id"), F.col("loc_id").alias("other_id")).distinct()
+    return upscale.upscaled(obs, lookup, "value", hours=36, **kw)
+
+
+@query(_UP)
+def upscaled_average(spark, sf_dir):
+    """Points of an area on the times of its fullest point, averaged."""
+    return round_all(_upscaled(spark, sf_dir))
+
+
+@query(None)
+def upscaled_stable(spark, sf_dir):
+    return _upscaled(spark, sf_dir, temporal_stability=True, r_min=0.2, see_max=0.2)
+
+
+@query(None)
+def smoothed_arrays(spark, sf_dir):
+    """Every embedding as an array with a gap, smoothed and filled."""
+    t = table(spark, sf_dir, "embeddings")
+    gap = t.select("vec_id", F.transform("embedding", lambda x, i: F.when((i < 20) | (i > 24), x.cast("double"))).alias("a"))
+    return smoothing.smooth_arrays(gap, "a").select("vec_id", "smoothed", "smoothed_s", "smoothed_flag")

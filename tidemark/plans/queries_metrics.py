@@ -1 +1,199 @@
-"""Queries."""
+"""Queries of agreement metrics, triple collocation and intervals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import moments
+from ..operators import calculators, frames, intervals, ranks, triple
+from .inputs import round_all, table
+from .queries_matching import _MOMENTS
+
+COLUMNS = ["qty", "price", "disc", "tax"]
+_L = "with l as (select l_suppkey as loc_id, l_shipdate as ts, l_quantity as qty, l_extendedprice / 1999.7 as price, l_discount * 397.1 as disc, l_tax * 501.3 as tax from lineitem)"
+
+
+def items(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(F.col("l_suppkey").alias("loc_id"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / 1999.7).alias("price"), (F.col("l_discount") * 397.1).alias("disc"), (F.col("l_tax") * 501.3).alias("tax"))
+
+
+@query(_L + ", p as (select loc_id, qty as x, price as y from l), " + _MOMENTS)
+def pairwise_metrics(spark, sf_dir):
+    got = round_all(moments.pairwise(items(spark, sf_dir), ["loc_id"], "qty", "price"))
+    return got.withColumn("rss", F.round("rss", 4))
+
+
+@query(_L + "select loc_id, round(sqrt(sum((qty-price)*(qty-price)) / (count(*) - 1)), 6) as rmsd from l group by 1")
+def rmsd_ddof(spark, sf_dir):
+    return round_all(moments.rmsd(items(spark, sf_dir), ["loc_id"], "qty", "price", 1))
+
+
+@query(_L + "select loc_id, round(median(abs(qty - price)), 6) as mad from l group by 1")
+def median_absolute_difference(spark, sf_dir):
+    return round_all(moments.mad(items(spark, sf_dir), ["loc_id"], "qty", "price"))
+
+
+@query(_L + ", a as (select *, avg(qty) over (partition by loc_id) as m from l) select loc_id, round(1 - sum((qty-price)*(qty-price)) / sum(pow(abs(price-m) + abs(qty-m), 2)), 6) as index_of_agreement from a group by 1")
+def index_of_agreement(spark, sf_dir):
+    return round_all(moments.index_of_agreement(items(spark, sf_dir), ["loc_id"], "qty", "price"))
+
+
+_COV = ", ".join(f"covar_samp({COLUMNS[i]}, {COLUMNS[j]}) as c{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+def _triple_sql(i: int, ref: int = 0, absolute: bool = True) -> str:
+    def c(a, b):
+        return f"c{min(a, b)}{max(a, b)}"
+
+    j, k = (x for x in range(3) if x != i)
+    share = f"{c(i, i)} * {c(j, k)} / ({c(i, j)} * {c(i, k)})"
+    noise = f"abs(abs({share}) - 1)" if absolute else f"({share} - 1)"
+    var = f"({c(i, i)} - {c(i, j)} * {c(i, k)} / {c(j, k)})"
+    other = next(x for x in range(3) if x not in (i, ref))
+    beta = "1.0::double" if i == ref else f"({c(ref, other)} / {c(i, other)})"
+    return f"select loc_id, '{COLUMNS[i]}' as dataset, n as n_obs, round(case when {noise} > 0 then -10 * log10({noise}) end, 4) as snr, round(case when {var} >= 0 then sqrt(greatest({var}, 0)) * {beta} end, 4) as err_std, round({beta}, 4) as beta from c"
+
+
+_TRIPLE = _L + f", c as (select loc_id, count(*) as n, {_COV} from l group by 1) "
+
+
+@query(_TRIPLE + " union all ".join(_triple_sql(i) for i in range(3)))
+def triple_collocation(spark, sf_dir):
+    return round_all(triple.triple_collocation(items(spark, sf_dir), COLUMNS[:3]), 4)
+
+
+@query(_TRIPLE + " union all ".join(_triple_sql(i, 0, False) for i in range(3)))
+def triple_snr_signed(spark, sf_dir):
+    return round_all(triple.triple_collocation(items(spark, sf_dir), COLUMNS[:3], absolute=False), 4)
+
+
+@query(_L + "select loc_id, round(sqrt(abs(avg((qty-price)*(qty-disc)))), 6) as err_qty, round(sqrt(abs(avg((price-qty)*(price-disc)))), 6) as err_price, round(sqrt(abs(avg((disc-qty)*(disc-price)))), 6) as err_disc from l group by 1")
+def triple_errors(spark, sf_dir):
+    return round_all(triple.triple_error(items(spark, sf_dir), "qty", "price", "disc"))
+
+
+@query(None)
+def extended_collocation(spark, sf_dir):
+    return triple.extended_collocation(items(spark, sf_dir), COLUMNS, [("qty", "price")])
+
+
+def _rank(c: str) -> str:
+    return f"rank() over (partition by loc_id order by {c}) + (count(*) over (partition by loc_id, {c}) - 1) / 2.0"
+
+
+@query(_L + f", r as (select loc_id, {_rank('qty')} as a, {_rank('price')} as b from l) select loc_id, count(*) as n_obs, round(covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)), 6) as rho from r group by 1")
+def spearman_rho(spark, sf_dir):
+    return round_all(ranks.spearman(items(spark, sf_dir), "qty", "price", with_p=False))
+
+
+_CALL = "s as (select loc_id, month(ts) as m, qty, disc from l where month(ts) = 3 and loc_id <= 40)"
+
+
+@query(
+    _L + ", " + _CALL + ", n as (select *, row_number() over (partition by loc_id) as i from s), "
+    "p as (select a.loc_id, sum(sign(a.qty - b.qty) * sign(a.disc - b.disc)) as s, sum(abs(sign(a.qty - b.qty))) as x, sum(abs(sign(a.disc - b.disc))) as y from n a join n b on a.loc_id = b.loc_id and a.i < b.i group by 1), "
+    "k as (select loc_id, count(*) as n_obs from s group by 1) select k.loc_id, n_obs, round(s / sqrt(x::double * y), 6) as tau from k left join p on k.loc_id = p.loc_id"
+)
+def kendall_tau(spark, sf_dir):
+    march = items(spark, sf_dir).filter((F.month("ts") == 3) & (F.col("loc_id") <= 40))
+    return round_all(ranks.kendall(march, "qty", "disc").drop("p_tau"))
+
+
+@query(None)
+def rank_p_values(spark, sf_dir):
+    df = items(spark, sf_dir)
+    tau = ranks.kendall(df, "qty", "disc").select("loc_id", "tau", "p_tau")
+    return ranks.spearman(df, "qty", "disc").join(tau, "loc_id")
+
+
+@query(_L + ", m as (select loc_id, count(*) as n, covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)) as r from l group by 1) select loc_id, n as n_obs, round(r, 6) as pearson_r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) as lower, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) as upper from m")
+def pearson_interval(spark, sf_dir):
+    return round_all(intervals.analytical(items(spark, sf_dir), "qty", "price", "pearson_r"))
+
+
+@query(None)
+def bias_interval(spark, sf_dir):
+    return intervals.analytical(items(spark, sf_dir), "qty", "price", "bias")
+
+
+@query(None)
+def ubrmsd_interval(spark, sf_dir):
+    return intervals.analytical(items(spark, sf_dir), "qty", "price", "ubrmsd")
+
+
+@query(None)
+def bootstrap_interval(spark, sf_dir):
+    return intervals.bootstrapped(items(spark, sf_dir), "qty", "price", "rmsd", nsamples=200, seed=7)
+
+
+@query(None)
+def bootstrap_triple(spark, sf_dir):
+    return intervals.bootstrapped_triple(items(spark, sf_dir), COLUMNS[:3], nsamples=100, seed=7)
+
+
+_PAIRWISE_LONG = " union all ".join(
+    f"select loc_id, '{a}_and_{b}' as pair, count(*) as n_obs, round(avg({a} - {b}), 6) as bias, round(covar_pop({a}, {b}) / sqrt(var_pop({a}) * var_pop({b})), 6) as pearson_r, round(sqrt(avg(({a}-{b})*({a}-{b}))), 6) as rmsd from l group by 1"
+    for i, a in enumerate(COLUMNS)
+    for b in COLUMNS[i + 1 :]
+)
+
+
+@query(_L + _PAIRWISE_LONG)
+def all_pairs(spark, sf_dir):
+    """Metrics of every pair of columns in one shuffle, as long rows."""
+    return round_all(frames.pairwise_long(items(spark, sf_dir), COLUMNS, ["n_obs", "bias", "pearson_r", "rmsd"], ["loc_id"]))
+
+
+@query(_L + "select loc_id, v.row, round(case v.row when 'qty' then 0.0 when 'price' then avg(price-qty) else avg(disc-qty) end, 6) as qty, round(case v.row when 'qty' then avg(qty-price) when 'price' then 0.0 else avg(disc-price) end, 6) as price, round(case v.row when 'qty' then avg(qty-disc) when 'price' then avg(price-disc) else 0.0 end, 6) as disc from l cross join (select unnest(['qty', 'price', 'disc']) as row) v group by 1, 2")
+def pairwise_matrix(spark, sf_dir):
+    """The bias of every ordered pair as a matrix by location."""
+    return round_all(frames.pairwise_matrix(items(spark, sf_dir), COLUMNS[:3], "bias", ["loc_id"]))
+
+
+@query(None)
+def all_triples(spark, sf_dir):
+    return triple.all_triples(items(spark, sf_dir), COLUMNS, "qty")
+
+
+_SEASON = "case when month(ts) in (12, 1, 2) then 'DJF' when month(ts) in (3, 4, 5) then 'MAM' when month(ts) in (6, 7, 8) then 'JJA' else 'SON' end"
+_SUBSET = _L + f", s as (select *, {_SEASON} as subset from l union all select *, 'ALL' as subset from l) select loc_id, subset, count(*)::int as n_obs, {{0}} from s group by 1, 2"
+
+
+@query(
+    _SUBSET.format("round(avg(qty - price), 6) as \"BIAS\", round(sqrt(avg((qty-price)*(qty-price))), 6) as \"RMSD\", round(covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)), 6) as \"R\", round(sqrt(var_pop(qty - price)), 6) as urmsd, case when count(*) < 10 then 1 else 0 end as status")
+)
+def seasonal_pairwise(spark, sf_dir):
+    """The pairwise calculator by season and for all the year, in one plan."""
+    run = calculators.months(calculators.pairwise("qty", "price", calc_spearman=False, analytical_cis=False))
+    return round_all(run(items(spark, sf_dir), ["loc_id"]).select("loc_id", "subset", "n_obs", "BIAS", "RMSD", "R", "urmsd", "status"))
+
+
+@query(None)
+def pairwise_calculator(spark, sf_dir):
+    return calculators.pairwise("qty", "price")(items(spark, sf_dir), ["loc_id"])
+
+
+@query(None)
+def basic_calculator(spark, sf_dir):
+    return calculators.basic("qty", "price", mse=True)(items(spark, sf_dir), ["loc_id"])
+
+
+@query(None)
+def intercomparison_calculator(spark, sf_dir):
+    return calculators.intercomparison(COLUMNS[:3], "qty", metrics_between_nonref=True)(items(spark, sf_dir), ["loc_id"])
+
+
+@query(None)
+def seasonal_triple_calculator(spark, sf_dir):
+    return calculators.seasonal_triple(COLUMNS[:3], "qty")(items(spark, sf_dir), ["loc_id"])
+
+
+@query(
+    "with l as (select l_suppkey as loc_id, l_linenumber as ref, l_quantity - 25 as k1 from lineitem) select loc_id, count_if(ref = 2 and k1 < 0)::int as ssf_fr_temp_un, count_if(ref = 2 and k1 >= 0)::int as ssf_fr_temp_ab, "
+    "count_if(ref != 2 and k1 < 0)::int as ssf_un_temp_un, count_if(ref != 2 and k1 >= 0)::int as ssf_un_temp_ab, count(*)::int as n_obs from l group by 1"
+)
+def freeze_thaw_counts(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("loc_id"), F.col("l_linenumber").alias("ref"), (F.col("l_quantity") - 25).alias("k1"))
+    return calculators.freeze_thaw()(t, ["loc_id"])
