@@ -44,9 +44,14 @@ def pair_moments(x: Column | str, y: Column | str, prefix: str = "", where: Colu
     return [v.alias(prefix + k) for k, v in found.items()]
 
 
-def correlation(vx: Column, vy: Column, cxy: Column) -> Column:
-    """Pearson's R from moments, clamped to [-1, 1]; null if a variance is zero."""
-    return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cxy / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))))
+def spread(variance: Column, mean: Column | None) -> Column:
+    """Whether a series varies: merged partial sums can leave a constant one a variance of some rounding errors."""
+    return variance > (F.lit(0.0) if mean is None else mean * mean * 1e-28)
+
+
+def correlation(vx: Column, vy: Column, cxy: Column, mx: Column | None = None, my: Column | None = None) -> Column:
+    """Pearson's R from moments, clamped to [-1, 1]; null if a series doesn't vary."""
+    return F.when(spread(vx, mx) & spread(vy, my), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cxy / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))))
 
 
 #: name -> expression of the moments; m gives a moment's column.
@@ -64,7 +69,7 @@ METRICS: dict[str, Callable[[Callable[[str], Column]], Column]] = {
     "mse": lambda m: METRICS["mse_bias"](m) + METRICS["mse_var"](m) + METRICS["mse_corr"](m),
     "aad": lambda m: m("aad"),
     "nash_sutcliffe": lambda m: 1 - m("rss") / F.nullif(m("n") * m("vx"), F.lit(0.0)),
-    "pearson_r": lambda m: correlation(m("vx"), m("vy"), m("cxy")),
+    "pearson_r": lambda m: correlation(m("vx"), m("vy"), m("cxy"), m("mx"), m("my")),
 }
 #: Metrics that change if x and y are exchanged.
 NOT_COMMUTATIVE = frozenset({"bias", "nash_sutcliffe", "index_of_agreement"})

@@ -128,7 +128,7 @@ def intercomparison(columns: list[str], refname: str, metrics_between_nonref: bo
             def at(name, p=p):
                 return F.col(f"{p}{name}`")
 
-            r = correlation(at("vx"), at("vy"), at("cxy"))
+            r = correlation(*(at(c) for c in ("vx", "vy", "cxy", "mx", "my")))
             cells = {
                 "R": r,
                 "rmsd": F.sqrt(at("rss") / F.nullif(at("n"), F.lit(0))),

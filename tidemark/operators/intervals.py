@@ -51,7 +51,7 @@ def analytical(df: DataFrame, x: str, y: str, metric: str, keys: list[str] | Non
         low = F.sqrt(n * F.col("vd") / F.nullif(chi2_quantile_of(1 - alpha / 2, df1), F.lit(0.0)))
         high = F.sqrt(n * F.col("vd") / F.nullif(chi2_quantile_of(alpha / 2, df1), F.lit(0.0)))
     else:
-        value = correlation(F.col("vx"), F.col("vy"), F.col("cxy"))
+        value = correlation(*(F.col(c) for c in ("vx", "vy", "cxy", "mx", "my")))
         low, high = fisher_interval(value, n, alpha)
     return m.select(*keys, n.alias("n_obs"), value.alias(metric), low.alias("lower"), high.alias("upper"))
 

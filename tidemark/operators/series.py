@@ -163,10 +163,10 @@ def rolling_agreement(df: DataFrame, x: str, y: str, window_days: float, center:
     a, b = F.col("__x"), F.col("__y")
     rows = rows.select(
         "*", home.alias("__home"), F.count(a).over(near).alias("__n"), F.var_pop(a).over(near).alias("__vx"), F.var_pop(b).over(near).alias("__vy"),
-        F.covar_pop(a, b).over(near).alias("__c"), F.avg((a - b) * (a - b)).over(near).alias("__msd"),
+        F.covar_pop(a, b).over(near).alias("__c"), F.avg(a).over(near).alias("__mx"), F.avg(b).over(near).alias("__my"), F.avg((a - b) * (a - b)).over(near).alias("__msd"),
     ).filter("__home")
     enough = F.col("__n") >= min_periods
-    r = F.when(enough, correlation(F.col("__vx"), F.col("__vy"), F.col("__c")))
+    r = F.when(enough, correlation(*(F.col(f"__{c}") for c in ("vx", "vy", "c", "mx", "my"))))
     out = rows.select(*keys, ts, F.col("__n").alias("n_obs"), r.alias("R"), F.when(enough, F.sqrt("__msd")).alias("RMSD"))
     return out.withColumn("p_R", correlation_p(F.col("R"), F.col("n_obs").cast("double"))) if with_p else out
 
