@@ -119,3 +119,30 @@ def covariance_matrix(df: DataFrame, keys: list[str], columns: list[str], sample
     cells = [(g(values[i]) if i == j else f(values[i], values[j])).alias(f"c_{i}_{j}") for i in range(len(columns)) for j in range(i, len(columns))]
     means = [F.avg(v).alias(f"m_{i}") for i, v in enumerate(values)]
     return df.groupBy(*keys).agg(F.count(values[0]).alias("n"), *means, *cells)
+
+
+def sums(x: Column | str, y: Column | str) -> list[Column]:
+    """Plain sums of complete cases: they add up over parts of the data, such as days or files that are kept as totals."""
+    x, y = known(x), known(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    parts = {"n": F.count(x), "sx": F.sum(x), "sy": F.sum(y), "sxy": F.sum(x * y), "sxx": F.sum(x * x), "syy": F.sum(y * y)}
+    return [v.alias(k) for k, v in parts.items()]
+
+
+def pearson_of_sums(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_obs, pearson_r) of tables of sums, of one part or many."""
+    t = totals.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")))
+    n = F.col("n")
+    vx, vy = F.col("sxx") / n - F.pow(F.col("sx") / n, F.lit(2.0)), F.col("syy") / n - F.pow(F.col("sy") / n, F.lit(2.0))
+    return t.filter("n > 0").select(*keys, n.alias("n_obs"), correlation(vx, vy, F.col("sxy") / n - F.col("sx") * F.col("sy") / (n * n)).alias("pearson_r"))
+
+
+def mse_with_ddof(df: DataFrame, keys: list[str], x: str, y: str, ddof: int = 0) -> DataFrame:
+    """The parts of the mean squared difference with deviations of n - ddof: mse, mse_corr, mse_bias, mse_var."""
+    m = df.groupBy(*keys).agg(*pair_moments(x, y))
+    f = F.col("n") / F.nullif(F.col("n") - ddof, F.lit(0))
+    sx, sy = F.sqrt(F.col("vx") * f), F.sqrt(F.col("vy") * f)
+    r = correlation(*(F.col(c) for c in ("vx", "vy", "cxy", "mx", "my")))
+    out = m.select(*keys, (2 * sx * sy * (1 - r)).alias("mse_corr"), F.pow(F.col("mx") - F.col("my"), F.lit(2.0)).alias("mse_bias"), F.pow(sx - sy, F.lit(2.0)).alias("mse_var"))
+    return out.withColumn("mse", F.col("mse_corr") + F.col("mse_bias") + F.col("mse_var"))

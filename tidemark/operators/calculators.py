@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.moments import correlation, evaluate, known, pair_moments
 from ..functions.special import correlation_p
-from . import intervals, ranks, triple
+from . import intervals, ranks, scaling, triple
 
 #: Status codes. Fixed values.
 UNCAUGHT, OK, INSUFFICIENT_DATA, METRICS_FAILED, MATCHING_FAILED, NO_MATCHED_DATA, SCALING_FAILED, VALIDATION_FAILED, NO_DATA, DATA_MANAGER_FAILED = -1, 0, 1, 2, 3, 4, 5, 6, 7, 8
@@ -169,13 +171,45 @@ def months(calculator: Calculator, month_subsets: dict[str, tuple[int, ...]] | N
     return subsets(calculator, {name: lambda c, m=m: F.month(c).isin(*m) for name, m in chosen.items()}, ts)
 
 
-def seasonal_triple(columns: list[str], refname: str) -> Calculator:
-    """Triple metrics of each season, and R, rho, bias and ubrmsd of each pair of that season's extrema-scaled series."""
+def triple_and_pairs(columns: list[str], refname: str, metrics_between_nonref: bool = False, calc_tau: bool = False, min_obs: int = 10) -> Calculator:
+    """The intercomparison's wide rows with snr, err_std and beta of every triple that has the reference."""
+
+    def run(df: DataFrame, keys: list[str]) -> DataFrame:
+        out = intercomparison(columns, refname, metrics_between_nonref, calc_tau, min_obs=min_obs)(df, keys)
+        full = df.dropna(subset=columns)
+        for combo in itertools.combinations(columns, 3):
+            if refname in combo:
+                got = triple.triple_collocation(full, list(combo), keys, refname, min_obs=min_obs)
+                name = "_and_".join(combo)
+                for c in combo:
+                    part = got.filter(F.col("dataset") == c).select(*keys, *(F.col(m).alias(f"{m}_{c}_between_{name}") for m in ("snr", "err_std", "beta")))
+                    out = out.join(part, keys, "left")
+        return out
+
+    return run
+
+
+def seasonal_triple(columns: list[str], refname: str, min_obs: int = 3) -> Calculator:
+    """By season and for all the year: triple metrics of each dataset, and R, rho, bias and ubrmsd of each pair.
+
+    Pairs are compared after scaling the second to the first by extrema. Rows have a dataset or a pair, the other is null.
+    """
+
+    def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+        parts = []
+        for a, b in itertools.combinations(columns, 2):
+            scaled = scaling.scaled(df.select(*keys, a, b), b, a, "min_max", keys)
+            m = scaled.groupBy(*keys).agg(*pair_moments(a, b))
+            enough = F.col("n") >= min_obs
+            got = m.select(*keys, F.col("n").alias("n_obs"), *_guarded(evaluate(("pearson_r", "bias", "ubrmsd")), ("R", "bias", "ubrmsd"), enough), status_of(F.col("n"), min_obs).alias("status"))
+            rho = ranks.spearman(scaled, a, b, keys, with_p=False).select(*keys, "rho")
+            parts.append(got.join(rho, keys, "left").withColumn("pair", F.lit(f"{a}_and_{b}")))
+        return reduce(DataFrame.unionByName, parts)
 
     def run(df: DataFrame, keys: list[str]) -> DataFrame:
         rows = df.dropna(subset=columns)
-        own = triple_collocation(columns, refname, min_obs=3)
-        return months(own)(rows, keys)
+        both = months(triple_collocation(columns, refname, min_obs))(rows, keys), months(pairs)(rows, keys)
+        return both[0].unionByName(both[1], allowMissingColumns=True)
 
     return run
 

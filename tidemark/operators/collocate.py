@@ -194,3 +194,15 @@ def unlimited_nearest(reference: DataFrame, other: DataFrame, values: list[str],
         d = F.col("__d")
         near = {"both": F.abs(d) <= w, "<=": (d > -w) & (d <= w), ">=": (d >= -w) & (d < w)}[bounds]
     return both.select("__ref.*", *(F.when(near, F.col(f"__o.{c}")).alias(f"{c}" if c not in reference.columns else f"{c}_other") for c in values), F.when(near, F.col(f"__o.{ts}")).alias("index"), F.when(near, F.col("__d") / DAY_US).alias("distance"))
+
+
+def matching(reference: DataFrame, others: dict[str, tuple[DataFrame, list[str]]], window: float | None = None, keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
+    """Reference rows that have their nearest row in every other series, each other row used once; columns `name__value`."""
+    keys = ["loc_id"] if keys is None else keys
+    out = reference
+    for name, (df, values) in others.items():
+        renamed = df.select(*keys, ts, *(F.col(c).alias(f"{name}__{c}") for c in values))
+        names = [f"{name}__{c}" for c in values]
+        got = unlimited_nearest(reference.select(*keys, ts).distinct(), renamed, names, window, keys=keys, ts=ts, dropduplicates=True)
+        out = out.join(got.dropna("any", subset=names).select(*keys, ts, *names), [*keys, ts])
+    return out

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import correlation, known, pair_moments
 from ..functions.special import chi2_quantile_of, normal_quantile, t_quantile_of
+from . import ranks
 
 ANALYTICAL = ("bias", "ubrmsd", "pearson_r", "spearman_r", "kendall_tau")
 
@@ -35,11 +36,20 @@ def rank_factor(kind: str, r: Column) -> Column | float:
     return {"pearson_r": 1.0, "spearman_r": F.sqrt(1 + r * r / 2), "kendall_tau": 0.431}[kind]
 
 
+def has_analytical(metric: str) -> bool:
+    return metric in ANALYTICAL
+
+
 def analytical(df: DataFrame, x: str, y: str, metric: str, keys: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
-    """(keys, n_obs, metric, lower, upper) of bias, ubrmsd or pearson_r. Metrics without an interval raise ValueError."""
-    if metric not in ("bias", "ubrmsd", "pearson_r"):
-        raise ValueError(f"no analytical interval here: {metric}")
+    """(keys, n_obs, metric, lower, upper) of a metric that has an analytical interval; others raise ValueError."""
+    if not has_analytical(metric):
+        raise ValueError(f"no analytical interval: {metric}")
     keys = ["loc_id"] if keys is None else keys
+    if metric in ("spearman_r", "kendall_tau"):
+        name, function = ("rho", ranks.spearman) if metric == "spearman_r" else ("tau", ranks.kendall)
+        found = function(df, x, y, keys)
+        low, high = fisher_interval(F.col(name), F.col("n_obs"), alpha, rank_factor(metric, F.col(name)))
+        return found.select(*keys, "n_obs", F.col(name).alias(metric), low.alias("lower"), high.alias("upper"))
     m = df.groupBy(*keys).agg(*pair_moments(x, y))
     n, df1 = F.col("n"), (F.col("n") - 1).cast("double")
     if metric == "bias":

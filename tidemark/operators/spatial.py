@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.moments import known
+
 RADIUS_M = 6_371_008.8
 
 
@@ -17,24 +19,30 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return 2 * RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def _cubes(edge: float) -> list[Column]:
+    lon, lat = F.radians("lon"), F.radians("lat")
+    place = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    return [F.floor(p / edge).cast("int").alias(f"__{c}") for p, c in zip(place, "xyz", strict=True)]
+
+
+def _within(points: DataFrame, others: DataFrame, max_dist: float) -> DataFrame:
+    """points joined with the others within max_dist metres (__d); both have lon and lat, the others' columns are kept."""
+    edge = 2 * math.sin(min(max_dist, math.pi * RADIUS_M) / (2 * RADIUS_M)) + 1e-9
+    placed = others.select(*(c for c in others.columns if c not in ("lon", "lat")), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"), *_cubes(edge))
+    near = points.select("*", *_cubes(edge))
+    for c in "xyz":
+        near = near.withColumn("__s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"__{c}", F.col(f"__{c}") + F.col("__s"))
+    d = great_circle(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat"))
+    return near.join(placed, ["__x", "__y", "__z"]).withColumn("__d", d).filter(F.col("__d") <= max_dist)
+
+
 def nearest_lookup(reference: DataFrame, other: DataFrame, max_dist: float, ref_id: str = "loc_id", other_id: str = "other_id") -> DataFrame:
     """(ref_id, other_id, distance): the nearest other point within max_dist metres; -1 and null where there is none.
 
     Both sides are put in cubes of the sphere's chord space with edges of the largest chord, so only 27 neighbouring cubes
     join, at poles and the date line too. Ties go to the smaller id.
     """
-    chord = 2 * math.sin(min(max_dist, math.pi * RADIUS_M) / (2 * RADIUS_M)) + 1e-9
-    lon, lat = F.radians("lon"), F.radians("lat")
-    place = [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
-    cubes = [F.floor(p / chord).cast("int").alias(f"__{c}") for p, c in zip(place, "xyz", strict=True)]
-    points = other.select(F.col(other_id).alias("__other"), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"), *cubes)
-    own = reference.select(ref_id, "lon", "lat", *cubes)
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = own
-    for c in "xyz":
-        near = near.withColumn("__s", F.explode(steps)).withColumn(f"__{c}", F.col(f"__{c}") + F.col("__s"))
-    d = great_circle(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat"))
-    found = near.join(points, ["__x", "__y", "__z"]).withColumn("__d", d).filter(F.col("__d") <= max_dist)
+    found = _within(reference.select(ref_id, "lon", "lat"), other.select(F.col(other_id).alias("__other"), "lon", "lat"), max_dist)
     best = found.groupBy(ref_id).agg(F.min(F.struct("__d", "__other")).alias("__best"))
     out = reference.select(ref_id).join(best, ref_id, "left")
     return out.select(ref_id, F.coalesce("__best.__other", F.lit(-1)).alias(other_id), F.col("__best.__d").alias("distance"))
@@ -44,3 +52,22 @@ def by_lookup(obs: DataFrame, lookup: DataFrame, ref_id: str = "loc_id", other_i
     """Observations of other points as those of the reference points they serve; -1 serves none. One to many is allowed."""
     rows = lookup.filter(F.col(other_id) != -1).select(F.col(ref_id).alias("__ref"), F.col(other_id).alias("__other"))
     return obs.join(rows, obs[ref_id] == rows["__other"]).drop("__other", ref_id).withColumnRenamed("__ref", ref_id)
+
+
+def hamming_window(radius: float, distance: Column) -> Column:
+    """Weights that fall from 1 at no distance to 0.08 at the radius, and are 0 beyond it."""
+    return F.when(distance <= radius, 0.54 + 0.46 * F.cos(math.pi * distance / radius)).otherwise(F.lit(0.0))
+
+
+def resample_to_grid(swath: DataFrame, grid: DataFrame, values: list[str], radius: float, weight=hamming_window, min_obs: int = 1, grid_id: str = "loc_id", only_valid: bool = False) -> DataFrame:
+    """(grid_id, n_obs, values...): weighted means of the swath's values within radius metres of each grid point.
+
+    swath and grid have lon and lat; missing values have no weight. With fewer than min_obs observations a point's values
+    are null, or with only_valid it drops out.
+    """
+    rows = swath.select("lon", "lat", *values)
+    met = _within(grid.select(grid_id, "lon", "lat"), rows, radius).withColumn("__w", weight(radius, F.col("__d")))
+    cells = [(F.sum(F.col("__w") * known(c)) / F.nullif(F.sum(F.when(known(c).isNotNull(), F.col("__w"))), F.lit(0.0))).alias(c) for c in values]
+    found = met.groupBy(grid_id).agg(F.count("*").alias("n_obs"), *cells).filter(F.col("n_obs") >= min_obs)
+    out = grid.select(grid_id).join(found, grid_id, "inner" if only_valid else "left")
+    return out.withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))

@@ -177,3 +177,27 @@ def spatial_nearest_lookup(spark, sf_dir):
     """For each point of a grid the nearest of another within 300 km, else -1."""
     ref, other = _grids(spark, sf_dir)
     return round_all(spatial.nearest_lookup(ref, other, 300_000.0), 2)
+
+
+@query(
+    _POINTS + ", d as (select s.loc_id, c.other_id, 12742017.6 * asin(least(1, sqrt(pow(sin(radians(c.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - s.lon) / 2), 2)))) as m from s, c), "
+    "w as (select *, 0.54 + 0.46 * cos(pi() * m / 800000) as w, other_id % 17 as v from d where m <= 800000), g as (select loc_id, count(*) as n_obs, round(sum(w * v) / sum(w), 5) as v from w group by 1) "
+    "select s.loc_id, coalesce(n_obs, 0) as n_obs, v from s left join g on s.loc_id = g.loc_id"
+)
+def swath_to_grid(spark, sf_dir):
+    """Weighted means of scattered values around the points of a grid."""
+    grid, points = _grids(spark, sf_dir)
+    return round_all(spatial.resample_to_grid(points.withColumn("v", F.col("other_id") % 17), grid, ["v"], 800_000.0), 5)
+
+
+_DEDUP = (
+    "{0}c as (select r.loc_id, r.ts, r.value as value, o.ts as ots, o.v, row_number() over (partition by r.loc_id, r.ts order by abs(epoch_us(o.ts) - epoch_us(r.ts)), o.ts desc) as rn, abs(epoch_us(o.ts) - epoch_us(r.ts)) as d from r join (select loc_id, ts, value as v from ("
+    + SERIES_SQL.format(kind="{1}") + ")) o on r.loc_id = o.loc_id), {0} as (select loc_id, ts, v from (select *, row_number() over (partition by loc_id, ots order by d, ts) as again from {0}c where rn = 1) where again = 1)"
+)
+
+
+@query("with r as (" + SERIES_SQL.format(kind="signup") + "), " + _DEDUP.format("a", "purchase") + ", " + _DEDUP.format("b", "view") + " select r.loc_id, r.ts, r.event_id, a.v as purchase__value, b.v as view__value from r join a on r.loc_id = a.loc_id and r.ts = a.ts join b on r.loc_id = b.loc_id and r.ts = b.ts")
+def matching_of_many(spark, sf_dir):
+    """Rows whose nearest rows in two other series are matched to no nearer row."""
+    others = {k: (series(spark, sf_dir, k), ["value"]) for k in ("purchase", "view")}
+    return collocate.matching(series(spark, sf_dir, "signup").select("loc_id", "ts", "event_id"), others)

@@ -197,3 +197,30 @@ def seasonal_triple_calculator(spark, sf_dir):
 def freeze_thaw_counts(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("loc_id"), F.col("l_linenumber").alias("ref"), (F.col("l_quantity") - 25).alias("k1"))
     return calculators.freeze_thaw()(t, ["loc_id"])
+
+
+@query(_L + "select loc_id, count(*) as n_obs, round(covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)), 6) as pearson_r from l group by 1")
+def pearson_of_daily_sums(spark, sf_dir):
+    """Sums kept by day, added up to correlations of any longer time."""
+    by_day = items(spark, sf_dir).groupBy("loc_id", "ts").agg(*moments.sums("qty", "price"))
+    return round_all(moments.pearson_of_sums(by_day, ["loc_id"]))
+
+
+@query(
+    _L + ", m as (select loc_id, stddev_samp(qty) as sx, stddev_samp(price) as sy, avg(qty) - avg(price) as b, covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)) as r from l group by 1) "
+    "select loc_id, round(2*sx*sy*(1-r), 6) as mse_corr, round(b*b, 6) as mse_bias, round((sx-sy)*(sx-sy), 6) as mse_var, round(2*sx*sy*(1-r) + b*b + (sx-sy)*(sx-sy), 6) as mse from m"
+)
+def mse_with_ddof(spark, sf_dir):
+    return round_all(moments.mse_with_ddof(items(spark, sf_dir), ["loc_id"], "qty", "price", 1))
+
+
+@query(None)
+def rank_intervals(spark, sf_dir):
+    df = items(spark, sf_dir)
+    a, b = (intervals.analytical(df, "qty", "disc", m).select("loc_id", m, F.col("lower").alias(f"{m}_lower"), F.col("upper").alias(f"{m}_upper")) for m in ("spearman_r", "kendall_tau"))
+    return a.join(b, "loc_id")
+
+
+@query(None)
+def triple_and_pairs_calculator(spark, sf_dir):
+    return calculators.triple_and_pairs(COLUMNS[:3], "qty")(items(spark, sf_dir), ["loc_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,6 +31,8 @@ class Validation:
     calculators: {(n, k): calculator}: n datasets are matched at once (n must be the number of datasets), every k columns of
     different datasets are compared; a calculator gets columns ref, k1, ... in the order of the combination's sorted names.
     Rows count for a combination if all n datasets have a match at that time with inner, else if its own columns have values.
+    scaling may be a function of the frame, its columns and the reference column; matcher one of the frames by name and the
+    temporal reference's name, which returns loc_id, ts and name__column.
     """
 
     datasets: dict[str, Dataset]
@@ -39,11 +42,12 @@ class Validation:
     temporal_ref: str | None = None
     masking_datasets: dict[str, tuple[Dataset, str]] = field(default_factory=dict)
     period: tuple[str, str] | None = None
-    scaling: str | None = "cdf_match"
+    scaling: str | Callable[[DataFrame, list[str], str], DataFrame] | None = "cdf_match"
     scaling_ref: str | None = None
     scaling_options: dict = field(default_factory=dict)
     method: str = "nearest"
     inner: bool = True
+    matcher: Callable[[dict[str, DataFrame], str], DataFrame] | None = None
 
     def __post_init__(self):
         for n, _ in self.calculators:
@@ -72,6 +76,8 @@ class Validation:
                 masks[name] = (df, flag)
         if masks:
             base = drop_masked(base, masks, self.temporal_window)
+        if self.matcher:
+            return self.matcher(frames | {ref: base}, ref)
         base = base.withColumnsRenamed({c: f"{ref}__{c}" for c in self.datasets[ref].columns})
         others = {n: (df, self.datasets[n].columns) for n, df in frames.items() if n != ref}
         return collocate.combined(base, others, self.temporal_window, method=self.method, combined_dropna="any" if self.inner else "all")
@@ -125,7 +131,8 @@ class Validation:
             extra = [scaling_ref] if scaling_ref not in columns else []
         df = wide.select("loc_id", "ts", *columns, *extra).dropna("any", subset=[*columns, *extra])
         if self.scaling:
-            for c in columns:
+            df = self.scaling(df, columns, scaling_ref) if callable(self.scaling) else df
+            for c in [] if callable(self.scaling) else columns:
                 if c != scaling_ref:
                     df = scaling.scaled(df, c, scaling_ref, self.scaling, **self.scaling_options)
             unscaled = df.groupBy("loc_id").agg(*(F.count(c).alias(c) for c in columns), F.count("*").alias("__n"))
