@@ -89,6 +89,7 @@ def test_plan_has_one_shuffle_of_the_rows_and_no_cross_join(spark):
     big = spark.range(1000).select((F.col("id") % 3).alias("loc_id"), F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit(DAY).cast("timestamp_ntz")).alias("ts"), F.rand(1).alias("value"))
     plan = collocate.nearest(big, collocate.Other(big, ["value"], "o_"), 0.2)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+    assert plan.count("Exchange ") == 1
 
 
 # ---- series ----

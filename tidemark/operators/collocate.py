@@ -78,23 +78,28 @@ def nearest(
     tolerance = window_us(window)
     size = max(STRETCH * tolerance, DAY_US)
     ref_cols = reference.columns
-    ref = first_per_stamp(reference, keys, ts, tie).withColumn("__us", micros(ts)).withColumn("__b", F.floor(F.col("__us") / size))
-    ref = ref.select(*keys, "__us", "__b", F.lit(1).alias("__kind"), F.struct(*ref_cols).alias("__ref"))
-    found, names = ref, []
+    lead = [F.col(c) for c in tie or []]
+    ref = reference.withColumn("__us", micros(ts)).withColumn("__b", F.floor(F.col("__us") / size))
+    found = ref.select(*keys, "__us", "__b", F.lit(-1).alias("__series"), F.lit(1).alias("__kind"), F.struct(*ref_cols).alias("__ref"), F.struct(*(c for c in (*lead, *ref_cols))).alias("__r"))
+    names = []
+    if bounds not in ("both", "<=", ">="):
+        raise ValueError(f"no such bounds: {bounds}")
     for k, o in enumerate(others):
         versions = [("v", o.valid)] + ([("i", f"not coalesce({o.valid}, false)")] if o.valid and o.use_invalid else [])
         for tag, predicate in versions:
-            rows = o.df.filter(predicate) if predicate else o.df
-            rows = first_per_stamp(rows.select(*keys, ts, *dict.fromkeys([*o.values, *(tie or [])])), keys, ts, tie)
             name = f"__{tag}{k}"
-            rows = rows.withColumn("__us", micros(ts)).filter("__us is not null").withColumn("__b", _stretches(F.col("__us"), size, tolerance))
-            rows = rows.select(*keys, "__us", "__b", F.lit(0).alias("__kind"), F.struct("__us", ts, *o.values).alias(name))
+            rows = (o.df.filter(predicate) if predicate else o.df).withColumn("__us", micros(ts)).filter("__us is not null")
+            rows = rows.withColumn("__b", _stretches(F.col("__us"), size, tolerance))
+            rows = rows.select(*keys, "__us", "__b", F.lit(len(names)).alias("__series"), F.lit(0).alias("__kind"), F.struct("__us", ts, *o.values).alias(name), *([F.struct(*lead).alias(f"{name}t")] if lead else []))
             found = found.unionByName(rows, allowMissingColumns=True)
             names.append(name)
+    # one exchange: the windows' keys all begin with these columns
+    found = found.repartition(*keys, "__b")
+    order = [c for n in names for c in ([f"{n}t", n] if lead else [n])]
+    copies = F.row_number().over(Window.partitionBy(*keys, "__b", "__series", "__us").orderBy("__r", *order))
+    found = found.withColumn("__copy", copies).filter("__copy = 1").drop("__copy", "__series", "__r", *(c for c in order if c.endswith("t") and c not in names))
     by = Window.partitionBy(*keys, "__b").orderBy("__us", "__kind")
     before, after = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    if bounds not in ("both", "<=", ">="):
-        raise ValueError(f"no such bounds: {bounds}")
     found = found.select("*", *(F.last(n, ignorenulls=True).over(before).alias(f"{n}p") for n in names), *(F.first(n, ignorenulls=True).over(after).alias(f"{n}f") for n in names))
     found = found.filter("__kind = 1")
 
@@ -129,12 +134,14 @@ def windowed_mean(
     keys = ["loc_id"] if keys is None else keys
     w = window_us(window)
     size = max(STRETCH * w, DAY_US)
-    ref = first_per_stamp(reference, keys, ts).withColumn("__us", micros(ts)).withColumn("__b", F.floor(F.col("__us") / size))
+    ref = reference.withColumn("__us", micros(ts)).withColumn("__b", F.floor(F.col("__us") / size))
     ref = ref.select(*keys, "__us", "__b", F.struct(*reference.columns).alias("__ref"))
     rows = (other.filter(valid) if valid else other).select(*keys, micros(ts).alias("__us"), *(F.col(c).cast("double").alias(f"__{c}") for c in values))
     rows = rows.filter("__us is not null").withColumn("__b", _stretches(F.col("__us"), size, w))
     near = Window.partitionBy(*keys, "__b").orderBy("__us").rangeBetween(-w, w)
-    both = ref.unionByName(rows, allowMissingColumns=True)
+    both = ref.unionByName(rows, allowMissingColumns=True).repartition(*keys, "__b")
+    first = F.row_number().over(Window.partitionBy(*keys, "__b", "__us", F.col("__ref").isNull()).orderBy("__ref"))
+    both = both.withColumn("__copy", F.when(F.col("__ref").isNotNull(), first).otherwise(1)).filter("__copy = 1")
     both = both.select("__ref", *(F.avg(F.nanvl(f"__{c}", F.lit(None).cast("double"))).over(near).alias(prefix + c) for c in values)).filter("__ref is not null")
     matched = both.select("__ref.*", *(prefix + c for c in values))
     return matched.dropna(dropna, subset=[prefix + c for c in values]) if dropna else matched
