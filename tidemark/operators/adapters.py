@@ -85,10 +85,9 @@ def exact_time(
         at = at.cast("timestamp_ntz")
     for c, unit in zip(offset_fields, units, strict=True):
         at = F.timestamp_add(UNITS[unit], F.coalesce(known(c), F.lit(0.0)).cast("long"), at)
-    out = df.withColumn("__exact", at).filter("__exact is not null")
-    gone = [*offset_fields, *([base_field] if base_field else [])] if drop_original else []
     name = output_field or ts
-    return out.drop(*(c for c in {*gone, name} if c != "__exact")).withColumnRenamed("__exact", name) if name not in (offset_fields if not drop_original else []) else out.withColumnRenamed("__exact", name)
+    gone = {name, *offset_fields, base_field or name} if drop_original else {name}
+    return df.withColumn("__exact", at).filter("__exact is not null").drop(*gone).withColumnRenamed("__exact", name)
 
 
 def naive_utc(df: DataFrame, ts: str = "ts") -> DataFrame:

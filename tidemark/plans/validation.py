@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,9 @@ class Validation:
         """
         frames = self.frames(spark, locations)
         wide = self.matched(spark, frames)
-        present = self._presence(frames, locations)
+        present = self._presence(frames, locations).persist(StorageLevel.MEMORY_AND_DISK)
+        if wide is not None:  # every combination reads it
+            wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
         parts = []
         for (_, k), calculator in self.calculators.items():
             combos = result_combinations({n: d.columns for n, d in self.datasets.items()}, k)
