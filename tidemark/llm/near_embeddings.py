@@ -24,7 +24,9 @@ from .components import connected_components, local_forest
 THRESHOLD = 0.95
 #: Leading coordinates of a cell.
 GRID_DIMS = 3
-BLOCK_ROWS = 4096
+#: Rows of a block, and its values (rows times dimensions), at most: what a task holds of each side.
+BLOCK_ROWS = 16384
+BLOCK_VALUES = 1 << 22
 #: Dimensions after which the bound is tested.
 STEPS = (16, 32, 64, 128, 256, 512)
 _SLACK = 1e-9
@@ -148,7 +150,7 @@ def near_embeddings(vectors: DataFrame, t: float = THRESHOLD) -> DataFrame:
     placed = map_batches(reps.select("v", "rep", "copies", F.size("v").alias("d")), make, f"v {kind}, rep long, copies long, d int, " + ", ".join(f"{c} int" for c in cell[1:]))
     placed = checkpoint(placed)
 
-    counts = checkpoint(placed.groupBy(*cell).count().select(*cell, F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")))
+    counts = checkpoint(placed.groupBy(*cell).count().select(*cell, F.ceil(F.col("count") / F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_VALUES / F.col("d"))))).cast("int").alias("blocks")))
     steps = [s for s in itertools.product((-1, 0, 1), repeat=GRID_DIMS) if s >= (0,) * GRID_DIMS]  # the other half is the same pairs
     near = F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{k}") for k, x in enumerate(s))) for s in steps))).alias("s")
     first = counts.select(*cell, "blocks", near).select("d", *(F.col(c).alias(f"a_{c}") for c in cell[1:]), F.col("blocks").alias("na"), *((F.col(f"c{k}") + F.col(f"s.s{k}")).alias(f"c{k}") for k in range(GRID_DIMS)))
