@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +60,3 @@ def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
 
-
-def long_id(name: str):
-    return F.col(name).cast("long").alias(name)

@@ -105,7 +105,7 @@ def merged(ranges) -> list[list[int]]:
     return out
 
 
-def _lots(benchmark: DataFrame, length: int, limit: int) -> list:
+def _lots(benchmark: DataFrame, limit: int) -> list:
     """Functions that fetch the items (id, text) in lots of at most about `limit` characters; one lot is held at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -119,7 +119,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: in
     small_batches(spark)
     source = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "__text"
     rows = docs.select(*keep, *([F.col("text").cast("string").alias("__text")] if source == "__text" else []), F.lit(None).cast("array<array<int>>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
-    lots = _lots(benchmark, length, limit)
+    lots = _lots(benchmark, limit)
     for k, lot in enumerate(lots):
         shared = spark.sparkContext.broadcast(pickle.dumps(lot()))
         names = rows.columns if k + 1 < len(lots) else [c for c in rows.columns if c != "__text"]  # the last pass needs no text after it

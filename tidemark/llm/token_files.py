@@ -22,7 +22,6 @@ import json
 import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -310,7 +309,3 @@ def stored(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     out_dir = fresh_dir(spark, "tokens")
     manifest = write_files(docs, tokenizer_path, out_dir, end_id)
     return read_documents(spark, manifest, out_dir).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

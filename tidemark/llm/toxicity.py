@@ -40,6 +40,9 @@ SIGNIFICANT = 0.05
 #: Words whose scores a worker remembers.
 CACHE_WORDS = 500_000
 
+#: Middles of the bins of word scores, for the background.
+_CENTRES = (np.arange(4096) - 2047.5) / 128
+
 _WORDS = re.compile(r"[^\W_]+")
 _CHUNKS = 64
 
@@ -132,40 +135,43 @@ class Scorer:
         rate = self.model.k * max(n, 1) * math.exp(-self.model.lam * s)
         return -math.log(-math.expm1(-rate)) if rate > 1e-12 else self.model.lam * s - math.log(self.model.k * max(n, 1))
 
-    def passages(self, text: str) -> list[tuple[float, int, int]]:
-        """(surprise, first word, word after the last) of the significant passages."""
-        words = words_of(text)
-        least = -math.log(SIGNIFICANT)
-        return [(p, a, b) for p, a, b in ((self.surprise(s, len(words)), a, b) for s, a, b in segments(self.word_scores(words) - DRIFT)) if p >= least]
+    def found(self, words: list[str], without: int | None = None) -> list[tuple[float, int, int]]:
+        """(surprise, first word, word after the last) of all maximal-scoring segments."""
+        return [(self.surprise(s, len(words)), a, b) for s, a, b in segments(self.word_scores(words, without) - DRIFT)]
 
-    def features(self, text: str, without: int | None = None) -> tuple[float, float]:
-        words = words_of(text)
-        found = [self.surprise(s, len(words)) for s, _, _ in segments(self.word_scores(words, without) - DRIFT)]
-        least = -math.log(SIGNIFICANT)
-        return min(max(found, default=0.0), 60.0), math.log1p(sum(p >= least for p in found))
+    def features(self, found: list[tuple[float, int, int]]) -> tuple[float, float]:
+        """What the logistic function sees: the best segment's surprise, and the number of significant segments."""
+        return min(max((x[0] for x in found), default=0.0), 60.0), math.log1p(sum(significant(x) for x in found))
 
-    def score(self, text: str) -> float:
-        a, b = self.features(text)
+    def judge(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
+        """The score of a text and its significant passages."""
+        found = self.found(words_of(text))
+        a, b = self.features(found)
         w = self.model.weights
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, w[0] + w[1] * a + w[2] * b))))
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, w[0] + w[1] * a + w[2] * b)))), [x for x in found if significant(x)]
+
+
+def significant(segment: tuple[float, int, int]) -> bool:
+    return segment[0] >= -math.log(SIGNIFICANT)
 
 
-def fit_background(harmless: list[np.ndarray]) -> tuple[float, float]:
-    """lambda with E exp(lambda s) = 1 over harmless words, and K by the mean of the best segments' scores (Gumbel)."""
-    scores = np.concatenate([x for x in harmless if len(x)] or [np.array([-DRIFT])])
-    low, high = 1e-3, 20.0
-    if scores.max(initial=-1) > 0 and scores.mean() < 0:
+def fit_background(counts: np.ndarray, best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """lambda with E exp(lambda s) = 1 over harmless words, and K by the mean of the best segments' scores (Gumbel).
+
+    counts: words by score, in the bins of _CENTRES; best and words: best segment's score and length of each document.
+    """
+    total = max(1, counts.sum())
+    low, high, lam = 1e-3, 20.0, 1.0
+    if counts[_CENTRES > 0].any() and (counts * _CENTRES).sum() < 0:
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if np.mean(np.exp(np.minimum(mid * scores, 500))) < 1 else (low, mid)
+            low, high = (mid, high) if (counts * np.exp(np.minimum(mid * _CENTRES, 500))).sum() / total < 1 else (low, mid)
         lam = max(low, 0.05)
-    else:
-        lam = 1.0
-    best = [(max((s for s, _, _ in segments(x)), default=0.0), len(x)) for x in harmless if len(x) >= 20]
-    if not best:
+    enough = words >= 20
+    if not enough.any():
         return lam, 0.1
     # for a Gumbel variable, E[lambda S] = log(K n) + Euler's constant
-    k = math.exp(float(np.mean([lam * s - math.log(n) for s, n in best])) - 0.5772156649)
+    k = math.exp(float(np.mean(lam * best[enough] - np.log(words[enough]))) - 0.5772156649)
     return lam, min(max(k, 1e-6), 10.0)
 
 
@@ -183,7 +189,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(labelled: DataFrame) -> Model:
     """A model of labelled(doc_id, text, toxic), a bounded table of labelled rows.
 
     Tasks count cells in tables of fixed size; these are added up by ranges of cells, so the driver gets one table.
@@ -224,23 +230,24 @@ def calibrate(model: Model, sample: DataFrame) -> None:
     spark = sample.sparkSession
     rows = sample.select("text", F.col("toxic").cast("int").alias("toxic"))
 
-    def of_words(shared):
-        def make():
-            scorer = Scorer(shared.value)
-
-            def one(batch):
-                labels = batch.column(1).to_pylist()
-                scores = [scorer.word_scores(words_of(t), y) - DRIFT if y == 0 else np.zeros(0) for t, y in zip(texts_of(batch.column(0)), labels, strict=True)]
-                return pa.RecordBatch.from_arrays([pa.array([x[:2000].astype(np.float32).tobytes() for x in scores], pa.binary())], names=["s"])
-
-            return one
-
-        return make
-
     first = spark.sparkContext.broadcast(model)
-    # the background is a distribution over harmless words: a bounded sample of documents gives it
-    harmless = rows.filter("toxic = 0").limit(1500)
-    model.lam, model.k = fit_background([np.frombuffer(r.s, np.float32).astype(float) for r in map_batches(harmless, of_words(first), "s binary").collect()])
+
+    def background(batches):
+        scorer, counts = Scorer(first.value), np.zeros(len(_CENTRES), np.int64)
+        for batch in batches:
+            best, words = [], []
+            for text in texts_of(batch.column(0)):
+                scores = scorer.word_scores(words_of(text), 0) - DRIFT
+                counts += np.bincount(np.clip((scores * 128 + 2048).astype(int), 0, len(counts) - 1), minlength=len(counts))
+                best.append(max((x for x, _, _ in segments(scores)), default=0.0))
+                words.append(len(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(words, pa.int64()), pa.nulls(len(best), pa.binary())], names=["best", "words", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["best", "words", "counts"])
+
+    got = rows.filter("toxic = 0").coalesce(16).mapInArrow(background, "best double, words long, counts binary").collect()
+    counts = sum((np.frombuffer(r.counts, np.int64) for r in got if r.counts is not None), np.zeros(len(_CENTRES), np.int64))
+    documents = [(r.best, r.words) for r in got if r.counts is None]
+    model.lam, model.k = fit_background(counts, np.array([x for x, _ in documents]), np.array([n for _, n in documents]))
     second = spark.sparkContext.broadcast(model)
 
     def make():
@@ -248,7 +255,7 @@ def calibrate(model: Model, sample: DataFrame) -> None:
 
         def one(batch):
             labels = batch.column(1).to_pylist()
-            got = [scorer.features(t, y) for t, y in zip(texts_of(batch.column(0)), labels, strict=True)]
+            got = [scorer.features(scorer.found(words_of(t), y)) for t, y in zip(texts_of(batch.column(0)), labels, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got]), pa.array([b for _, b in got]), batch.column(1)], names=["a", "b", "y"])
 
         return one
@@ -268,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     """Fit on a bounded sample of the labelled documents; labels without an id or a class are left out, repeats count once."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sample = F.broadcast(bounded_sample(known, fit_rows))  # fit_rows bounds its size
-    return fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id"), fit_rows)
+    return fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id"))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,18 +289,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def make():
         scorer = Scorer(shared.value)
-        w = shared.value.weights
-        least = -math.log(SIGNIFICANT)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores, passages = [], []
-            for t in texts_of(batch.column(1)):
-                words = words_of(t)
-                found = [(scorer.surprise(s, len(words)), a, b) for s, a, b in segments(scorer.word_scores(words) - DRIFT)]
-                sure = [x for x in found if x[0] >= least]
-                z = w[0] + w[1] * min(max((x[0] for x in found), default=0.0), 60.0) + w[2] * math.log1p(len(sure))
-                scores.append(1 / (1 + math.exp(-max(-35.0, min(35.0, z)))))
-                passages.append([{"surprise": p, "first": a, "stop": b} for p, a, b in sure])
+            judged = [scorer.judge(t) for t in texts_of(batch.column(1))]
+            scores = [x for x, _ in judged]
+            passages = [[{"surprise": p, "first": a, "stop": b} for p, a, b in found] for _, found in judged]
             kind = pa.list_(pa.struct([("surprise", pa.float64()), ("first", pa.int64()), ("stop", pa.int64())]))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
 
