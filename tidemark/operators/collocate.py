@@ -55,6 +55,15 @@ def _stretches(us: Column, size: int, around: int) -> Column:
     return F.explode(F.sequence(F.floor((us - around) / size), F.floor((us + around) / size)))
 
 
+def _both_ways(partition: list[str]):
+    """Frames of the rows up to the present one, in order of time and in the reverse order.
+
+    A frame that runs to the partition's end would be added up anew for every row; one that begins at its start isn't.
+    """
+    by = Window.partitionBy(*partition)
+    return tuple(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in ((F.col("__us"), F.col("__kind")), (F.col("__us").desc(), F.col("__kind").desc())))
+
+
 def nearest(
     reference: DataFrame,
     others: list[Other] | Other,
@@ -98,9 +107,8 @@ def nearest(
     order = [c for n in names for c in ([f"{n}t", n] if lead else [n])]
     copies = F.row_number().over(Window.partitionBy(*keys, "__b", "__series", "__us").orderBy("__r", *order))
     found = found.withColumn("__copy", copies).filter("__copy = 1").drop("__copy", "__series", "__r", *(c for c in order if c.endswith("t") and c not in names))
-    by = Window.partitionBy(*keys, "__b").orderBy("__us", "__kind")
-    before, after = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    found = found.select("*", *(F.last(n, ignorenulls=True).over(before).alias(f"{n}p") for n in names), *(F.first(n, ignorenulls=True).over(after).alias(f"{n}f") for n in names))
+    before, after = _both_ways([*keys, "__b"])
+    found = found.select("*", *(F.last(n, ignorenulls=True).over(before).alias(f"{n}p") for n in names), *(F.last(n, ignorenulls=True).over(after).alias(f"{n}f") for n in names))
     found = found.filter("__kind = 1")
 
     def chosen(n: str) -> Column:
@@ -186,9 +194,9 @@ def unlimited_nearest(reference: DataFrame, other: DataFrame, values: list[str],
     keys = ["loc_id"] if keys is None else keys
     ref = reference.withColumn("__us", micros(ts)).select(*keys, "__us", F.struct(*reference.columns).alias("__ref"), F.lit(1).alias("__kind"))
     rows = first_per_stamp(other.select(*keys, ts, *values), keys, ts).withColumn("__us", micros(ts)).select(*keys, "__us", F.struct("__us", ts, *values).alias("__o"), F.lit(0).alias("__kind"))
-    by = Window.partitionBy(*keys).orderBy("__us", "__kind")
+    before, after = _both_ways(keys)
     both = ref.unionByName(rows, allowMissingColumns=True)
-    both = both.select("*", F.last("__o", True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.first("__o", True).over(by.rowsBetween(0, Window.unboundedFollowing)).alias("f")).filter("__kind = 1")
+    both = both.select("*", F.last("__o", True).over(before).alias("p"), F.last("__o", True).over(after).alias("f")).filter("__kind = 1")
     p, f, us = F.col("p"), F.col("f"), F.col("__us")
     best = F.when(f.isNull(), p).when(p.isNull(), f).when(f["__us"] - us <= us - p["__us"], f).otherwise(p)
     both = both.select(*keys, "__ref", us, best.alias("__o")).withColumn("__d", F.col("__o.__us") - us)
