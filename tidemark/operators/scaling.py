@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import known
 
+_STRIDE = 10
 PERCENTILES = (0, 5, 10, 30, 50, 70, 90, 95, 100)
 
 
@@ -170,16 +171,24 @@ def apply_parameters(df: DataFrame, params: DataFrame, src: str, keys: list[str]
     keys = ["loc_id"] if keys is None else keys
     px, py, x = F.col("x_perc"), F.col("y_perc"), known(src)
     n = F.size(px)
-    rising = F.forall(F.sequence(F.lit(2), n), lambda k: F.element_at(px, k) > F.element_at(px, k - 1))
-    k = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(px, lambda v: v <= F.col("__v")))))
-    a, b, c, d = F.element_at(px, k), F.element_at(px, k + 1), F.element_at(py, k), F.element_at(py, k + 1)
-    got = F.when((n >= 2) & F.col("__v").isNotNull(), F.when(rising, c + (F.col("__v") - a) * (d - c) / F.nullif(b - a, F.lit(0.0))))
+    # what concerns a key's parameters alone is worked out once for each key; a value is then sought among every 10th edge first
+    rising = F.forall(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.coalesce(F.element_at(px, k) > F.element_at(px, k - 1), F.lit(False)))
+    usable = params.filter(n >= 2).select(*keys, px, py, rising.alias("__rising"), F.filter(px, lambda v, i: i % _STRIDE == 0).alias("__coarse"))
+
+    def below(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda v: v <= F.col("__v")))
+
+    start = F.greatest(F.lit(0), below(F.col("__coarse")) - 1) * _STRIDE
+    k = F.greatest(F.lit(1), F.least(n - 1, start + below(F.slice(px, start + 1, F.lit(_STRIDE)))))
+    a, b, c, d = F.element_at(px, F.col("__k")), F.element_at(px, F.col("__k") + 1), F.element_at(py, F.col("__k")), F.element_at(py, F.col("__k") + 1)
+    got = F.when(F.col("__k").isNotNull(), c + (F.col("__v") - a) * (d - c) / F.nullif(b - a, F.lit(0.0)))
     if max_val is not None:
         got = F.when(got.isNotNull(), F.least(got, F.lit(float(max_val))))
     if min_val is not None:
         got = F.when(got.isNotNull(), F.greatest(got, F.lit(float(min_val))))
     name = out or src
-    rows = df.join(params.select(*keys, "x_perc", "y_perc"), keys, "left").withColumn("__v", x).withColumn("__out", got)
+    rows = df.join(usable, keys, "left").withColumn("__v", x)
+    rows = rows.withColumn("__k", F.when(F.col("__rising") & F.col("__v").isNotNull(), k)).withColumn("__out", got)
     return rows.select(*(c for c in df.columns if c != name), F.col("__out").alias(name))
 
 
