@@ -40,7 +40,7 @@ _WIDE = (
 def _pair_sql(a: str, b: str, x: str, y: str) -> str:
     return (
         f"select l.loc_id, '{a}.value_with_{b}.value' as combo, m.n_obs, m.\"BIAS\", m.\"RMSD\", m.\"R\", m.urmsd, case when m.n_obs is null then 7 when m.n_obs < 10 then 1 else 0 end as status from l left join "
-        f"(select loc_id, count(*)::int as n_obs, round(avg({x} - {y}), 6) + 0.0 as \"BIAS\", round(sqrt(avg(({x}-{y})*({x}-{y}))), 6) as \"RMSD\", round(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), 6) as \"R\", round(sqrt(var_pop({x} - {y})), 6) as urmsd from w group by 1) m on l.loc_id = m.loc_id"
+        f"(select loc_id, count(*)::int as n_obs, round(avg({x} - {y}), 10) + 0.0 as \"BIAS\", round(sqrt(avg(({x}-{y})*({x}-{y}))), 10) as \"RMSD\", round(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), 10) as \"R\", round(sqrt(var_pop({x} - {y})), 10) as urmsd from w group by 1) m on l.loc_id = m.loc_id"
     )
 
 
@@ -51,7 +51,7 @@ _COLUMNS = ["loc_id", "combo", "n_obs", "BIAS", "RMSD", "R", "urmsd", "status"]
 @query(_WIDE.rstrip(", ") + " " + " union all ".join(_pair_sql(a, b, a, b) for a, b in _PAIRS))
 def validation_unscaled(spark, sf_dir):
     """Three datasets matched at once, every pair compared, a status for every location."""
-    return round_all(_validation(spark, sf_dir, scaling=None).calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS))
+    return round_all(_validation(spark, sf_dir, scaling=None).calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS), 10)
 
 
 _STATS = "s as (select loc_id, " + ", ".join(f"avg({k}) as m_{k}, stddev_pop({k}) as s_{k}" for k in KINDS) + " from w group by 1), "
@@ -60,7 +60,7 @@ _SCALED = "z as (select w.loc_id, click, (error - m_error) / s_error * s_click +
 
 @query(_WIDE + _STATS + _SCALED + " union all ".join(_pair_sql(a, b, a, b).replace("from w group", "from z group") for a, b in _PAIRS))
 def validation_mean_std(spark, sf_dir):
-    return round_all(_validation(spark, sf_dir, scaling="mean_std").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS))
+    return round_all(_validation(spark, sf_dir, scaling="mean_std").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS), 10)
 
 
 @query(None)
@@ -86,7 +86,7 @@ _MASK = (
 def validation_masked(spark, sf_dir):
     mask = series(spark, sf_dir, "signup").select("loc_id", "ts", (F.col("value") < 15).alias("flag"))
     v = _validation(spark, sf_dir, scaling=None, masking_datasets={"m": (Dataset(frame(mask), ["flag"]), "flag")})
-    return round_all(v.calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS))
+    return round_all(v.calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS), 10)
 
 
 _UP = (

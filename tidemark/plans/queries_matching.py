@@ -32,19 +32,19 @@ _MOMENTS = """
 m as (select loc_id, count(*) as n_obs, avg(x) as mx, avg(y) as my, var_pop(x) as vx, var_pop(y) as vy, covar_pop(x, y) as c,
   sum((x-y)*(x-y)) as rss, avg(abs(x-y)) as aad, var_pop(x-y) as vd, least(min(x), min(y)) as lo, greatest(max(x), max(y)) as hi
   from p where x is not null and y is not null group by loc_id)
-select loc_id, n_obs, round(mx-my, 6) as bias, round(rss, 4) as rss, round(rss/n_obs, 6) as msd, round(sqrt(rss/n_obs), 6) as rmsd,
-  round(sqrt(rss/n_obs)/(hi-lo), 6) as nrmsd, round(sqrt(vd), 6) as ubrmsd, round((mx-my)*(mx-my), 6) as mse_bias,
-  round((sqrt(vx)-sqrt(vy))*(sqrt(vx)-sqrt(vy)), 6) as mse_var, round(greatest(2*sqrt(vx)*sqrt(vy)-2*c, 0), 6) as mse_corr,
-  round((mx-my)*(mx-my) + (sqrt(vx)-sqrt(vy))*(sqrt(vx)-sqrt(vy)) + greatest(2*sqrt(vx)*sqrt(vy)-2*c, 0), 6) as mse,
-  round(aad, 6) as aad, round(1-rss/(n_obs*vx), 6) as nash_sutcliffe, round(c/sqrt(vx*vy), 6) as pearson_r from m
+select loc_id, n_obs, round(mx-my, 9) as bias, round(rss, 5) as rss, round(rss/n_obs, 9) as msd, round(sqrt(rss/n_obs), 9) as rmsd,
+  round(sqrt(rss/n_obs)/(hi-lo), 9) as nrmsd, round(sqrt(vd), 9) as ubrmsd, round((mx-my)*(mx-my), 9) as mse_bias,
+  round((sqrt(vx)-sqrt(vy))*(sqrt(vx)-sqrt(vy)), 9) as mse_var, round(greatest(2*sqrt(vx)*sqrt(vy)-2*c, 0), 9) as mse_corr,
+  round((mx-my)*(mx-my) + (sqrt(vx)-sqrt(vy))*(sqrt(vx)-sqrt(vy)) + greatest(2*sqrt(vx)*sqrt(vy)-2*c, 0), 9) as mse,
+  round(aad, 9) as aad, round(1-rss/(n_obs*vx), 9) as nash_sutcliffe, round(c/sqrt(vx*vy), 9) as pearson_r from m
 """
 
 
 @query(_CLICK_VIEW + ", p as (select loc_id, ref_value as x, ov as y from c where rn = 1), " + _MOMENTS)
 def collocated_agreement(spark, sf_dir):
     """Clicks with the nearest view within 12 hours, and all agreement metrics by location."""
-    got = round_all(pairwise(_click_view(spark, sf_dir), ["loc_id"], "ref_value", "view_value"))
-    return got.withColumn("rss", F.round("rss", 4))
+    got = round_all(pairwise(_click_view(spark, sf_dir), ["loc_id"], "ref_value", "view_value"), 9)
+    return got.withColumn("rss", F.round("rss", 5))
 
 
 @query(_CLICK_VIEW + "select loc_id, ts, ref_value, event_id, ov as view_value, ots as view_index_other, round((epoch_us(ots) - epoch_us(ts)) / 86400e6, 8) as view_distance_other from c where rn = 1")

@@ -21,8 +21,8 @@ def items(spark, sf_dir):
 
 @query(_L + ", p as (select loc_id, qty as x, price as y from l), " + _MOMENTS)
 def pairwise_metrics(spark, sf_dir):
-    got = round_all(moments.pairwise(items(spark, sf_dir), ["loc_id"], "qty", "price"))
-    return got.withColumn("rss", F.round("rss", 4))
+    got = round_all(moments.pairwise(items(spark, sf_dir), ["loc_id"], "qty", "price"), 9)
+    return got.withColumn("rss", F.round("rss", 5))
 
 
 @query(_L + "select loc_id, round(sqrt(sum((qty-price)*(qty-price)) / (count(*) - 1)), 6) as rmsd from l group by 1")
