@@ -101,6 +101,17 @@ def kendall_tau(spark, sf_dir):
     return round_all(ranks.kendall(march, "qty", "disc").drop("p_tau"))
 
 
+@query(
+    _L + ", c as (select loc_id, qty, disc, count(*) as w from l group by 1, 2, 3), k as (select loc_id, count(*) as n_obs from l group by 1), "
+    "p as (select a.loc_id, sum(a.w * b.w * sign(a.qty - b.qty) * sign(a.disc - b.disc)) as s, sum(a.w * b.w * abs(sign(a.qty - b.qty))) as x, sum(a.w * b.w * abs(sign(a.disc - b.disc))) as y "
+    "from c a join c b on a.loc_id = b.loc_id and (a.qty, a.disc) < (b.qty, b.disc) group by 1) "
+    "select k.loc_id, n_obs, round(s / nullif(sqrt(x::double * y), 0), 6) as tau from k left join p on k.loc_id = p.loc_id"
+)
+def kendall_tau_all(spark, sf_dir):
+    """tau of every location from all its rows. The SQL joins distinct value pairs (at most 50 x 11 a location), not rows."""
+    return round_all(ranks.kendall(items(spark, sf_dir), "qty", "disc").drop("p_tau"))
+
+
 @query(None)
 def rank_p_values(spark, sf_dir):
     df = items(spark, sf_dir)
