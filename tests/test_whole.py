@@ -37,3 +37,13 @@ def test_kendall_of_every_row(spark, lineitem):
     assert not got
     want = by_sql(at, "kendall_tau_all")
     assert len(want) == len({r[0] for r in rows}) and sorted(tuple(r) for r in entry.queries()["kendall_tau_all"](spark, at).collect()) == [pytest.approx(x) for x in want]
+
+
+def test_every_point_is_upscaled(spark, lineitem):
+    at, rows = lineitem
+    areas = {r[0] // 6 for r in rows}
+    got = sorted((r.loc_id, r.ts, r.value) for r in entry.queries()["upscaled_average_all"](spark, at).collect())
+    assert {r[0] for r in got} == areas and max(areas) == 25
+    want = by_sql(at, "upscaled_average_all")
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+    assert {r.loc_id for r in entry.queries()["upscaled_stable"](spark, at).collect()} == areas
