@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from tidemark.llm import near_embeddings as N
@@ -53,3 +55,19 @@ def test_empty_and_without_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in N.near_embeddings(df).collect()}
     assert got == {None: (0, None, False), 4: (0, 4, True)}
+
+
+def test_links_of_a_large_group_are_not_kept():
+    rng = np.random.default_rng(3)
+    n = 6000
+    x = np.r_[rng.normal(size=8) * 9 + rng.normal(size=(n, 8)) * 0.01, -np.ones((1, 8))]
+    copies = rng.integers(1, 4, len(x))
+    for second in (None, np.arange(len(x)) % 2 == 1):
+        tracemalloc.start()
+        counts, root = N.folded(x, second, copies, None, 0.95)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 4 * n * n  # the indices of all pairs are 8 * n * n bytes, or half of that between two blocks
+        mine, others = (copies[:n], copies[:n].sum()) if second is None else (0, np.where(second[:n], copies[:n][~second[:n]].sum(), copies[:n][second[:n]].sum()))
+        assert (counts[:n] == others - mine).all() and counts[n] == 0
+        assert (root[:n] == 0).all() and root[n] == n

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ GRID_DIMS = 3
 #: Rows of a block, and its values (rows times dimensions), at most: what a task holds of each side.
 BLOCK_ROWS = 16384
 BLOCK_VALUES = 1 << 22
+#: Pairs that are confirmed at a time.
+PART = 1 << 17
 #: Dimensions after which the bound is tested.
 STEPS = (16, 32, 64, 128, 256, 512)
 _SLACK = 1e-9
@@ -77,8 +80,8 @@ def principal_axes(reps: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1])
 
 
-def linked(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray | None, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of the pairs of rows of x and y, or of x (i < j), with cosine >= t."""
+def linked(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray | None, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j) of the pairs of rows of x and y, or of x (i < j), with cosine >= t, at most PART pairs at a time."""
     own = y is None
     sides = []
     for raw in (x,) if own else (x, y):
@@ -90,24 +93,41 @@ def linked(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray | None, t: floa
     tails = [[np.sqrt(np.maximum(0, np.square(r[:, s:]).sum(axis=1))) for s in stops] for r in (rx, ry)]
     head = stops[0]
     a, b = np.c_[rx[:, :head], tails[0][0]], np.ascontiguousarray(np.c_[ry[:, :head], tails[1][0]].T)
-    left, right = [], []
-    for k in range(0, len(rx), 512):
+    for k in range(0, len(rx), 128):
         lo = k if own else 0
-        i, j = np.nonzero(a[k : k + 512] @ b[:, lo:] >= t - _SLACK)  # leading products and the bound of the rest, in one product
+        i, j = np.nonzero(a[k : k + 128] @ b[:, lo:] >= t - _SLACK)  # leading products and the bound of the rest, in one product
         i, j = i + k, j + lo
         if own:
             i, j = i[i < j], j[i < j]
-        for part in range(0, len(i), 1 << 17):
-            pi, pj = i[part : part + (1 << 17)], j[part : part + (1 << 17)]
+        for part in range(0, len(i), PART):
+            pi, pj = i[part : part + PART], j[part : part + PART]
             got = np.einsum("ij,ij->i", rx[pi, :head], ry[pj, :head])
             for step in range(1, len(stops)):
                 got = got + np.einsum("ij,ij->i", rx[pi, stops[step - 1] : stops[step]], ry[pj, stops[step - 1] : stops[step]])
                 keep = got + tails[0][step][pi] * tails[1][step][pj] >= t - _SLACK
                 pi, pj, got = pi[keep], pj[keep], got[keep]
             sure = np.einsum("ij,ij->i", ux[pi], uy[pj]) >= t
-            left.append(pi[sure])
-            right.append(pj[sure])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+            yield pi[sure], pj[sure]
+
+
+def folded(x: np.ndarray, second: np.ndarray | None, copies: np.ndarray, axes: np.ndarray | None, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's linked copies and its smallest reachable row: among all rows, or between those of the first and second block.
+
+    Links are counted and put into the forest as they are found; none is kept, so memory goes with the rows."""
+    n, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    if second is None:
+        a = b = root.copy()
+        found = linked(x, None, axes, t)
+    else:
+        a, b = np.flatnonzero(~second), np.flatnonzero(second)
+        found = linked(x[a], x[b], axes, t) if len(a) and len(b) else ()
+    for i, j in found:
+        i, j = a[i], b[j]
+        n += (np.bincount(i, copies[j], len(n)) + np.bincount(j, copies[i], len(n))).astype(np.int64)
+        i, j = root[i], root[j]
+        if (apart := i != j).any():
+            root = local_forest(i[apart], j[apart], len(n))[root]
+    return n, root
 
 
 def near_embeddings(vectors: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -166,15 +186,8 @@ def near_embeddings(vectors: DataFrame, t: float = THRESHOLD) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         axes = shared.value
         x, rep, copies = _matrix(group.column("v")), np.asarray(group.column("rep")), np.asarray(group.column("copies"))
-        if group.column("own")[0].as_py():
-            i, j = linked(x, None, axes, t)
-        else:
-            second = np.asarray(group.column("second").to_pylist(), bool)
-            a, b = np.flatnonzero(~second), np.flatnonzero(second)
-            i, j = linked(x[a], x[b], axes, t) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))
-            i, j = a[i], b[j]
-        n = (np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))).astype(np.int64)
-        root = local_forest(i, j, len(rep))
+        second = None if group.column("own")[0].as_py() else np.asarray(group.column("second").to_pylist(), bool)
+        n, root = folded(x, second, copies, axes, t)
         got = np.flatnonzero(n)
         return pa.table({"rep": rep[got], "n": n[got], "root": rep[root[got]]})
 
