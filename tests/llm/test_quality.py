@@ -58,3 +58,30 @@ def test_views_teach_each_other():
     seen = np.where(rng.random(n) < 0.1, y, np.nan)
     model = Q.co_train(text, meta, seen, rng.random(n) < 0.3)
     assert ((model.chance(text, meta) >= 0.5) == y).mean() > 0.9  # what the metadata alone can give
+
+
+def test_every_unlabelled_document_is_in_the_pool(spark, monkeypatch):
+    monkeypatch.setattr(Q, "STEPS", 2)
+    rows = corpus(300)
+    n = 10_700
+    docs = spark.createDataFrame([(k, t, l, s, len(t)) for k, t, l, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    many = spark.range(1000, 1000 + n).selectExpr("id as doc_id", "'stone river a' as text", "'rare' as lang", "'src9' as source", "13L as n_chars")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:200]], "doc_id long, quality int")
+    seen = []
+    real = Q.co_train_over
+
+    def watched(edges, text, meta, y, test, summed, unlabelled):
+        def counted(function, *given):
+            out = summed(function, *given)
+            if function is Q._scores:
+                seen.append(out.reshape(2, -1).sum(axis=1))
+            return out
+
+        return real(edges, text, meta, y, test, counted, unlabelled)
+
+    monkeypatch.setattr(Q, "co_train_over", watched)
+    model = Q.train(docs.unionAll(many), labels)
+    assert len(seen) == Q.ROUNDS and (seen[0] == n + 100).all()
+    assert np.isfinite(model.weights).all()
+    # most of all documents have three words: the edges of the number of words are the whole table's
+    assert (model.text.edges[14] <= np.log1p(3)).any()

@@ -2,9 +2,11 @@
 
 The text view sees only measures of the whole text (repetition, capitals, symbols, table bars, word and line shapes, as
 means and as the worst stretch of words); the metadata view sees only language, source and declared length. Both are
-logistic regressions over binned measures. In each round, each view labels the pool documents that it is surest about, for
-the other one. At the end each view is calibrated on labelled documents that it wasn't fitted on, and the calibrated views
-are combined. Fitting takes bounded samples; scoring covers every document.
+logistic regressions over binned measures. In each round, each view scores all unlabelled documents and labels those that it
+is surest about, for the other one: by class, those over a threshold from the histogram of all scores. Views are refitted by
+Newton steps, whose sums over the pseudo-labelled documents are passes over the table. At the end each view is calibrated on
+labelled documents that it wasn't fitted on, and the calibrated views are combined. Only the labelled fit set is a bounded
+sample; bin edges, pseudo-labels and scores take every document.
 """
 
 from __future__ import annotations
@@ -18,22 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, texts_of
+from .common import checkpoint, map_batches, small_batches, texts_of
 from .toxicity import bounded_sample, logistic
 
-#: Labelled rows and unlabelled pool rows that the model is fitted on, at most about: bounded samples by a hash of the id.
+#: Labelled rows that the model is fitted on, at most about: a bounded sample by a hash of the id.
 FIT_ROWS = 20_000
-POOL_ROWS = 10_000
 ROUNDS = 3
-#: Share of the pool that a view labels for the other in a round.
+#: Share of the unlabelled documents of a class that a view labels for the other in a round; equal scores go together.
 SHARE = 0.05
+#: Newton steps of a refit, at most; they begin at zero, since steps from saturated weights overshoot.
+STEPS = 12
+#: Cells of a histogram of scores (log-odds from -20 to 20).
+SCORE_CELLS = 4000
+#: Quantiles that are bin edges. Many measures are zero but for bad documents: those need edges in their upper end too.
+QUANTILES = [k / 10 for k in range(10)] + [0.93, 0.96, 0.98, 0.99]
 #: A pseudo-label needs at least this calibrated chance of its class.
 CONFIDENT = 0.9
 #: Documents with less than this chance of being good are rejected.
 THRESHOLD = 0.5
 #: Words of a stretch.
 STRETCH = 24
-BINS = 10
 SOURCE_CELLS = 64
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _STOP, _WIDE = range(7)
@@ -139,43 +145,108 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -20, 20)))
 
 
+@dataclass
+class Lesson:
+    """What the views taught each other in a round: the views as they were, and by taught view the (bad, good) log-odds of
+    the other one from which its label holds."""
+
+    views: list[View]
+    limits: list[tuple[float, float]]
+
+
+def _taught(v: int, data: tuple[np.ndarray, np.ndarray], lessons: list[Lesson]) -> np.ndarray:
+    """The label that view v was given for each row in the first lesson that covers it; nan without one."""
+    out = np.full(len(data[0]), np.nan)
+    for lesson in lessons:
+        z = lesson.views[1 - v].logit(data[1 - v])
+        bad, good = lesson.limits[v]
+        out = np.where(np.isnan(out) & (z <= bad), 0.0, np.where(np.isnan(out) & (z >= good), 1.0, out))
+    return out
+
+
+def _cell(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + 20) * (SCORE_CELLS / 40)).astype(int), 0, SCORE_CELLS - 1)
+
+
+def _scores(data: tuple[np.ndarray, np.ndarray], views: list[View], lessons: list[Lesson]) -> np.ndarray:
+    """By taught view: the histogram of the other view's log-odds, over rows that it has no label for yet."""
+    free = [np.isnan(_taught(v, data, lessons)) for v in (0, 1)]
+    return np.concatenate([np.bincount(_cell(views[1 - v].logit(data[1 - v][free[v]])), minlength=SCORE_CELLS) for v in (0, 1)]).astype(float)
+
+
+def _newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Row count, gradient and curvature of the log-likelihood, flat."""
+    z = np.c_[np.ones(len(x)), x]
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+    return np.concatenate([[len(x)], z.T @ (y - p), ((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).ravel()])
+
+
+def _refit_sums(data: tuple[np.ndarray, np.ndarray], views: list[View], lessons: list[Lesson]) -> np.ndarray:
+    parts = []
+    for v in (0, 1):
+        y = _taught(v, data, lessons)
+        known = ~np.isnan(y)
+        parts.append(_newton_sums(views[v].matrix(data[v][known]), y[known], views[v].weights))
+    return np.concatenate(parts)
+
+
+def _limit(histogram: np.ndarray, take: int, sure: float) -> float:
+    """The log-odds from which the highest cells hold `take` rows, but at least `sure`; one cell, however full, is allowed."""
+    above = np.cumsum(histogram[::-1])
+    k = int(np.searchsorted(above, take)) if len(above) and above[-1] > take else SCORE_CELLS - 1
+    return max(sure, (SCORE_CELLS - 1 - k) * (40 / SCORE_CELLS) - 20)
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, test: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 1, 0, or nan for the pool; test: labelled rows kept for calibration."""
-    labelled, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-    edges = [np.unique(np.quantile(text[:, k], np.linspace(0, 1, BINS + 1)[:-1])) if len(text) else np.zeros(1) for k in range(TEXT_FEATURES)]
-    # many measures are zero but for bad documents: those need edges in their upper end too
-    edges = [np.unique(np.concatenate([e, np.quantile(text[:, k], [0.93, 0.96, 0.98, 0.99]) if len(text) else []])) for k, e in enumerate(edges)]
+    """y: 1, 0, or nan for unlabelled rows; test: labelled rows kept for calibration. All rows are held here."""
+    edges = [np.unique(np.quantile(text[:, k], QUANTILES)) if len(text) else np.zeros(1) for k in range(TEXT_FEATURES)]
+    known = ~np.isnan(y)
+    pool = (text[~known], meta[~known])
+    return co_train_over(edges, text[known], meta[known], y[known], test[known], lambda function, *given: function(pool, *given), int((~known).sum()), rounds)
+
+
+def co_train_over(edges: list[np.ndarray], text: np.ndarray, meta: np.ndarray, y: np.ndarray, test: np.ndarray, summed, unlabelled: int, rounds: int = ROUNDS) -> Model:
+    """Labelled rows are held here; summed(function, ...) adds up function((text, meta), ...) over all unlabelled rows."""
     views = [View(edges), View()]
     data = [text, meta]
-    train, held = labelled[~test[labelled]], labelled[test[labelled]]
+    train, held = np.flatnonzero(~test), np.flatnonzero(test)
     if not len(train) or not len(held) or len(np.unique(y[train])) < 2 or len(np.unique(y[held])) < 2:
-        good = float(np.mean(y[labelled])) if len(labelled) else 1.0
-        prior = math.log((good * len(labelled) + 1) / ((1 - good) * len(labelled) + 1))
+        good = float(np.mean(y)) if len(y) else 1.0
+        prior = math.log((good * len(y) + 1) / ((1 - good) * len(y) + 1))
         return Model(*views, np.array([prior, 0.0, 0.0]))
-    rows = [train.copy(), train.copy()]
-    labels = [y[train].copy(), y[train].copy()]
-    free = [np.ones(len(pool), bool), np.ones(len(pool), bool)]
 
-    def refit(v: int) -> None:
+    def calibrate(v: int) -> None:
         views[v].platt = (0.0, 1.0)
-        views[v].fit(data[v][rows[v]], labels[v])
         views[v].platt = tuple(logistic(views[v].logit(data[v][held])[:, None], y[held]))
 
     for v in (0, 1):
-        refit(v)
-    take = max(1, int(SHARE * len(pool)))
-    for _ in range(rounds if len(pool) else 0):
-        taught = []
-        for v in (0, 1):  # v teaches the other view
-            p = views[v].chance(data[v][pool])
-            sure = np.maximum(p, 1 - p)
-            order = np.argsort(-sure, kind="stable")
-            pick = [k for k in order if sure[k] >= CONFIDENT and free[1 - v][k]][:take]
-            taught.append((1 - v, np.array(pick, int), (p[pick] >= 0.5).astype(float)))
-        for v, pick, given in taught:
-            free[v][pick] = False
-            rows[v], labels[v] = np.concatenate([rows[v], pool[pick]]), np.concatenate([labels[v], given])
-            refit(v)
+        views[v].fit(data[v][train], y[train])
+        calibrate(v)
+    sure = math.log(CONFIDENT / (1 - CONFIDENT))
+    good = float(np.mean(y[train]))
+    lessons: list[Lesson] = []
+    for _ in range(rounds if unlabelled else 0):
+        histograms = summed(_scores, views, lessons).reshape(2, SCORE_CELLS)
+        take = [max(1, int(SHARE * unlabelled * share)) for share in (1 - good, good)]
+        limits = [(-_limit(h[::-1], take[0], sure), _limit(h, take[1], sure)) for h in histograms]
+        lessons.append(Lesson([View(x.edges, x.weights, x.platt) for x in views], limits))
+        for x in views:
+            x.weights = np.zeros_like(x.weights)
+        for _ in range(STEPS):
+            sums, at, moved = summed(_refit_sums, views, lessons), 0, 0.0
+            for v in (0, 1):
+                n = len(views[v].weights)
+                own, pseudo = _newton_sums(views[v].matrix(data[v][train]), y[train], views[v].weights), sums[at : at + 1 + n + n * n]
+                at += len(pseudo)
+                total = own + min(1.0, len(train) / max(1.0, pseudo[0])) * pseudo  # together at most the labelled rows' weight
+                ridge = 3e-4
+                step = np.linalg.solve(total[1 + n :].reshape(n, n) / total[0] + ridge * np.eye(n), total[1 : 1 + n] / total[0] - ridge * views[v].weights)
+                views[v].weights = np.round(views[v].weights + step, 9)  # the same model whatever order sums are added in
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < 1e-2:
+                break
+        for v in (0, 1):
+            calibrate(v)
     both = np.c_[views[0].logit(text[held]), views[1].logit(meta[held])]
     return Model(views[0], views[1], logistic(both, y[held], ridge=1e-3))
 
@@ -196,16 +267,14 @@ def _features(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     return text.reshape(-1, TEXT_FEATURES), meta.reshape(-1, 3)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> Model:
-    """Fit on bounded samples; labels without an id or a class are left out, repeated ones count once (as bad if they differ)."""
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Labels without an id or a class are left out, repeated ones count once (as bad if they differ); all other documents,
+    labelled ones beyond fit_rows too, are unlabelled. Measures are taken once and kept in the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__y"))
     sample = F.broadcast(bounded_sample(known.withColumnRenamed("__id", "doc_id"), fit_rows).withColumnRenamed("doc_id", "__id"))  # fit_rows bounds its size
-    share = min(1.0, pool_rows / max(1, docs.count()))
-    pooled = F.pmod(F.xxhash64("__doc", F.lit("pool")), F.lit(1_000_000_000)) < int(share * 1_000_000_000)
     rows = _inputs(docs, F.col("doc_id").cast("long").alias("__doc")).join(sample, F.col("__doc") == F.col("__id"), "left")
-    rows = rows.filter(F.col("__y").isNotNull() | pooled)
     rows = rows.select(F.coalesce(F.pmod(F.xxhash64("__doc", F.lit("calibrate")), F.lit(4)) == 0, F.lit(False)).alias("test"), F.col("__y").cast("int").alias("y"), "__text", *(f"__{c}" for c in _IN))
 
     def make():
@@ -215,13 +284,44 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
 
         return one
 
-    got = map_batches(rows, make, "test boolean, y int, t array<double>, m array<int>").toArrow()
-    n = got.num_rows
-    text = np.array(got["t"].to_pylist(), float).reshape(n, TEXT_FEATURES)
-    meta = np.array(got["m"].to_pylist(), int).reshape(n, 3)
-    y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()], float)
+    measured = checkpoint(map_batches(rows, make, "test boolean, y int, t array<double>, m array<int>"))
+    quantiles = F.array(*map(F.lit, QUANTILES))
+    found = measured.agg(F.count(F.when(F.col("y").isNull(), 1)).alias("n"), *(F.percentile_approx(F.col("t")[k], quantiles, 2000).alias(f"e{k}") for k in range(TEXT_FEATURES))).first()
+    edges = [np.unique(found[f"e{k}"] or [0.0]) for k in range(TEXT_FEATURES)]
+    got = measured.filter("y is not null").toArrow()
+    text = np.array(got["t"].to_pylist(), float).reshape(-1, TEXT_FEATURES)
+    meta = np.array(got["m"].to_pylist(), int).reshape(-1, 3)
+    y, test = np.array(got["y"].to_pylist(), float), np.array(got["test"].to_pylist(), bool)
     order = np.lexsort((*text.T, *meta.T, y))  # the same model whatever order the tasks end in
-    return co_train(text[order], meta[order], y[order], np.array(got["test"].to_pylist(), bool)[order])
+    pool = measured.filter("y is null").select("t", "m")
+
+    def summed(function, *given) -> np.ndarray:
+        """Each task adds up its own rows; eight more add these sums up, so the driver gets eight."""
+        shared = spark.sparkContext.broadcast(given)
+
+        def own(batches):
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    t, m = (np.asarray(c.flatten()).reshape(batch.num_rows, -1) for c in batch.columns)
+                    part = function((t, m), *shared.value)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+        def added(batches):
+            total = None
+            for batch in batches:
+                for row in batch.column(0):
+                    total = np.asarray(row.values) if total is None else total + np.asarray(row.values)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+        parts = pool.mapInArrow(own, "s array<double>").repartition(8).mapInArrow(added, "s array<double>").toArrow()
+        shared.unpersist()
+        return np.sum([np.asarray(row.values) for row in parts["s"].combine_chunks()], axis=0)
+
+    return co_train_over(edges, text[order], meta[order], y[order], test[order], summed, found.n)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
