@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from tidemark.llm import decontamination as D
+from tidemark.llm.sql import SQL
 
 
 def fixture():
@@ -42,3 +45,16 @@ def test_windows_overlap_and_repeat():
     assert D.brute_force(text, [(1, "a b " * 6)]) == (60, 60, ["1"])
     m = [D.WuManber(w, n) for n, w in D.windows_of([("1", "a b " * 6)]).items()]
     assert D.scan(D.words_of(text), m) == ([[0, 60]], {"1"})
+
+
+def test_items_without_an_id_hit(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, f"start {passage} end"), (2, "start one two three end"), (3, "short thing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "Short"), (7, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in D.report(df, bench).collect()}
+    assert got == {1: (13, 11, 1, True), 2: (5, 0, 0, False), 3: (2, 1, 0, True)}
+    assert [r.doc_id for r in D.clean(df, bench).collect()] == [2]
+    con = pytest.importorskip("duckdb").connect()
+    for name, frame in (("documents", df), ("benchmark", bench)):
+        con.register(name, frame.toArrow())
+    assert {r[0]: (r[1], r[2], r[3], r[5]) for r in con.execute(SQL["op3_decontamination"]).fetchall()} == got

@@ -70,16 +70,16 @@ class WuManber:
 
 
 def windows_of(items: list[tuple], length: int = WINDOW_WORDS) -> dict[int, dict[tuple[bytes, ...], list]]:
-    """By window length: window -> ids of the items (id, text) that have it. Items without words or without an id have none."""
+    """By window length: window -> ids of the items (id, text) that have it. Items without words have none; those without an id have no id to list."""
     found: dict[int, dict] = defaultdict(dict)
     for item, text in items:
         words = words_of(text)
-        if not words or item is None:
+        if not words:
             continue
         size = min(length, len(words))
         for k in range(len(words) - size + 1):
             ids = found[size].setdefault(tuple(words[k : k + size]), [])
-            if item not in ids:
+            if item is not None and item not in ids:
                 ids.append(item)
     return found
 
@@ -152,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WO
     """doc_id, n_words, hits and items of every row of docs.
 
     hits holds the merged [start, end) ranges of words inside any occurrence of a window, items the ids of the items with
-    occurring windows, as sorted strings. Null or empty texts have no words and no hits; repeated rows and extra columns do
+    occurring windows, as sorted strings; items without an id hit, but aren't listed. Null or empty texts have no words and no hits; repeated rows and extra columns do
     no harm; an empty benchmark hits nothing. Items are gathered in lots of bounded size; a further lot is a further pass
     over checkpointed documents.
     """
@@ -186,9 +186,9 @@ def brute_force(text: str | None, items: list[tuple], length: int = WINDOW_WORDS
     for item, item_text in items:
         own = words_of(item_text)
         size = min(length, len(own))
-        for k in range(len(own) - size + 1) if own and item is not None else ():
+        for k in range(len(own) - size + 1) if own else ():
             for at in range(len(words) - size + 1):
                 if words[at : at + size] == own[k : k + size]:
                     hit[at : at + size] = True
-                    found.add(str(item))
+                    found.update([] if item is None else [str(item)])
     return len(words), int(hit.sum()), sorted(found)
