@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that join_hot() broadcasts are fewer than this.
+HOT_SHARE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not there:
         there = spark.sparkContext.getCheckpointDir()
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
+        there = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
     return there
@@ -40,6 +46,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = HOT_SHARE) -> DataFrame:
+    """rows joined to lookup by key, whatever share of the rows one key holds; lookup is read more than once.
+
+    lookup has each key once; weight counts the rows of a key. The keys with over a share-th of the summed weight, fewer
+    than `share` by that very rule, are broadcast, so their rows stay where they are; all other rows are shuffled by key.
+    """
+    total = lookup.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) > total / share
+    few = lookup.filter(hot).drop(weight)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(lookup.filter(~hot).drop(weight), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

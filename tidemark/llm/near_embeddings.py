@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from .common import checkpoint, join_hot, map_batches
 from .components import connected_components, local_forest
 
 THRESHOLD = 0.95
@@ -64,17 +64,17 @@ def principal_axes(reps: DataFrame, dim: int) -> np.ndarray:
             if batch.num_rows:
                 u = _unit(_matrix(batch.column(0)))
                 n, first, second = n + len(u), first + u.sum(axis=0), second + u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], first, second.ravel()]).tolist()])], names=["m"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], first, second.ravel()]).tobytes()], pa.binary())], names=["m"])
 
     def added(batches):
         total = np.zeros(1 + dim + dim * dim)
         for batch in batches:
-            for row in batch.column(0):
-                total += np.asarray(row.values)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["m"])
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    sums = reps.filter(F.size("v") == dim).select("v").mapInArrow(moments, "m array<double>").repartition(8).mapInArrow(added, "m array<double>")
-    total = np.sum([r.m for r in sums.collect()], axis=0)
+    sums = reps.filter(F.size("v") == dim).select("v").mapInArrow(moments, "m binary").repartition(8).mapInArrow(added, "m binary")
+    total = np.sum([np.frombuffer(r.m) for r in sums.collect()], axis=0)
     n, mean, second = max(total[0], 1), total[1 : dim + 1], total[dim + 1 :].reshape(dim, dim)
     _, axes = np.linalg.eigh(second / n - np.outer(mean / n, mean / n))
     return np.ascontiguousarray(axes[:, ::-1])
@@ -195,7 +195,8 @@ def near_embeddings(vectors: DataFrame, t: float = THRESHOLD) -> DataFrame:
     forest = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = reps.select("rep", "copies").join(sums, "rep", "left").join(forest.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.groupBy("rep").agg((F.sum(F.coalesce("n", F.lit(0))) + F.sum("copies") - 1).alias("n"), F.min(F.coalesce("component", "rep")).alias("c"))
-    member = rows.join(reps.select("v", "rep"), "v", "left").select("vec_id", "rep").join(named, "rep", "left")
+    named = named.groupBy("rep").agg((F.sum(F.coalesce("n", F.lit(0))) + F.sum("copies") - 1).alias("n"), F.sum("copies").alias("copies"), F.min(F.coalesce("component", "rep")).alias("c"))
+    member = join_hot(valid, reps.select("v", "rep", "copies"), "v", "copies", 1000).select("vec_id", "rep")
+    joined = join_hot(member, checkpoint(named), "rep", "copies").unionByName(rows.filter("v is null").select("vec_id"), allowMissingColumns=True)
     component = F.coalesce("c", "vec_id")
-    return member.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
