@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def test_links_of_crowded_cells_and_every_group_count(spark, monkeypatch):
 
 
 def test_groups_grow_with_the_input():
-    assert [simhash.groups_for(n) for n in (0, 1000, 10**6, 10**9)] == [5, 5, 6, 8]
+    assert [simhash.groups_for(n) for n in (0, 1000, 10**6, 10**8)] == [5, 5, 6, 8]
+    assert simhash.groups_for(10**9) == 9 and simhash.groups_for(10**11) > 9  # no end to the growth
 
 
 def test_empty_repeated_and_null_ids(spark):
@@ -88,3 +90,31 @@ def test_long_chain_is_one_component(spark):
     links = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = simhash.connected_components(links).collect()
     assert len(got) == 399 and {r.component for r in got} == {0}
+
+
+def test_manhattan_distance_is_a_bound_that_prunes():
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps[:100]]
+    counts = [[(f >> s & 1) + (f >> s + 1 & 1) for s in range(0, 64, 2)] for f in fps]
+    codes = simhash.embedded(np.array(fps, np.uint64)).tolist()
+    pruned = 0
+    for i in range(0, len(fps), 3):
+        for j in range(len(fps)):
+            manhattan, hamming = sum(abs(a - b) for a, b in zip(counts[i], counts[j], strict=True)), (fps[i] ^ fps[j]).bit_count()
+            assert (codes[i] ^ codes[j]).bit_count() == manhattan <= hamming
+            pruned += abs(fps[i].bit_count() - fps[j].bit_count()) <= 4 < manhattan
+    assert pruned > 10_000  # pairs in the range of set bits that never come to the exact comparison
+
+
+def test_convergence_of_large_hashes(spark):
+    n = 300_000  # a sum of their 63-bit hashes would overflow a long many times over
+    links = spark.range(n).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 10).alias("b"))
+    got = simhash.connected_components(links)
+    assert got.count() == n - n // 10 and got.filter("component != node - node % 10").count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(5, "b text of some words", 1), (5, "a text of other words", 2), (8, None, 3), (8, "b text of some words", 4)], "doc_id long, text string, __id int")
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs))
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(5, "a text of other words", 2), (8, None, 3)]

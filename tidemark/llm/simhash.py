@@ -4,7 +4,8 @@ The 64 bits are cut into segments of `SEGMENT_BITS`. A fingerprint is embedded a
 distance of two embeddings never exceeds the Hamming distance, so it is a lower bound. The segments are dealt into groups.
 With G groups and at most `max_bits` differing bits, at least G - max_bits groups are at Manhattan distance 0, so two
 linked fingerprints share a cell of one of the grids, each grid being made of that many groups' bit counts. Within a cell
-the count of all set bits is a range of the same bound. What is left is compared by XOR, exactly.
+the count of all set bits is a range of the same bound; pairs in the range are kept if the Manhattan distance of their
+embeddings is at most max_bits, and those are verified by XOR, exactly.
 
 The number of groups follows the number of distinct fingerprints (more groups: more grids, with finer cells); the links
 found don't depend on it. Crowded cells are cut into blocks and compared block against block, each pair of blocks in a
@@ -14,6 +15,7 @@ task of its own; a task returns a spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, small_batches, texts_of
+from .common import checkpoint, join_hot, map_batches, small_batches, texts_of
 from .components import connected_components, local_forest
 
 SHINGLE_WORDS = 4
@@ -32,6 +34,7 @@ SEGMENT_BITS = 2
 BLOCK_ROWS = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_EVEN_BITS = np.uint64(0x5555555555555555)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -85,10 +88,9 @@ def _segments(groups: int) -> list[list[int]]:
 def groups_for(n: int, max_bits: int = MAX_BITS) -> int:
     """Groups for n fingerprints: the fewest with which a random fingerprint meets at most some thousands in its cells."""
     same = 6 / 16  # chance of equal counts in two bits
-    for groups in range(max_bits + 1, max_bits + 5):
+    for groups in range(max_bits + 1, 64 // SEGMENT_BITS):
         exact = groups - max_bits
-        cells = len(list(itertools.combinations(range(groups), exact)))
-        if n * cells * same ** (64 / SEGMENT_BITS * exact / groups) <= 4000:
+        if n * math.comb(groups, exact) * same ** (64 / SEGMENT_BITS * exact / groups) <= 4000:
             break
     return groups
 
@@ -112,20 +114,31 @@ def _cells(fps: DataFrame, groups: int, max_bits: int) -> DataFrame:
     return fps.select("fp", F.explode(cells).alias("at")).select("fp", "at.grid", "at.cell")
 
 
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """The embedding of fingerprints, its 32 counts (0 to 2) in unary: the bits in which two of these differ are as many as
+    the Manhattan distance of the counts."""
+    one = np.uint64(1)
+    either, both = (fp | fp >> one) & _EVEN_BITS, fp & fp >> one & _EVEN_BITS
+    return either | both << one
+
+
 def _close(p: np.ndarray, q: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs within max_bits between p and q, or within p. Sorted by set bits, rows meet only their range."""
+    """Indices of the pairs within max_bits between p and q, or within p. Sorted by set bits, rows meet only their range;
+    there the Manhattan distance of the embeddings is the lower bound, and what it leaves is compared exactly."""
     own = q is None
     q = p if own else q
     pc, qc = np.bitwise_count(p).astype(np.int16), np.bitwise_count(q).astype(np.int16)
     po, qo = np.argsort(pc, kind="stable"), np.argsort(qc, kind="stable")
     ps, qs, pcs, qcs = p[po], q[qo], pc[po], qc[qo]
+    pe, qe = embedded(ps), embedded(qs)
     left, right = [], []
     for k in range(0, len(ps), 256):
         lo = k if own else np.searchsorted(qcs, pcs[k] - max_bits, "left")
         hi = np.searchsorted(qcs, pcs[min(k + 256, len(ps)) - 1] + max_bits, "right")
-        a, b = np.nonzero(np.bitwise_count(ps[k : k + 256, None] ^ qs[None, lo:hi]) <= max_bits)
-        left.append(po[a + k])
-        right.append(qo[b + lo])
+        a, b = np.nonzero(np.bitwise_count(pe[k : k + 256, None] ^ qe[None, lo:hi]) <= max_bits)
+        sure = np.bitwise_count(ps[a + k] ^ qs[b + lo]) <= max_bits
+        left.append(po[a[sure] + k])
+        right.append(qo[b[sure] + lo])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -166,19 +179,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     result; an empty table gives an empty one; other columns are left out.
     """
     rows = checkpoint(fingerprints(docs, text, doc_id))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
     forest = connected_components(fingerprint_links(distinct.select("fp"), max_bits))
-    classes = checkpoint(distinct.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root")))
-    names = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = checkpoint(distinct.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "rows", F.coalesce("component", "fp").alias("root")))
+    names = checkpoint(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps")))
+    named = checkpoint(join_hot(classes, names, "root", "fps").select("fp", "component_id", "rows"))
+    return join_hot(rows, named, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each component of found: the one that names it. Rows of docs without an id stay; repeats go."""
-    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each component of found: the one that names it. Rows of docs without an id stay.
+
+    Of rows that share that id the one with the smallest text stays (null before any; among equal texts, by a hash of the row).
+    """
+    ids = found.filter("doc_id = component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    kept = docs.join(ids, "doc_id", "left_semi")
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*plain)))
+    return kept.groupBy(F.col("doc_id").alias("__key")).agg(first.alias("__row")).select("__row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def fingerprint_hex(fp):
