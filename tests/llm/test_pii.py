@@ -59,6 +59,17 @@ def test_context_moves_the_score():
     assert against < far < near
 
 
+def test_added_kinds_need_their_score():
+    def kinds(text):
+        return [x[0] for x in pii.find(text)]
+
+    assert kinds("number 123-45-6789 here") == [] and kinds("her ssn is 123-45-6789 here") == ["ssn"]
+    assert kinds("order 123-45-6789 for social security") == ["ssn"]  # (0.4 + 0.3) * 0.75 is over the bar
+    assert kinds("order GB82WEST12345698765432") == ["iban"]
+    assert pii.masked("number 123-45-6789 or ssn") == "number [SSN] or ssn" and pii.masked("number 123-45-6789 or so") == "number 123-45-6789 or so"
+    assert kinds("test 4111111111111111") == ["card"]  # a base kind stays whatever stands near it
+
+
 def test_dataframe(spark):
     rows = [(k, t, "en") for k, t in enumerate(CASES)] + [(100, None, None), (1, CASES[1], "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, found string")

@@ -1,5 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
+Spans of the base kinds stay whatever their score; those of the added kinds count only with a score of at least ADDED_LEAST,
+so a social security number, which has no checksum, needs a context word for it, and an IBAN may have words against it.
+
 Spans are [start, end) in code points. The patterns are scanned so that the time grows with the text's length only: a search
 starts where a run of the pattern's characters starts, never inside it.
 """
@@ -32,6 +35,8 @@ _DIGITS = re.compile(r"[0-9]+")
 
 #: Score of a confirmed span without any context word.
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+#: Score that a span of an added kind needs.
+ADDED_LEAST = 0.5
 #: Words that raise a span's score, and words that lower it. Fixed values.
 _FOR = {
     "email": ("mail", "e-mail", "contact", "write", "address", "kontakt", "correo", "courriel"),
@@ -127,10 +132,11 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) of all confirmed spans of a whole text, by kind as listed, then start."""
+    """(kind, start, end, score) of all spans of a whole text that count, by kind as listed, then start."""
     if not _DIGITS.search(text) and "@" not in text:
         return []
-    return [(kind, a, b, score(text, kind, a, b)) for kind, (finder, sign) in _FINDERS.items() if sign in text for a, b in finder(text)]
+    found = [(kind, a, b, score(text, kind, a, b)) for kind, (finder, sign) in _FINDERS.items() if sign in text for a, b in finder(text)]
+    return [x for x in found if x[0] in BASE_KINDS or x[3] >= ADDED_LEAST]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -156,7 +162,11 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def mask(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
-    """docs with the spans of score >= least replaced by [KIND]; overlapping spans become one, named by the first. Null stays null."""
+    """docs with the spans of score >= least replaced by [KIND]; overlapping spans become one, named by the first.
+
+    `least` is a further bar, for base kinds too. Null stays null. Each row is masked by itself, however long its text; repeated
+    rows repeat, an empty table stays empty, and all other columns are kept as they are.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
