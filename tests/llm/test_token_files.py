@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 TEXTS = [
@@ -32,13 +30,21 @@ def test_piece_encoder_equals_the_library(library):
     assert enc.by_piece
 
 
+def test_special_tokens_are_the_librarys_unless_they_are_text(library):
+    text = "a <|endoftext|> b"
+    assert np.frombuffer(T.PieceEncoder(PATH).encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275]
+    as_text = Tokenizer.from_file(PATH)
+    as_text.encode_special_tokens = True
+    got = np.frombuffer(T.PieceEncoder(PATH, special=False).encode([text])[0], "<u4").tolist()
+    assert got == as_text.encode(text, add_special_tokens=False).ids and 50256 not in got
+
+
 ENC = T.PieceEncoder(PATH)
 LIB = Tokenizer.from_file(PATH)
-LIB.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab' 's1.,,!|\n\té😀  \x1c ")), max_size=30), min_size=1, max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*"ab' 's1.,,!|\n\té😀  \x1c ", "<|endoftext|>"]), max_size=30).map("".join), min_size=1, max_size=4))
 def test_piece_encoder_of_any_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENC.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
 

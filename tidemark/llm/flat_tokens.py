@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int =
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out_dir)
-        encoder = piece_encoder(tokenizer_path)
+        encoder = piece_encoder(tokenizer_path, special=False)  # the end id must stand for ends only
         if max(len(encoder.bytes) - 1, end_id) >= 1 << (8 * width):
             raise OverflowError(f"ids need more than {width} bytes")
         end, kind = np.array([end_id], f"<u{width}").tobytes(), f"<u{width}"
@@ -110,7 +110,12 @@ def document_lengths(files: DataFrame, end_id: int = END_ID, width: int = 2, blo
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """(doc_id, n_tokens) of every document, counted in flat files that its texts are written to. Repeated rows repeat."""
+    """(doc_id, n_tokens) of every document, counted in flat files that its texts are written to.
+
+    Strings of special tokens in a text are ordinary text, so that the end id ends documents only. A null text is the empty
+    text, whose count is zero; long texts are streamed whole. Repeated rows and rows without an id each have a row of their
+    own; an empty table gives an empty one; other columns, whatever their names, are left out.
+    """
     out_dir = fresh_dir(docs.sparkSession, "flat")
     order = write_flat(docs, tokenizer_path, out_dir, end_id, width)
     counted = document_lengths(sized(order.select("path").distinct()), end_id, width)

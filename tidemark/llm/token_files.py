@@ -53,15 +53,18 @@ class PieceEncoder:
     space on to a space, so a text's ids are those of its pieces, each with the space before it. A text with a piece that is
     empty or has white space at an edge is encoded as a whole. A Latin word with punctuation after it is two matches, so its
     ids are the word's and the punctuation's. New words and pieces are encoded together, as one text, and their ids are told
-    apart by the tokens' bytes.
+    apart by the tokens' bytes. With `special`, the library's own setting, strings of special tokens in a text get those
+    tokens' ids, so texts that have any are encoded as a whole; without it they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.apart = [t.content for t in added if special or not t.special]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # each character of a byte-level token stands for a byte
@@ -98,10 +101,16 @@ class PieceEncoder:
         if len(self.first) > CACHE_PIECES // 4:
             self.first.clear()
         known, words, out, whole, waiting, new = self.known, self.words, [b""] * len(texts), [], [], {}
+        look_up = known.get
         for k, text in enumerate(texts):
+            if any(t in text for t in self.apart):
+                whole.append(k)
+                continue
             pieces = text.split(" ")
-            waiting.append((k, pieces))
-            for p in [p for p in pieces if p not in known]:
+            got = list(map(look_up, pieces))
+            unknown = [i for i, x in enumerate(got) if x is None]
+            waiting.append((k, pieces[0], got, [(i, pieces[i]) for i in unknown]))
+            for _, p in waiting[-1][3]:
                 if p not in new:
                     if not p or p[0].isspace() or p[-1].isspace():
                         waiting.pop()
@@ -118,18 +127,21 @@ class PieceEncoder:
         self.tails.update(zip(tails, self.whole(tails), strict=True))
         for p, w in new.items():
             known[p] = words[w] + self.tails[p[len(w) :]] if len(w) < len(p) else words[w]
-        begin = list(dict.fromkeys(p[0] for _, p in waiting if p[0] not in self.first))
+        begin = list(dict.fromkeys(p for _, p, _, _ in waiting if p not in self.first))
         self.first.update(zip(begin, self.whole(begin), strict=True))
         for k, got in zip(whole, self.whole([texts[k] for k in whole]), strict=True):
             out[k] = got
-        for k, pieces in waiting:
-            out[k] = self.first[pieces[0]] + b"".join(map(known.__getitem__, pieces[1:]))
+        for k, begin_with, got, unknown in waiting:
+            for i, p in unknown:
+                got[i] = known[p]
+            got[0] = self.first[begin_with]
+            out[k] = b"".join(got)
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def piece_encoder(path: str, special: bool = True) -> PieceEncoder:
+    return PieceEncoder(path, special)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK_IDS, share: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
@@ -225,7 +237,11 @@ class TokenFile:
 
 
 def open_fs(uri: str) -> tuple[pfs.FileSystem, str]:
-    return pfs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """Arrow's file system for a path or URI; Hadoop's names of S3 mean Arrow's."""
+    scheme, sign, rest = uri.partition("://")
+    if sign and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    return pfs.FileSystem.from_uri(uri if sign or uri.startswith("file:") else f"file://{uri}")
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
@@ -233,7 +249,8 @@ def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
 
     The manifest has path, n_ids, n_docs, first_doc and seq (order among files of the same first_doc). A null text is the
     empty text: the end id alone. Rows without a doc_id come first, with the id -2^63 in the file. Rows that share an id
-    are ordered by their text. An empty table writes no file.
+    are ordered by their text. An empty table writes no file. A very long text makes a file of its own, longer than file_ids.
+    Strings of special tokens in a text become these tokens, as the library does by itself.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
@@ -304,7 +321,10 @@ def read_documents(spark: SparkSession, manifest: DataFrame, out_dir: str) -> Da
 
 
 def stored(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from files written and read again."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from files written and read again.
+
+    A null text is the empty text; repeated rows repeat; an empty table gives an empty one; other columns are left out.
+    """
     spark = docs.sparkSession
     out_dir = fresh_dir(spark, "tokens")
     manifest = write_files(docs, tokenizer_path, out_dir, end_id)
