@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, texts_of
+from .common import checkpoint, map_batches, small_batches, texts_of
 
 #: Labelled rows that the model is fitted on, at most about: a bounded sample, taken by a hash of the id.
 FIT_ROWS = 50_000
@@ -190,7 +190,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model of labelled(doc_id, text, toxic), a bounded table of labelled rows.
+    """A model of labelled(doc_id, text, toxic), a bounded table of labelled rows that is cheap to read again.
 
     Tasks count cells in tables of fixed size; these are added up by ranges of cells, so the driver gets one table.
     """
@@ -272,10 +272,15 @@ def bounded_sample(labels: DataFrame, rows: int, salt: str = "fit") -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on a bounded sample of the labelled documents; labels without an id or a class are left out, repeats count once."""
+    """Fit on a bounded sample of the labelled documents, which is read from the corpus once and kept in the shared folder.
+
+    Labels without an id or a class are left out, repeated ones count once (as toxic if they differ). Of documents that
+    share an id the smallest text counts.
+    """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sample = F.broadcast(bounded_sample(known, fit_rows))  # fit_rows bounds its size
-    return fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    return fit(checkpoint(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
