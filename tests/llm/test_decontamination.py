@@ -1,4 +1,6 @@
 import random
+import re
+import tracemalloc
 
 import pytest
 
@@ -6,6 +8,26 @@ from tidemark.llm import decontamination as D
 from tidemark.llm.sql import SQL
 
 
+def plain_words(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def brute_force(text, items, length=10):
+    """n_words, n_hit and sorted items of one text, window by window; items without an id hit, but aren't listed."""
+    words = plain_words(text)
+    hit, found = [False] * len(words), set()
+    for item, item_text in items:
+        own = plain_words(item_text)
+        size = min(length, len(own))
+        for k in range(len(own) - size + 1) if own else ():
+            for at in range(len(words) - size + 1):
+                if words[at] == own[k] and words[at : at + size] == own[k : k + size]:
+                    hit[at : at + size] = [True] * size
+                    found |= set() if item is None else {str(item)}
+    return len(words), sum(hit), sorted(found)
+
+
 def fixture():
     rng = random.Random(2)
     vocab = ["the", "of", "Ab9", "été", "x", "y", "z1"]
@@ -18,12 +40,14 @@ def fixture():
     return [(k, t) for k, t in enumerate(docs)], items
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("piece", [D.PIECE_WORDS, 3])
+def test_matches_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(D, "PIECE_WORDS", piece)
     docs, items = fixture()
     df = spark.createDataFrame([(a, b, [1], "n") for a, b in docs], "doc_id long, text string, hits array<int>, n_words string")
     bench = spark.createDataFrame([(a, b, 0) for a, b in items], "item_id long, text string, doc_id int")
-    want = {a: D.brute_force(b, items) for a, b in docs}
-    for limit in (1 << 20, 200):
+    want = {a: brute_force(b, items) for a, b in docs}
+    for limit in (1 << 20, 40):
         got = {r.doc_id: r for r in D.contamination(df, bench, limit=limit).collect()}
         assert {k: (r.n_words, sum(b - a for a, b in r.hits), r["items"]) for k, r in got.items()} == want
     out = {r.doc_id: r for r in D.report(df, bench).collect()}
@@ -42,7 +66,7 @@ def test_empty_tables(spark):
 
 def test_windows_overlap_and_repeat():
     text = "a b " * 30
-    assert D.brute_force(text, [(1, "a b " * 6)]) == (60, 60, ["1"])
+    assert brute_force(text, [(1, "a b " * 6)]) == (60, 60, ["1"])
     m = [D.WuManber(w, n) for n, w in D.windows_of([("1", "a b " * 6)]).items()]
     assert D.scan(D.words_of(text), m) == ([[0, 60]], {"1"})
 
@@ -58,3 +82,13 @@ def test_items_without_an_id_hit(spark):
     for name, frame in (("documents", df), ("benchmark", bench)):
         con.register(name, frame.toArrow())
     assert {r[0]: (r[1], r[2], r[3], r[5]) for r in con.execute(SQL["op3_decontamination"]).fetchall()} == got
+
+
+def test_a_full_lot_is_bounded_in_memory():
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(60_000)}" for _ in range(50_000))
+    tracemalloc.start()
+    matchers = [D.WuManber(w, n) for n, w in D.windows_of([("1", text)]).items()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(matchers) == 1 and peak < 800 * 50_000  # bytes a window

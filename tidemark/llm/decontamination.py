@@ -8,10 +8,10 @@ suffix, which are compared word by word.
 
 from __future__ import annotations
 
-import pickle
+import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from .common import checkpoint, map_batches, small_batches, texts_of
 
 WINDOW_WORDS = 10
-#: Characters of item texts that are searched for at once; more items are searched for in further passes.
-PASS_CHARS = 64 << 20
+#: Windows that are searched for at once, at most about: what a worker holds. More of them are searched for in further passes.
+PASS_WINDOWS = 250_000
+#: Words of an item that stay together; longer items are cut into overlapping pieces, which have the same windows.
+PIECE_WORDS = 5_000
 
 #: A-Z to a-z; bytes up to \x7F other than digits and letters to blanks. Bytes of other characters stay.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,12 +41,13 @@ class WuManber:
         self.m, self.b = length, min(2, length)
         self.far = self.m - self.b + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[bytes, list]] = {}
+        self.buckets: dict[tuple[bytes, ...], list[tuple[list[bytes], list]]] = {}
         for window, items in windows.items():
             for end in range(self.b, self.m + 1):
                 block = window[end - self.b : end]
-                self.shift[block] = min(self.shift.get(block, self.far), self.m - end)
-            self.buckets.setdefault(window[-self.b :], {}).setdefault(window[0], []).append((list(window), items))
+                if (step := self.m - end) < self.shift.get(block, self.far):
+                    self.shift[block] = step
+            self.buckets.setdefault(window[-self.b :], []).append((list(window), items))
 
     def search(self, words: list[bytes]):
         """Yields (start, items) of each occurrence, in order."""
@@ -52,9 +55,8 @@ class WuManber:
         at = m
         if self.b == 1:
             while at <= n:
-                if found := buckets.get((words[at - 1],)):
-                    for _, items in found[words[at - 1]]:
-                        yield at - 1, items
+                for _, items in buckets.get((words[at - 1],), ()):
+                    yield at - 1, items
                 at += 1
             return
         while at <= n:
@@ -63,21 +65,22 @@ class WuManber:
             if step:
                 at += step
                 continue
-            for window, items in buckets[block].get(words[at - m], ()):
-                if words[at - m : at] == window:
+            first = words[at - m]
+            for window, items in buckets[block]:
+                if window[0] == first and words[at - m : at] == window:
                     yield at - m, items
             at += 1
 
 
 def windows_of(items: list[tuple], length: int = WINDOW_WORDS) -> dict[int, dict[tuple[bytes, ...], list]]:
-    """By window length: window -> ids of the items (id, text) that have it. Items without words have none; those without an id have no id to list."""
+    """By window length: window -> ids of the items (id, text) that have it. Items without words have none; those without an
+    id have no id to list. Equal words are one object, so a window is little more than its places."""
     found: dict[int, dict] = defaultdict(dict)
+    one: dict[bytes, bytes] = {}
     for item, text in items:
-        words = words_of(text)
-        if not words:
-            continue
+        words = [one.setdefault(w, w) for w in words_of(text)]
         size = min(length, len(words))
-        for k in range(len(words) - size + 1):
+        for k in range(len(words) - size + 1 if words else 0):
             ids = found[size].setdefault(tuple(words[k : k + size]), [])
             if item is not None and item not in ids:
                 ids.append(item)
@@ -105,12 +108,37 @@ def merged(ranges) -> list[list[int]]:
     return out
 
 
-def _lots(benchmark: DataFrame, limit: int) -> list:
-    """Functions that fetch the items (id, text) in lots of at most about `limit` characters; one lot is held at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
-    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = -(-total // limit) or 1
-    return [lambda k=k: [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+def pieces(text: str, length: int) -> list[str]:
+    """The words of an item in pieces of PIECE_WORDS windows at most, each going on into the next by length - 1 words."""
+    words = words_of(text)
+    return [b" ".join(words[k : k + PIECE_WORDS + length - 1]).decode() for k in range(0, max(1, len(words) - length + 1), PIECE_WORDS)] if words else []
+
+
+def _lots(benchmark: DataFrame, length: int, limit: int) -> list[Callable[[], list]]:
+    """Functions that fetch item pieces (id, text) in lots of at most about `limit` windows; one lot is held at a time."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                for piece in pieces(text, length):
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([piece])], names=["i", "t"])
+
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "i string, t string")
+    items = checkpoint(items.select("i", "t", F.size(F.split("t", " ")).alias("n")))
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lots = -(-total // limit) or 1
+    return [lambda k=k: [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(lots)) == k).collect()] for k in range(lots)]
+
+
+_held: dict[str, list[WuManber]] = {}
+
+
+def _matchers(name: str, items: Callable[[], list], length: int) -> list[WuManber]:
+    """The matchers of a lot, built once in each worker: those of the lot before are let go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = [WuManber(w, size) for size, w in sorted(windows_of(items(), length).items())]
+    return _held[name]
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: int, limit: int) -> DataFrame:
@@ -119,13 +147,13 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: in
     small_batches(spark)
     source = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "__text"
     rows = docs.select(*keep, *([F.col("text").cast("string").alias("__text")] if source == "__text" else []), F.lit(None).cast("array<array<int>>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
-    lots = _lots(benchmark, limit)
+    lots = _lots(benchmark, length, limit)
     for k, lot in enumerate(lots):
-        shared = spark.sparkContext.broadcast(pickle.dumps(lot()))
+        shared, name = spark.sparkContext.broadcast(lot()), uuid.uuid4().hex
         names = rows.columns if k + 1 < len(lots) else [c for c in rows.columns if c != "__text"]  # the last pass needs no text after it
 
-        def make(shared=shared, names=names):
-            matchers = [WuManber(w, size) for size, w in sorted(windows_of(pickle.loads(shared.value), length).items())]
+        def make(shared=shared, name=name, names=names):
+            matchers = _matchers(name, lambda: shared.value, length)
 
             def one(batch: pa.RecordBatch) -> pa.RecordBatch:
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
@@ -148,13 +176,13 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: in
     return rows
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, limit: int = PASS_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, limit: int = PASS_WINDOWS) -> DataFrame:
     """doc_id, n_words, hits and items of every row of docs.
 
     hits holds the merged [start, end) ranges of words inside any occurrence of a window, items the ids of the items with
-    occurring windows, as sorted strings; items without an id hit, but aren't listed. Null or empty texts have no words and no hits; repeated rows and extra columns do
-    no harm; an empty benchmark hits nothing. Items are gathered in lots of bounded size; a further lot is a further pass
-    over checkpointed documents.
+    occurring windows, as sorted strings; items without an id hit, but aren't listed. Null or empty texts have no words and
+    no hits; very long texts are searched whole; repeated rows and extra columns do no harm; an empty benchmark hits nothing.
+    Items are gathered in lots of about `limit` windows; a further lot is a further pass over checkpointed documents.
     """
     found = _searched(docs, benchmark, ["doc_id"], length, limit)
     return found.select("doc_id", F.col("__n").alias("n_words"), F.col("__hits").alias("hits"), F.col("__items").alias("items"))
@@ -174,21 +202,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, limit: int = PASS_CHARS) -> DataFrame:
-    """docs without the documents that a window of an item occurs in."""
+def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, limit: int = PASS_WINDOWS) -> DataFrame:
+    """docs without the documents that a window of an item occurs in; the rest keeps its rows, repeats and columns."""
     return _searched(docs, benchmark, docs.columns, length, limit).filter(F.size("__hits") == 0).select(*docs.columns)
-
-
-def brute_force(text: str | None, items: list[tuple], length: int = WINDOW_WORDS) -> tuple[int, int, list]:
-    """n_words, n_hit and sorted items of one text, window by window: the tests' measure."""
-    words = words_of(text)
-    hit, found = np.zeros(len(words), bool), set()
-    for item, item_text in items:
-        own = words_of(item_text)
-        size = min(length, len(own))
-        for k in range(len(own) - size + 1) if own else ():
-            for at in range(len(words) - size + 1):
-                if words[at : at + size] == own[k : k + size]:
-                    hit[at : at + size] = True
-                    found.update([] if item is None else [str(item)])
-    return len(words), int(hit.sum()), sorted(found)
