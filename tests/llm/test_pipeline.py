@@ -4,7 +4,8 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tidemark.llm import byte_bpe, decontamination, pii, quality
+from tidemark.llm import byte_bpe, pii, quality
+from tests.llm.test_decontamination import brute_force
 from tests.llm.test_quality import corpus
 from tests.llm.test_simhash import components, plain
 
@@ -34,11 +35,11 @@ def test_run_equals_brute_force(spark, tmp_path):
     labels = [(r[0], r[4], 0) for r in base if r[0] % 3]
     path = write(spark, str(tmp_path), rows, labels, [(1, item)])
     docs, marks = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
-    good = {r.doc_id for r in quality.report(docs, marks).filter("kept").collect()}
+    good = {r.doc_id for r in quality.report(docs, marks, hold_out=False).filter("kept").collect()}
     left = sorted(r for r in rows if r[0] in good)
     names = components([plain(r[1] or "") for r in left], [r[0] for r in left], 4)
     left = [r for r, name in zip(left, names, strict=True) if r[0] == name]
-    left = [r for r in left if not decontamination.brute_force(r[1], [(1, item)])[1]]
+    left = [r for r in left if not brute_force(r[1], [(1, item)])[1]]
     enc = byte_bpe.rank_encoding(public_tokenizers.path(corpus_pipeline.RANKS), public_tokenizers.PATTERN)
     want = {r[0]: enc.encode_ordinary(pii.masked(r[1] or "")) for r in left}
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, path).collect()}

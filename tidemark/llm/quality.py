@@ -1,16 +1,18 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other with confident pseudo-labels.
 
-The text view sees only measures of the whole text (repetition, capitals, symbols, table bars, word and line shapes, as
-means and as the worst stretch of words); the metadata view sees only language, source and declared length. Both are
-logistic regressions over binned measures. In each round, each view scores all unlabelled documents and labels those that it
-is surest about, for the other one: by class, those over a threshold from the histogram of all scores. Views are refitted by
-Newton steps, whose sums over the pseudo-labelled documents are passes over the table. At the end each view is calibrated on
-labelled documents that it wasn't fitted on, and the calibrated views are combined. Only the labelled fit set is a bounded
-sample; bin edges, pseudo-labels and scores take every document.
+The text view sees only the whole text: its words (log-odds of hashed words and word pairs, counted over the labelled fit
+set; a fitted document's own counts are left out) and measures of its form (repetition, capitals, symbols, table bars, word
+and line shapes), as means and as the worst stretch of words. The metadata view sees only language, source and declared
+length. Both are logistic regressions over binned measures. In each round, each view scores all unlabelled documents and
+labels those that it is surest about, for the other one: by class, those over a threshold from the histogram of all scores.
+The documents labelled so far are written to the shared folder, and the views are refitted by Newton steps whose sums are
+passes over these. At the end each view is calibrated on labelled documents that it wasn't fitted on, and the calibrated views
+are combined. Only the labelled fit set is a bounded sample; bin edges, pseudo-labels and scores take every document.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from dataclasses import dataclass, field
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches, small_batches, texts_of
-from .toxicity import bounded_sample, logistic
+from .toxicity import bounded_sample, held_out, logistic
 
 #: Labelled rows that the model is fitted on, at most about: a bounded sample by a hash of the id.
 FIT_ROWS = 20_000
@@ -32,6 +34,10 @@ SHARE = 0.05
 STEPS = 12
 #: Cells of a histogram of scores (log-odds from -20 to 20).
 SCORE_CELLS = 4000
+#: Cells of the words' counts, a power of two: with the bounded fit set, all that is ever counted in them.
+WORD_CELLS = 1 << 18
+#: Weight of the prior of a word's log-odds, in documents.
+WORD_PRIOR = 2.0
 #: Quantiles that are bin edges. Many measures are zero but for bad documents: those need edges in their upper end too.
 QUANTILES = [k / 10 for k in range(10)] + [0.93, 0.96, 0.98, 0.99]
 #: A pseudo-label needs at least this calibrated chance of its class.
@@ -40,7 +46,8 @@ CONFIDENT = 0.9
 THRESHOLD = 0.5
 #: Words of a stretch.
 STRETCH = 24
-SOURCE_CELLS = 64
+#: Cells of languages, sources and lengths.
+META_CELLS = (16, 64, 32)
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _STOP, _WIDE = range(7)
 _KIND = np.full(256, 7, np.uint8)
@@ -48,10 +55,58 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = _UPPER, _LOWER, _DIGIT,
 _KIND[[ord(c) for c in "|#$%&*<>{}[]=_\\~^@+"]] = _SYMBOL
 _KIND[[ord(c) for c in "!?"]] = _BANG
 _KIND[[ord(c) for c in ".,;:"]] = _STOP
-TEXT_FEATURES = 24
+TEXT_FEATURES = 26
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(64, _MIX))
 
-def text_features(text: str) -> np.ndarray:
+
+def word_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the words and of the pairs of neighbours; A-Z count as a-z."""
+    raw = np.frombuffer(" ".join(words).encode().lower(), np.uint8)
+    begins = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
+    sizes = np.diff(begins, append=len(raw) + 1)
+    at = np.arange(len(raw)) - np.repeat(begins, sizes)[: len(raw)]
+    h = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * (raw != 32) * _POWERS[at % 64], begins)
+    h = (h ^ h >> np.uint64(29)) * _MIX
+    pairs = (h[:-1] * np.uint64(3) + h[1:]) * _MIX
+    drop = np.uint64(64 - (WORD_CELLS.bit_length() - 1))
+    return (h >> drop).astype(np.int64), (pairs >> drop).astype(np.int64)
+
+
+@dataclass
+class Words:
+    """How many bad and good documents of the fit set have each cell."""
+
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((2, WORD_CELLS), np.int32))
+    docs: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))
+
+    @functools.cached_property
+    def odds(self) -> np.ndarray:
+        return self._odds(self.counts[0], self.counts[1], self.docs)
+
+    @staticmethod
+    def _odds(bad: np.ndarray, good: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Log-odds of being good, the classes weighing the same."""
+        n = np.maximum(docs, 1)
+        scale = n.min()
+        return np.log((good * (scale / n[1]) + WORD_PRIOR) / (bad * (scale / n[0]) + WORD_PRIOR))
+
+    def of(self, cells: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Log-odds of cells; `own`: the class of the fitted document that they are from, whose counts are left out."""
+        if own is None:
+            return self.odds[cells]
+        return self._odds(*(np.maximum(0, self.counts[c][cells] - (own == c)) for c in (0, 1)), self.docs - (np.arange(2) == own))
+
+
+def _worst(x: np.ndarray) -> float:
+    """The highest mean of a stretch of words."""
+    full = len(x) // STRETCH * STRETCH
+    best = x[:full].reshape(-1, STRETCH).mean(axis=1).max() if full else -np.inf
+    return max(float(best), float(x[full:].sum() / STRETCH)) if len(x) > full else float(best)
+
+
+def text_features(text: str, known: Words | None = None, own: int | None = None) -> np.ndarray:
     """Measures of a whole text; all zero for one without words."""
     words = text.split()
     n = len(words)
@@ -62,8 +117,7 @@ def text_features(text: str) -> np.ndarray:
     raw = " ".join(words).encode()
     kinds = _KIND[np.frombuffer(raw, np.uint8)]
     total = np.bincount(kinds, minlength=8)
-    begins = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1])
-    begins = begins[:n]  # words hold no other blanks of one byte
+    begins = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1])  # words hold no blanks of one byte
 
     def per_word(kind: int) -> np.ndarray:
         return np.add.reduceat((kinds == kind).astype(np.int32), begins)
@@ -71,39 +125,34 @@ def text_features(text: str) -> np.ndarray:
     upper, symbols, bangs = per_word(_UPPER), per_word(_SYMBOL), per_word(_BANG)
     lower = per_word(_LOWER)
     caps = (upper >= 1) & (lower == 0)
-    m = len(begins)
     repeat1 = np.zeros(n)
     repeat1[1:] = ids[1:] == ids[:-1]
     near = np.zeros(n, bool)
     for lag in range(1, 13):
         near[lag:] |= ids[lag:] == ids[:-lag]
-    marks = [caps.astype(float), (symbols > 0).astype(float), (bangs > 0).astype(float), repeat1[:m], near[:m].astype(float)]
-
-    def worst(x: np.ndarray) -> float:
-        full = len(x) // STRETCH * STRETCH
-        best = x[:full].reshape(-1, STRETCH).mean(axis=1).max() if full else 0.0
-        return max(float(best), float(x[full:].sum() / STRETCH))
+    marks = [caps.astype(float), (symbols > 0).astype(float), (bangs > 0).astype(float), repeat1, near.astype(float)]
 
     lines = [x for x in text.split("\n") if x.strip()]
     chars = max(1, len(raw))
     _, counts = np.unique(ids, return_counts=True)
-    out = [x.mean() for x in marks] + [worst(x) for x in marks]
+    out = [x.mean() for x in marks] + [_worst(x) for x in marks]
     out += [len(counts) / n, counts.max() / n, sizes.mean(), min(1.0, sizes.std() / 10), math.log1p(n)]
     out += [total[k] / chars for k in (_DIGIT, _SYMBOL, _BANG, _STOP, _WIDE, _UPPER)]
     out += [len(set(lines)) / len(lines), math.log1p(len(lines)), (sizes <= 3).mean()]
-    return np.array(out)
+    if known is None:
+        return np.array([*out, 0.0, 0.0])
+    single, pairs = word_cells(words)
+    odds = known.of(single, own)
+    return np.array([*out, known.of(np.unique(np.concatenate([single, pairs])), own).mean(), _worst(-odds)])
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, int]:
     """Cells of language, source and length; nulls have cells of their own."""
-    return zlib.crc32((lang or "").encode()) % 16, zlib.crc32((source or "").encode()) % SOURCE_CELLS, min(31, max(0, int(n_chars if n_chars is not None else -1) + 1).bit_length())
+    return zlib.crc32((lang or "").encode()) % META_CELLS[0], zlib.crc32((source or "").encode()) % META_CELLS[1], min(31, max(0, int(n_chars if n_chars is not None else -1) + 1).bit_length())
 
 
 def _meta_matrix(cells: np.ndarray) -> np.ndarray:
-    sizes, out = (16, SOURCE_CELLS, 32), []
-    for k, n in enumerate(sizes):
-        out.append(np.eye(n)[cells[:, k]])
-    return np.hstack(out) if len(cells) else np.zeros((0, sum(sizes)))
+    return np.hstack([np.arange(n) == cells[:, k : k + 1] for k, n in enumerate(META_CELLS)]).astype(float)
 
 
 @dataclass
@@ -124,11 +173,15 @@ class View:
         self.weights = logistic(self.matrix(x), y, ridge=3e-4)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        m = self.matrix(x)
-        raw = self.weights[0] + (m @ self.weights[1:] if len(self.weights) > 1 else 0.0)
-        return np.clip(self.platt[0] + self.platt[1] * raw, -20, 20) * np.ones(len(x))
+        """Calibrated log-odds. Cumulative bins add up to a value for each bin, and one-hot cells have a weight each."""
+        raw = np.full(len(x), self.weights[0])
+        if len(self.weights) > 1:
+            at = 1
+            for k, n in enumerate(map(len, self.edges) if self.edges is not None else META_CELLS):
+                w = self.weights[at : at + n]
+                raw += np.concatenate([[0.0], np.cumsum(w)])[np.searchsorted(self.edges[k], x[:, k])] if self.edges is not None else w[x[:, k].astype(int)]
+                at += n
+        return np.clip(self.platt[0] + self.platt[1] * raw, -20, 20)
 
     def chance(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logit(x)))
@@ -139,6 +192,7 @@ class Model:
     text: View
     meta: View
     weights: np.ndarray  # bias, text view, metadata view
+    words: Words = field(default_factory=Words)
 
     def chance(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         z = self.weights[0] + self.weights[1] * self.text.logit(text) + self.weights[2] * self.meta.logit(meta)
@@ -181,12 +235,12 @@ def _newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(x)], z.T @ (y - p), ((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).ravel()])
 
 
-def _refit_sums(data: tuple[np.ndarray, np.ndarray], views: list[View], lessons: list[Lesson]) -> np.ndarray:
+def _refit_sums(data: tuple[np.ndarray, np.ndarray], labels: np.ndarray, views: list[View]) -> np.ndarray:
+    """labels: by view, nan where it was taught nothing."""
     parts = []
     for v in (0, 1):
-        y = _taught(v, data, lessons)
-        known = ~np.isnan(y)
-        parts.append(_newton_sums(views[v].matrix(data[v][known]), y[known], views[v].weights))
+        known = ~np.isnan(labels[v])
+        parts.append(_newton_sums(views[v].matrix(data[v][known]), labels[v][known], views[v].weights))
     return np.concatenate(parts)
 
 
@@ -197,16 +251,31 @@ def _limit(histogram: np.ndarray, take: int, sure: float) -> float:
     return max(sure, (SCORE_CELLS - 1 - k) * (40 / SCORE_CELLS) - 20)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, test: np.ndarray, rounds: int = ROUNDS) -> Model:
+class Held:
+    """Unlabelled rows that are held in memory."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.data, self.size = (text, meta), len(text)
+
+    def histograms(self, views: list[View], lessons: list[Lesson]) -> np.ndarray:
+        return _scores(self.data, views, lessons)
+
+    def taught(self, lessons: list[Lesson]):
+        """A function of views: the refit's sums over the rows that were taught something."""
+        labels = np.array([_taught(v, self.data, lessons) for v in (0, 1)])
+        return lambda views: _refit_sums(self.data, labels, views)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, test: np.ndarray, rounds: int = ROUNDS, edges: list[np.ndarray] | None = None) -> Model:
     """y: 1, 0, or nan for unlabelled rows; test: labelled rows kept for calibration. All rows are held here."""
-    edges = [np.unique(np.quantile(text[:, k], QUANTILES)) if len(text) else np.zeros(1) for k in range(TEXT_FEATURES)]
+    if edges is None:
+        edges = [np.unique(np.quantile(text[:, k], QUANTILES)) if len(text) else np.zeros(1) for k in range(TEXT_FEATURES)]
     known = ~np.isnan(y)
-    pool = (text[~known], meta[~known])
-    return co_train_over(edges, text[known], meta[known], y[known], test[known], lambda function, *given: function(pool, *given), int((~known).sum()), rounds)
+    return co_train_over(edges, text[known], meta[known], y[known], test[known], Held(text[~known], meta[~known]), rounds)
 
 
-def co_train_over(edges: list[np.ndarray], text: np.ndarray, meta: np.ndarray, y: np.ndarray, test: np.ndarray, summed, unlabelled: int, rounds: int = ROUNDS) -> Model:
-    """Labelled rows are held here; summed(function, ...) adds up function((text, meta), ...) over all unlabelled rows."""
+def co_train_over(edges: list[np.ndarray], text: np.ndarray, meta: np.ndarray, y: np.ndarray, test: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """Labelled rows are held here; pool has the unlabelled ones, as Held does."""
     views = [View(edges), View()]
     data = [text, meta]
     train, held = np.flatnonzero(~test), np.flatnonzero(test)
@@ -225,15 +294,16 @@ def co_train_over(edges: list[np.ndarray], text: np.ndarray, meta: np.ndarray, y
     sure = math.log(CONFIDENT / (1 - CONFIDENT))
     good = float(np.mean(y[train]))
     lessons: list[Lesson] = []
-    for _ in range(rounds if unlabelled else 0):
-        histograms = summed(_scores, views, lessons).reshape(2, SCORE_CELLS)
-        take = [max(1, int(SHARE * unlabelled * share)) for share in (1 - good, good)]
+    for _ in range(rounds if pool.size else 0):
+        histograms = pool.histograms(views, lessons).reshape(2, SCORE_CELLS)
+        take = [max(1, int(SHARE * pool.size * share)) for share in (1 - good, good)]
         limits = [(-_limit(h[::-1], take[0], sure), _limit(h, take[1], sure)) for h in histograms]
         lessons.append(Lesson([View(x.edges, x.weights, x.platt) for x in views], limits))
+        refit = pool.taught(lessons)
         for x in views:
             x.weights = np.zeros_like(x.weights)
         for _ in range(STEPS):
-            sums, at, moved = summed(_refit_sums, views, lessons), 0, 0.0
+            sums, at, moved = refit(views), 0, 0.0
             for v in (0, 1):
                 n = len(views[v].weights)
                 own, pseudo = _newton_sums(views[v].matrix(data[v][train]), y[train], views[v].weights), sums[at : at + 1 + n + n * n]
@@ -261,67 +331,127 @@ def _inputs(docs: DataFrame, *keep) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("__text"), *meta)
 
 
-def _features(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t) for t in texts_of(batch.column(at))])
+def _features(batch: pa.RecordBatch, at: int, words: Words, own=None) -> tuple[np.ndarray, np.ndarray]:
+    texts = texts_of(batch.column(at))
+    text = np.array([text_features(t, words, c) for t, c in zip(texts, own or [None] * len(texts), strict=True)])
     meta = np.array([meta_features(*x) for x in zip(*(batch.column(at + 1 + k).to_pylist() for k in range(3)), strict=True)])
     return text.reshape(-1, TEXT_FEATURES), meta.reshape(-1, 3)
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Labels without an id or a class are left out, repeated ones count once (as bad if they differ); all other documents,
-    labelled ones beyond fit_rows too, are unlabelled. Measures are taken once and kept in the shared folder."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__y"))
-    sample = F.broadcast(bounded_sample(known.withColumnRenamed("__id", "doc_id"), fit_rows).withColumnRenamed("doc_id", "__id"))  # fit_rows bounds its size
-    rows = _inputs(docs, F.col("doc_id").cast("long").alias("__doc")).join(sample, F.col("__doc") == F.col("__id"), "left")
-    rows = rows.select(F.coalesce(F.pmod(F.xxhash64("__doc", F.lit("calibrate")), F.lit(4)) == 0, F.lit(False)).alias("test"), F.col("__y").cast("int").alias("y"), "__text", *(f"__{c}" for c in _IN))
+def _sums(rows: DataFrame, function, *given) -> np.ndarray:
+    """function(the columns' values, ...) added up: each task its own rows, then eight tasks these, then the driver eight."""
+    shared = rows.sparkSession.sparkContext.broadcast(given)
 
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text, meta = _features(batch, 2)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int32()))], names=["test", "y", "t", "m"])
+    def own(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = function([np.asarray(c.flatten(), float).reshape(batch.num_rows, -1) for c in batch.columns], *shared.value)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-        return one
+    def added(batches):
+        parts = [np.frombuffer(x) for batch in batches for x in batch.column(0).to_pylist()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([functools.reduce(np.add, parts).tobytes()], pa.binary())], names=["s"])
 
-    measured = checkpoint(map_batches(rows, make, "test boolean, y int, t array<double>, m array<int>"))
-    quantiles = F.array(*map(F.lit, QUANTILES))
-    found = measured.agg(F.count(F.when(F.col("y").isNull(), 1)).alias("n"), *(F.percentile_approx(F.col("t")[k], quantiles, 2000).alias(f"e{k}") for k in range(TEXT_FEATURES))).first()
-    edges = [np.unique(found[f"e{k}"] or [0.0]) for k in range(TEXT_FEATURES)]
-    got = measured.filter("y is not null").toArrow()
-    text = np.array(got["t"].to_pylist(), float).reshape(-1, TEXT_FEATURES)
-    meta = np.array(got["m"].to_pylist(), int).reshape(-1, 3)
-    y, test = np.array(got["y"].to_pylist(), float), np.array(got["test"].to_pylist(), bool)
-    order = np.lexsort((*text.T, *meta.T, y))  # the same model whatever order the tasks end in
-    pool = measured.filter("y is null").select("t", "m")
+    got = rows.mapInArrow(own, "s binary").repartition(8).mapInArrow(added, "s binary").collect()
+    shared.unpersist()
+    return functools.reduce(np.add, [np.frombuffer(r.s) for r in got]) if got else np.zeros(0)
+
+
+class Pool:
+    """Unlabelled rows of a table (t, m): measures and metadata cells."""
+
+    def __init__(self, rows: DataFrame, size: int):
+        self.rows, self.size = rows, size
+
+    def histograms(self, views: list[View], lessons: list[Lesson]) -> np.ndarray:
+        return _sums(self.rows, _scores, views, lessons)
 
-    def summed(function, *given) -> np.ndarray:
-        """Each task adds up its own rows; eight more add these sums up, so the driver gets eight."""
-        shared = spark.sparkContext.broadcast(given)
+    def taught(self, lessons: list[Lesson]):
+        """As Held.taught(); the taught rows are written to the shared folder, so that the steps read only them."""
+        shared = self.rows.sparkSession.sparkContext.broadcast(lessons)
 
-        def own(batches):
-            total = None
+        def label(batches):
             for batch in batches:
                 if batch.num_rows:
-                    t, m = (np.asarray(c.flatten()).reshape(batch.num_rows, -1) for c in batch.columns)
-                    part = function((t, m), *shared.value)
-                    total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
-
-        def added(batches):
-            total = None
-            for batch in batches:
-                for row in batch.column(0):
-                    total = np.asarray(row.values) if total is None else total + np.asarray(row.values)
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+                    data = tuple(np.asarray(c.flatten(), float).reshape(batch.num_rows, -1) for c in batch.columns)
+                    labels = np.array([_taught(v, data, shared.value) for v in (0, 1)])
+                    some = np.flatnonzero(~np.isnan(labels).all(axis=0))
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in batch.columns), pa.array(list(labels[:, some].T), pa.list_(pa.float64()))], names=["t", "m", "y"])
+
+        rows = checkpoint(self.rows.mapInArrow(label, "t array<double>, m array<int>, y array<double>"))
+        empty = [1 + n + n * n for n in (len(lessons[0].views[0].weights), len(lessons[0].views[1].weights))]
+
+        def sums(views: list[View]) -> np.ndarray:
+            got = _sums(rows, lambda columns, views: _refit_sums(tuple(columns[:2]), columns[2].T, views), views)
+            return got if len(got) else np.zeros(sum(empty))
+
+        return sums
 
-        parts = pool.mapInArrow(own, "s array<double>").repartition(8).mapInArrow(added, "s array<double>").toArrow()
-        shared.unpersist()
-        return np.sum([np.asarray(row.values) for row in parts["s"].combine_chunks()], axis=0)
 
-    return co_train_over(edges, text[order], meta[order], y[order], test[order], summed, found.n)
+def _count_words(fitted: DataFrame) -> Words:
+    """Counts over the fitted rows that don't calibrate, a bounded table of cells and classes."""
+
+    def cells(batches):
+        for batch in batches:
+            for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                if words := text.split():
+                    at = np.unique(np.concatenate(word_cells(words)))
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), y, np.int32))], names=["cell", "y"])
+
+    rows = fitted.filter("not test")
+    got = rows.select("__text", "y").mapInArrow(cells, "cell long, y int").groupBy("cell", "y").count().toArrow()
+    words = Words()
+    words.counts[np.asarray(got["y"]), np.asarray(got["cell"])] = np.asarray(got["count"])
+    for r in rows.groupBy("y").count().collect():
+        words.docs[r.y] = r["count"]
+    return words
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Labels without an id or a class are left out, repeated ones count once (as bad if they differ), and of documents that
+    share a labelled id the smallest by content is fitted. All documents without such a label, or beyond fit_rows, are
+    unlabelled. Measures are taken once and kept in the shared folder."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    sample = F.broadcast(bounded_sample(known, fit_rows))  # fit_rows bounds its size
+    inputs = ["__text", *(f"__{c}" for c in _IN)]
+    rows = _inputs(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
+    chosen = rows.join(sample, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*inputs)).alias("r"), F.max("y").alias("y"))
+    fitted = checkpoint(chosen.select(held.alias("test"), "y", "r.*"))
+    shared = spark.sparkContext.broadcast(words := _count_words(fitted))
+
+    def measures(own: bool):
+        def make():
+            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+                first = batch.num_columns - len(inputs)
+                classes = [None if t else y for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)] if own else None
+                text, meta = _features(batch, first, shared.value, classes)
+                return pa.RecordBatch.from_arrays([*batch.columns[:first], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int32()))], names=[*batch.schema.names[:first], "t", "m"])
+
+            return one
+
+        return make
+
+    fit = checkpoint(map_batches(fitted, measures(True), "test boolean, y int, t array<double>, m array<int>"))
+    pool = checkpoint(map_batches(rows.join(sample, "doc_id", "left_anti").select(*inputs), measures(False), "t array<double>, m array<int>"))
+    quantiles = F.array(*map(F.lit, QUANTILES))
+    found = pool.select("t", F.lit(1).alias("n")).unionAll(fit.select("t", F.lit(0))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.percentile_approx(F.col("t")[k], quantiles, 2000).alias(f"e{k}") for k in range(TEXT_FEATURES))).first()
+    edges = [np.unique(found[f"e{k}"] or [0.0]) for k in range(TEXT_FEATURES)]
+    got = fit.toArrow()
+    text = np.array(got["t"].to_pylist(), float).reshape(-1, TEXT_FEATURES)
+    meta = np.array(got["m"].to_pylist(), int).reshape(-1, 3)
+    y, test = np.array(got["y"].to_pylist(), float), np.array(got["test"].to_pylist(), bool)
+    order = np.lexsort((*text.T, *meta.T, y))  # the same model whatever order the tasks end in
+    model = co_train_over(edges, text[order], meta[order], y[order], test[order], Pool(pool, found.n))
+    model.words = words
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -331,10 +461,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     rows = _inputs(docs, *keep)
     at = len(keep)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", __text_view double, __meta_view double, __score double"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        model = shared.value
+
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text, meta = _features(batch, at)
+            text, meta = _features(batch, at, model.words)
             views = [pa.array(v, pa.float64()) for v in (model.text.chance(text), model.meta.chance(meta), model.chance(text, meta))]
             return pa.RecordBatch.from_arrays([*batch.columns[:at], *views], names=[*batch.schema.names[:at], "__text_view", "__meta_view", "__score"])
 
@@ -343,16 +476,25 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return map_batches(rows, make, schema)
 
 
-def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_view, meta_view, score and kept of every document.
+def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hold_out: bool = True) -> DataFrame:
+    """doc_id, held_out, text_view, meta_view, score and kept of every document.
 
-    Null texts are empty texts; these, and rows with null metadata, get scores as any other. Repeated rows repeat; an empty
-    table gives an empty one. Without labels of both classes, every document gets the labels' share of good ones.
+    With hold_out, labels of the held-out ids (those with crc32 mod 5 = 0) are used for nothing, so that figures over them are
+    honest. Null texts are empty texts; these, very long ones, and rows with null metadata, get scores as any other. Repeated
+    rows repeat; an empty table gives an empty one; columns other than the known ones don't matter. Without labels of both
+    classes, every document gets the labels' share of good ones.
     """
-    found = score(docs, train(docs, labels))
-    return found.select("doc_id", F.col("__text_view").alias("text_view"), F.col("__meta_view").alias("meta_view"), F.col("__score").alias("score"), (F.col("__score") >= threshold).alias("kept"))
+    apart = held_out(F.col("doc_id")) if hold_out else F.lit(False)
+    found = score(docs, train(docs, labels.filter(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), F.col("__text_view").alias("text_view"), F.col("__meta_view").alias("meta_view"), F.col("__score").alias("score"), (F.col("__score") >= threshold).alias("kept"))
+
+
+def recalls(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality, n and right: the held-out labelled documents of each class in a report, and how many of them it judged right."""
+    rows = found.filter("held_out").join(labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    return rows.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("kept") == (F.col("quality") == 1)).alias("right"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that the classifier rejects."""
+    """docs without the documents that the classifier, which here learns from all labels, rejects."""
     return score(docs, train(docs, labels), docs.columns).filter(F.col("__score") >= threshold).select(*docs.columns)
