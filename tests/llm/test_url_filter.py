@@ -44,27 +44,43 @@ def test_rules_hosts_and_paths(spark):
     assert len(U.judged(df).collect()) == len(rows) + 1 and U.judged(df.limit(0)).count() == 0
 
 
-def test_model_equals_a_plain_one():
-    urls = ["abcab", "", "http://é", "abcab" * 50]
-    table = np.zeros((2, U.TABLE_CELLS), np.int32)
-    data, owner = U.joined(urls)
-    contexts, grams = U.cells_of(data, owner)
-    for cells in (contexts, grams):
-        table[0] += np.bincount(cells.ravel(), minlength=U.TABLE_CELLS).astype(np.int32)
-    counts = {}
-    for u in urls:
-        b = bytes(U.ORDER) + u.encode()
-        for i in range(U.ORDER, len(b)):
-            for k in range(U.ORDER + 1):
-                counts[b[i - k : i]] = counts.get(b[i - k : i], 0) + 1
-                counts[b[i - k : i], b[i]] = counts.get((b[i - k : i], b[i]), 0) + 1
-    want = []
-    for u in urls:
-        b, total = bytes(U.ORDER) + u.encode(), 0.0
-        for i in range(U.ORDER, len(b)):
-            p = 1 / 256
-            for k in range(U.ORDER + 1):
-                p = (counts[b[i - k : i], b[i]] + U.PRIOR * p) / (counts[b[i - k : i]] + U.PRIOR)
-            total += np.log(p) - np.log(1 / 256)
-        want.append(total / max(1, len(u.encode())))
-    assert np.allclose(U.Model(table).ratios(urls), want, atol=1e-9)  # the other table is empty: uniform chances
+def plain_ratios(rows):
+    """rows: (url, allowed or None, half, n). Ruled URLs by the other half's counts, the others by all."""
+    def counted(rows):
+        counts = {}
+        for url, _, _, n in rows:
+            b = bytes(U.ORDER) + url.encode()
+            for i in range(U.ORDER, len(b)):
+                for k in range(U.ORDER + 1):
+                    for key in (b[i - k : i], (b[i - k : i], b[i])):
+                        counts[key] = counts.get(key, 0) + n
+        return counts
+
+    def chance(counts, b, i):
+        p = 1 / 256
+        for k in range(U.ORDER + 1):
+            p = (counts.get((b[i - k : i], b[i]), 0) + U.PRIOR * p) / (counts.get(b[i - k : i], 0) + U.PRIOR)
+        return p
+
+    out = {}
+    for url, allowed, half, _ in rows:
+        mine = [counted([r for r in rows if r[1] is c and (allowed is None or r[2] != half)]) for c in (True, False)]
+        b = bytes(U.ORDER) + url.encode()
+        logs = [np.log(chance(mine[0], b, i)) - np.log(chance(mine[1], b, i)) for i in range(U.ORDER, len(b))]
+        out[url] = sum(logs) / max(1, len(logs))
+    return out
+
+
+def test_ratios_equal_plain_ones(spark):
+    rows = [("abcab", True, 0, 1), ("abcabc/x", True, 1, 3), ("", None, 0, 2), ("http://é", False, 0, 1), ("http://e/b", False, 1, 5), ("abcab" * 50, None, 1, 1), ("zzz", None, 0, 1), ("x\x00y", True, 0, 2)]
+    df = spark.createDataFrame(rows, "url string, allowed boolean, half int, n long")
+    got = {r.url: r.ratio for r in U.url_ratios(df).collect()}
+    want = plain_ratios(rows)
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-8 for u in want)
+
+
+def test_rules_of_one_class_or_none(spark):
+    df = spark.createDataFrame([(1, "http://x.com/en/1"), (2, "http://y.org/q"), (3, None), (1, "http://x.com/en/1")], "page_id long, url string")
+    got = U.judged(df).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == [(1, "block"), (1, "block"), (2, "block"), (3, "allow")] and all(0 <= r.chance <= 1 for r in got)
+    assert {r.chance for r in U.judged(df, rules=()).collect()} == {0.5}

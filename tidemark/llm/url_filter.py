@@ -2,38 +2,32 @@
 
 Rules decide the URLs that they fit. The URLs that rules allow and those that rules block train two variable-order Markov
 models over bytes: the chance of a byte after the k bytes before it is smoothed with its chance after k - 1, down to a uniform
-one. Counts come from every ruled URL of the table, in hashed tables of fixed size. The score of a URL is the difference of
-the two log-likelihoods, divided by its length; a logistic calibration on ruled URLs that the models weren't trained on turns
-it into a chance, which gives the verdict where no rule does.
+one. A model is a table with a row for each distinct run of ORDER + 1 bytes, counted over every ruled URL, so it grows with
+the input; the shorter contexts are sums over it, and chances are joined up from the shortest one. The score of a URL is the
+difference of the two log-likelihoods, divided by its length. A logistic calibration turns it into a chance, which gives the
+verdict where no rule does. For the calibration the ruled URLs are cut into two halves, each scored by what the other one
+counted; all of them count for the URLs to be judged.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from .common import checkpoint, join_hot, small_batches
 from .toxicity import logistic
 
 #: Rules (host/path, verdict): a rule fits its host and all subdomains, if the path starts with its path. The longest wins.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Bytes of the longest context.
+#: Bytes of the longest context: with the byte itself, a run that fits a long.
 ORDER = 5
-#: Cells of a model's table of counts; two classes of 4-byte counts bound what is broadcast to 8 MiB.
-TABLE_CELLS = 1 << 20
 #: Weight of the shorter context's chance, in bytes seen.
 PRIOR = 2.0
-#: One ruled URL in so many calibrates instead of training.
-HOLD_OUT = 5
-_CHUNKS = 64
+#: Bins of ratios from -8 to 8 that the calibration is fitted on.
 _BINS = 512
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
 
 def host_of(url: str | Column) -> Column:
     """The host: after the first ://, up to / ? # or the end, A-Z lower-cased; empty for null or without ://."""
@@ -62,120 +56,95 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
-def joined(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All URLs' bytes one after another, each after ORDER zero bytes, and the index of the URL of each byte (-1: filler)."""
+def runs_of(urls: list[str]) -> pa.ListArray:
+    """For each byte of each URL: it and the ORDER bytes before it (zeros before the start), the byte itself lowest."""
     raw = [u.encode() for u in urls]
-    lead = bytes(ORDER)
-    data = np.frombuffer(b"".join(lead + x for x in raw), np.uint8)
-    sizes = np.fromiter((len(x) for x in raw), np.int64, len(raw))
-    owner = np.full(len(data), -1, np.int64)
-    at = np.repeat(np.cumsum(sizes + ORDER) - sizes, sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    owner[at] = np.repeat(np.arange(len(raw)), sizes)
-    return data, owner
-
-
-def cells_of(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of a URL and each order from 0: the cell of its context, and that of the context with the byte."""
-    at = np.flatnonzero(owner >= 0)
-    contexts, grams = np.empty((ORDER + 1, len(at)), np.int64), np.empty((ORDER + 1, len(at)), np.int64)
-    wide = data.astype(np.uint64)
-    h = np.zeros(len(at), np.uint64)
-    byte = wide[at] + np.uint64(1)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(bytes(ORDER) + x for x in raw), np.uint8).astype(np.int64)
+    at = np.arange(sizes.sum()) + np.repeat(ORDER * np.arange(1, len(raw) + 1), sizes)
+    runs = np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
-        if k:
-            h = (h + wide[at - k] + np.uint64(1)) * _MIX
-        of_context = (h + np.uint64(k + 1)) * _MIX
-        of_gram = ((h ^ (h >> np.uint64(29))) + byte * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1)) * _MIX
-        contexts[k] = of_context >> np.uint64(44)
-        grams[k] = of_gram >> np.uint64(44)
-    return contexts, grams
-
-
-def log_chances(table: np.ndarray, contexts: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Log chances of bytes by a table of counts, from the uniform one up to the longest context."""
-    p = np.full(contexts.shape[1], 1 / 256)
-    for k in range(ORDER + 1):
-        n = np.maximum(table[contexts[k]], table[grams[k]]).astype(np.float64)
-        p = (np.minimum(table[grams[k]], n) + PRIOR * p) / (n + PRIOR)
-    return np.log(p)
-
-
-@dataclass
-class Model:
-    tables: np.ndarray  # counts of allowed and of blocked URLs
-    bias: float = 0.0
-    slope: float = 1.0
-
-    def ratios(self, urls: list[str]) -> np.ndarray:
-        """Length-normalised log-likelihood differences, allowed less blocked; zero for empty URLs."""
-        data, owner = joined(urls)
-        if not len(urls) or not (owner >= 0).any():
-            return np.zeros(len(urls))
-        contexts, grams = cells_of(data, owner)
-        diff = log_chances(self.tables[0], contexts, grams) - log_chances(self.tables[1], contexts, grams)
-        of = owner[owner >= 0]
-        return np.bincount(of, diff, len(urls)) / np.maximum(1, np.bincount(of, minlength=len(urls)))
-
-    def chances(self, urls: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.ratios(urls), -35, 35)))
+        runs |= data[at - k] << 8 * k
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(runs))
 
 
-def _mapped(df: DataFrame, name: str, kind: str, arrow: pa.DataType, function) -> DataFrame:
-    """df with a column that function(urls) gives for its last column, `url`, which goes."""
-    fields = df.schema.fields[:-1]
+def _with_runs(urls: DataFrame) -> DataFrame:
+    """urls(..., url) with `run`, a row for each byte, instead of url; empty URLs have none."""
+    fields = urls.schema.fields[:-1]
 
-    def make():
-        run = function()
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = run([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, arrow)], names=[*batch.schema.names[:-1], name])
-
-        return one
-
-    return map_batches(df, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{name} {kind}"]))
+    def cut(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], runs_of(batch.column(batch.num_columns - 1).to_pylist())], names=[*batch.schema.names[:-1], "runs"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "runs array<bigint>"])
+    return urls.mapInArrow(cut, schema).select(*(f.name for f in fields), F.explode("runs").alias("run"))
+
+
+#: The models: of all ruled URLs, and of those that aren't in the first or the second half. Each has counts by class.
+_MODELS = ("all", "not_0", "not_1")
+_COUNTS = [f"{m}_{c}" for m in _MODELS for c in ("allow", "block")]
+
+
+def run_counts(urls: DataFrame) -> DataFrame:
+    """run, uses (how many bytes of all URLs have it) and its counts by model and class, of urls(url, allowed, half, n)."""
+    rows = _with_runs(urls.select("allowed", "half", "n", "url"))
+    found = rows.groupBy("run").agg(
+        F.count("*").alias("uses"),
+        *(F.sum(F.when((F.col("allowed") == (c == "allow")) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"h{h}_{c}") for h in (0, 1) for c in ("allow", "block")),
+    )
+    of = {"all": lambda c: F.col(f"h0_{c}") + F.col(f"h1_{c}"), "not_0": lambda c: F.col(f"h1_{c}"), "not_1": lambda c: F.col(f"h0_{c}")}
+    return found.select("run", "uses", *(of[m](c).alias(f"{m}_{c}") for m in _MODELS for c in ("allow", "block")))
+
+
+def run_ratios(counts: DataFrame) -> DataFrame:
+    """run, uses, and by model the difference of the logarithms of the last byte's chances, of run_counts()."""
+    levels = [counts]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = F.col("run").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long"))
+        levels.append(levels[-1].groupBy(shorter.alias("run")).agg(*(F.sum(c).alias(c) for c in _COUNTS)))
+    chances = None
+    for k, level in enumerate(reversed(levels)):
+        level = level.withColumn("context", F.shiftright("run", 8))
+        seen = level.groupBy("context").agg(*(F.sum(c).alias(f"of_{c}") for c in _COUNTS))
+        level = level.join(seen, "context")
+        if chances is None:
+            level = level.select("*", *(F.lit(1 / 256).alias(f"p_{c}") for c in _COUNTS))
+        else:
+            level = level.withColumn("shorter", F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))).join(chances, "shorter")
+        smoothed = [((F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col(f"of_{c}") + PRIOR)).alias(f"p_{c}") for c in _COUNTS]
+        kept = [F.col("run").alias("shorter")] if k < ORDER else ["run", "uses"]
+        chances = level.select(*kept, *smoothed)
+    return chances.select("run", "uses", *((F.log(f"p_{m}_allow") - F.log(f"p_{m}_block")).alias(m) for m in _MODELS))
+
+
+def url_ratios(urls: DataFrame) -> DataFrame:
+    """urls(url, allowed, half, n) with `ratio`: the length-normalised log-likelihood difference, allowed less blocked.
+
+    url: distinct texts; allowed: what a rule says, or null; half: 0 or 1; n: how often the URL is there. Ruled URLs get the
+    ratio of the models that their own half isn't in. Empty URLs get zero.
+    """
+    urls = checkpoint(urls.withColumn("id", F.monotonically_increasing_id()))
+    ratios = checkpoint(run_ratios(checkpoint(run_counts(urls))))
+    which = F.when(F.col("allowed").isNull(), "all").otherwise(F.concat(F.lit("not_"), F.col("half")))
+    rows = _with_runs(urls.select("id", which.alias("which"), "url"))
+    value = F.coalesce(*(F.when(F.col("which") == m, F.col(m)) for m in _MODELS))
+    sums = join_hot(rows, ratios, "run", "uses").groupBy("id").agg((F.sum(value) / F.count("*")).alias("ratio"))
+    return urls.join(sums, "id", "left").select("url", "allowed", "half", "n", F.round(F.coalesce("ratio", F.lit(0.0)), 9).alias("ratio"))
 
 
-def train(ruled: DataFrame) -> Model:
-    """Models of all rows of ruled(url, allowed). Tasks count in tables of fixed size, which are added by ranges of cells."""
+def calibration(ratios: DataFrame) -> tuple[float, float]:
+    """Bias and slope of the chance of being acceptable, by the ruled URLs of url_ratios().
 
-    def count(batches):
-        table = np.zeros((2, TABLE_CELLS), np.int32)
-        seen = False
-        for batch in batches:
-            urls, allowed = batch.column(0).to_pylist(), np.asarray(batch.column(1).to_pylist(), bool)
-            data, owner = joined(urls)
-            if not (owner >= 0).any():
-                continue
-            seen = True
-            contexts, grams = cells_of(data, owner)
-            blocked = ~allowed[owner[owner >= 0]]
-            for c, rows in ((0, ~blocked), (1, blocked)):
-                for cells in (contexts[:, rows], grams[:, rows]):
-                    table[c] += np.bincount(cells.ravel(), minlength=TABLE_CELLS).astype(np.int32)
-        if seen:
-            parts = table.reshape(2, _CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array([parts[:, k].tobytes() for k in range(_CHUNKS)], pa.binary())], names=["part", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in group.column("counts").to_pylist())
-        return pa.table({"part": group.column("part")[:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    held = F.pmod(F.xxhash64("url"), F.lit(HOLD_OUT)) == 0
-    parts = ruled.filter(~held).select("url", "allowed").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    tables = np.zeros((2, _CHUNKS, TABLE_CELLS // _CHUNKS), np.int32)
-    for r in parts:
-        tables[:, r.part] = np.frombuffer(r.counts, np.int32).reshape(2, -1)
-    model = Model(tables.reshape(2, TABLE_CELLS))
-    shared = ruled.sparkSession.sparkContext.broadcast(model)
-    ratios = _mapped(ruled.filter(held).select("allowed", "url"), "ratio", "double", pa.float64(), lambda: shared.value.ratios)
-    # a histogram of fixed size: every held-out URL counts, and the driver gets a bounded table
-    bins = ratios.groupBy("allowed", F.floor(F.greatest(F.lit(-8.0), F.least(F.lit(7.99), "ratio")) * (_BINS / 16)).alias("bin")).count().collect()
-    if len({r.allowed for r in bins}) == 2:
-        x = np.repeat([(r.bin + 0.5) * 16 / _BINS for r in bins], 1)[:, None]
-        w = np.array([r["count"] for r in bins], float)
-        model.bias, model.slope = _weighted_logistic(x, np.array([float(r.allowed) for r in bins]), w)
-    return model
+    They are fitted on a histogram of fixed size: every ruled URL counts, and the driver gets a bounded table.
+    """
+    cell = F.floor(F.greatest(F.lit(-8.0), F.least(F.lit(7.99), "ratio")) * (_BINS / 16)).alias("bin")
+    bins = ratios.filter("allowed is not null").groupBy("allowed", cell).agg(F.sum("n").alias("n")).orderBy("allowed", "bin").collect()
+    if len({r.allowed for r in bins}) < 2:
+        return 0.0, 1.0
+    x = np.array([(r.bin + 0.5) * 16 / _BINS for r in bins])[:, None]
+    return _weighted_logistic(x, np.array([float(r.allowed) for r in bins]), np.array([r.n for r in bins], float))
 
 
 def _weighted_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -191,15 +160,18 @@ def judged(pages: DataFrame, rules=RULES, page_id: str = "page_id") -> DataFrame
     """(page_id, host, path, rule, verdict, chance) of every row: chance is the models' chance that the URL is acceptable.
 
     Null URLs and URLs without :// have an empty host and path and fit no rule; the models still judge what there is (an
-    empty URL by the calibration's bias). Repeated rows repeat and count in training each time; an empty table gives an empty
-    one. If rules label no URL of one class, the ratio alone decides, and no ratio allows. Other columns are left out.
+    empty URL by the calibration's bias). Very long URLs count whole. Repeated rows repeat and count in training each time; an
+    empty table gives an empty one. If rules label no URL of one class, the ratio alone decides, and no ratio allows. Other
+    columns are left out. The chance of a ruled URL is by the models that its own half isn't in.
     """
-    urls = pages.select(F.col(page_id).alias("page_id"), F.col("url").cast("string").alias("url"))
+    small_batches(pages.sparkSession)
+    urls = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
     urls = urls.withColumn("host", host_of("url")).withColumn("path", path_of("url"))
     urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = urls.filter("rule is not null").select("url", (verdict_of(F.col("rule"), rules) == "allow").alias("allowed"))
-    model = train(checkpoint(ruled))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    chances = _mapped(urls.select("page_id", "host", "path", "rule", "url"), "chance", "double", pa.float64(), lambda: shared.value.chances)
+    distinct = urls.groupBy("url").agg(F.max(verdict_of(F.col("rule"), rules) == "allow").alias("allowed"), F.count("*").alias("n"))
+    ratios = checkpoint(url_ratios(distinct.select("url", "allowed", F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)).cast("int").alias("half"), "n")))
+    bias, slope = calibration(ratios)
+    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), bias + slope * F.col("ratio")))))
+    found = join_hot(urls, ratios.select("url", "n", chance.alias("chance")), "url", "n")
     by_model = F.when(F.col("chance") >= 0.5, "allow").otherwise("block")
-    return chances.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), by_model).alias("verdict"), "chance")
+    return found.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), by_model).alias("verdict"), "chance")
