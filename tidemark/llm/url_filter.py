@@ -3,7 +3,7 @@
 Rules decide the URLs that they fit. The URLs that rules allow and those that rules block train two variable-order Markov
 models over bytes: the chance of a byte after the k bytes before it is smoothed with its chance after k - 1, down to a uniform
 one. A model is a table with a row for each distinct run of ORDER + 1 bytes, counted over every ruled URL, so it grows with
-the input; the shorter contexts are sums over it, and chances are joined up from the shortest one. The score of a URL is the
+the input; the counts of shorter contexts are sums over it. The score of a URL is the
 difference of the two log-likelihoods, divided by its length. A logistic calibration turns it into a chance, which gives the
 verdict where no rule does. For the calibration the ruled URLs are cut into two halves, each scored by what the other one
 counted; all of them count for the URLs to be judged.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, join_hot, small_batches
@@ -98,25 +98,44 @@ def run_counts(urls: DataFrame) -> DataFrame:
     return found.select("run", "uses", *(of[m](c).alias(f"{m}_{c}") for m in _MODELS for c in ("allow", "block")))
 
 
+def _short_chances(pairs: pa.Table) -> pa.Table:
+    """Chances of a byte after the one before it, of counts by pair of bytes: at most 65,536 rows, worked out on the driver."""
+    at = np.asarray(pairs["pair"])
+    out = {"pair": pairs["pair"]}
+    for c in _COUNTS:
+        n = np.zeros(1 << 16)
+        n[at] = np.asarray(pairs[c], float)
+        after = n.reshape(256, 256)  # the byte before, the byte
+        p = (after.sum(axis=0) + PRIOR / 256) / (n.sum() + PRIOR)
+        p = (after + PRIOR * p[None, :]) / (after.sum(axis=1, keepdims=True) + PRIOR)
+        out[f"p_{c}"] = pa.array(p.ravel()[at])
+    return pa.table(out)
+
+
 def run_ratios(counts: DataFrame) -> DataFrame:
-    """run, uses, and by model the difference of the logarithms of the last byte's chances, of run_counts()."""
-    levels = [counts]
-    for k in range(ORDER - 1, -1, -1):
-        shorter = F.col("run").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long"))
-        levels.append(levels[-1].groupBy(shorter.alias("run")).agg(*(F.sum(c).alias(c) for c in _COUNTS)))
-    chances = None
-    for k, level in enumerate(reversed(levels)):
-        level = level.withColumn("context", F.shiftright("run", 8))
-        seen = level.groupBy("context").agg(*(F.sum(c).alias(f"of_{c}") for c in _COUNTS))
-        level = level.join(seen, "context")
-        if chances is None:
-            level = level.select("*", *(F.lit(1 / 256).alias(f"p_{c}") for c in _COUNTS))
-        else:
-            level = level.withColumn("shorter", F.col("run").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))).join(chances, "shorter")
-        smoothed = [((F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col(f"of_{c}") + PRIOR)).alias(f"p_{c}") for c in _COUNTS]
-        kept = [F.col("run").alias("shorter")] if k < ORDER else ["run", "uses"]
-        chances = level.select(*kept, *smoothed)
-    return chances.select("run", "uses", *((F.log(f"p_{m}_allow") - F.log(f"p_{m}_block")).alias(m) for m in _MODELS))
+    """run, uses, and by model the difference of the logarithms of the last byte's chances, of run_counts().
+
+    Contexts of up to one byte have at most 65,536 counts, which are broadcast. Runs are then dealt by the two bytes before
+    the last one: all runs that share a longer context, or a longer end, are in one partition, so these counts are sums over
+    windows, spilled if need be, without another exchange.
+    """
+
+    def last(n: int, c="run") -> Column:
+        return F.col(c).bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
+
+    pairs = counts.groupBy(last(2).alias("pair")).agg(*(F.sum(c).alias(c) for c in _COUNTS)).toArrow()
+    first = counts.sparkSession.createDataFrame(_short_chances(pairs)) if len(pairs) else None
+    if first is None:
+        return counts.select("run", "uses", *(F.lit(0.0).alias(m) for m in _MODELS))
+    rows = counts.withColumn("before", F.shiftright("run", 8)).withColumn("near", last(2, "before")).repartition("near")
+    rows = rows.withColumn("pair", last(2)).join(F.broadcast(first), "pair")
+    for k in range(2, ORDER + 1):
+        rows = rows.withColumn("end", last(k + 1)).withColumn("context", last(k, "before"))
+        seen, of = Window.partitionBy("near", "end"), Window.partitionBy("near", "context")
+        n = {c: F.sum(c).over(seen) if k < ORDER else F.col(c) for c in _COUNTS}
+        rows = rows.withColumns({f"n_{c}": n[c] for c in _COUNTS}).withColumns({f"of_{c}": F.sum(c).over(of) for c in _COUNTS})
+        rows = rows.withColumns({f"p_{c}": (F.col(f"n_{c}") + PRIOR * F.col(f"p_{c}")) / (F.col(f"of_{c}") + PRIOR) for c in _COUNTS})
+    return rows.select("run", "uses", *((F.log(f"p_{m}_allow") - F.log(f"p_{m}_block")).alias(m) for m in _MODELS))
 
 
 def url_ratios(urls: DataFrame) -> DataFrame:
