@@ -43,45 +43,59 @@ def inversions(values: np.ndarray) -> int:
     return total
 
 
+class Ties:
+    """Sizes t of the groups of equal values, as the sums that Kendall's formulas have."""
+
+    def __init__(self, sizes: np.ndarray):
+        t = sizes.astype(float)
+        self.pairs = float((t * (t - 1)).sum() / 2)
+        self.triples = float((t * (t - 1) * (t - 2)).sum())
+        self.spread = float((t * (t - 1) * (2 * t + 5)).sum())
+
+
+#: Without ties p is exact up to so many values, or with so few discordant pairs. Fixed values, as published results have them.
+EXACT_VALUES, EXACT_PAIRS = 33, 1
+
+
 def kendall_tau(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """tau-b and its two-sided p-value: exact without ties for few values or few discordant pairs, else asymptotic."""
     n = len(x)
     if n < 2:
         return math.nan, math.nan
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    pairs = n * (n - 1) // 2
-
-    def ties(*columns: np.ndarray) -> np.ndarray:
-        return np.unique(np.stack(columns), axis=1, return_counts=True)[1].astype(float)
-
-    tx, ty, both = ties(x), ties(y), ties(x, y)
-    nx, ny, nxy = ((t * (t - 1) / 2).sum() for t in (tx, ty, both))
-    if nx == pairs or ny == pairs:
+    codes_x, codes_y = (np.unique(v[order], return_inverse=True)[1] for v in (x, y))
+    cells = codes_x.astype(np.int64) * n + codes_y
+    in_x, in_y, in_both = (Ties(np.unique(c, return_counts=True)[1]) for c in (codes_x, codes_y, cells))
+    pairs = n * (n - 1) / 2
+    rest_x, rest_y = pairs - in_x.pairs, pairs - in_y.pairs
+    if not rest_x or not rest_y:
         return math.nan, math.nan
-    discordant = inversions(y)
-    con_less_dis = pairs - nx - ny + nxy - 2 * discordant
-    tau = max(-1.0, min(1.0, con_less_dis / math.sqrt(pairs - nx) / math.sqrt(pairs - ny)))
-    if nx == 0 and ny == 0 and (n <= 33 or min(discordant, pairs - discordant) <= 1):
-        return tau, _exact_p(n, min(discordant, pairs - discordant))
-    m = n * (n - 1.0)
-    vx, vy = ((t * (t - 1) * (2 * t + 5)).sum() for t in (tx, ty))
-    x1, y1 = 2 * nx, 2 * ny
-    x0, y0 = ((t * (t - 1) * (t - 2)).sum() for t in (tx, ty))
-    variance = (m * (2 * n + 5) - vx - vy) / 18 + x1 * y1 / (2 * m) + (x0 * y0 / (9 * m * (n - 2)) if n > 2 else 0.0)
-    return tau, math.erfc(abs(con_less_dis) / math.sqrt(variance) / math.sqrt(2))
-
-
-def _exact_p(n: int, c: int) -> float:
-    """Two-sided chance of at most c discordant pairs among all orders of n values."""
+    discordant = inversions(codes_y)
+    concordant = pairs - discordant - in_x.pairs - in_y.pairs + in_both.pairs
+    s = concordant - discordant
+    tau = max(-1.0, min(1.0, s / math.sqrt(rest_x * rest_y)))
+    fewer = int(min(discordant, pairs - discordant))
+    if not in_x.pairs and not in_y.pairs and (n <= EXACT_VALUES or fewer <= EXACT_PAIRS):
+        return tau, exact_p(n, fewer)
+    # Kendall's variance of s when both columns have ties
+    variance = (n * (n - 1) * (2 * n + 5) - in_x.spread - in_y.spread) / 18 + in_x.pairs * in_y.pairs / pairs
+    if n > 2:
+        variance += in_x.triples * in_y.triples / (18 * pairs * (n - 2))
+    return tau, math.erfc(abs(s) / math.sqrt(2 * variance))
+
+
+def exact_p(n: int, c: int) -> float:
+    """Twice the chance that a random order of n values has at most c pairs in the wrong order (1 at the very middle).
+
+    The number of such pairs is a sum of independent uniform variables on 0..k for k below n, so its distribution is the
+    product of the polynomials 1 + x + ... + x^k, over n!.
+    """
     if 4 * c == n * (n - 1):
         return 1.0
-    counts = np.zeros(c + 1)
-    counts[0] = 1.0
-    for k in range(2, n + 1):  # orders of k values by discordant pairs, as shares of all
-        sums = np.cumsum(counts)
-        counts = (sums - np.r_[np.zeros(min(k, c + 1)), sums[: max(0, c + 1 - k)]]) / k
-    return min(1.0, 2 * float(counts.sum()))
+    chances = np.ones(1)
+    for k in range(1, n):
+        chances = np.convolve(chances, np.full(min(k, c) + 1, 1 / (k + 1)))[: c + 1]
+    return min(1.0, 2 * float(chances[: c + 1].sum()))
 
 
 def kendall(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
