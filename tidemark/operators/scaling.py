@@ -228,10 +228,15 @@ class StoredCdf:
         params.write.mode("append").parquet(self.path)
 
     def scale(self, df: DataFrame, src: str, ref: str, keys: list[str] | None = None, out: str | None = None) -> DataFrame:
-        """src scaled to ref; locations without parameters for this pair are fitted and stored first."""
+        """src scaled to ref; locations without parameters for this pair are fitted and stored first.
+
+        Nothing is written if no location lacks any. If two runs stored the same location, its parameters count once.
+        """
         keys = ["loc_id"] if keys is None else keys
         pair = f"{src}->{ref}"
         known_ = self.load(keys)
         missing = df if known_ is None else df.join(known_.filter(F.col("pair") == pair).select(*keys), keys, "left_anti")
-        self.store(cdf_parameters(missing, src, ref, keys, **self.kw).withColumn("pair", F.lit(pair)))
-        return apply_parameters(df, self.load(keys).filter(F.col("pair") == pair), src, keys, out)
+        if known_ is None or not missing.isEmpty():
+            self.store(cdf_parameters(missing, src, ref, keys, **self.kw).withColumn("pair", F.lit(pair)))
+        once = self.load(keys).filter(F.col("pair") == pair).groupBy(*keys).agg(F.min(F.struct("x_perc", "y_perc")).alias("__p"))
+        return apply_parameters(df, once.select(*keys, "__p.x_perc", "__p.y_perc"), src, keys, out)

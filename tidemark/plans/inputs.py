@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCATIONS = 16
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines see; on one machine a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,5 +54,10 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.nanvl(c, F.lit(None).cast("double")), digits) + F.lit(0.0)
 
 
-def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(rounded(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes))
+def round_all(df: DataFrame, digits: int = 6, finer: str | None = None, fine_digits: int = 8) -> DataFrame:
+    """All values rounded; columns whose names begin with `finer`, in either case, more finely: means of few decimals lie on ties."""
+
+    def to(c: str) -> int:
+        return fine_digits if finer and c.lower().startswith(finer) else digits
+
+    return df.select(*(rounded(c, to(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes))

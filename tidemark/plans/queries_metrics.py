@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import moments
 from ..operators import calculators, frames, intervals, ranks, triple
+from . import statistics_sql as statistics
 from .inputs import round_all, table
 from .queries_matching import _MOMENTS
 
 COLUMNS = ["qty", "price", "disc", "tax"]
 _L = "with l as (select l_suppkey as loc_id, l_shipdate as ts, l_quantity as qty, l_extendedprice / 1999.7 as price, l_discount * 397.1 as disc, l_tax * 501.3 as tax from lineitem)"
 
+_LR = _L.replace("with l", "with recursive l", 1)
+
 
 def items(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
@@ -43,7 +46,9 @@ def index_of_agreement(spark, sf_dir):
 _COV = ", ".join(f"covar_samp({COLUMNS[i]}, {COLUMNS[j]}) as c{i}{j}" for i in range(3) for j in range(i, 3))
 
 
-def _triple_sql(i: int, ref: int = 0, absolute: bool = True) -> str:
+def _triple_cells(i: int, ref: int = 0, absolute: bool = True) -> tuple[str, str, str]:
+    """SQL of snr, err_std and beta of the i-th of three datasets, by covariances c00 to c22."""
+
     def c(a, b):
         return f"c{min(a, b)}{max(a, b)}"
 
@@ -53,7 +58,12 @@ def _triple_sql(i: int, ref: int = 0, absolute: bool = True) -> str:
     var = f"({c(i, i)} - {c(i, j)} * {c(i, k)} / {c(j, k)})"
     other = next(x for x in range(3) if x not in (i, ref))
     beta = "1.0::double" if i == ref else f"({c(ref, other)} / {c(i, other)})"
-    return f"select loc_id, '{COLUMNS[i]}' as dataset, n as n_obs, round(case when {noise} > 0 then -10 * log10({noise}) end, 4) as snr, round(case when {var} >= 0 then sqrt(greatest({var}, 0)) * {beta} end, 4) as err_std, round({beta}, 4) as beta from c"
+    return f"case when {noise} > 0 then -10 * log10({noise}) end", f"case when {var} >= 0 then sqrt(greatest({var}, 0)) * {beta} end", beta
+
+
+def _triple_sql(i: int, ref: int = 0, absolute: bool = True, more: str = "") -> str:
+    snr, err, beta = _triple_cells(i, ref, absolute)
+    return f"select loc_id, '{COLUMNS[i]}' as dataset, n as n_obs, round({snr}, 4) as snr, round({err}, 4) as err_std, round({beta}, 4) as beta{more} from c"
 
 
 _TRIPLE = _L + f", c as (select loc_id, count(*) as n, {_COV} from l group by 1) "
@@ -74,9 +84,20 @@ def triple_errors(spark, sf_dir):
     return round_all(triple.triple_error(items(spark, sf_dir), "qty", "price", "disc"))
 
 
-@query(None)
+#: The errors of qty and price are correlated: signals by hand from the covariances that no correlated pair is in.
+_EXTENDED = (
+    "c as (select loc_id, " + ", ".join(f"covar_samp({COLUMNS[i]}, {COLUMNS[j]}) as c{i}{j}" for i in range(4) for j in range(i, 4)) + " from l group by 1), "
+    "s as (select *, c02 * c03 / c23 as s0, c12 * c13 / c23 as s1, (c02 * c23 / c03 + c12 * c23 / c13) / 2 as s2, (c03 * c23 / c02 + c13 * c23 / c12) / 2 as s3, (c02 * c13 / c23 + c03 * c12 / c23) / 2 as s01 from c), "
+    "e as (select loc_id, " + ", ".join(f"abs(s{i}) as sig_{c}, abs(c{i}{i} - s{i}) as err_{c}" for i, c in enumerate(COLUMNS)) + ", c01 - s01 as cov from s) "
+)
+
+
+@query(
+    _L + ", " + _EXTENDED + "select loc_id, " + ", ".join(f"round(sig_{c}, 4) as sig_{c}, round(err_{c}, 4) as err_{c}, round(10 * log10(sig_{c} / err_{c}), 4) as snr_{c}" for c in COLUMNS)
+    + ", round(cov, 4) as err_cov_qty_price, round(cov / sqrt(err_qty * err_price), 4) as err_corr_qty_price from e"
+)
 def extended_collocation(spark, sf_dir):
-    return triple.extended_collocation(items(spark, sf_dir), COLUMNS, [("qty", "price")])
+    return round_all(triple.extended_collocation(items(spark, sf_dir), COLUMNS, [("qty", "price")]), 4)
 
 
 def _rank(c: str) -> str:
@@ -88,35 +109,45 @@ def spearman_rho(spark, sf_dir):
     return round_all(ranks.spearman(items(spark, sf_dir), "qty", "price", with_p=False))
 
 
-_CALL = "s as (select loc_id, month(ts) as m, qty, disc from l where month(ts) = 3 and loc_id <= 40)"
+def _tau(x: str, y: str) -> str:
+    """Tables k(loc_id, n_obs) and p: by location, the pairs' signs added up. Distinct value pairs are joined, not rows."""
+    return (
+        f"c as (select loc_id, {x} as x, {y} as y, count(*) as w from l group by 1, 2, 3), k as (select loc_id, count(*) as n_obs from l group by 1), "
+        "p as (select a.loc_id, sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) as s, sum(a.w * b.w * abs(sign(a.x - b.x))) as x, sum(a.w * b.w * abs(sign(a.y - b.y))) as y "
+        "from c a join c b on a.loc_id = b.loc_id and (a.x, a.y) < (b.x, b.y) group by 1)"
+    )
 
 
-@query(
-    _L + ", " + _CALL + ", n as (select *, row_number() over (partition by loc_id) as i from s), "
-    "p as (select a.loc_id, sum(sign(a.qty - b.qty) * sign(a.disc - b.disc)) as s, sum(abs(sign(a.qty - b.qty))) as x, sum(abs(sign(a.disc - b.disc))) as y from n a join n b on a.loc_id = b.loc_id and a.i < b.i group by 1), "
-    "k as (select loc_id, count(*) as n_obs from s group by 1) select k.loc_id, n_obs, round(s / sqrt(x::double * y), 6) as tau from k left join p on k.loc_id = p.loc_id"
-)
+@query(_L + ", " + _tau("disc", "tax") + " select k.loc_id, n_obs, round(s / nullif(sqrt(x::double * y), 0), 6) as tau from k left join p on k.loc_id = p.loc_id")
 def kendall_tau(spark, sf_dir):
-    march = items(spark, sf_dir).filter((F.month("ts") == 3) & (F.col("loc_id") <= 40))
-    return round_all(ranks.kendall(march, "qty", "disc").drop("p_tau"))
+    """tau of every location from all its rows, nearly all of them tied (11 x 9 distinct pairs)."""
+    return round_all(ranks.kendall(items(spark, sf_dir), "disc", "tax").drop("p_tau"))
 
 
-@query(
-    _L + ", c as (select loc_id, qty, disc, count(*) as w from l group by 1, 2, 3), k as (select loc_id, count(*) as n_obs from l group by 1), "
-    "p as (select a.loc_id, sum(a.w * b.w * sign(a.qty - b.qty) * sign(a.disc - b.disc)) as s, sum(a.w * b.w * abs(sign(a.qty - b.qty))) as x, sum(a.w * b.w * abs(sign(a.disc - b.disc))) as y "
-    "from c a join c b on a.loc_id = b.loc_id and (a.qty, a.disc) < (b.qty, b.disc) group by 1) "
-    "select k.loc_id, n_obs, round(s / nullif(sqrt(x::double * y), 0), 6) as tau from k left join p on k.loc_id = p.loc_id"
-)
+@query(_L + ", " + _tau("qty", "disc") + " select k.loc_id, n_obs, round(s / nullif(sqrt(x::double * y), 0), 6) as tau from k left join p on k.loc_id = p.loc_id")
 def kendall_tau_all(spark, sf_dir):
-    """tau of every location from all its rows. The SQL joins distinct value pairs (at most 50 x 11 a location), not rows."""
+    """tau of every location from all its rows (50 x 11 distinct pairs)."""
     return round_all(ranks.kendall(items(spark, sf_dir), "qty", "disc").drop("p_tau"))
 
 
-@query(None)
+def _ties(c: str) -> str:
+    """Of each location: pairs that are equal in c, and the sums that the variance of tau needs."""
+    return f"t{c} as (select loc_id, sum(t * (t - 1) / 2) as pairs, sum(t * (t - 1) * (t - 2)) as three, sum(t * (t - 1) * (2 * t + 5)) as five from (select loc_id, count(*)::double as t from l group by loc_id, {c}) group by 1)"
+
+
+_RHO = f"r as (select loc_id, {_rank('qty')} as a, {_rank('{0}')} as b from l), rho as (select loc_id, count(*) as n, covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) as rho from r group by 1)"
+
+
+@query(
+    _L + ", " + _tau("qty", "disc") + ", " + _ties("qty") + ", " + _ties("disc") + ", " + _RHO.format("disc")
+    + ", z as (select p.loc_id, n_obs, s / sqrt(x::double * y) as tau, abs(s) / sqrt((n_obs * (n_obs - 1.0) * (2 * n_obs + 5) - a.five - b.five) / 18 + 2 * a.pairs * b.pairs / (n_obs * (n_obs - 1.0)) + a.three * b.three / (9.0 * n_obs * (n_obs - 1.0) * (n_obs - 2))) as z "
+    "from p join k on p.loc_id = k.loc_id join tqty a on p.loc_id = a.loc_id join tdisc b on p.loc_id = b.loc_id) "
+    f"select z.loc_id, n_obs, round(rho, 6) as rho, round({statistics.correlation_p('rho', 'n')}, 6) + 0.0 as p_rho, round(tau, 6) as tau, round({statistics.erfc('(z / sqrt(2))')}, 6) + 0.0 as p_tau from z join rho on z.loc_id = rho.loc_id"
+)
 def rank_p_values(spark, sf_dir):
     df = items(spark, sf_dir)
     tau = ranks.kendall(df, "qty", "disc").select("loc_id", "tau", "p_tau")
-    return ranks.spearman(df, "qty", "disc").join(tau, "loc_id")
+    return round_all(ranks.spearman(df, "qty", "disc").join(tau, "loc_id"))
 
 
 @query(_L + ", m as (select loc_id, count(*) as n, covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)) as r from l group by 1) select loc_id, n as n_obs, round(r, 6) as pearson_r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) as lower, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) as upper from m")
@@ -124,14 +155,20 @@ def pearson_interval(spark, sf_dir):
     return round_all(intervals.analytical(items(spark, sf_dir), "qty", "price", "pearson_r"))
 
 
-@query(None)
+_M = "m as (select loc_id, count(*) as n, count(*) - 1 as nu, avg(qty - price) as b, var_pop(qty - price) as v, covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)) as r from l group by 1)"
+
+
+@query(_LR + f", {_M}, {statistics.t_quantiles('t', 'm')} select loc_id, n as n_obs, round(b, 6) as bias, round(b - sqrt(v / m.nu) * sqrt(m.nu) * tan(lo), 6) as lower, round(b + sqrt(v / m.nu) * sqrt(m.nu) * tan(lo), 6) as upper from m join t on m.nu = t.nu and t.i = 60")
 def bias_interval(spark, sf_dir):
-    return intervals.analytical(items(spark, sf_dir), "qty", "price", "bias")
+    return round_all(intervals.analytical(items(spark, sf_dir), "qty", "price", "bias"))
 
 
-@query(None)
+@query(
+    _LR + f", {_M}, {statistics.chi2_quantiles('h', 'm', 0.975)}, {statistics.chi2_quantiles('d', 'm', 0.025)} "
+    "select loc_id, n as n_obs, round(sqrt(v), 6) as ubrmsd, round(sqrt(n * v / h.lo), 6) as lower, round(sqrt(n * v / d.lo), 6) as upper from m join h on m.nu = h.nu and h.i = 60 join d on m.nu = d.nu and d.i = 60"
+)
 def ubrmsd_interval(spark, sf_dir):
-    return intervals.analytical(items(spark, sf_dir), "qty", "price", "ubrmsd")
+    return round_all(intervals.analytical(items(spark, sf_dir), "qty", "price", "ubrmsd"))
 
 
 @query(None)
@@ -163,9 +200,20 @@ def pairwise_matrix(spark, sf_dir):
     return round_all(frames.pairwise_matrix(items(spark, sf_dir), COLUMNS[:3], "bias", ["loc_id"]))
 
 
-@query(None)
+def _all_triples_sql() -> str:
+    parts = []
+    for other in ((1, 2), (1, 3), (2, 3)):
+        names = [COLUMNS[0], *(COLUMNS[k] for k in other)]
+        cov = ", ".join(f"covar_samp({names[i]}, {names[j]}) as c{i}{j}" for i in range(3) for j in range(i, 3))
+        for i, name in enumerate(names):
+            snr, err, beta = _triple_cells(i)
+            parts.append(f"select loc_id, '{name}' as dataset, n as n_obs, round({snr}, 4) as snr, round({err}, 4) as err_std, round({beta}, 4) as beta, '{'_'.join(names)}' as triple from (select loc_id, count(*) as n, {cov} from l group by 1)")
+    return " union all ".join(parts)
+
+
+@query(_L + _all_triples_sql())
 def all_triples(spark, sf_dir):
-    return triple.all_triples(items(spark, sf_dir), COLUMNS, "qty")
+    return round_all(triple.all_triples(items(spark, sf_dir), COLUMNS, "qty"), 4)
 
 
 _SEASON = "case when month(ts) in (12, 1, 2) then 'DJF' when month(ts) in (3, 4, 5) then 'MAM' when month(ts) in (6, 7, 8) then 'JJA' else 'SON' end"
@@ -181,24 +229,90 @@ def seasonal_pairwise(spark, sf_dir):
     return round_all(run(items(spark, sf_dir), ["loc_id"]).select("loc_id", "subset", "n_obs", "BIAS", "RMSD", "R", "urmsd", "status"))
 
 
-@query(None)
+def _pair_cells(x: str, y: str) -> dict[str, str]:
+    """SQL of the metrics of two columns, as aggregates."""
+    sx, sy, r = f"stddev_pop({x})", f"stddev_pop({y})", f"covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y}))"
+    parts = {"mse_corr": f"2 * {sx} * {sy} - 2 * covar_pop({x}, {y})", "mse_var": f"pow({sx} - {sy}, 2)", "mse_bias": f"pow(avg({x}) - avg({y}), 2)"}
+    whole = f"avg(({x} - {y}) * ({x} - {y}))"
+    return {"R": r, "BIAS": f"avg({x} - {y})", "mse": whole, **parts, "RSS": f"sum(({x} - {y}) * ({x} - {y}))", "RMSD": f"sqrt({whole})", "urmsd": f"sqrt(var_pop({x} - {y}))"}
+
+
+_CELLS = ", ".join(f'{v} as "{k}"' for k, v in _pair_cells("qty", "price").items())
+_CALCULATED = f"m as (select loc_id, count(*) as n, count(*) - 1 as nu, {_CELLS} from l group by 1)"
+_HALF = "1.959963984540054 / sqrt(m.n - 3)"
+
+
+def _rounded(names) -> str:
+    return ", ".join(f'round("{k}", {8 if k == "BIAS" else 5}) + 0.0 as "{k}"' for k in names)
+
+
+@query(
+    _LR + f", {_CALCULATED}, {_RHO.format('price')}, {statistics.t_quantiles('t', 'm')}, {statistics.chi2_quantiles('h', 'm', 0.975)}, {statistics.chi2_quantiles('d', 'm', 0.025)} "
+    f"select m.loc_id, m.n::int as n_obs, {_rounded(_pair_cells('qty', 'price'))}, 0 as status, round({statistics.correlation_p(chr(34) + 'R' + chr(34), 'm.n')}, 5) + 0.0 as \"p_R\", round(rho, 5) as rho, round({statistics.correlation_p('rho', 'm.n')}, 5) + 0.0 as p_rho, "
+    'round("BIAS" - urmsd * tan(t.lo), 8) as "BIAS_ci_lower", round("BIAS" + urmsd * tan(t.lo), 8) as "BIAS_ci_upper", round(sqrt(m.n / h.lo) * urmsd, 5) as urmsd_ci_lower, round(sqrt(m.n / d.lo) * urmsd, 5) as urmsd_ci_upper, '
+    f'round(tanh(atanh("R") - {_HALF}), 5) as "R_ci_lower", round(tanh(atanh("R") + {_HALF}), 5) as "R_ci_upper", round(tanh(atanh(rho) - sqrt(1 + rho * rho / 2) * {_HALF}), 5) as rho_ci_lower, round(tanh(atanh(rho) + sqrt(1 + rho * rho / 2) * {_HALF}), 5) as rho_ci_upper '
+    "from m join rho on m.loc_id = rho.loc_id join t on m.nu = t.nu and t.i = 60 join h on m.nu = h.nu and h.i = 60 join d on m.nu = d.nu and d.i = 60"
+)
 def pairwise_calculator(spark, sf_dir):
-    return calculators.pairwise("qty", "price")(items(spark, sf_dir), ["loc_id"])
+    return round_all(calculators.pairwise("qty", "price")(items(spark, sf_dir), ["loc_id"]), 5, "bias")
 
 
-@query(None)
+@query(
+    _L + f", {_CALCULATED}, {_RHO.format('price')} select m.loc_id, m.n::int as n_obs, {_rounded(['R', 'RMSD', 'BIAS', 'mse', 'mse_corr', 'mse_bias', 'mse_var'])}, 0 as status, "
+    f"round({statistics.correlation_p(chr(34) + 'R' + chr(34), 'm.n')}, 5) + 0.0 as \"p_R\", round(rho, 5) as rho, round({statistics.correlation_p('rho', 'm.n')}, 5) + 0.0 as p_rho from m join rho on m.loc_id = rho.loc_id"
+)
 def basic_calculator(spark, sf_dir):
-    return calculators.basic("qty", "price", mse=True)(items(spark, sf_dir), ["loc_id"])
+    return round_all(calculators.basic("qty", "price", mse=True)(items(spark, sf_dir), ["loc_id"]), 5, "bias")
+
+
+def _between_sql(more: str = "", cells: str = "") -> str:
+    """The wide rows of three columns' pairs; urmsd is that of series scaled to each other. more: CTEs, cells: further columns."""
+    pairs = [(a, b) for i, a in enumerate(COLUMNS[:3]) for b in COLUMNS[i + 1 : 3]]
+    aggregates, out, ranked = [], [], []
+    for a, b in pairs:
+        got = {k.lower() if k in ("RSS", "RMSD", "BIAS") else k: v for k, v in _pair_cells(a, b).items()}
+        got["urmsd"] = f"sqrt(greatest(2 * var_pop({a}) * (1 - {got['R']}), 0))"
+        at = f"between_{a}_and_{b}"
+        aggregates += [f'{v} as "{k}_{at}"' for k, v in got.items()]
+        out += [f'round("{k}_{at}", {8 if k == "bias" else 5}) + 0.0 as "{k}_{at}"' for k in got]
+        out.append(f"round({statistics.correlation_p(f'{chr(34)}R_{at}{chr(34)}', 'm.n')}, 5) + 0.0 as \"p_R_{at}\"")
+        ranked.append(f"covar_pop(r_{a}, r_{b}) / sqrt(var_pop(r_{a}) * var_pop(r_{b})) as rho_{at}")
+        out += [f"round(rho_{at}, 5) + 0.0 as rho_{at}", f"round({statistics.correlation_p(f'rho_{at}', 'm.n')}, 5) + 0.0 as p_rho_{at}"]
+    ranks_of = ", ".join(f"{_rank(c)} as r_{c}" for c in COLUMNS[:3])
+    return (
+        _L + f", m as (select loc_id, count(*) as n, {', '.join(aggregates)} from l group by 1), q as (select loc_id, {ranks_of} from l), rho as (select loc_id, {', '.join(ranked)} from q group by 1){more} "
+        f"select m.loc_id, m.n::int as n_obs, {', '.join(out)}{cells} from m join rho on m.loc_id = rho.loc_id" + (" join c on m.loc_id = c.loc_id" if more else "")
+    )
+
+
+@query(_between_sql())
+def intercomparison_calculator(spark, sf_dir):
+    return round_all(calculators.intercomparison(COLUMNS[:3], "qty", metrics_between_nonref=True)(items(spark, sf_dir), ["loc_id"]), 5, "bias")
 
 
-@query(None)
-def intercomparison_calculator(spark, sf_dir):
-    return calculators.intercomparison(COLUMNS[:3], "qty", metrics_between_nonref=True)(items(spark, sf_dir), ["loc_id"])
+def _wide_triple(name: str) -> str:
+    return "".join(f", round({cell}, 5) + 0.0 as {metric}_{c}_between_{name}" for i, c in enumerate(COLUMNS[:3]) for metric, cell in zip(("snr", "err_std", "beta"), _triple_cells(i), strict=True))
 
 
-@query(None)
+@query(_between_sql(f", c as (select loc_id, {_COV} from l group by 1)", _wide_triple("_and_".join(COLUMNS[:3]))))
+def triple_and_pairs_calculator(spark, sf_dir):
+    """The intercomparison's rows with the metrics of the triple."""
+    return round_all(calculators.triple_and_pairs(COLUMNS[:3], "qty", metrics_between_nonref=True)(items(spark, sf_dir), ["loc_id"]), 5, "bias")
+
+
+def _seasonal_triple_sql() -> str:
+    """Triple rows have a dataset, pair rows a pair; the second of a pair is first scaled to the first by the season's extrema."""
+    parts = [f"select loc_id, '{COLUMNS[i]}' as dataset, n as n_obs, round({snr}, 4) as snr, round({err}, 4) as err_std, round({beta}, 4) as beta, subset, null::varchar as pair, null::double as \"R\", null::double as bias, null::double as ubrmsd, null::double as rho, case when n < 3 then 1 when {snr} is null or {err} is null or {beta} is null then 2 else 0 end as status from c" for i, (snr, err, beta) in ((i, _triple_cells(i)) for i in range(3))]
+    for i, a in enumerate(COLUMNS[:3]):
+        for b in COLUMNS[i + 1 : 3]:
+            scaled = f"select loc_id, subset, {a} as x, ({b} - min({b}) over w) / (max({b}) over w - min({b}) over w) * (max({a}) over w - min({a}) over w) + min({a}) over w as y, rank() over (partition by loc_id, subset order by {a}) + (count(*) over (partition by loc_id, subset, {a}) - 1) / 2.0 as rx, rank() over (partition by loc_id, subset order by {b}) + (count(*) over (partition by loc_id, subset, {b}) - 1) / 2.0 as ry from s window w as (partition by loc_id, subset)"
+            parts.append(f"select loc_id, null as dataset, count(*) as n_obs, null as snr, null as err_std, null as beta, subset, '{a}_and_{b}' as pair, round(covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)), 4) + 0.0, round(avg(x - y), 8) + 0.0, round(sqrt(var_pop(x - y)), 4), round(covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)), 4) + 0.0, case when count(*) < 3 then 1 else 0 end from ({scaled}) group by loc_id, subset")
+    return _L + f", s as (select *, {_SEASON} as subset from l union all select *, 'ALL' as subset from l), c as (select loc_id, subset, count(*) as n, {_COV} from s group by 1, 2) " + " union all ".join(parts)
+
+
+@query(_seasonal_triple_sql())
 def seasonal_triple_calculator(spark, sf_dir):
-    return calculators.seasonal_triple(COLUMNS[:3], "qty")(items(spark, sf_dir), ["loc_id"])
+    return round_all(calculators.seasonal_triple(COLUMNS[:3], "qty")(items(spark, sf_dir), ["loc_id"]), 4, "bias")
 
 
 @query(
@@ -225,13 +339,12 @@ def mse_with_ddof(spark, sf_dir):
     return round_all(moments.mse_with_ddof(items(spark, sf_dir), ["loc_id"], "qty", "price", 1))
 
 
-@query(None)
+@query(
+    _L + f", {_RHO.format('disc')}, " + _tau("qty", "disc") + ", t as (select p.loc_id, s / sqrt(x::double * y) as tau from p) "
+    "select rho.loc_id, round(rho, 6) as spearman_r, round(tanh(atanh(rho) - h * sqrt(1 + rho * rho / 2)), 6) as spearman_r_lower, round(tanh(atanh(rho) + h * sqrt(1 + rho * rho / 2)), 6) as spearman_r_upper, "
+    "round(tau, 6) as kendall_tau, round(tanh(atanh(tau) - h * 0.431), 6) as kendall_tau_lower, round(tanh(atanh(tau) + h * 0.431), 6) as kendall_tau_upper from (select *, 1.959963984540054 / sqrt(n - 3) as h from rho) rho join t on rho.loc_id = t.loc_id"
+)
 def rank_intervals(spark, sf_dir):
     df = items(spark, sf_dir)
     a, b = (intervals.analytical(df, "qty", "disc", m).select("loc_id", m, F.col("lower").alias(f"{m}_lower"), F.col("upper").alias(f"{m}_upper")) for m in ("spearman_r", "kendall_tau"))
-    return a.join(b, "loc_id")
-
-
-@query(None)
-def triple_and_pairs_calculator(spark, sf_dir):
-    return calculators.triple_and_pairs(COLUMNS[:3], "qty")(items(spark, sf_dir), ["loc_id"])
+    return round_all(a.join(b, "loc_id"))

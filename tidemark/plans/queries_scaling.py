@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import scaling
-from .inputs import round_all, table
+from .inputs import fresh_folder, round_all, table
 
 _P = "with p as (select l_orderkey, l_linenumber, l_suppkey as loc_id, l_quantity as x, l_extendedprice / 1000 as y from lineitem), s as (select loc_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy, regr_slope(y, x) as b, regr_intercept(y, x) as a from p group by 1) "
 _OUT = "select p.l_orderkey, p.l_linenumber, p.loc_id, p.y, round({0}, 6) as x from p join s on p.loc_id = s.loc_id"
@@ -40,21 +40,62 @@ def linreg_parameters(spark, sf_dir):
     return got.select("loc_id", F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query(
-    _P + ", r as (select loc_id, y, row_number() over (partition by loc_id order by y) - 1 as i, count(*) over (partition by loc_id) as n from p), "
-    "w as (select distinct loc_id, n, unnest([0.0, 5.0, 10.0, 30.0, 50.0, 70.0, 90.0, 95.0, 100.0])::double as percentile from r), "
-    "a as (select *, greatest(0.0, least(percentile / 100 * n - 0.5, n - 1.0)) as pos from w) "
-    "select a.loc_id, a.percentile, round(l.y + (a.pos - floor(a.pos)) * (h.y - l.y), 9) as value from a join r l on a.loc_id = l.loc_id and l.i = floor(a.pos) join r h on a.loc_id = h.loc_id and h.i = least(floor(a.pos) + 1, a.n - 1)"
-)
+def _hazen(value: str, percentiles: str, name: str) -> str:
+    """CTEs up to name(loc_id, percentile, k, value): Hazen percentiles of a column of p; k numbers the percentiles from 0."""
+    return (
+        f"{name}_r as materialized (select loc_id, {value} as v, row_number() over (partition by loc_id order by {value}) - 1 as i, count(*) over (partition by loc_id) as n from p), "
+        f"{name}_a as materialized (select *, cast(floor(pos) as bigint) as low, least(cast(floor(pos) as bigint) + 1, n - 1) as high from (select loc_id, n, percentile, k, greatest(0.0, least(percentile / 100 * n - 0.5, n - 1.0)) as pos "
+        f"from (select distinct loc_id, n from {name}_r), (select unnest({percentiles})::double as percentile, generate_subscripts({percentiles}, 1) - 1 as k))), "
+        f"{name} as (select a.loc_id, a.percentile, a.k, l.v + (a.pos - a.low) * (h.v - l.v) as value from {name}_a a join {name}_r l on a.loc_id = l.loc_id and l.i = a.low join {name}_r h on a.loc_id = h.loc_id and h.i = a.high)"
+    )
+
+
+def _untied(name: str) -> str:
+    """CTE {name}_u(loc_id, k, value): equal values spread on a line from the first of them to the next value; the last value belongs to the last percentile."""
+    return (
+        f"{name}_f as (select loc_id, k, percentile, value from (select *, lag(value) over (partition by loc_id order by k) as before from {name}) where before is null or value > before), "
+        f"{name}_g as (select loc_id, count(*) as kinds, max(k) as last from {name}_f group by 1), "
+        f"{name}_k as (select f.loc_id, f.value, case when f.k = g.last then (select max(percentile) from {name}) else f.percentile end as at, lead(f.value) over w as v2, lead(case when f.k = g.last then (select max(percentile) from {name}) else f.percentile end) over w as at2 "
+        f"from {name}_f f join {name}_g g on f.loc_id = g.loc_id window w as (partition by f.loc_id order by f.k)), "
+        f"{name}_u as (select h.loc_id, h.k, case when g.kinds = 1 then h.value else (select min(z.value + (h.percentile - z.at) * (z.v2 - z.value) / (z.at2 - z.at)) from {name}_k z where z.loc_id = h.loc_id and z.at2 is not null and h.percentile >= z.at and (h.percentile < z.at2 or (h.percentile = z.at2 and z.at2 = 100))) end as value "
+        f"from {name} h join {name}_g g on h.loc_id = g.loc_id)"
+    )
+
+
+_NINE = "[0.0, 5.0, 10.0, 30.0, 50.0, 70.0, 90.0, 95.0, 100.0]"
+
+
+@query(_P + ", " + _hazen("y", _NINE, "h") + " select loc_id, percentile, round(value, 9) as value from h")
 def hazen_percentiles(spark, sf_dir):
     return round_all(scaling.rank_percentiles(pairs(spark, sf_dir), "y"), 9)
 
 
-@query(None)
-def cdf_matching(spark, sf_dir):
-    return scaling.cdf_match(pairs(spark, sf_dir), "x", "y")
+_CDF = f"{_P}, {_hazen('x', _NINE, 'hx')}, {_hazen('y', _NINE, 'hy')}, {_untied('hx')}, {_untied('hy')}"
 
 
-@query(None)
+@query(_CDF + " select a.loc_id, a.k::int as k, round(a.value, 9) as x_perc, round(b.value, 9) as y_perc from hx_u a join hy_u b on a.loc_id = b.loc_id and a.k = b.k")
 def cdf_parameters(spark, sf_dir):
-    return scaling.cdf_parameters(pairs(spark, sf_dir), "x", "y", percentiles=list(scaling.PERCENTILES))
+    """The parameters of every location, a row for each percentile."""
+    got = scaling.cdf_parameters(pairs(spark, sf_dir), "x", "y", percentiles=list(scaling.PERCENTILES))
+    return round_all(got.select("loc_id", F.posexplode(F.arrays_zip("x_perc", "y_perc")).alias("k", "c")).select("loc_id", "k", "c.x_perc", "c.y_perc"), 9)
+
+
+_CARRIED = (
+    _CDF + ", c as (select a.loc_id, a.k, a.value as x1, b.value as y1, lead(a.value) over w as x2, lead(b.value) over w as y2 from hx_u a join hy_u b on a.loc_id = b.loc_id and a.k = b.k window w as (partition by a.loc_id order by a.k)), "
+    "seg as (select *, row_number() over (partition by loc_id order by k) as first, row_number() over (partition by loc_id order by k desc) as last from c where x2 is not null) "
+    "select p.l_orderkey, p.l_linenumber, p.loc_id, p.y, round(s.y1 + (p.x - s.x1) * (s.y2 - s.y1) / (s.x2 - s.x1), 9) as x from p join seg s on p.loc_id = s.loc_id and (p.x >= s.x1 or first = 1) and (p.x < s.x2 or last = 1)"
+)
+
+
+@query(_CARRIED)
+def stored_cdf(spark, sf_dir):
+    """CDF parameters fitted in two goes and kept in a table: the second go fits only the locations that lack some."""
+    df = pairs(spark, sf_dir)
+    kept = scaling.StoredCdf(spark, fresh_folder(spark, "cdf"))
+    kept.scale(df.filter("loc_id % 2 = 0"), "x", "y")
+    return kept.scale(df, "x", "y").withColumn("x", F.round("x", 9))
+
+
+@query(None)
+def cdf_matching(spark, sf_dir):
+    return scaling.cdf_match(pairs(spark, sf_dir), "x", "y")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import calendar as cal
 from ..operators import adapters, series as ops
+from . import statistics_sql as statistics
 from .inputs import DAILY, SERIES_SQL, daily, round_all, series, table
 
 _D = f"with d as ({DAILY}) "
@@ -102,9 +103,13 @@ def rolling_agreement_trailing(spark, sf_dir):
     return round_all(ops.rolling_agreement(_pairs(spark, sf_dir), "x", "y", 20, False, 5, with_p=False), 5)
 
 
-@query(None)
+@query(
+    _PAIRS + ", w as (select a.loc_id, a.ts, count(*) as n, case when count(*) >= 2 and var_pop(b.x) > 1e-15 and var_pop(b.y) > 1e-15 then covar_pop(b.x, b.y) / sqrt(var_pop(b.x) * var_pop(b.y)) end as r, sqrt(avg((b.x-b.y)*(b.x-b.y))) as d "
+    "from q a join q b on a.loc_id = b.loc_id and b.ts >= a.ts - interval 30 days and b.ts <= a.ts + interval 30 days group by 1, 2) "
+    f"select loc_id, ts, n as n_obs, round(r, 5) + 0.0 as R, round(case when n >= 2 then d end, 5) as RMSD, round({statistics.correlation_p('r', 'n')}, 5) + 0.0 as p_R from w"
+)
 def rolling_agreement_p_values(spark, sf_dir):
-    return ops.rolling_agreement(_pairs(spark, sf_dir), "x", "y", 30)
+    return round_all(ops.rolling_agreement(_pairs(spark, sf_dir), "x", "y", 30), 5)
 
 
 _LABEL = "cast(make_date(year({0}), month({0}), case when day({0}) < 11 then {1} when day({0}) < 21 then {2} else {3} end) as timestamp)"
@@ -122,6 +127,27 @@ def dekad_starts(spark, sf_dir):
     return ops.by_day_bins(daily(spark, sf_dir), [F.count("*").alias("n")], start=True).withColumn("label", F.col("label").cast("timestamp_ntz"))
 
 
+@query(
+    "with o as (select cast(o_orderdate as timestamp) as ts from orders), d as (select unnest(generate_series((select min(ts) from o), (select max(ts) from o), interval 1 day)) as day), "
+    "b as (select distinct " + _END.format("day") + " as label from d), n as (select " + _END.format("ts") + " as label, count(*) as n from o group by 1) select b.label, coalesce(n, 0) as n from b left join n on b.label = n.label"
+)
+def dekads_between(spark, sf_dir):
+    """Every dekad from the first order to the last one, with its orders, also where there are none."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"))
+    first, last = orders.agg(F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))).first()
+    counts = orders.groupBy(cal.dekad_end(F.col("ts")).alias("label")).agg(F.count("*").alias("n"))
+    found = cal.labels_between(spark, str(first), str(last)).join(counts, "label", "left")
+    return found.select(F.col("label").cast("timestamp_ntz").alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select event_id, ts, value from events")
+def naive_utc_times(spark, sf_dir):
+    """Zoned time stamps, made from microseconds since 1970, as naive UTC ones."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    zoned = table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(us).alias("ts"), "value")
+    return adapters.naive_utc(zoned)
+
+
 @query(
     "select distinct o_orderdate as ts, cast((month(o_orderdate) - 1) * 3 + least(3, (day(o_orderdate) - 1) // 10 + 1) as int) as dekad_index, " + _END.format("o_orderdate") + " as dekad_end, " + _START.format("o_orderdate") + " as dekad_start, "
     "cast(cast(o_orderdate as date) as timestamp) = " + _END.format("o_orderdate") + " as is_end, dayofyear(o_orderdate)::int as doy, " + _LEAP.format("o_orderdate") + "::int as leap_doy, "
