@@ -18,6 +18,7 @@ in ascending order.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import struct
@@ -38,6 +39,8 @@ PERCENTILE = 0.9
 FILE_IDS = 1 << 22
 #: Pieces of texts whose ids a worker remembers.
 CACHE_PIECES = 500_000
+#: New words that the library encodes as one text.
+LEARN_WORDS = 1000
 
 #: Punctuation after a word that is a match of its own. No apostrophe: contractions are matches too.
 _TAIL = ".,;:!?|"
@@ -81,19 +84,29 @@ class PieceEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        text = " " + " ".join(new)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(self.bytes[ids])
-        sizes = np.fromiter((len(x.encode()) + 1 for x in new), np.int64, len(new))
-        cuts = np.searchsorted(ends, np.cumsum(sizes)) + 1
-        raw, at = ids.tobytes(), 0
-        for piece, cut in zip(new, cuts.tolist(), strict=True):
-            self.words[piece] = raw[4 * at : 4 * cut]
-            at = cut
+        for k in range(0, len(new), LEARN_WORDS):
+            part = new[k : k + LEARN_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(self.bytes[ids])
+            sizes = np.fromiter((len(x.encode()) + 1 for x in part), np.int64, len(part))
+            cuts = np.searchsorted(ends, np.cumsum(sizes)) + 1
+            raw, at = ids.tobytes(), 0
+            for piece, cut in zip(part, (4 * cuts).tolist(), strict=True):
+                self.words[piece] = raw[at:cut]
+                at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
+        collects = gc.isenabled()
+        gc.disable()  # millions of live strings and no cycles: the collector would walk them again and again
+        try:
+            return self._by_pieces(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         if len(self.words) > CACHE_PIECES:
@@ -108,9 +121,10 @@ class PieceEncoder:
                 continue
             pieces = text.split(" ")
             got = list(map(look_up, pieces))
-            unknown = [i for i, x in enumerate(got) if x is None]
-            waiting.append((k, pieces[0], got, [(i, pieces[i]) for i in unknown]))
-            for _, p in waiting[-1][3]:
+            unknown = [i for i, x in enumerate(got) if x is None] if None in got else []
+            waiting.append((k, pieces, got, unknown))
+            for i in unknown:
+                p = pieces[i]
                 if p not in new:
                     if not p or p[0].isspace() or p[-1].isspace():
                         waiting.pop()
@@ -127,14 +141,14 @@ class PieceEncoder:
         self.tails.update(zip(tails, self.whole(tails), strict=True))
         for p, w in new.items():
             known[p] = words[w] + self.tails[p[len(w) :]] if len(w) < len(p) else words[w]
-        begin = list(dict.fromkeys(p for _, p, _, _ in waiting if p not in self.first))
+        begin = list(dict.fromkeys(p[0] for _, p, _, _ in waiting if p[0] not in self.first))
         self.first.update(zip(begin, self.whole(begin), strict=True))
         for k, got in zip(whole, self.whole([texts[k] for k in whole]), strict=True):
             out[k] = got
-        for k, begin_with, got, unknown in waiting:
-            for i, p in unknown:
-                got[i] = known[p]
-            got[0] = self.first[begin_with]
+        for k, pieces, got, unknown in waiting:
+            for i in unknown:
+                got[i] = known[pieces[i]]
+            got[0] = self.first[pieces[0]]
             out[k] = b"".join(got)
         return out
 
