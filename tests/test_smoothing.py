@@ -49,8 +49,9 @@ def test_transform_and_edges(spark):
     for r in range(6):
         for c in range(7):
             assert (r - i[r, c]) ** 2 + (c - j[r, c]) ** 2 == min((r - 1) ** 2 + (c - 2) ** 2, (r - 5) ** 2 + (c - 5) ** 2)
-    with pytest.raises(NotImplementedError):
-        S.robust_weights(np.zeros(3), 0.5, np.ones(3, bool), "bisquare")
+    assert (S.robust_weights(np.zeros(3), 0.5, np.ones(3, bool)) == 1).all()
+    w = S.robust_weights(np.array([0.0, 0.1, -0.1, 0.05, 9.0]), 0.5, np.ones(5, bool))
+    assert w[0] == 1 and w[1] == w[2] and w[4] < 0.01
     df = spark.createDataFrame([(1, [1.0, 2.0, None, 4.0, 5.0]), (2, None), (3, [1.0])], "k int, a array<double>")
     got = {r.k: r for r in S.smooth_arrays(df, "a").collect()}
     assert got[2].smoothed is None and got[3].smoothed_flag == S.TOO_FEW and got[1].smoothed[2] == pytest.approx(3, abs=0.2)
