@@ -63,13 +63,21 @@ def freeze_thaw(ref: str = "ref", temperature: str = "k1", frozen_flag: int = 2)
 
 
 def pairwise(x: str, y: str, min_obs: int = 10, calc_spearman: bool = True, calc_kendall: bool = False, analytical_cis: bool = True, bootstrap_cis: bool = False, bootstrap_min_obs: int = 100, bootstrap_alpha: float = 0.05, seed: int = 0) -> Calculator:
-    """BIAS, mse with its parts, RSS, RMSD, urmsd, R with p, rho, tau, and intervals <metric>_ci_lower and _upper."""
+    """BIAS, mse with its parts, RSS, RMSD, urmsd, R with p, rho, tau, and intervals <metric>_ci_lower and _upper.
+
+    The moments are added up once, for the metrics and their analytical intervals; rank correlations and the bootstrap, each
+    one more pass over a key's rows, are joined.
+    """
 
     def run(df: DataFrame, keys: list[str]) -> DataFrame:
         m = df.groupBy(*keys).agg(*pair_moments(x, y))
         enough = F.col("n") >= min_obs
         names = {"BIAS": "bias", "mse": "mse", "mse_corr": "mse_corr", "mse_var": "mse_var", "mse_bias": "mse_bias", "RSS": "rss", "RMSD": "rmsd", "urmsd": "ubrmsd", "R": "pearson_r"}
-        out = m.select(*keys, F.col("n").cast("int").alias("n_obs"), *_guarded(evaluate(names.values()), names, enough), status_of(F.col("n"), min_obs).alias("status"))
+        ends = []
+        for metric, name in (("bias", "BIAS"), ("ubrmsd", "urmsd"), ("pearson_r", "R")) if analytical_cis else ():
+            _, low, high = intervals.moment_interval(metric)
+            ends += _guarded((low, high), (f"{name}_ci_lower", f"{name}_ci_upper"), enough)
+        out = m.select(*keys, F.col("n").cast("int").alias("n_obs"), *_guarded(evaluate(names.values()), names, enough), *ends, status_of(F.col("n"), min_obs).alias("status"))
         out = out.withColumn("p_R", correlation_p(F.col("R"), F.col("n_obs").cast("double")))
 
         def add(found: DataFrame, columns: dict[str, str]) -> None:
@@ -82,15 +90,14 @@ def pairwise(x: str, y: str, min_obs: int = 10, calc_spearman: bool = True, calc
         if calc_kendall:
             add(ranks.kendall(df, x, y, keys), {"tau": "tau", "p_tau": "p_tau"})
         if analytical_cis:
-            for metric, name in (("bias", "BIAS"), ("ubrmsd", "urmsd"), ("pearson_r", "R")):
-                add(intervals.analytical(df, x, y, metric, keys), {"lower": f"{name}_ci_lower", "upper": f"{name}_ci_upper"})
             for name, kind, on in (("rho", "spearman_r", calc_spearman), ("tau", "kendall_tau", calc_kendall)):
                 if on:
                     low, high = intervals.fisher_interval(F.col(name), F.col("n_obs"), 0.05, intervals.rank_factor(kind, F.col(name)))
                     out = out.withColumn(f"{name}_ci_lower", low).withColumn(f"{name}_ci_upper", high)
         if bootstrap_cis:
-            for metric, name in (("msd", "mse"), ("mse_corr", "mse_corr"), ("mse_var", "mse_var"), ("mse_bias", "mse_bias"), ("rmsd", "RMSD")):
-                add(intervals.bootstrapped(df, x, y, metric, keys, bootstrap_alpha, minimum_data_length=bootstrap_min_obs, seed=seed), {"lower": f"{name}_ci_lower", "upper": f"{name}_ci_upper"})
+            sampled = {"mse": "msd", "mse_corr": "mse_corr", "mse_var": "mse_var", "mse_bias": "mse_bias", "RMSD": "rmsd"}
+            found = intervals.bootstrapped_many(df, x, y, sampled, keys, bootstrap_alpha, minimum_data_length=bootstrap_min_obs, seed=seed)
+            add(found, {f"{n}_{end}": f"{n}_ci_{end}" for n in sampled for end in ("lower", "upper")})
         return out
 
     return run
@@ -144,12 +151,14 @@ def intercomparison(columns: list[str], refname: str, metrics_between_nonref: bo
             }
             out += [F.when(enough, c).alias(f"{k}_between_{a}_and_{b}") for k, c in cells.items()]
         found = m.select(*keys, F.col("n_obs").cast("int").alias("n_obs"), *out)
+        if calc_rho:
+            found = found.join(ranks.spearman_of_pairs(full, pairs, keys).drop("n_obs"), keys, "left")
         for a, b in pairs:
-            found = found.withColumn(f"p_R_between_{a}_and_{b}", correlation_p(F.col(f"R_between_{a}_and_{b}"), F.col("n_obs").cast("double")))
-            for on, function, names in ((calc_rho, ranks.spearman, ("rho", "p_rho")), (calc_tau, ranks.kendall, ("tau", "p_tau"))):
-                if on:
-                    got = function(full, a, b, keys).select(*keys, *(F.col(n).alias(f"{n}_between_{a}_and_{b}") for n in names))
-                    found = found.join(got, keys, "left")
+            for name in ("R", "rho") if calc_rho else ("R",):
+                found = found.withColumn(f"p_{name}_between_{a}_and_{b}", correlation_p(F.col(f"{name}_between_{a}_and_{b}"), F.col("n_obs").cast("double")))
+            if calc_tau:
+                got = ranks.kendall(full, a, b, keys).select(*keys, *(F.col(n).alias(f"{n}_between_{a}_and_{b}") for n in ("tau", "p_tau")))
+                found = found.join(got, keys, "left")
         return found
 
     return run

@@ -13,10 +13,14 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import window_sums
+
 US = 1_000_000
 DAY_US = 86_400 * US
 #: A stretch of time is so many tolerances long, and at least one day.
 STRETCH = 32
+#: The length of a stretch where no tolerance gives one.
+UNLIMITED_STRETCH_US = 32 * DAY_US
 
 
 def micros(ts: Column | str) -> Column:
@@ -146,11 +150,15 @@ def windowed_mean(
     ref = ref.select(*keys, "__us", "__b", F.struct(*reference.columns).alias("__ref"))
     rows = (other.filter(valid) if valid else other).select(*keys, micros(ts).alias("__us"), *(F.col(c).cast("double").alias(f"__{c}") for c in values))
     rows = rows.filter("__us is not null").withColumn("__b", _stretches(F.col("__us"), size, w))
-    near = Window.partitionBy(*keys, "__b").orderBy("__us").rangeBetween(-w, w)
+    by = [*keys, "__b"]
     both = ref.unionByName(rows, allowMissingColumns=True).repartition(*keys, "__b")
     first = F.row_number().over(Window.partitionBy(*keys, "__b", "__us", F.col("__ref").isNull()).orderBy("__ref"))
     both = both.withColumn("__copy", F.when(F.col("__ref").isNotNull(), first).otherwise(1)).filter("__copy = 1")
-    both = both.select("__ref", *(F.avg(F.nanvl(f"__{c}", F.lit(None).cast("double"))).over(near).alias(prefix + c) for c in values)).filter("__ref is not null")
+    present = {c: F.nanvl(f"__{c}", F.lit(None).cast("double")) for c in values}
+    both = both.withColumns({f"__c_{c}": F.min(v).over(Window.partitionBy(*by)) for c, v in present.items()})
+    sums = {f"__n_{c}": v.isNotNull().cast("int") for c, v in present.items()} | {f"__s_{c}": v - F.col(f"__c_{c}") for c, v in present.items()}
+    both = window_sums(both, by, "__us", sums, F.col("__ref").isNotNull(), -w, w)
+    both = both.select("__ref", *((F.col(f"__c_{c}") + F.col(f"__s_{c}") / F.nullif(f"__n_{c}", F.lit(0.0))).alias(prefix + c) for c in values))
     matched = both.select("__ref.*", *(prefix + c for c in values))
     return matched.dropna(dropna, subset=[prefix + c for c in values]) if dropna else matched
 
@@ -188,16 +196,23 @@ def unlimited_nearest(reference: DataFrame, other: DataFrame, values: list[str],
     """The nearest row of other however far away, its time (`index`) and signed distance in days.
 
     Values of rows further than the window are null; bounds "<=" or ">=" makes the window half open. With dropduplicates an
-    other row stays matched only to the reference row that is nearest to it. Without a bound on the distance, a location is
-    one partition here; `nearest` has no such limit.
+    other row stays matched only to the reference row that is nearest to it.
+
+    Rows are dealt by location and stretch of time. Where a stretch has no row before or after, the last one of the stretches
+    before, or the first one of those after, is the neighbour: they come from a table with a row for each stretch.
     """
     keys = ["loc_id"] if keys is None else keys
+    stretch = F.coalesce(F.floor(F.col("__us") / UNLIMITED_STRETCH_US), F.lit(0))
     ref = reference.withColumn("__us", micros(ts)).select(*keys, "__us", F.struct(*reference.columns).alias("__ref"), F.lit(1).alias("__kind"))
     rows = first_per_stamp(other.select(*keys, ts, *values), keys, ts).withColumn("__us", micros(ts)).select(*keys, "__us", F.struct("__us", ts, *values).alias("__o"), F.lit(0).alias("__kind"))
-    before, after = _both_ways(keys)
-    both = ref.unionByName(rows, allowMissingColumns=True)
-    both = both.select("*", F.last("__o", True).over(before).alias("p"), F.last("__o", True).over(after).alias("f")).filter("__kind = 1")
-    p, f, us = F.col("p"), F.col("f"), F.col("__us")
+    both = ref.unionByName(rows, allowMissingColumns=True).withColumn("__b", stretch)
+    ends = both.groupBy(*keys, "__b").agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi"))
+    past = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__b", F.last("__hi", True).over(past).alias("__p"), F.last("__lo", True).over(coming).alias("__f"))
+    before, after = _both_ways([*keys, "__b"])
+    both = both.select("*", F.last("__o", True).over(before).alias("p"), F.last("__o", True).over(after).alias("f")).filter("__kind = 1").join(ends, [*keys, "__b"])
+    p, f, us = F.coalesce("p", "__p"), F.coalesce("f", "__f"), F.col("__us")
     best = F.when(f.isNull(), p).when(p.isNull(), f).when(f["__us"] - us <= us - p["__us"], f).otherwise(p)
     both = both.select(*keys, "__ref", us, best.alias("__o")).withColumn("__d", F.col("__o.__us") - us)
     if dropduplicates:

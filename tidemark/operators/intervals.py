@@ -50,20 +50,22 @@ def analytical(df: DataFrame, x: str, y: str, metric: str, keys: list[str] | Non
         found = function(df, x, y, keys)
         low, high = fisher_interval(F.col(name), F.col("n_obs"), alpha, rank_factor(metric, F.col(name)))
         return found.select(*keys, "n_obs", F.col(name).alias(metric), low.alias("lower"), high.alias("upper"))
-    m = df.groupBy(*keys).agg(*pair_moments(x, y))
-    n, df1 = F.col("n"), (F.col("n") - 1).cast("double")
+    value, low, high = moment_interval(metric, alpha)
+    return df.groupBy(*keys).agg(*pair_moments(x, y)).select(*keys, F.col("n").alias("n_obs"), value.alias(metric), low.alias("lower"), high.alias("upper"))
+
+
+def moment_interval(metric: str, alpha: float = 0.05) -> tuple[Column, Column, Column]:
+    """The value and the ends of the interval of bias, ubrmsd or pearson_r, over the columns of pair_moments."""
+    n, degrees = F.col("n"), (F.col("n") - 1).cast("double")
     if metric == "bias":
         value = F.col("mx") - F.col("my")
-        half = F.sqrt(F.col("vd") / F.nullif(n - 1, F.lit(0))) * t_quantile_of(1 - alpha / 2, df1)
-        low, high = value - half, value + half
-    elif metric == "ubrmsd":
-        value = F.sqrt("vd")
-        low = F.sqrt(n * F.col("vd") / F.nullif(chi2_quantile_of(1 - alpha / 2, df1), F.lit(0.0)))
-        high = F.sqrt(n * F.col("vd") / F.nullif(chi2_quantile_of(alpha / 2, df1), F.lit(0.0)))
-    else:
-        value = correlation(*(F.col(c) for c in ("vx", "vy", "cxy", "mx", "my")))
-        low, high = fisher_interval(value, n, alpha)
-    return m.select(*keys, n.alias("n_obs"), value.alias(metric), low.alias("lower"), high.alias("upper"))
+        half = F.sqrt(F.col("vd") / F.nullif(n - 1, F.lit(0))) * t_quantile_of(1 - alpha / 2, degrees)
+        return value, value - half, value + half
+    if metric == "ubrmsd":
+        low, high = (F.sqrt(n * F.col("vd") / F.nullif(chi2_quantile_of(p, degrees), F.lit(0.0))) for p in (1 - alpha / 2, alpha / 2))
+        return F.sqrt("vd"), low, high
+    value = correlation(*(F.col(c) for c in ("vx", "vy", "cxy", "mx", "my")))
+    return value, *fisher_interval(value, n, alpha)
 
 
 def interval_of(samples: np.ndarray, value: float, alpha: float, method: str, jackknife: np.ndarray | None = None) -> tuple[float, float]:
@@ -112,34 +114,50 @@ def _generator(seed: int, key: tuple) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(repr([str(k) for k in key]).encode())])
 
 
-def bootstrapped(df: DataFrame, x: str, y: str, metric: str | Callable, keys: list[str] | None = None, alpha: float = 0.05, method: str = "percentile", nsamples: int = 1000, minimum_data_length: int = 100, seed: int = 0) -> DataFrame:
-    """(keys, n_obs, value, lower, upper): the metric with a bootstrapped interval; null intervals for too few rows.
+def left_out(x: np.ndarray, y: np.ndarray, function: Callable[[np.ndarray, np.ndarray], float]) -> np.ndarray:
+    """The metric without each row in turn: the jackknife."""
+    return np.array([function(np.delete(x, i), np.delete(y, i)) for i in range(len(x))])
 
-    Resampling is seeded by `seed` and the key, and rows are put in order first, so results repeat exactly. A key's complete
-    cases meet in one task.
+
+def bootstrapped_many(df: DataFrame, x: str, y: str, metrics: dict[str, str | Callable], keys: list[str] | None = None, alpha: float = 0.05, method: str = "percentile", nsamples: int = 1000, minimum_data_length: int = 100, seed: int = 0) -> DataFrame:
+    """(keys, n_obs, <name>, <name>_lower, <name>_upper of every metric): one resampling of a key's rows serves all metrics.
+
+    Intervals are null for too few rows. Resampling is seeded by `seed` and the key, and rows are put in order first, so
+    results repeat exactly. A key's complete cases meet in one task.
     """
     keys = ["loc_id"] if keys is None else keys
-    function = SAMPLED[metric] if isinstance(metric, str) else metric
+    functions = {name: SAMPLED[m] if isinstance(m, str) else m for name, m in metrics.items()}
     rows = df.select(*keys, known(x).alias("__x"), known(y).alias("__y")).filter("__x is not null and __y is not null")
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("n_obs", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("value", "lower", "upper")])
+    ends = [f"{name}{end}" for name in functions for end in ("", "_lower", "_upper")]
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("n_obs", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ends])
 
     def resample(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["__x", "__y"])
         a, b = part["__x"].to_numpy(float), part["__y"].to_numpy(float)
-        n, value = len(a), function(a, b)
-        low = high = math.nan
-        if n >= minimum_data_length:
-            rng = _generator(seed, key)
-            picks = (rng.integers(0, n, n) for _ in range(nsamples))
-            samples = np.array([function(a[i], b[i]) for i in picks])
-            jack = np.array([function(np.delete(a, i), np.delete(b, i)) for i in range(n)]) if method == "BCa" else None
-            low, high = interval_of(samples, value, alpha, method, jack)
-        cells = [None if math.isnan(v) else v for v in (value, low, high)]
-        return pd.DataFrame([[*key, n, *cells]], columns=schema.names).astype({c: float for c in ("value", "lower", "upper")})
+        n = len(a)
+        samples = np.empty((len(functions), nsamples if n >= minimum_data_length else 0))
+        rng = _generator(seed, key)
+        for k in range(samples.shape[1]):
+            i = rng.integers(0, n, n)
+            samples[:, k] = [function(a[i], b[i]) for function in functions.values()]
+        cells: list[float] = []
+        for row, function in zip(samples, functions.values(), strict=True):
+            value, low, high = function(a, b), math.nan, math.nan
+            if len(row):
+                low, high = interval_of(row, value, alpha, method, left_out(a, b, function) if method == "BCa" else None)
+            cells += [value, low, high]
+        return pd.DataFrame([[*key, n, *(None if math.isnan(v) else v for v in cells)]], columns=schema.names).astype({c: float for c in ends})
 
     return rows.groupBy(*keys).applyInPandas(resample, schema)
 
 
+def bootstrapped(df: DataFrame, x: str, y: str, metric: str | Callable, keys: list[str] | None = None, alpha: float = 0.05, method: str = "percentile", nsamples: int = 1000, minimum_data_length: int = 100, seed: int = 0) -> DataFrame:
+    """(keys, n_obs, value, lower, upper): one metric with its bootstrapped interval, as bootstrapped_many gives it."""
+    keys = ["loc_id"] if keys is None else keys
+    found = bootstrapped_many(df, x, y, {"value": metric}, keys, alpha, method, nsamples, minimum_data_length, seed)
+    return found.select(*keys, "n_obs", "value", F.col("value_lower").alias("lower"), F.col("value_upper").alias("upper"))
+
+
 def triple_values(data: np.ndarray, ref: int = 0) -> np.ndarray:
     """snr, err_std and beta of the three columns of data, one row each."""
     c = np.cov(data.T)

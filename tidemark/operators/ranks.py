@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +18,33 @@ def _complete(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.select(*keys, known(x).alias("__x"), known(y).alias("__y")).filter("__x is not null and __y is not null")
 
 
+def _with_ranks(rows: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
+    """rows with the average rank of each column within its key, by names; all of them share one exchange."""
+    by = Window.partitionBy(*keys)
+    ranks = {name: F.rank().over(by.orderBy(c)) + (F.count("*").over(by.partitionBy(*keys, c)) - 1) / 2 for c, name in columns.items()}
+    return rows.repartition(*keys).withColumns(ranks)
+
+
+def _rank_correlation(x: str, y: str) -> Column:
+    return correlation(F.var_pop(x), F.var_pop(y), F.covar_pop(x, y))
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, with_p: bool = True) -> DataFrame:
     """(keys, n_obs, rho[, p_rho]): Pearson's correlation of average ranks."""
     keys = ["loc_id"] if keys is None else keys
-    rows = _complete(df, keys, x, y)
-    for c in ("x", "y"):
-        by = Window.partitionBy(*keys)
-        ties = F.count("*").over(by.partitionBy(*keys, f"__{c}"))
-        rows = rows.withColumn(f"__r{c}", F.rank().over(by.orderBy(f"__{c}")) + (ties - 1) / 2)
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), correlation(F.var_pop("__rx"), F.var_pop("__ry"), F.covar_pop("__rx", "__ry")).alias("rho"))
+    rows = _with_ranks(_complete(df, keys, x, y), {"__x": "__rx", "__y": "__ry"}, keys)
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), _rank_correlation("__rx", "__ry").alias("rho"))
     return found.withColumn("p_rho", correlation_p(F.col("rho"), F.col("n_obs").cast("double"))) if with_p else found
 
 
+def spearman_of_pairs(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """(keys, n_obs, rho_between_a_and_b of every pair), over the rows in which all columns are known: each is ranked once."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    full = df.select(*keys, *(known(c).alias(c) for c in columns)).dropna(subset=columns)
+    rows = _with_ranks(full, {c: f"__r_{c}" for c in columns}, keys)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), *(_rank_correlation(f"__r_{a}", f"__r_{b}").alias(f"rho_between_{a}_and_{b}") for a, b in pairs))
+
+
 def inversions(values: np.ndarray) -> int:
     """Pairs that stand in the wrong order, strictly: a bottom-up merge sort that counts by binary search."""
     a = np.unique(values, return_inverse=True)[1].astype(np.int64)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calculators, collocate, scaling
@@ -49,6 +49,7 @@ class Validation:
     method: str = "nearest"
     inner: bool = True
     matcher: Callable[[dict[str, DataFrame], str], DataFrame] | None = None
+    _held: list[DataFrame] = field(default_factory=list, repr=False)
 
     def __post_init__(self):
         for n, _ in self.calculators:
@@ -90,25 +91,38 @@ class Validation:
         """
         frames = self.frames(spark, locations)
         wide = self.matched(spark, frames)
-        present = self._presence(frames, locations).persist(StorageLevel.MEMORY_AND_DISK)
-        if wide is not None:  # every combination reads it
+        present = self._presence(frames, locations)
+        if wide is not None and (len(self.calculators) > 1 or callable(self.scaling)):  # read more than once
             wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
+            self._held.append(wide)
         parts = []
         for (_, k), calculator in self.calculators.items():
             combos = result_combinations({n: d.columns for n, d in self.datasets.items()}, k)
             if only_with_reference:
                 combos = [c for c in combos if any(d == self.spatial_ref for d, _ in c)]
-            for combo in combos:
-                parts.append(self._one(wide, combo, calculator, present))
+            there = [c for c in combos if wide is not None and all(f"{d}__{column}" in wide.columns for d, column in c)]
+            lacking = [c for c in combos if c not in there]
+            if lacking:
+                parts.append(self._without(present, lacking))
+            if there:
+                parts += [self._one(wide, c, calculator, present) for c in there] if callable(self.scaling) else [self._all(wide, there, calculator, present)]
         if not parts:
             raise ValueError("no combination to compare")
         result = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         if handle_errors == "raise":
+            result = result.persist(StorageLevel.MEMORY_AND_DISK)
+            self._held.append(result)
             bad = result.filter(F.col("status") > calculators.INSUFFICIENT_DATA).select("loc_id", "status").limit(1).collect()
             if bad:
+                self.release()
                 raise ValidationError(bad[0].status, bad[0].loc_id)
         return result
 
+    def release(self) -> None:
+        """Let go of what calc() keeps for its result, once that has been written."""
+        while self._held:
+            self._held.pop().unpersist()
+
     def _presence(self, frames: dict[str, DataFrame], locations: DataFrame) -> DataFrame:
         """(loc_id, has_data): whether the reference and at least one other dataset have rows there."""
         out = locations.select("loc_id").distinct().withColumn("__ref", F.lit(0)).withColumn("__others", F.lit(0))
@@ -121,37 +135,70 @@ class Validation:
                 out = out.join(some, "loc_id", "left").withColumn("__others", F.coalesce("__o", "__others")).drop("__o")
         return out.select("loc_id", ((F.col("__ref") == 1) & (F.col("__others") == 1)).alias("__has"))
 
-    def _one(self, wide: DataFrame | None, combo, calculator, present: DataFrame) -> DataFrame:
-        key = combo_key(combo)
-        empty = F.when(F.col("__has"), calculators.NO_MATCHED_DATA).otherwise(calculators.NO_DATA).cast("int")
-        columns = [f"{d}__{c}" for d, c in combo]
-        if wide is None or any(c not in wide.columns for c in columns):
-            return present.select("loc_id", F.lit(key).alias("combo"), empty.alias("status"))
-        scaling_ref, extra = None, []
+    def _without(self, present: DataFrame, combos: list) -> DataFrame:
+        keys = F.array(*(F.lit(combo_key(c)) for c in combos))
+        return present.select("loc_id", F.explode(keys).alias("combo"), _empty().alias("status"))
+
+    def _scaling_ref(self) -> str:
+        name = self.scaling_ref or self.spatial_ref
+        return f"{name}__{self.datasets[name].columns[0]}"
+
+    def _all(self, wide: DataFrame, combos: list, calculator, present: DataFrame) -> DataFrame:
+        """All combinations at once: a row of wide becomes a row for each, and everything is grouped by location and combo."""
+        names = ["ref", *(f"k{i}" for i in range(1, len(combos[0])))]
+        keys = ["loc_id", "combo"]
+
+        def row(combo) -> Column:
+            columns = [f"{d}__{c}" for d, c in combo]
+            cells = [F.lit(combo_key(combo)).alias("combo"), *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))]
+            if self.scaling:
+                at = columns.index(self._scaling_ref()) if self._scaling_ref() in columns else -1
+                cells += [F.col(self._scaling_ref()).alias("__base"), F.lit(at).alias("__at")]
+            return F.struct(*cells)
+
+        df = wide.select("loc_id", "ts", F.explode(F.array(*map(row, combos))).alias("__r")).select("loc_id", "ts", "__r.*")
+        df = df.dropna("any", subset=[*names, *(["__base"] if self.scaling else [])])
+        failed = None
         if self.scaling:
-            name = self.scaling_ref or self.spatial_ref
-            scaling_ref = f"{name}__{self.datasets[name].columns[0]}"
-            extra = [scaling_ref] if scaling_ref not in columns else []
+            for i, c in enumerate(names):
+                df = scaling.scaled(df, c, "__base", self.scaling, keys, "__z", **self.scaling_options)
+                df = df.withColumn(c, F.when(F.col("__at") == i, F.col(c)).otherwise(F.col("__z"))).drop("__z")
+            failed = _unscaled(df, keys, names)
+        every = present.select("*", F.explode(F.array(*(F.lit(combo_key(c)) for c in combos))).alias("combo"))
+        return _with_status(every, calculator(df.select(*keys, "ts", *names), keys), failed, keys)
+
+    def _one(self, wide: DataFrame, combo, calculator, present: DataFrame) -> DataFrame:
+        """One combination, for scalings that are functions of a frame with its columns by their own names."""
+        columns, ref = [f"{d}__{c}" for d, c in combo], self._scaling_ref()
+        extra = [ref] if ref not in columns else []
         df = wide.select("loc_id", "ts", *columns, *extra).dropna("any", subset=[*columns, *extra])
-        if self.scaling:
-            df = self.scaling(df, columns, scaling_ref) if callable(self.scaling) else df
-            for c in [] if callable(self.scaling) else columns:
-                if c != scaling_ref:
-                    df = scaling.scaled(df, c, scaling_ref, self.scaling, **self.scaling_options)
-            unscaled = df.groupBy("loc_id").agg(*(F.count(c).alias(c) for c in columns), F.count("*").alias("__n"))
-            bad = reduce(lambda a, b: a | b, [F.col(c) == 0 for c in columns])
-            failed = unscaled.filter((F.col("__n") > 0) & bad).select("loc_id", F.lit(True).alias("__unscaled"))
+        df = self.scaling(df, columns, ref)
+        failed = _unscaled(df, ["loc_id"], columns)
         df = df.select("loc_id", "ts", *(F.col(c).alias("ref" if i == 0 else f"k{i}") for i, c in enumerate(columns)))
-        got = calculator(df, ["loc_id"])
-        if "status" not in got.columns:
-            got = got.withColumn("status", F.lit(calculators.OK))
-        got = got.withColumn("__there", F.lit(True))
-        out = present.join(got, "loc_id", "left")
-        status = F.when(F.col("__there").isNull(), empty).otherwise(F.col("status"))
-        if self.scaling:
-            out = out.join(failed, "loc_id", "left")
-            status = F.when(F.col("__unscaled"), calculators.SCALING_FAILED).otherwise(status)
-        return out.withColumn("status", status.cast("int")).withColumn("combo", F.lit(key)).drop("__has", "__there", "__unscaled")
+        return _with_status(present, calculator(df, ["loc_id"]), failed, ["loc_id"]).withColumn("combo", F.lit(combo_key(combo)))
+
+
+def _empty() -> Column:
+    return F.when(F.col("__has"), calculators.NO_MATCHED_DATA).otherwise(calculators.NO_DATA).cast("int")
+
+
+def _unscaled(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The keys that have rows, but a column without any value after scaling."""
+    counts = df.groupBy(*keys).agg(*(F.count(c).alias(c) for c in columns), F.count("*").alias("__n"))
+    bad = reduce(lambda a, b: a | b, [F.col(c) == 0 for c in columns])
+    return counts.filter((F.col("__n") > 0) & bad).select(*keys, F.lit(True).alias("__unscaled"))
+
+
+def _with_status(every: DataFrame, got: DataFrame, failed: DataFrame | None, keys: list[str]) -> DataFrame:
+    """every(keys, __has) with the calculator's columns and a status for each row."""
+    if "status" not in got.columns:
+        got = got.withColumn("status", F.lit(calculators.OK))
+    out = every.join(got.withColumn("__there", F.lit(True)), keys, "left")
+    status = F.when(F.col("__there").isNull(), _empty()).otherwise(F.col("status"))
+    if failed is not None:
+        out = out.join(failed, keys, "left")
+        status = F.when(F.col("__unscaled"), calculators.SCALING_FAILED).otherwise(status)
+    return out.withColumn("status", status.cast("int")).drop("__has", "__there", "__unscaled")
 
 
 def write_by_cell(result: DataFrame, locations: DataFrame, path: str) -> None:
