@@ -19,6 +19,16 @@ def test_parts_have_the_ids_of_the_whole(text, size):
     assert [i for x in cut for i in ENC.encode_ordinary(x)] == ENC.encode_ordinary(text)
 
 
+def test_other_patterns_are_not_cut():
+    assert B.SPLIT_PATTERN == PATTERN
+    breaks = r" ?[^\s\p{L}\p{N}]+[\r\n]*|\p{L}+|\s+"  # a match goes from signs on to line breaks
+    encoding = B.rank_encoding(PATH, breaks)
+    text = "wort!!\n\n" * 40_000
+    assert B.encode_text(encoding, text).tolist() == encoding.encode_ordinary(text)
+    signs = "a!\x1c\x1d b\x85c" * 30_000  # U+001C and its like are no white space for the library
+    assert B.encode_text(ENC, signs).tolist() == ENC.encode_ordinary(signs)
+
+
 def test_round_trip(spark):
     texts = ["", None, "a  b\n\nc", "<|endoftext|> x", "word été 😀 " * 30000, "x" * 200000, "same", "same"]
     df = spark.createDataFrame([(k, t, b"z") for k, t in enumerate(texts)] + [(None, "q", b"")], "doc_id long, text string, ids binary")

@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with a local rank file (tiktoken).
 
-Long texts are split before the pattern runs: a match of the usual pre-tokenisation patterns never goes from a character
-that isn't white space on to white space, so every such place is a safe boundary, and the parts' ids are the whole's ids.
+Long texts are split before the pattern runs. No match of SPLIT_PATTERN goes from a character that isn't white space on to
+white space: its words, numbers and signs have blanks at their beginning only, and its blanks are a match of their own. So
+every such place is a safe boundary, and the parts' ids are the whole's ids. White space is what the pattern's own \\s takes.
+For other patterns, some of whose matches end with line breaks, this isn't proven: texts are then encoded in one piece.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from .common import map_batches, small_batches, texts_of
 
 #: Characters of a part of a long text.
 PART_CHARS = 1 << 16
-_BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+#: The pattern whose texts may be split. Fixed value.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Unicode's white space, which the library's \s stands for: without U+001C to U+001F, that Python's takes too.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BOUNDARY = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])")
 
 
 @functools.lru_cache(maxsize=4)
@@ -44,15 +50,17 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 
 
 def encode_text(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
-    got = [encoding.encode_to_numpy(x, disallowed_special=()) for x in parts(text)]
+    cut = parts(text) if encoding._pat_str == SPLIT_PATTERN else [text]
+    got = [encoding.encode_to_numpy(x, disallowed_special=()) for x in cut]
     return (got[0] if len(got) == 1 else np.concatenate(got)).astype("<u4", copy=False)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The columns `keep` and `ids`: each whole text's token ids as little-endian unsigned 32-bit integers.
 
-    A null text is the empty text, which has no ids. Rows are independent: repeated rows give repeated results, an empty
-    table an empty one, and columns other than `keep` and `text` are left out.
+    A null text is the empty text, which has no ids. Very long texts are encoded whole, in parts where that is proven safe.
+    Rows are independent: repeated rows give repeated results, an empty table an empty one, and columns other than `keep`
+    and `text` are left out.
     """
     small_batches(docs.sparkSession)
 
