@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pfs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ BLOCK_IDS = 1024
 PERCENTILE = 0.9
 #: Ids after which a task starts another file: what is held at once.
 FILE_IDS = 1 << 22
+#: Characters of a text by which documents of one id are dealt.
+BEGINNING_CHARS = 64
 #: Pieces of texts whose ids a worker remembers.
 CACHE_PIECES = 500_000
 #: New words that the library encodes as one text.
@@ -261,7 +264,7 @@ def open_fs(uri: str) -> tuple[pfs.FileSystem, str]:
 def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order; returns the manifest, one row for each file.
 
-    The manifest has path, n_ids, n_docs, first_doc and seq (order among files of the same first_doc). A null text is the
+    The manifest has path, n_ids, n_docs, first_doc, range (ranges of ids ascend) and seq (order of a range's files). A null text is the
     empty text: the end id alone. Rows without a doc_id come first, with the id -2^63 in the file. Rows that share an id
     are ordered by their text. An empty table writes no file. A very long text makes a file of its own, longer than file_ids.
     Strings of special tokens in a text become these tokens, as the library does by itself.
@@ -269,8 +272,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     spark = docs.sparkSession
     small_batches(spark, 500)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    schema = "path string, n_ids long, n_docs long, first_doc long, seq int"
+    # the beginnings of texts cut up what shares an id, or has none, without holding whole texts for the ranges
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, BEGINNING_CHARS)).sortWithinPartitions("doc_id", "text")
+    schema = "path string, n_ids long, n_docs long, first_doc long, range int, seq int"
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out_dir)
@@ -288,7 +292,10 @@ def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
             path = f"{root}/{uuid.uuid4().hex}.pfor"
             with fs.open_output_stream(path) as f:
                 f.write(file_bytes(np.frombuffer(raw, "<u4"), np.array(ids, np.int64), lengths))
-            row = pa.RecordBatch.from_pylist([{"path": path, "n_ids": len(raw) // 4, "n_docs": len(held), "first_doc": ids[0], "seq": seq}], pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("seq", pa.int32())]))
+            row = pa.RecordBatch.from_pylist(
+                [{"path": path, "n_ids": len(raw) // 4, "n_docs": len(held), "first_doc": ids[0], "range": TaskContext.get().partitionId(), "seq": seq}],
+                pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("range", pa.int32()), ("seq", pa.int32())]),
+            )
             held.clear(), ids.clear()
             size, seq = 0, seq + 1
             return row
@@ -309,7 +316,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
 def read_documents(spark: SparkSession, manifest: DataFrame, out_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of the files that manifest lists; ids as little-endian u32."""
     # one row for each file: a window over them is as small as the list of files
-    before = Window.orderBy("first_doc", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("range", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).select("path", "before")
     n = max(1, manifest.count())
     placed = placed.repartition(min(n, 4 * spark.sparkContext.defaultParallelism if n < 4096 else n // 64), "path")
