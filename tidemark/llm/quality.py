@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, map_batches, small_batches, texts_of
 from .toxicity import bounded_sample, held_out, logistic
@@ -32,6 +33,8 @@ ROUNDS = 3
 SHARE = 0.05
 #: Newton steps of a refit, at most; they begin at zero, since steps from saturated weights overshoot.
 STEPS = 12
+#: Taught rows whose sums a task adds up in a step, at least if there are so many.
+STEP_ROWS = 20_000
 #: Cells of a histogram of scores (log-odds from -20 to 20).
 SCORE_CELLS = 4000
 #: Cells of the words' counts, a power of two: with the bounded fit set, all that is ever counted in them.
@@ -99,11 +102,13 @@ class Words:
         return self._odds(*(np.maximum(0, self.counts[c][cells] - (own == c)) for c in (0, 1)), self.docs - (np.arange(2) == own))
 
 
-def _worst(x: np.ndarray) -> float:
-    """The highest mean of a stretch of words."""
-    full = len(x) // STRETCH * STRETCH
-    best = x[:full].reshape(-1, STRETCH).mean(axis=1).max() if full else -np.inf
-    return max(float(best), float(x[full:].sum() / STRETCH)) if len(x) > full else float(best)
+def _worst(marks: np.ndarray) -> np.ndarray:
+    """For each row of marks of the words: the highest mean of a stretch; a shorter last one counts as filled up with zeros."""
+    n = marks.shape[1]
+    full = n // STRETCH * STRETCH
+    sums = [marks[:, :full].reshape(len(marks), -1, STRETCH).sum(axis=2).max(axis=1)] if full else []
+    sums += [marks[:, full:].sum(axis=1)] if n > full else []
+    return np.maximum.reduce(sums) / STRETCH
 
 
 def text_features(text: str, known: Words | None = None, own: int | None = None) -> np.ndarray:
@@ -114,36 +119,36 @@ def text_features(text: str, known: Words | None = None, own: int | None = None)
         return np.zeros(TEXT_FEATURES)
     sizes = np.fromiter(map(len, words), np.int64, n)
     ids = np.fromiter(map(hash, words), np.int64, n)
-    raw = " ".join(words).encode()
-    kinds = _KIND[np.frombuffer(raw, np.uint8)]
-    total = np.bincount(kinds, minlength=8)
-    begins = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1])  # words hold no blanks of one byte
-
-    def per_word(kind: int) -> np.ndarray:
-        return np.add.reduceat((kinds == kind).astype(np.int32), begins)
-
-    upper, symbols, bangs = per_word(_UPPER), per_word(_SYMBOL), per_word(_BANG)
-    lower = per_word(_LOWER)
-    caps = (upper >= 1) & (lower == 0)
-    repeat1 = np.zeros(n)
-    repeat1[1:] = ids[1:] == ids[:-1]
-    near = np.zeros(n, bool)
-    for lag in range(1, 13):
-        near[lag:] |= ids[lag:] == ids[:-lag]
-    marks = [caps.astype(float), (symbols > 0).astype(float), (bangs > 0).astype(float), repeat1, near.astype(float)]
-
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    kinds = _KIND[raw]
+    total = np.bincount(kinds, minlength=8) / len(raw)
+    begins = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])  # words hold no blanks of one byte
+
+    def has(kind: int) -> np.ndarray:
+        return np.logical_or.reduceat(kinds == kind, begins)
+
+    marks = np.zeros((6, n))
+    marks[0] = has(_UPPER) & ~has(_LOWER)
+    marks[1], marks[2] = has(_SYMBOL), has(_BANG)
+    marks[3, 1:] = ids[1:] == ids[:-1]
+    for lag in range(1, min(13, n)):
+        marks[4, lag:] += ids[lag:] == ids[:-lag]
+    np.minimum(marks[4], 1, out=marks[4])
+    content = 0.0
+    if known is not None:
+        single, pairs = word_cells(words)
+        odds = known.of(single, own)
+        content = (odds.sum() + known.of(pairs, own).sum()) / (2 * n - 1)
+        marks[5] = -odds
+    worst = _worst(marks)
     lines = [x for x in text.split("\n") if x.strip()]
-    chars = max(1, len(raw))
-    _, counts = np.unique(ids, return_counts=True)
-    out = [x.mean() for x in marks] + [_worst(x) for x in marks]
-    out += [len(counts) / n, counts.max() / n, sizes.mean(), min(1.0, sizes.std() / 10), math.log1p(n)]
-    out += [total[k] / chars for k in (_DIGIT, _SYMBOL, _BANG, _STOP, _WIDE, _UPPER)]
-    out += [len(set(lines)) / len(lines), math.log1p(len(lines)), (sizes <= 3).mean()]
-    if known is None:
-        return np.array([*out, 0.0, 0.0])
-    single, pairs = word_cells(words)
-    odds = known.of(single, own)
-    return np.array([*out, known.of(np.unique(np.concatenate([single, pairs])), own).mean(), _worst(-odds)])
+    counts = np.unique(ids, return_counts=True)[1]
+    mean = sizes.sum() / n
+    out = [*(marks[:5].sum(axis=1) / n), *worst[:5]]
+    out += [len(counts) / n, counts.max() / n, mean, min(1.0, math.sqrt(max(0.0, (sizes * sizes).sum() / n - mean * mean)) / 10), math.log1p(n)]
+    out += [total[k] for k in (_DIGIT, _SYMBOL, _BANG, _STOP, _WIDE, _UPPER)]
+    out += [len(set(lines)) / len(lines), math.log1p(len(lines)), np.count_nonzero(sizes <= 3) / n]
+    return np.array([*out, content, worst[5]])
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, int]:
@@ -352,9 +357,13 @@ def _sums(rows: DataFrame, function, *given) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
     def added(batches):
-        parts = [np.frombuffer(x) for batch in batches for x in batch.column(0).to_pylist()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([functools.reduce(np.add, parts).tobytes()], pa.binary())], names=["s"])
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                part = np.frombuffer(x.as_buffer())
+                total = part.copy() if total is None else np.add(total, part, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
     got = rows.mapInArrow(own, "s binary").repartition(8).mapInArrow(added, "s binary").collect()
     shared.unpersist()
@@ -384,6 +393,7 @@ class Pool:
                         yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in batch.columns), pa.array(list(labels[:, some].T), pa.list_(pa.float64()))], names=["t", "m", "y"])
 
         rows = checkpoint(self.rows.mapInArrow(label, "t array<double>, m array<int>, y array<double>"))
+        rows = rows.coalesce(max(1, -(-rows.count() // STEP_ROWS)))  # a task's sums are as large as some thousand rows
         empty = [1 + n + n * n for n in (len(lessons[0].views[0].weights), len(lessons[0].views[1].weights))]
 
         def sums(views: list[View]) -> np.ndarray:
@@ -412,68 +422,113 @@ def _count_words(fitted: DataFrame) -> Words:
     return words
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+@dataclass
+class Measured:
+    """The fit set (test, y, t, m) and all documents (kept columns, __fitted, __t, __m), in the shared folder."""
+
+    words: Words
+    fit: DataFrame
+    rows: DataFrame
+
+
+def measured(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS) -> Measured:
     """Labels without an id or a class are left out, repeated ones count once (as bad if they differ), and of documents that
-    share a labelled id the smallest by content is fitted. All documents without such a label, or beyond fit_rows, are
-    unlabelled. Measures are taken once and kept in the shared folder."""
+    share a labelled id the smallest by content is fitted. Every document is measured once."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
-    sample = F.broadcast(bounded_sample(known, fit_rows))  # fit_rows bounds its size
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__y"))
+    sample = F.broadcast(bounded_sample(known.withColumnRenamed("__id", "doc_id"), fit_rows).withColumnRenamed("doc_id", "__id"))  # fit_rows bounds its size
     inputs = ["__text", *(f"__{c}" for c in _IN)]
-    rows = _inputs(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    held = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
-    chosen = rows.join(sample, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*inputs)).alias("r"), F.max("y").alias("y"))
+    rows = _inputs(docs, *keep, F.col("doc_id").cast("long").alias("__doc"))
+    chosen = rows.join(sample, F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.min(F.struct(*inputs)).alias("r"), F.max("__y").alias("y"))
+    held = F.pmod(F.xxhash64("__id", F.lit("calibrate")), F.lit(4)) == 0
     fitted = checkpoint(chosen.select(held.alias("test"), "y", "r.*"))
     shared = spark.sparkContext.broadcast(words := _count_words(fitted))
 
-    def measures(own: bool):
-        def make():
-            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-                first = batch.num_columns - len(inputs)
-                classes = [None if t else y for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)] if own else None
-                text, meta = _features(batch, first, shared.value, classes)
-                return pa.RecordBatch.from_arrays([*batch.columns[:first], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int32()))], names=[*batch.schema.names[:first], "t", "m"])
+    def make_fit():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            classes = [None if t else y for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            text, meta = _features(batch, 2, shared.value, classes)
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int32()))], names=["test", "y", "t", "m"])
+
+        return one
+
+    n = len(keep) + 1
+    every = rows.join(sample.select("__id"), F.col("__doc") == F.col("__id"), "left").select(*keep, F.col("__id").isNotNull().alias("__fitted"), *inputs)
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            text, meta = _features(batch, n, shared.value)
+            return pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.int32()))], names=[*keep, "__fitted", "__t", "__m"])
+
+        return one
 
-            return one
+    schema = T.StructType([*every.schema.fields[:n], T.StructField("__t", T.ArrayType(T.DoubleType())), T.StructField("__m", T.ArrayType(T.IntegerType()))])
+    fit = checkpoint(map_batches(fitted, make_fit, "test boolean, y int, t array<double>, m array<int>"))
+    return Measured(words, fit, checkpoint(map_batches(every, make, schema)))
 
-        return make
 
-    fit = checkpoint(map_batches(fitted, measures(True), "test boolean, y int, t array<double>, m array<int>"))
-    pool = checkpoint(map_batches(rows.join(sample, "doc_id", "left_anti").select(*inputs), measures(False), "t array<double>, m array<int>"))
+def fit_model(found: Measured) -> Model:
+    """The model of measured documents: all without a label of the fit set are unlabelled."""
+    pool = found.rows.filter("not __fitted").select(F.col("__t").alias("t"), F.col("__m").alias("m"))
     quantiles = F.array(*map(F.lit, QUANTILES))
-    found = pool.select("t", F.lit(1).alias("n")).unionAll(fit.select("t", F.lit(0))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.percentile_approx(F.col("t")[k], quantiles, 2000).alias(f"e{k}") for k in range(TEXT_FEATURES))).first()
-    edges = [np.unique(found[f"e{k}"] or [0.0]) for k in range(TEXT_FEATURES)]
-    got = fit.toArrow()
+    seen = pool.select("t", F.lit(1).alias("n")).unionAll(found.fit.select("t", F.lit(0))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.percentile_approx(F.col("t")[k], quantiles, 2000).alias(f"e{k}") for k in range(TEXT_FEATURES))).first()
+    edges = [np.unique(seen[f"e{k}"] or [0.0]) for k in range(TEXT_FEATURES)]
+    got = found.fit.toArrow()
     text = np.array(got["t"].to_pylist(), float).reshape(-1, TEXT_FEATURES)
     meta = np.array(got["m"].to_pylist(), int).reshape(-1, 3)
     y, test = np.array(got["y"].to_pylist(), float), np.array(got["test"].to_pylist(), bool)
     order = np.lexsort((*text.T, *meta.T, y))  # the same model whatever order the tasks end in
-    model = co_train_over(edges, text[order], meta[order], y[order], test[order], Pool(pool, found.n))
-    model.words = words
+    model = co_train_over(edges, text[order], meta[order], y[order], test[order], Pool(pool, seen.n))
+    model.words = found.words
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    return fit_model(measured(docs, labels, [], fit_rows))
+
+
+_VIEWS = ("__text_view", "__meta_view", "__score")
+
+
+def _chances(model: Model, text: np.ndarray, meta: np.ndarray) -> list[pa.Array]:
+    return [pa.array(v, pa.float64()) for v in (model.text.chance(text), model.meta.chance(meta), model.chance(text, meta))]
+
+
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` with __text_view, __meta_view and __score, by a model of these documents, which are measured once."""
+    found = measured(docs, labels, keep)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_model(found))
+    n = len(keep)
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            text, meta = (np.asarray(batch.column(k).flatten(), float).reshape(batch.num_rows, -1) for k in (n, n + 1))
+            return pa.RecordBatch.from_arrays([*batch.columns[:n], *_chances(shared.value, text, meta)], names=[*keep, *_VIEWS])
+
+        return one
+
+    schema = T.StructType([*found.rows.schema.fields[:n], *(T.StructField(c, T.DoubleType()) for c in _VIEWS)])
+    return map_batches(found.rows.drop("__fitted"), make, schema)
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id if not given) with __text_view, __meta_view and __score, chances of being good."""
     keep = keep or ["doc_id"]
     small_batches(docs.sparkSession)
     rows = _inputs(docs, *keep)
     at = len(keep)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", __text_view double, __meta_view double, __score double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            text, meta = _features(batch, at, model.words)
-            views = [pa.array(v, pa.float64()) for v in (model.text.chance(text), model.meta.chance(meta), model.chance(text, meta))]
-            return pa.RecordBatch.from_arrays([*batch.columns[:at], *views], names=[*batch.schema.names[:at], "__text_view", "__meta_view", "__score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:at], *_chances(model, *_features(batch, at, model.words))], names=[*batch.schema.names[:at], *_VIEWS])
 
         return one
 
-    return map_batches(rows, make, schema)
+    return map_batches(rows, make, T.StructType([*rows.schema.fields[:at], *(T.StructField(c, T.DoubleType()) for c in _VIEWS)]))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hold_out: bool = True) -> DataFrame:
@@ -485,7 +540,7 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, hol
     classes, every document gets the labels' share of good ones.
     """
     apart = held_out(F.col("doc_id")) if hold_out else F.lit(False)
-    found = score(docs, train(docs, labels.filter(~apart)))
+    found = judged(docs, labels.filter(~apart), ["doc_id"])
     return found.select("doc_id", apart.alias("held_out"), F.col("__text_view").alias("text_view"), F.col("__meta_view").alias("meta_view"), F.col("__score").alias("score"), (F.col("__score") >= threshold).alias("kept"))
 
 
@@ -497,4 +552,4 @@ def recalls(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that the classifier, which here learns from all labels, rejects."""
-    return score(docs, train(docs, labels), docs.columns).filter(F.col("__score") >= threshold).select(*docs.columns)
+    return judged(docs, labels, docs.columns).filter(F.col("__score") >= threshold).select(*docs.columns)
