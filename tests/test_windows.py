@@ -104,3 +104,17 @@ def test_one_resampling_gives_all_intervals(spark):
         for r in intervals.bootstrapped(df, "x", "y", metric, **kw).collect():
             assert (r.value, r.lower, r.upper) == tuple(both[r.loc_id][f"{name}{end}"] for end in ("", "_lower", "_upper"))
             assert r.lower <= r.value <= r.upper
+
+
+def test_resampling_by_sums_equals_resampling_by_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(1000, 3, 150)
+    y = x + rng.normal(2, 1, 150)
+    names = list(intervals.SAMPLED)
+    got = intervals.resampled(x, y, names, np.random.default_rng(5), 40)
+    want = intervals.resampled(x, y, [intervals.SAMPLED[m] for m in names], np.random.default_rng(5), 40)
+    assert got.shape == want.shape == (len(names), 40) and np.allclose(got, want, rtol=1e-8, atol=1e-9)
+    for name in names:
+        assert np.allclose(intervals.left_out(x, y, name), intervals.left_out(x, y, intervals.SAMPLED[name]), rtol=1e-8, atol=1e-9)
+    flat = np.full(150, 7.25)
+    assert np.isnan(intervals.resampled(flat, y, ["pearson_r"], np.random.default_rng(5), 10)).all() and (intervals.OF_SUMS["mse_var"](intervals.Sums(intervals._products(flat, flat).sum(axis=1))) == 0).all()

@@ -110,13 +110,71 @@ SAMPLED: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {
 }
 
 
+class Sums:
+    """Means, variances and the covariance of samples that are given by their sums of 1, x, y, xx, yy and xy."""
+
+    def __init__(self, sums: np.ndarray):
+        self.n, sx, sy, sxx, syy, sxy = sums
+        self.mx, self.my = sx / self.n, sy / self.n
+        # a constant sample's variance would be some rounding errors of its mean square
+        self.vx, self.vy = (np.where(v > 1e-13 * square, v, 0.0) for v, square in ((sxx / self.n - self.mx**2, sxx / self.n), (syy / self.n - self.my**2, syy / self.n)))
+        self.cxy = sxy / self.n - self.mx * self.my
+        self.msd = np.maximum(sxx - 2 * sxy + syy, 0) / self.n
+
+    def r(self) -> np.ndarray:
+        spread = np.sqrt(self.vx * self.vy)
+        with np.errstate(all="ignore"):
+            return np.where(spread > 0, np.clip(self.cxy / spread, -1, 1), np.nan)
+
+
+#: The metrics of SAMPLED for many samples at once.
+OF_SUMS: dict[str, Callable[[Sums], np.ndarray]] = {
+    "bias": lambda s: s.mx - s.my,
+    "msd": lambda s: s.msd,
+    "rmsd": lambda s: np.sqrt(s.msd),
+    "ubrmsd": lambda s: np.sqrt(np.maximum(s.msd - (s.mx - s.my) ** 2, 0)),
+    "mse_bias": lambda s: (s.mx - s.my) ** 2,
+    "mse_var": lambda s: (np.sqrt(s.vx) - np.sqrt(s.vy)) ** 2,
+    "mse_corr": lambda s: np.maximum(0, 2 * np.sqrt(s.vx * s.vy) - 2 * s.cxy),
+    "rss": lambda s: s.msd * s.n,
+    "pearson_r": Sums.r,
+}
+#: Numbers that the counts of resampled rows may hold at once.
+COUNT_CELLS = 1 << 22
+
+
 def _generator(seed: int, key: tuple) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(repr([str(k) for k in key]).encode())])
 
 
-def left_out(x: np.ndarray, y: np.ndarray, function: Callable[[np.ndarray, np.ndarray], float]) -> np.ndarray:
-    """The metric without each row in turn: the jackknife."""
-    return np.array([function(np.delete(x, i), np.delete(y, i)) for i in range(len(x))])
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1, x, y, xx, yy and xy of every row; x and y less one common constant, which no metric of them depends on."""
+    c = (x.mean() + y.mean()) / 2
+    x, y = x - c, y - c
+    return np.stack([np.ones(len(x)), x, y, x * x, y * y, x * y])
+
+
+def left_out(x: np.ndarray, y: np.ndarray, metric: str | Callable) -> np.ndarray:
+    """The metric without each row in turn: the jackknife. Linear in the rows for metrics of sums."""
+    if callable(metric):
+        return np.array([metric(np.delete(x, i), np.delete(y, i)) for i in range(len(x))])
+    products = _products(x, y)
+    return OF_SUMS[metric](Sums(products.sum(axis=1)[:, None] - products))
+
+
+def resampled(x: np.ndarray, y: np.ndarray, metrics: list[str | Callable], rng: np.random.Generator, nsamples: int) -> np.ndarray:
+    """The metrics (rows) of nsamples resamplings with replacement (columns)."""
+    n = len(x)
+    if any(callable(m) for m in metrics):
+        functions = [SAMPLED[m] if isinstance(m, str) else m for m in metrics]
+        picks = (rng.integers(0, n, n) for _ in range(nsamples))
+        return np.array([[f(x[i], y[i]) for f in functions] for i in picks]).T.reshape(len(metrics), -1)
+    products, parts = _products(x, y), []
+    for k in range(0, nsamples, step := max(1, COUNT_CELLS // n)):
+        counts = np.array([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(min(step, nsamples - k))])
+        sums = Sums(products @ counts.T)
+        parts.append(np.array([OF_SUMS[m](sums) for m in metrics]))
+    return np.concatenate(parts, axis=1)
 
 
 def bootstrapped_many(df: DataFrame, x: str, y: str, metrics: dict[str, str | Callable], keys: list[str] | None = None, alpha: float = 0.05, method: str = "percentile", nsamples: int = 1000, minimum_data_length: int = 100, seed: int = 0) -> DataFrame:
@@ -134,19 +192,13 @@ def bootstrapped_many(df: DataFrame, x: str, y: str, metrics: dict[str, str | Ca
     def resample(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["__x", "__y"])
         a, b = part["__x"].to_numpy(float), part["__y"].to_numpy(float)
-        n = len(a)
-        samples = np.empty((len(functions), nsamples if n >= minimum_data_length else 0))
-        rng = _generator(seed, key)
-        for k in range(samples.shape[1]):
-            i = rng.integers(0, n, n)
-            samples[:, k] = [function(a[i], b[i]) for function in functions.values()]
+        enough = len(a) >= minimum_data_length
+        samples = resampled(a, b, list(metrics.values()), _generator(seed, key), nsamples) if enough else [None] * len(metrics)
         cells: list[float] = []
-        for row, function in zip(samples, functions.values(), strict=True):
-            value, low, high = function(a, b), math.nan, math.nan
-            if len(row):
-                low, high = interval_of(row, value, alpha, method, left_out(a, b, function) if method == "BCa" else None)
-            cells += [value, low, high]
-        return pd.DataFrame([[*key, n, *(None if math.isnan(v) else v for v in cells)]], columns=schema.names).astype({c: float for c in ends})
+        for row, metric, function in zip(samples, metrics.values(), functions.values(), strict=True):
+            value = function(a, b)
+            cells += [value, *(interval_of(row, value, alpha, method, left_out(a, b, metric) if method == "BCa" else None) if enough else (math.nan, math.nan))]
+        return pd.DataFrame([[*key, len(a), *(None if math.isnan(v) else v for v in cells)]], columns=schema.names).astype({c: float for c in ends})
 
     return rows.groupBy(*keys).applyInPandas(resample, schema)
 
