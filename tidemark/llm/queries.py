@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, flat_tokens, near_embeddings, pii, quality, simhash, token_files, toxicity, url_filter
+from . import byte_bpe, decontamination, flat_tokens, near_embeddings, pii, quality, simhash, spelling, token_files, toxicity, url_filter
 from .common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and f.__module__ == __name__}
 

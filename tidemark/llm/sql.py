@@ -31,4 +31,33 @@ select d.doc_id, len(d.w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(ids.
 from d left join hit on d.doc_id = hit.doc_id left join ids on d.doc_id = ids.doc_id
 """
 
-SQL: dict[str, str] = {"op1_near_embeddings": _NEAR_EMBEDDINGS, "op3_decontamination": _DECONTAMINATION}
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    data = f"list_transform(range(strlen({text})), lambda i: cast('0x' || substr(hex({text}), 2 * i + 1, 2) as bigint))"
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce({data}, lambda c, b: {bits}, cast(4294967295 as bigint)), 4294967295)"
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPELLING = f"""
+with recursive runs as (select doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+counted as (select coalesce(cast(doc_id as varchar), '') || ':' || run as s, run, count(*) as n from runs where length(run) >= 6 group by 1, 2),
+hashed as (select run, n, {_crc32("s")} as h from counted),
+meant as (select case when h % 199 = 0 then left(run, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n from hashed),
+w as (select word, cast(sum(n) as bigint) as n from meant where length(word) >= 6 group by 1 having sum(n) >= 5),
+places as (select word, n, unnest(range(1, length(word) + 1)) as k from w),
+gaps as (select word, n, k, left(word, k - 1) as a, substr(word, k + 1) as b from places),
+pairs as (select x.word as p, y.word as q, y.n as m from gaps x join gaps y on x.k = y.k and x.a = y.a and x.b = y.b and x.word != y.word
+  union select x.word, y.word, y.n from gaps x join w y on x.a || x.b = y.word
+  union select y.word, x.word, x.n from gaps x join w y on x.a || x.b = y.word),
+near as (select p, count(*) as n_near, max(m) as top from pairs group by 1),
+best as (select p, min(q) as q from pairs join near using (p) where m = top group by 1),
+known as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when top >= 5 * n then q end as form, case when top >= 5 * n then top end as form_n from w left join near on w.word = near.p left join best on w.word = best.p),
+walk as (select word, word as place, 0 as d from known union all select walk.word, known.form, d + 1 from walk join known on walk.place = known.word where known.form is not null),
+roots as (select word, arg_max(place, d) as root from walk group by 1)
+select known.word, form, root, n, n_near, form_n from known join roots using (word)
+"""
+
+SQL: dict[str, str] = {"op1_near_embeddings": _NEAR_EMBEDDINGS, "op3_decontamination": _DECONTAMINATION, "op13_spelling": _SPELLING}
