@@ -37,12 +37,15 @@ _LETTERS = [chr(c) for c in [*range(0x61, 0x7B), *range(0xC0, 0x100)]]
 _SIDE = "left_word string, n_near long, best_n long, best string"
 
 
-def words_of(doc_id: str, raw: bytes, runs: re.Pattern, letters: int) -> Counter:
+def words_of(doc_id: str, raw: bytes, runs: re.Pattern) -> Counter:
     """The words of a text in UTF-8, with counts; a run whose crc32 with its document's id DROP_EVERY divides is misspelt."""
     found = Counter(runs.findall(raw.translate(_LOWER).decode()))
     start = zlib.crc32(f"{doc_id}:".encode())
-    for run in [r for r in found if zlib.crc32(r.encode(), start) % DROP_EVERY == 0]:
-        k, n = zlib.crc32(run.encode(), start) % len(run), found.pop(run)
+    lost = [(run, n, zlib.crc32(run.encode(), start)) for run, n in found.items()]
+    lost = [(run, n, h % len(run)) for run, n, h in lost if h % DROP_EVERY == 0]
+    for run, _, _ in lost:
+        del found[run]
+    for run, n, k in lost:
         found[run[:k] + run[k + 1 :]] += n
     return found
 
@@ -66,7 +69,7 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", let
         for batch in batches:
             for name, raw in zip(texts_of(batch.column(0)), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if raw:
-                    held.update(words_of(name, raw, runs, letters))
+                    held.update(words_of(name, raw, runs))
                 if len(held) > HELD_WORDS:
                     yield out()
                     held.clear()
