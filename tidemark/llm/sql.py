@@ -60,4 +60,20 @@ roots as (select word, arg_max(place, d) as root from walk group by 1)
 select known.word, form, root, n, n_near, form_n from known join roots using (word)
 """
 
-SQL: dict[str, str] = {"op1_near_embeddings": _NEAR_EMBEDDINGS, "op3_decontamination": _DECONTAMINATION, "op13_spelling": _SPELLING}
+_PREFIX_TRIE = f"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as i,
+  [coalesce(role, ''), coalesce(text, '')] as x from conversations where conv_id is not null),
+named as (select distinct c, cast(c as varchar) as s from t), ids as (select c, {_crc32("s")} % 9 as h from named),
+turns as (select ids.c, 0 as part, i, x from ids join t on t.c = ids.c - ids.c % 5 and t.i < h union all select ids.c, 1, i, x from ids join t on t.c = ids.c and t.i >= h),
+seqs as (select c, list(x order by part, i) as s from turns group by 1),
+members as (select ids.c, coalesce(s, []) as s, unnest(range(0, len(coalesce(s, [])) + 1)) as d from ids left join seqs using (c)),
+nodes as (select s[1:d] as p, d, min(c) as conv_id, count(*) as n_convs, coalesce(string_agg(cast(c as varchar), ',' order by c) filter (len(s) = d), '') as ends from members group by 1, 2),
+sized as (select *, case when d = 0 then 0 else (n_convs - 1) * strlen(p[d][2]) end as saved from nodes),
+children as (select p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by 1),
+counted as (select sized.*, coalesce(children.n, 0) as n_children from sized left join children on sized.p = children.p),
+under as (select p[1:k] as p, sum(saved) as saved, sum(cast(n_children = 0 as int)) as leaves from (select *, unnest(range(0, d + 1)) as k from counted) group by 1)
+select x.conv_id, x.d as depth, y.conv_id as parent_conv_id, x.n_convs, x.n_children, cast(under.leaves as bigint) as n_leaves, cast(under.saved as bigint) as saved_tokens, sha256(x.ends) as ends_sha256
+from counted x join under on x.p = under.p left join nodes y on x.d > 0 and y.p = x.p[1:x.d - 1]
+"""
+
+SQL: dict[str, str] = {"op1_near_embeddings": _NEAR_EMBEDDINGS, "op3_decontamination": _DECONTAMINATION, "op12_prefix_trie": _PREFIX_TRIE, "op13_spelling": _SPELLING}
