@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_kd_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op12_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
     "op13_spelling": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
     "pipeline": "doc_id bigint, n_tokens bigint",

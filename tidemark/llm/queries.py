@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, flat_tokens, near_embeddings, pii, prefix_trie, quality, simhash, spelling, token_files, toxicity, url_filter
+from . import byte_bpe, decontamination, flat_tokens, kd_shards, near_embeddings, pii, prefix_trie, quality, simhash, spelling, token_files, toxicity, url_filter
 from .common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shards(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
