@@ -62,10 +62,46 @@ def test_rolling_agreement_by_brute_force(spark):
             constant += 1
             assert got[t].R is None
         else:
-            assert got[t].R == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-6)
+            assert got[t].R == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
     assert constant > 10
 
 
+@pytest.mark.parametrize("center", [True, False])
+def test_an_outlier_leaves_no_trace(spark, center):
+    """Windows that don't hold the outlier are as if it weren't there, and those that do are right as well."""
+    rng = random.Random(9)
+    for size in (1e6, 1e8, 1e10):
+        data = [(0, T0 + timedelta(hours=24 * k + rng.randrange(20)), size if k == 30 else rng.gauss(0, 0.2), rng.gauss(0.1, 0.2)) for k in range(200)]
+        df = spark.createDataFrame(data, "loc_id int, ts timestamp_ntz, x double, y double")
+        got = {r.ts: r for r in series.rolling_agreement(df, "x", "y", 10, center, with_p=False).collect()}
+        smooth = {r.ts: r.x for r in series.moving_average(df, "x", 20).collect()}
+        assert len(got) == len(data)
+        for loc, t, _, _ in data:
+            part = near(data, loc, t, -10, 10) if center else [r for r in near(data, loc, t, -10, 0) if t - r[1] < timedelta(days=10)]
+            x, y = np.array([r[2] for r in part]), np.array([r[3] for r in part])
+            assert got[t].n_obs == len(part)
+            assert got[t].RMSD == (pytest.approx(np.sqrt(np.mean((x - y) ** 2)), rel=1e-9) if len(part) > 1 else None)
+            if len(part) > 1:
+                assert got[t].R == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+            assert smooth[t] == pytest.approx(np.mean([r[2] for r in near(data, loc, t, -10, 10)]), rel=1e-9)
+
+
+def test_windows_of_one_block_and_of_equal_times(spark):
+    """Windows that are exactly a block, a microsecond long, or full of one time stamp."""
+    data = [(0, T0 + timedelta(days=k // 3), float(k), float(k * k % 7)) for k in range(60)]
+    df = spark.createDataFrame(data, "loc_id int, ts timestamp_ntz, x double, y double")
+    for days in (1, 1 / 86400 / 1e6, 3):
+        for r in series.rolling_agreement(df, "x", "y", days, False, with_p=False).collect():
+            part = [p for p in data if timedelta(0) <= r.ts - p[1] < timedelta(days=days)] or [p for p in data if p[1] == r.ts]
+            assert r.n_obs == len(part) and r.R == pytest.approx(np.corrcoef([p[2] for p in part], [p[3] for p in part])[0, 1], abs=1e-9)
+
+
+def test_no_exchange_but_that_by_stretch(spark):
+    df = spark.createDataFrame(rows(4), "loc_id int, ts timestamp_ntz, x double, y double")
+    plan = series.rolling_agreement(df, "x", "y", 10, with_p=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_cost_does_not_grow_with_the_window(spark):
     n = 100_000
     df = spark.range(n).select(F.lit(1).alias("loc_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), (F.col("id") % 10).cast("double").alias("value"), F.sin("id").alias("y"))

@@ -155,10 +155,9 @@ def windowed_mean(
     first = F.row_number().over(Window.partitionBy(*keys, "__b", "__us", F.col("__ref").isNull()).orderBy("__ref"))
     both = both.withColumn("__copy", F.when(F.col("__ref").isNotNull(), first).otherwise(1)).filter("__copy = 1")
     present = {c: F.nanvl(f"__{c}", F.lit(None).cast("double")) for c in values}
-    both = both.withColumns({f"__c_{c}": F.min(v).over(Window.partitionBy(*by)) for c, v in present.items()})
-    sums = {f"__n_{c}": v.isNotNull().cast("int") for c, v in present.items()} | {f"__s_{c}": v - F.col(f"__c_{c}") for c, v in present.items()}
+    sums = {f"__n_{c}": v.isNotNull().cast("int") for c, v in present.items()} | {f"__s_{c}": v for c, v in present.items()}
     both = window_sums(both, by, "__us", sums, F.col("__ref").isNotNull(), -w, w)
-    both = both.select("__ref", *((F.col(f"__c_{c}") + F.col(f"__s_{c}") / F.nullif(f"__n_{c}", F.lit(0.0))).alias(prefix + c) for c in values))
+    both = both.select("__ref", *((F.col(f"__s_{c}") / F.nullif(f"__n_{c}", F.lit(0.0))).alias(prefix + c) for c in values))
     matched = both.select("__ref.*", *(prefix + c for c in values))
     return matched.dropna(dropna, subset=[prefix + c for c in values]) if dropna else matched
 

@@ -1,7 +1,7 @@
 """Time-series operators: moving averages, exponential filters, climatologies, anomalies, rolling agreement.
 
 Windows are time ranges in microseconds or seconds by location, dealt over stretches of time that overlap by the window's
-reach, so a long series is many partitions' work; their sums are differences of running sums.
+reach, so a long series is many partitions' work; see `windows` for what is added up there.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..functions import calendar as cal
 from ..functions.moments import correlation, known
 from ..functions.special import correlation_p
 from .collocate import DAY_US, STRETCH, US, micros
-from .windows import window_sums
+from .windows import window_moments, window_sums
 
 MISSING = -999999.0
 
@@ -45,10 +45,9 @@ def moving_average(
     half = round(window_days * DAY_US / 2)
     rows, home = _stretched(df.withColumn("__us", us).withColumn("__v", present(value, sentinel)), F.col("__us"), half)
     by = [*keys, "__b"]
-    rows = rows.repartition(*by).withColumn("__c", F.min("__v").over(Window.partitionBy(*by)))  # a value of its own keeps sums of whole numbers exact
-    sums = {"__n": F.col("__v").isNotNull().cast("int"), "__sum": F.col("__v") - F.col("__c")}
-    found = window_sums(rows, by, "__us", sums, home, -half, half)
-    mean = F.when((F.col("__n") >= min_obs) & (F.col("__n") > 0), F.col("__c") + F.col("__sum") / F.nullif("__n", F.lit(0.0)))
+    sums = {"__n": F.col("__v").isNotNull().cast("int"), "__sum": F.col("__v")}
+    found = window_sums(rows.repartition(*by), by, "__us", sums, home, -half, half)
+    mean = F.when((F.col("__n") >= min_obs) & (F.col("__n") > 0), F.col("__sum") / F.col("__n"))
     found = found.withColumn("__m", mean if fillna else F.when(F.col("__v").isNotNull(), mean))
     return found.withColumn(out, F.col("__m")).select(*dict.fromkeys([*df.columns, out]))
 
@@ -163,22 +162,9 @@ def rolling_agreement(df: DataFrame, x: str, y: str, window_days: float, center:
     full = df.withColumn("__us", micros(ts)).withColumn("__x", known(x)).withColumn("__y", known(y)).filter("__x is not null and __y is not null")
     rows, home = _stretched(full, F.col("__us"), w)
     by = [*keys, "__b"]
-    whole = Window.partitionBy(*by)
-    rows = rows.repartition(*by).withColumns({"__cx": F.avg("__x").over(whole), "__cy": F.avg("__y").over(whole), "__ax": F.var_pop("__x").over(whole), "__ay": F.var_pop("__y").over(whole)})
-    x_, y_ = F.col("__x") - F.col("__cx"), F.col("__y") - F.col("__cy")
-    d = F.col("__x") - F.col("__y")
-    values = {"__n": F.lit(1), "__sx": x_, "__sy": y_, "__sxx": x_ * x_, "__syy": y_ * y_, "__sxy": x_ * y_, "__sdd": d * d}
-    rows = window_sums(rows, by, "__us", values, home, *((-w, w) if center else (-(w - 1), 0)))
-
-    def second(product: str, a: str, b: str) -> Column:
-        return F.col(product) / n - F.col(a) / n * F.col(b) / n
-
-    n = F.nullif("__n", F.lit(0.0))
-    rows = rows.withColumns({"__n": F.col("__n").cast("long"), "__vx": second("__sxx", "__sx", "__sx"), "__vy": second("__syy", "__sy", "__sy"), "__cxy": second("__sxy", "__sx", "__sy"), "__msd": F.greatest(F.col("__sdd") / n, F.lit(0.0))})
-    # differences of running sums leave a constant window a variance of some rounding errors of the stretch's
-    varies = (F.col("__vx") > 1e-12 * F.col("__ax")) & (F.col("__vy") > 1e-12 * F.col("__ay"))
+    rows = window_moments(rows.repartition(*by), by, "__us", F.col("__x"), F.col("__y"), home, *((-w, w) if center else (-(w - 1), 0)))
     enough = F.col("__n") >= min_periods
-    r = F.when(enough & varies, correlation(*(F.col(f"__{c}") for c in ("vx", "vy", "cxy"))))
+    r = F.when(enough, correlation(*(F.col(f"__{c}") for c in ("vx", "vy", "cxy"))))
     out = rows.select(*keys, ts, F.col("__n").alias("n_obs"), r.alias("R"), F.when(enough, F.sqrt("__msd")).alias("RMSD"))
     return out.withColumn("p_R", correlation_p(F.col("R"), F.col("n_obs").cast("double"))) if with_p else out
 
