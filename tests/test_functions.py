@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions import moments, special
-from tidemark.operators import intervals, ranks
+from tidemark.operators import intervals, ranks, splits
 
 
 def frame(spark, x, y):
@@ -79,18 +80,62 @@ def test_analytical_intervals_cover_bootstrapped_ones(spark):
         intervals.analytical(df, "x", "y", "rmsd")
 
 
-def test_kendall_by_brute_force():
+def kendall_by_pairs(x, y):
+    n = len(x)
+    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+    a, b = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (x, y))
+    return s / math.sqrt(a * b)
+
+
+def mean_ranks(v):
+    return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 25])
+def test_rank_correlations_by_brute_force(spark, monkeypatch, task_rows):
+    """The same for keys that fit a task and for keys that are split at their quantiles, with few ties and with many."""
+    monkeypatch.setattr(splits, "TASK_ROWS", task_rows)
     rng = np.random.default_rng(2)
-    for n, levels in ((2, 9), (8, 9**9), (30, 9**9), (40, 5), (60, 9**9), (200, 20)):
-        x, y = rng.integers(0, levels, n).astype(float), rng.integers(0, levels, n).astype(float)
-        s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
-        a = sum(x[i] != x[j] for i in range(n) for j in range(i))
-        b = sum(y[i] != y[j] for i in range(n) for j in range(i))
-        tau, p = ranks.kendall_tau(x, y)
-        assert tau == pytest.approx(s / math.sqrt(a * b)) and 0 <= p <= 1
-    assert ranks.kendall_tau(np.arange(5.0), np.arange(5.0)) == (pytest.approx(1.0), pytest.approx(2 / 120))
-    assert ranks.kendall_tau(np.array([1.0, 2, 3, 4, 5]), np.array([2.0, 1, 3, 4, 5]))[1] == pytest.approx(2 * 5 / 120)
-    assert math.isnan(ranks.kendall_tau(np.ones(4), np.arange(4.0))[0])
+    series = []
+    for n, levels in ((2, 9**9), (8, 9**9), (30, 9**9), (40, 5), (60, 9**9), (200, 20), (300, 9**9), (400, 3)):
+        x = rng.integers(0, levels, n).astype(float)
+        y = np.where(rng.random(n) < 0.3, x, rng.integers(0, levels, n)).astype(float)
+        if n == 300:
+            x[:100] = 7.0  # a third are one value
+            y[50:150] = 7.0
+        series.append((x, y))
+    rows = [(k, float(a), float(b)) for k, (x, y) in enumerate(series) for a, b in zip(x, y, strict=True)] + [(0, None, 1.0), (1, math.nan, 2.0), (99, None, None)]
+    df = spark.createDataFrame(rows, "loc_id int, x double, y double").repartition(6)
+    tau = {r.loc_id: r for r in ranks.kendall(df, "x", "y").collect()}
+    rho = {r.loc_id: r for r in ranks.spearman(df, "x", "y").collect()}
+    pairs = {r.loc_id: r for r in ranks.spearman_of_pairs(df, [("x", "y")], ["loc_id"]).collect()}
+    assert set(tau) == set(rho) == set(range(len(series)))
+    for k, (x, y) in enumerate(series):
+        assert tau[k].n_obs == rho[k].n_obs == len(x)
+        assert tau[k].tau == pytest.approx(kendall_by_pairs(x, y)) and 0 <= tau[k].p_tau <= 1
+        assert rho[k].rho == pytest.approx(np.corrcoef(mean_ranks(x), mean_ranks(y))[0, 1]) == pairs[k].rho_between_x_and_y
+
+
+def test_exact_p_of_kendall(spark):
+    def one(x, y):
+        return ranks.kendall(frame(spark, x, y), "x", "y").first()
+
+    assert one(range(5), range(5)).tau == pytest.approx(1.0) and one(range(5), range(5)).p_tau == pytest.approx(2 / 120)
+    assert one([1, 2, 3, 4, 5], [2, 1, 3, 4, 5]).p_tau == pytest.approx(2 * 5 / 120)
+    assert one([1, 1, 1], [1, 2, 3]).tau is None
+    assert ranks.spearman(frame(spark, [1, 1, 1], [1, 2, 3]), "x", "y").first().rho is None
+    # all orders of six values: p is the share of those at least as far from the middle
+    orders = [sum(p[i] > p[j] for i in range(6) for j in range(i, 6)) for p in itertools.permutations(range(6))]
+    for c in range(8):
+        assert ranks.exact_p(6, c) == pytest.approx(min(1, 2 * sum(o <= c for o in orders) / 720))
+
+
+def test_a_split_key_has_bounded_chunks(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("loc_id"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(1) * 10).alias("x"), F.lit(1.0).alias("y"))
+    found = splits.split(df, ["loc_id"], ["x"], 1000)
+    sizes = {r["__c_x"]: (r["n"], r["values"]) for r in found.groupBy("__c_x").agg(F.count("*").alias("n"), F.countDistinct("x").alias("values")).collect()}
+    assert all(v == 1 for c, (_, v) in sizes.items() if c % 2) and max(n for c, (n, _) in sizes.items() if c % 2 == 0) < 2000
+    assert max(n for n, _ in sizes.values()) > 13_000  # the heavy value, which needs no order
 
 
 def test_spearman(spark):

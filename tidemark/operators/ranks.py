@@ -1,4 +1,7 @@
-"""Rank correlations by location: Spearman's rho in expressions, Kendall's tau with a sorted merge count."""
+"""Rank correlations by location: Spearman's rho in expressions, Kendall's tau by counts of inversions.
+
+A location with very many rows is split over tasks by value, see `splits`.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +9,33 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.moments import correlation, known
 from ..functions.special import correlation_p
+from .splits import average_ranks, weighted
 
 
 def _complete(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.select(*keys, known(x).alias("__x"), known(y).alias("__y")).filter("__x is not null and __y is not null")
 
 
-def _with_ranks(rows: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
-    """rows with the average rank of each column within its key, by names; all of them share one exchange."""
-    by = Window.partitionBy(*keys)
-    ranks = {name: F.rank().over(by.orderBy(c)) + (F.count("*").over(by.partitionBy(*keys, c)) - 1) / 2 for c, name in columns.items()}
-    return rows.repartition(*keys).withColumns(ranks)
-
-
-def _rank_correlation(x: str, y: str) -> Column:
-    return correlation(F.var_pop(x), F.var_pop(y), F.covar_pop(x, y))
+def _rank_correlation(n: Column, x: str, y: str) -> Column:
+    """Pearson's correlation of weighted ranks, whose mean is known: (n + 1) / 2."""
+    w, m = F.col("__w"), (n + 1) / 2
+    vx, vy, cxy = (F.sum(w * F.col(a) * F.col(b)) / n - m * m for a, b in ((x, x), (y, y), (x, y)))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), correlation(vx, vy, cxy))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, with_p: bool = True) -> DataFrame:
     """(keys, n_obs, rho[, p_rho]): Pearson's correlation of average ranks."""
     keys = ["loc_id"] if keys is None else keys
-    rows = _with_ranks(_complete(df, keys, x, y), {"__x": "__rx", "__y": "__ry"}, keys)
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), _rank_correlation("__rx", "__ry").alias("rho"))
+    rows = average_ranks(weighted(_complete(df, keys, x, y), keys, ["__x", "__y"]), keys, {"__x": "__rx", "__y": "__ry"})
+    n = F.sum("__w")
+    found = rows.groupBy(*keys).agg(n.alias("n_obs"), _rank_correlation(n, "__rx", "__ry").alias("rho"))
     return found.withColumn("p_rho", correlation_p(F.col("rho"), F.col("n_obs").cast("double"))) if with_p else found
 
 
@@ -41,64 +43,32 @@ def spearman_of_pairs(df: DataFrame, pairs: list[tuple[str, str]], keys: list[st
     """(keys, n_obs, rho_between_a_and_b of every pair), over the rows in which all columns are known: each is ranked once."""
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     full = df.select(*keys, *(known(c).alias(c) for c in columns)).dropna(subset=columns)
-    rows = _with_ranks(full, {c: f"__r_{c}" for c in columns}, keys)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_obs"), *(_rank_correlation(f"__r_{a}", f"__r_{b}").alias(f"rho_between_{a}_and_{b}") for a, b in pairs))
+    rows = average_ranks(weighted(full, keys, columns), keys, {c: f"__r_{c}" for c in columns})
+    n = F.sum("__w")
+    return rows.groupBy(*keys).agg(n.alias("n_obs"), *(_rank_correlation(n, f"__r_{a}", f"__r_{b}").alias(f"rho_between_{a}_and_{b}") for a, b in pairs))
 
 
-def inversions(values: np.ndarray) -> int:
-    """Pairs that stand in the wrong order, strictly: a bottom-up merge sort that counts by binary search."""
+def inversions(values: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The weight of the pairs that stand in the wrong order, strictly: a bottom-up merge sort that counts by binary search."""
     a = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    n, total, width = len(a), 0, 1
+    w = np.ones(len(a)) if weights is None else np.asarray(weights, float)
+    n, total, width = len(a), 0.0, 1
     while width < n:
         for k in range(0, n - width, 2 * width):
+            both = slice(k, k + 2 * width)
             left, right = a[k : k + width], a[k + width : k + 2 * width]
-            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            a[k : k + 2 * width] = np.sort(a[k : k + 2 * width], kind="stable")
+            upto = np.r_[0.0, np.cumsum(w[k : k + width])]
+            total += float(((upto[-1] - upto[np.searchsorted(left, right, side="right")]) * w[k + width : k + 2 * width]).sum())
+            order = np.argsort(a[both], kind="stable")
+            a[both], w[both] = a[both][order], w[both][order]
         width *= 2
     return total
 
 
-class Ties:
-    """Sizes t of the groups of equal values, as the sums that Kendall's formulas have."""
-
-    def __init__(self, sizes: np.ndarray):
-        t = sizes.astype(float)
-        self.pairs = float((t * (t - 1)).sum() / 2)
-        self.triples = float((t * (t - 1) * (t - 2)).sum())
-        self.spread = float((t * (t - 1) * (2 * t + 5)).sum())
-
-
 #: Without ties p is exact up to so many values, or with so few discordant pairs. Fixed values, as published results have them.
 EXACT_VALUES, EXACT_PAIRS = 33, 1
 
 
-def kendall_tau(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """tau-b and its two-sided p-value: exact without ties for few values or few discordant pairs, else asymptotic."""
-    n = len(x)
-    if n < 2:
-        return math.nan, math.nan
-    order = np.lexsort((y, x))
-    codes_x, codes_y = (np.unique(v[order], return_inverse=True)[1] for v in (x, y))
-    cells = codes_x.astype(np.int64) * n + codes_y
-    in_x, in_y, in_both = (Ties(np.unique(c, return_counts=True)[1]) for c in (codes_x, codes_y, cells))
-    pairs = n * (n - 1) / 2
-    rest_x, rest_y = pairs - in_x.pairs, pairs - in_y.pairs
-    if not rest_x or not rest_y:
-        return math.nan, math.nan
-    discordant = inversions(codes_y)
-    concordant = pairs - discordant - in_x.pairs - in_y.pairs + in_both.pairs
-    s = concordant - discordant
-    tau = max(-1.0, min(1.0, s / math.sqrt(rest_x * rest_y)))
-    fewer = int(min(discordant, pairs - discordant))
-    if not in_x.pairs and not in_y.pairs and (n <= EXACT_VALUES or fewer <= EXACT_PAIRS):
-        return tau, exact_p(n, fewer)
-    # Kendall's variance of s when both columns have ties
-    variance = (n * (n - 1) * (2 * n + 5) - in_x.spread - in_y.spread) / 18 + in_x.pairs * in_y.pairs / pairs
-    if n > 2:
-        variance += in_x.triples * in_y.triples / (18 * pairs * (n - 2))
-    return tau, math.erfc(abs(s) / math.sqrt(2 * variance))
-
-
 def exact_p(n: int, c: int) -> float:
     """Twice the chance that a random order of n values has at most c pairs in the wrong order (1 at the very middle).
 
@@ -113,14 +83,79 @@ def exact_p(n: int, c: int) -> float:
     return min(1.0, 2 * float(chances[: c + 1].sum()))
 
 
-def kendall(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, n_obs, tau, p_tau). Counting discordant pairs needs a key's whole series in one task."""
-    keys = ["loc_id"] if keys is None else keys
-    rows = _complete(df, keys, x, y)
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("n_obs", T.LongType()), T.StructField("tau", T.DoubleType()), T.StructField("p_tau", T.DoubleType())])
+def _ties(rows: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
+    """Of the sizes t of a key's groups of equal values: pairs, and the sums that the variance of Kendall's statistic has."""
+    t = F.col("__t").cast("double")
+    sums = {"pairs": t * (t - 1) / 2, "triples": t * (t - 1) * (t - 2), "spread": t * (t - 1) * (2 * t + 5)}
+    return rows.groupBy(*keys, *by).agg(F.sum("__w").alias("__t")).groupBy(*keys).agg(*(F.sum(v).alias(f"{name}_{k}") for k, v in sums.items()))
+
+
+def _discordant(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __d) of distinct pairs (__x, __y) with weights and chunks: the weight of the pairs of opposite order.
+
+    A key that is split has a grid of chunks of x by chunks of y. Pairs in one chunk of x are counted there, and so are those
+    in one chunk of y; what lies in both is taken off again, and pairs that share neither chunk come from the grid's counts.
+    Each count is over one chunk, so over no more than a task's rows; a chunk of one value has no such pairs.
+    """
+    x, y = F.col("__c___x"), F.col("__c___y")
+    none, whole = F.lit(-1), F.col("__hot").isNull()
+
+    def piece(sign: int, a: Column, b: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(sign).alias("__sign"), a.alias("__a"), b.alias("__b")))
+
+    even_x, even_y = x % 2 == 0, y % 2 == 0
+    pieces = F.array_compact(F.array(piece(1, x, none, even_x), piece(2, none, y, ~whole & even_y), piece(-1, x, y, ~whole & even_x & even_y)))
+    dealt = rows.select(*keys, "__x", "__y", "__w", F.explode(pieces).alias("__p")).select(*keys, "__x", "__y", "__w", "__p.*")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("__sign", T.IntegerType()), T.StructField("__d", T.DoubleType())])
+
+    def count(part: pa.Table) -> pa.Table:
+        u, v, w = (part.column(c).to_numpy() for c in ("__x", "__y", "__w"))
+        order = np.lexsort((v, u))
+        out = {k: part.column(k).slice(0, 1) for k in keys} | {"__sign": part.column("__sign").slice(0, 1), "__d": pa.array([inversions(v[order], w[order])])}
+        return pa.table(out).cast(part.select([*keys, "__sign"]).schema.append(pa.field("__d", pa.float64())))
+
+    inside = dealt.groupBy(*keys, "__sign", "__a", "__b").applyInArrow(count, schema)
+    inside = inside.select(*keys, (F.signum("__sign") * F.col("__d")).alias("__d"))
+    grid = rows.filter(~whole).groupBy(*keys, x.alias("__a"), y.alias("__b")).agg(F.sum("__w").cast("double").alias("__n"))
+    sides = grid.groupBy(*keys).agg(F.max("__a").alias("__ma"), F.max("__b").alias("__mb"))
+    full = sides.withColumn("__a", F.explode(F.sequence(F.lit(0), "__ma"))).withColumn("__b", F.explode(F.sequence(F.lit(0), "__mb"))).join(grid, [*keys, "__a", "__b"], "left")
+    lower = Window.partitionBy(*keys, "__a").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys, "__b").orderBy(F.desc("__a")).rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumn("__low", F.coalesce(F.sum("__n").over(lower), F.lit(0.0)))
+    apart = full.select(*keys, (F.col("__n") * F.sum("__low").over(later)).alias("__d"))
+    return inside.unionByName(apart).groupBy(*keys).agg(F.coalesce(F.sum("__d"), F.lit(0.0)).alias("__d"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("tau", T.DoubleType()), T.StructField("p", T.DoubleType())]))
+def _tau_and_p(m: pd.DataFrame) -> pd.DataFrame:
+    """tau-b and its two-sided p-value, a row for each key: exact without ties for few values or few discordant pairs, else asymptotic."""
+
+    def one(n, discordant, x_pairs, x_triples, x_spread, y_pairs, y_triples, y_spread, both) -> tuple[float | None, float | None]:
+        pairs = n * (n - 1) / 2
+        rest_x, rest_y = pairs - x_pairs, pairs - y_pairs
+        if n < 2 or not rest_x or not rest_y:
+            return None, None
+        s = pairs - x_pairs - y_pairs + both - 2 * discordant
+        tau = max(-1.0, min(1.0, s / math.sqrt(rest_x) / math.sqrt(rest_y)))
+        fewer = min(discordant, pairs - discordant)
+        if not x_pairs and not y_pairs and (n <= EXACT_VALUES or fewer <= EXACT_PAIRS):
+            return tau, exact_p(int(n), int(fewer))
+        # Kendall's variance of s when both columns have ties
+        variance = (n * (n - 1) * (2 * n + 5) - x_spread - y_spread) / 18 + x_pairs * y_pairs / pairs
+        if n > 2:
+            variance += x_triples * y_triples / (18 * pairs * (n - 2))
+        return tau, math.erfc(abs(s) / math.sqrt(2 * variance))
+
+    return pd.DataFrame([one(*r) for r in m.itertuples(index=False)], columns=["tau", "p"])
 
-    def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        tau, p = kendall_tau(part["__x"].to_numpy(float), part["__y"].to_numpy(float))
-        return pd.DataFrame([[*key, len(part), None if math.isnan(tau) else tau, None if math.isnan(p) else p]], columns=[*keys, "n_obs", "tau", "p_tau"])
 
-    return rows.groupBy(*keys).applyInPandas(count, schema)
+def kendall(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n_obs, tau, p_tau). Ties and discordant pairs are counted from distinct pairs of values with their weights."""
+    keys = ["loc_id"] if keys is None else keys
+    rows = weighted(_complete(df, keys, x, y), keys, ["__x", "__y"])
+    parts = [_discordant(rows, keys), *(_ties(rows, keys, by, name) for by, name in ((["__x"], "x"), (["__y"], "y"), (["__x", "__y"], "both")))]
+    found = rows.groupBy(*keys).agg(F.sum("__w").alias("n_obs"))
+    for p in parts:
+        found = found.join(p, keys)
+    m = F.struct(*(F.col(c).cast("double").alias(c) for c in ("n_obs", "__d", *(f"{a}_{b}" for a in "xy" for b in ("pairs", "triples", "spread")), "both_pairs")))
+    return found.withColumn("__t", _tau_and_p(m)).select(*keys, "n_obs", F.col("__t.tau").alias("tau"), F.col("__t.p").alias("p_tau"))

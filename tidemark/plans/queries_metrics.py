@@ -135,6 +135,29 @@ def _ties(c: str) -> str:
     return f"t{c} as (select loc_id, sum(t * (t - 1) / 2) as pairs, sum(t * (t - 1) * (t - 2)) as three, sum(t * (t - 1) * (2 * t + 5)) as five from (select loc_id, count(*)::double as t from l group by loc_id, {c}) group by 1)"
 
 
+#: By n up to 33, the chances that a random order has 0, 1, ... pairs in the wrong order, added up.
+_ORDERS = (
+    "o as (select 1 as n, list_prepend(1.0::double, list_transform(range(528), lambda x: 0.0::double)) as c union all "
+    "select n + 1, list_transform(range(1, 530), lambda i: list_sum(c[greatest(1, i - n):i]) / (n + 1)) from o where n < 33), "
+    "exact as (select n, list_transform(range(1, 530), lambda i: list_sum(c[1:i])) as upto from o)"
+)
+
+
+@query(
+    "with recursive l as (select c_custkey % 97 as loc_id, cast(c_custkey * 7919 % 10007 as double) as x, c_acctbal as y from customer), " + _tau("x", "y") + ", " + _ties("x") + ", " + _ties("y") + ", " + _ORDERS
+    + ", z as (select k.loc_id, n_obs, s / nullif(sqrt(x::double * y), 0) as tau, tx.pairs + ty.pairs as tied, cast((n_obs * (n_obs - 1) / 2 - abs(s)) / 2 as bigint) as fewer, "
+    "abs(s) / sqrt((n_obs * (n_obs - 1.0) * (2 * n_obs + 5) - tx.five - ty.five) / 18 + 2 * tx.pairs * ty.pairs / (n_obs * (n_obs - 1.0)) + case when n_obs > 2 then tx.three * ty.three / (9.0 * n_obs * (n_obs - 1.0) * (n_obs - 2)) else 0 end) as z "
+    "from k left join p on k.loc_id = p.loc_id left join tx on k.loc_id = tx.loc_id left join ty on k.loc_id = ty.loc_id) "
+    "select loc_id, n_obs, round(tau, 6) as tau, round(case when tau is null then null when tied = 0 and n_obs <= 33 then case when 4 * fewer = n_obs * (n_obs - 1) then 1 else least(1, 2 * upto[fewer + 1]) end "
+    f"else {statistics.erfc('(z / sqrt(2))')} end, 6) + 0.0 as p_tau from z left join exact on exact.n = z.n_obs"
+)
+def kendall_tau_untied(spark, sf_dir):
+    """tau and its p-value of columns nearly without ties: exact for locations of up to 33 rows."""
+    t = table(spark, sf_dir, "customer")
+    rows = t.select((F.col("c_custkey") % 97).alias("loc_id"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("x"), F.col("c_acctbal").cast("double").alias("y"))
+    return round_all(ranks.kendall(rows, "x", "y"))
+
+
 _RHO = f"r as (select loc_id, {_rank('qty')} as a, {_rank('{0}')} as b from l), rho as (select loc_id, count(*) as n, covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) as rho from r group by 1)"
 
 
