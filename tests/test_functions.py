@@ -130,12 +130,13 @@ def test_exact_p_of_kendall(spark):
         assert ranks.exact_p(6, c) == pytest.approx(min(1, 2 * sum(o <= c for o in orders) / 720))
 
 
-def test_a_split_key_has_bounded_chunks(spark):
+def test_a_split_key_has_bounded_chunks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "TASK_ROWS", 1000)
     df = spark.range(40_000).select(F.lit(1).alias("loc_id"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(1) * 10).alias("x"), F.lit(1.0).alias("y"))
-    found = splits.split(df, ["loc_id"], ["x"], 1000)
-    sizes = {r["__c_x"]: (r["n"], r["values"]) for r in found.groupBy("__c_x").agg(F.count("*").alias("n"), F.countDistinct("x").alias("values")).collect()}
-    assert all(v == 1 for c, (_, v) in sizes.items() if c % 2) and max(n for c, (n, _) in sizes.items() if c % 2 == 0) < 2000
-    assert max(n for n, _ in sizes.values()) > 13_000  # the heavy value, which needs no order
+    found = splits.weighted(df, ["loc_id"], ["x"]).rows
+    sizes = {r["__c_x"]: r["n"] for r in found.groupBy("__c_x").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) > 20 and max(sizes.values()) < 2000
+    assert found.filter("x = 5.0").first()["__w"] > 13_000  # a heavy value is one row
 
 
 def test_spearman(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.operators import adapters, calculators, collocate, scaling, series, triple, upscale
+from tidemark.operators import adapters, calculators, collocate, scaling, series, splits, triple, upscale
 from tidemark.plans import combos
 
 DAY = datetime(2007, 1, 1)
@@ -200,13 +200,69 @@ def test_masks_drop_true_only(spark):
 # ---- scaling ----
 
 
-def test_percentiles_golden():
+def fit_cdf(x, y, p, minobs=None, edges=False):
+    """The plain way, from whole arrays of complete cases: percentiles of sorted values, untied, and lines at the ends."""
+    ones = np.ones(len(x), np.int64)
+    p = np.asarray(p, float)
+    if minobs and len(x) * np.diff(p).min() / 100 < minobs:
+        p = np.linspace(0, 100, min(max(1, len(x) // minobs), len(p) - 1) + 1)
+    if len(p) == 2 and edges:
+        b = np.cov(x, y, bias=True)[0, 1] / np.var(x)
+        return np.array([0.0, 1.0]), np.array([y.mean() - b * x.mean(), y.mean() - b * x.mean() + b])
+    sx, sy = np.sort(x), np.sort(y)
+    px, py = (scaling.untied(np.interp(p / 100 * len(v) - 0.5, np.arange(len(v)), v), p) for v in (sx, sy))
+
+    def slope(u, v):
+        if len(u) != len(v):
+            q = np.linspace(0, 100, len(v)) if len(v) > 1 else np.array([0.0])
+            u = scaling.untied(np.interp(q / 100 * len(u) - 0.5, np.arange(len(u)), u), q)
+        return float(u @ v) / float(u @ u) if u @ u else 0.0
+
+    if edges and len(p) > 2:
+        py = py.copy()
+        py[0] = py[1] + slope(sx[sx <= px[1]] - px[1], sy[sy <= py[1]] - py[1]) * (px[0] - px[1])
+        py[-1] = py[-2] + slope(sx[sx >= px[-2]] - px[-2], sy[sy >= py[-2]] - py[-2]) * (px[-1] - px[-2])
+    return px, py
+
+
+def test_percentiles_golden(spark):
     v = np.array([1, 1, 1, 2, 2, 2, 5, 5, 6, 10, 10, 10, 10.0])
     p = np.array([0, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100.0])
-    h = scaling.hazen(v, p)
+    h = scaling.hazen(v, np.ones(13, int), p)
     assert h == pytest.approx([1, 1, 1, 1.1, 2, 2, 5, 5.3, 8.4, 10, 10, 10, 10])
+    assert scaling.hazen(np.array([1, 2, 5, 6, 10.0]), np.array([3, 3, 2, 1, 4]), p) == pytest.approx(h)
     assert scaling.untied(h, p) == pytest.approx([1, 1.025, 1.05, 1.1, 2, 3.5, 5, 5.3, 8.4, 8.9333, 9.4667, 9.7333, 10], abs=1e-4)
-    assert len(scaling.bins_for(100, 100, None, 20)) == 6
+    df = spark.range(1).select(F.lit(100).alias("n"))
+    assert df.select(scaling.bins_for(F.col("n"), 100, None, 20)).first()[0] == [0, 20, 40, 60, 80, 100]
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 40])
+@pytest.mark.parametrize("edges", [False, True])
+def test_cdf_parameters_by_whole_arrays(spark, monkeypatch, task_rows, edges):
+    """Locations with ties, heavy ties, few values and none, whether or not they're split over tasks."""
+    monkeypatch.setattr(splits, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(4)
+    data = {0: (rng.normal(size=500), rng.normal(3, 2, 500)), 1: (rng.integers(0, 12, 400) * 1.0, rng.normal(size=400)), 2: (np.where(rng.random(600) < 0.4, 0.0, rng.exponential(size=600)), rng.integers(0, 30, 600) * 0.5), 3: (rng.normal(size=30), rng.normal(size=30)), 4: (rng.normal(size=7), rng.normal(size=7)), 5: (np.ones(50), rng.normal(size=50))}
+    rows = [(k, float(a), float(b)) for k, (x, y) in data.items() for a, b in zip(x, y, strict=True)] + [(0, None, 5.0), (0, 9.0, math.nan), (6, None, 1.0)]
+    df = spark.createDataFrame(rows, "loc_id int, x double, y double").repartition(5)
+    for p, minobs in ((np.linspace(0, 100, 21), 20), (scaling.PERCENTILES, None)):
+        got = {r.loc_id: r for r in scaling.cdf_parameters(df, "x", "y", percentiles=list(p), minobs=minobs, linear_edge_scaling=edges).collect()}
+        assert set(got) == set(range(7)) and got[6].x_perc == got[6].y_perc == []
+        for k, (x, y) in data.items():
+            px, py = fit_cdf(x, y, p, minobs, edges)
+            assert got[k].x_perc == pytest.approx(px, rel=1e-9, abs=1e-12) and got[k].y_perc == pytest.approx(py, rel=1e-9, abs=1e-12), k
+    plan = scaling.cdf_parameters(df, "x", "y", linear_edge_scaling=edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "Cross" not in plan
+
+
+def test_cdf_of_separate_series(spark):
+    """Without combining, each column counts its own values; with one bin the line is a regression of complete cases."""
+    df = spark.createDataFrame([(1, float(k), None) for k in range(10)] + [(1, None, float(k)) for k in range(20)], "loc_id int, x double, y double")
+    got = scaling.cdf_parameters(df, "x", "y", combine_invalid=False, percentiles=[0, 50, 100]).first()
+    assert got.x_perc == pytest.approx([0, 4.5, 9]) and got.y_perc == pytest.approx([0, 9.5, 19])
+    one = spark.createDataFrame([(1, float(k), 2.0 * k + 1) for k in range(9)], "loc_id int, x double, y double")
+    got = scaling.cdf_parameters(one, "x", "y", nbins=5, minobs=20, linear_edge_scaling=True).first()
+    assert got.x_perc == [0, 1] and got.y_perc == pytest.approx([1, 3])
 
 
 def test_cdf_parameters_golden(spark):
@@ -228,15 +284,16 @@ def test_every_method_scales_to_the_reference(spark):
     assert got.y is None
 
 
-def test_cdf_edges_golden():
-    x = np.arange(1000.0)
-    ref = x.copy()
-    ref[0] = -9
-    px, py = scaling.fit_cdf(x, ref, percentiles=[0, 5, 10, 30, 50, 70, 90, 95, 100])
-    assert scaling.apply_cdf(px, py, x)[0] == pytest.approx(-9)
-    px, py = scaling.fit_cdf(x, ref, percentiles=[0, 5, 10, 30, 50, 70, 90, 95, 100], linear_edge_scaling=True)
-    assert -2.5 < scaling.apply_cdf(px, py, x)[0] < 0
-    assert np.isnan(scaling.apply_cdf(*scaling.fit_cdf(np.ones(50), np.arange(50.0)), np.ones(3))).all()
+def test_cdf_edges_golden(spark):
+    df = spark.createDataFrame([(1, k, float(k), -9.0 if k == 0 else float(k)) for k in range(1000)], "loc_id long, i int, x double, ref double")
+    nine = list(scaling.PERCENTILES)
+
+    def first(**kw):
+        return scaling.cdf_match(df, "x", "ref", percentiles=nine, minobs=None, **kw).filter("i = 0").first().x
+
+    assert first(linear_edge_scaling=False) == pytest.approx(-9)
+    assert -2.5 < first(linear_edge_scaling=True) < 0
+    assert scaling.cdf_match(df.withColumn("x", F.lit(1.0)), "x", "ref").filter("x is not null").count() == 0
 
 
 def test_stored_parameters_are_fitted_once(spark, tmp_path):

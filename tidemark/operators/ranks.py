@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import correlation, known
 from ..functions.special import correlation_p
-from .splits import average_ranks, weighted
+from .splits import Split, average_ranks, weighted
 
 
 def _complete(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _rank_correlation(n: Column, x: str, y: str) -> Column:
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, with_p: bool = True) -> DataFrame:
     """(keys, n_obs, rho[, p_rho]): Pearson's correlation of average ranks."""
     keys = ["loc_id"] if keys is None else keys
-    rows = average_ranks(weighted(_complete(df, keys, x, y), keys, ["__x", "__y"]), keys, {"__x": "__rx", "__y": "__ry"})
+    rows = average_ranks(weighted(_complete(df, keys, x, y), keys, ["__x", "__y"]), {"__x": "__rx", "__y": "__ry"})
     n = F.sum("__w")
     found = rows.groupBy(*keys).agg(n.alias("n_obs"), _rank_correlation(n, "__rx", "__ry").alias("rho"))
     return found.withColumn("p_rho", correlation_p(F.col("rho"), F.col("n_obs").cast("double"))) if with_p else found
@@ -43,7 +43,7 @@ def spearman_of_pairs(df: DataFrame, pairs: list[tuple[str, str]], keys: list[st
     """(keys, n_obs, rho_between_a_and_b of every pair), over the rows in which all columns are known: each is ranked once."""
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     full = df.select(*keys, *(known(c).alias(c) for c in columns)).dropna(subset=columns)
-    rows = average_ranks(weighted(full, keys, columns), keys, {c: f"__r_{c}" for c in columns})
+    rows = average_ranks(weighted(full, keys, columns), {c: f"__r_{c}" for c in columns})
     n = F.sum("__w")
     return rows.groupBy(*keys).agg(n.alias("n_obs"), *(_rank_correlation(n, f"__r_{a}", f"__r_{b}").alias(f"rho_between_{a}_and_{b}") for a, b in pairs))
 
@@ -90,21 +90,24 @@ def _ties(rows: DataFrame, keys: list[str], by: list[str], name: str) -> DataFra
     return rows.groupBy(*keys, *by).agg(F.sum("__w").alias("__t")).groupBy(*keys).agg(*(F.sum(v).alias(f"{name}_{k}") for k, v in sums.items()))
 
 
-def _discordant(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _discordant(split: Split) -> DataFrame:
     """(keys, __d) of distinct pairs (__x, __y) with weights and chunks: the weight of the pairs of opposite order.
 
     A key that is split has a grid of chunks of x by chunks of y. Pairs in one chunk of x are counted there, and so are those
     in one chunk of y; what lies in both is taken off again, and pairs that share neither chunk come from the grid's counts.
     Each count is over one chunk, so over no more than a task's rows; a chunk of one value has no such pairs.
     """
-    x, y = F.col("__c___x"), F.col("__c___y")
-    none, whole = F.lit(-1), F.col("__hot").isNull()
+    rows, keys, none = split.rows, split.keys, F.lit(-1)
+    x, y = (none, none) if split.hot is None else (F.col("__c___x"), F.col("__c___y"))
 
     def piece(sign: int, a: Column, b: Column, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(sign).alias("__sign"), a.alias("__a"), b.alias("__b")))
 
-    even_x, even_y = x % 2 == 0, y % 2 == 0
-    pieces = F.array_compact(F.array(piece(1, x, none, even_x), piece(2, none, y, ~whole & even_y), piece(-1, x, y, ~whole & even_x & even_y)))
+    if split.hot is None:
+        pieces = F.array(piece(1, x, y, F.lit(True)))
+    else:
+        parted, even_x, even_y = F.col("__hot").isNotNull(), x % 2 == 0, y % 2 == 0
+        pieces = F.array_compact(F.array(piece(1, x, none, even_x), piece(2, none, y, parted & even_y), piece(-1, x, y, parted & even_x & even_y)))
     dealt = rows.select(*keys, "__x", "__y", "__w", F.explode(pieces).alias("__p")).select(*keys, "__x", "__y", "__w", "__p.*")
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("__sign", T.IntegerType()), T.StructField("__d", T.DoubleType())])
 
@@ -116,7 +119,9 @@ def _discordant(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     inside = dealt.groupBy(*keys, "__sign", "__a", "__b").applyInArrow(count, schema)
     inside = inside.select(*keys, (F.signum("__sign") * F.col("__d")).alias("__d"))
-    grid = rows.filter(~whole).groupBy(*keys, x.alias("__a"), y.alias("__b")).agg(F.sum("__w").cast("double").alias("__n"))
+    if split.hot is None:
+        return inside
+    grid = split.hot.groupBy(*keys, x.alias("__a"), y.alias("__b")).agg(F.sum("__w").cast("double").alias("__n"))
     sides = grid.groupBy(*keys).agg(F.max("__a").alias("__ma"), F.max("__b").alias("__mb"))
     full = sides.withColumn("__a", F.explode(F.sequence(F.lit(0), "__ma"))).withColumn("__b", F.explode(F.sequence(F.lit(0), "__mb"))).join(grid, [*keys, "__a", "__b"], "left")
     lower = Window.partitionBy(*keys, "__a").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,8 +157,9 @@ def _tau_and_p(m: pd.DataFrame) -> pd.DataFrame:
 def kendall(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, n_obs, tau, p_tau). Ties and discordant pairs are counted from distinct pairs of values with their weights."""
     keys = ["loc_id"] if keys is None else keys
-    rows = weighted(_complete(df, keys, x, y), keys, ["__x", "__y"])
-    parts = [_discordant(rows, keys), *(_ties(rows, keys, by, name) for by, name in ((["__x"], "x"), (["__y"], "y"), (["__x", "__y"], "both")))]
+    split = weighted(_complete(df, keys, x, y), keys, ["__x", "__y"])
+    rows = split.rows
+    parts = [_discordant(split), *(_ties(rows, keys, by, name) for by, name in ((["__x"], "x"), (["__y"], "y"), (["__x", "__y"], "both")))]
     found = rows.groupBy(*keys).agg(F.sum("__w").alias("n_obs"))
     for p in parts:
         found = found.join(p, keys)

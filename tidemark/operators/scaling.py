@@ -1,7 +1,8 @@
 """Bias correction: scaling series to a reference by moments, regression, extrema or distributions, by location.
 
-Parameters are one row for each location from a groupBy with partial sums; they are joined back. CDF matching needs sorted
-values at some percentiles only: these come from ranks, so no location's values are gathered anywhere.
+Parameters are one row for each location from a groupBy with partial sums; they are joined back. CDF matching needs values at
+some places in sorted order, which a very frequent location has split over tasks (see `splits`); only the regressions of its
+end bins take the rows of these bins into one task.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.moments import known
+from .shared import kept
+from .splits import Split, join_split, values_at, weighted
 
 _STRIDE = 10
 PERCENTILES = (0, 5, 10, 30, 50, 70, 90, 95, 100)
@@ -57,6 +61,27 @@ def scaled(df: DataFrame, src: str, ref: str, method: str, keys: list[str] | Non
     return df.join(stats, keys, "left").select(*(c for c in df.columns if c != out), value.alias(out))
 
 
+def scaled_all(df: DataFrame, columns: list[str], ref: str, method: str, keys: list[str], **kw) -> DataFrame:
+    """df with all the columns scaled to ref at once: all parameters come from one pass and are one row for each key."""
+    if method in ("cdf_match", "cdf_beta_match"):
+        kw = {"nbins": 100, "minobs": 20, "linear_edge_scaling": True} | kw
+        limits = {k: kw.pop(k, None) for k in ("max_val", "min_val")}
+        sides = F.explode(F.array(*(F.struct(F.lit(i).alias("__i"), known(c).alias("__c")) for i, c in enumerate(columns))))
+        long = df.select(*keys, known(ref).alias("__r"), sides.alias("__s")).select(*keys, "__r", "__s.*")
+        params = kept(cdf_parameters(long, "__c", "__r", [*keys, "__i"], **kw))
+        for i, c in enumerate(columns):
+            df = apply_parameters(df, params.filter(F.col("__i") == i).drop("__i"), c, keys, **limits)
+        return df
+    function = MOMENT_METHODS[method]
+    pairs = [F.struct(F.lit(i).alias("__i"), known(c).alias("__c")) for i, c in enumerate(columns)]
+    long = df.select(*keys, known(ref).alias("__r"), F.explode(F.array(*pairs)).alias("__s")).select(*keys, "__r", "__s.*")
+    stats = moment_parameters(long, "__c", "__r", [*keys, "__i"])
+    one = F.struct(*(c for c in stats.columns if c not in (*keys, "__i")))
+    stats = stats.groupBy(*keys).agg(*(F.first(F.when(F.col("__i") == i, one), True).alias(f"__s{i}") for i in range(len(columns))))
+    values = {c: function(known(c), lambda name, i=i: F.col(f"__s{i}.{name}")) for i, c in enumerate(columns)}
+    return df.join(stats, keys, "left").select(*(values[c].alias(c) if c in values else F.col(c) for c in df.columns))
+
+
 def linreg_stored(df: DataFrame, src: str, slope: str, intercept: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or src, F.abs(F.col(slope)) * known(src) + F.col(intercept))
 
@@ -76,21 +101,26 @@ def add_scaled(df: DataFrame, src: str, ref: str, method: str = "linreg", keys:
 # ---- distributions ----
 
 
-def bins_for(n: int, nbins: int = 100, percentiles=None, minobs: int | None = None) -> np.ndarray:
+def bins_for(n: Column, nbins: int = 100, percentiles=None, minobs: int | None = None) -> Column:
     """The percentiles for n values: as given unless the narrowest bin would hold fewer than minobs; then equal ones."""
     p = np.linspace(0, 100, nbins + 1) if percentiles is None else np.asarray(percentiles, float)
-    if minobs is not None and n * np.diff(p).min() / 100 < minobs:
-        p = np.linspace(0, 100, min(max(1, n // minobs), len(p) - 1) + 1)
-    return p
-
-
-def hazen(sorted_values: np.ndarray, percentiles: np.ndarray) -> np.ndarray:
-    """Values at percentiles by plotting positions 100 (i + 0.5) / n, constant beyond the first and last one."""
-    n = len(sorted_values)
+    given = F.expr(f"array({', '.join(f'{v!r}D' for v in p.tolist())})")
+    if minobs is None:
+        return given
+    bins = F.greatest(F.lit(1), F.least(F.floor(n / minobs), F.lit(len(p) - 1))).cast("int")
+    equal = F.transform(F.sequence(F.lit(0), bins), lambda i: F.when(i == bins, 100.0).otherwise(i * (F.lit(100.0) / bins)))
+    return F.when(n * float(np.diff(p).min()) / 100 < minobs, equal).otherwise(given)
+
+
+def hazen(runs: np.ndarray, weights: np.ndarray, percentiles: np.ndarray) -> np.ndarray:
+    """Values at percentiles by plotting positions 100 (i + 0.5) / n, constant beyond the first and last one; each of the
+    rising runs occurs as often as its weight says."""
+    ends = np.cumsum(weights)
+    n = int(ends[-1])
     at = np.clip(np.asarray(percentiles) / 100 * n - 0.5, 0, n - 1)
-    low = np.floor(at).astype(int)
-    high = np.minimum(low + 1, n - 1)
-    return sorted_values[low] + (at - low) * (sorted_values[high] - sorted_values[low])
+    low = np.floor(at).astype(np.int64)
+    a, b = (runs[np.searchsorted(ends, np.minimum(k, n - 1), side="right")] for k in (low, low + 1))
+    return a + (at - low) * (b - a)
 
 
 def line(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,61 +139,114 @@ def untied(values: np.ndarray, percentiles: np.ndarray) -> np.ndarray:
     return line(knots, values[first], percentiles)
 
 
-def _edge(x: np.ndarray, y: np.ndarray) -> float:
-    """Slope of y on x through the origin; x is first brought to y's length by its own distribution."""
-    n = len(y)
-    if len(x) != n:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _spread(values: pd.Series, percentiles: pd.Series) -> pd.Series:
+    """untied() of a key's few percentile values."""
+    return pd.Series([untied(np.asarray(v, float), np.asarray(p, float)) if v is not None and len(v) else v for v, p in zip(values, percentiles, strict=True)])
+
+
+def edge_slope(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Slope through the origin of y on x, both rising runs of values, coupled rank by rank; where they aren't equally many, x is
+    first brought to y's number by its own distribution."""
+    if not len(x) or not len(y):
+        return 0.0
+    n = int(wy.sum())
+    if int(wx.sum()) != n:
         p = np.linspace(0, 100, n) if n > 1 else np.array([0.0])
-        x = untied(hazen(x, p), p)
-    square = float(x @ x)
-    return float(x @ y) / square if square else 0.0
-
-
-def fit_cdf(x: np.ndarray, y: np.ndarray, nbins: int = 100, percentiles=None, minobs: int | None = None, linear_edge_scaling: bool = False, combine_invalid: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The percentile values of x and of y between which a value is carried over; null-free and of equal length."""
-    okx, oky = np.isfinite(x), np.isfinite(y)
-    if combine_invalid and len(x) == len(y):
-        okx = oky = okx & oky
-    raw_x, raw_y = x[okx], y[oky]
-    if not len(raw_x) or not len(raw_y):
-        return np.zeros(0), np.zeros(0)
-    sx, sy = np.sort(raw_x), np.sort(raw_y)
-    p = bins_for(min(len(sx), len(sy)), nbins, percentiles, minobs)
-    if len(p) == 2 and linear_edge_scaling and len(raw_x) == len(raw_y):
-        dx = raw_x - raw_x.mean()
-        slope = float(dx @ (raw_y - raw_y.mean())) / (float(dx @ dx) or np.nan)
-        start = raw_y.mean() - slope * raw_x.mean()
-        return np.array([0.0, 1.0]), np.array([start, start + slope])
-    px, py = untied(hazen(sx, p), p), untied(hazen(sy, p), p)
-    if linear_edge_scaling and len(p) > 2:
-        py = py.copy()
-        py[0] = py[1] + _edge(sx[sx <= px[1]] - px[1], sy[sy <= py[1]] - py[1]) * (px[0] - px[1])
-        py[-1] = py[-2] + _edge(sx[sx >= px[-2]] - px[-2], sy[sy >= py[-2]] - py[-2]) * (px[-1] - px[-2])
-    return px, py
-
-
-def apply_cdf(px: np.ndarray, py: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """values carried over; all NaN if the percentile values don't increase."""
-    if len(px) < 2 or not (np.diff(px) > 0).all():
-        return np.full(len(values), np.nan)
-    return line(px, py, values)
-
-
-def cdf_parameters(df: DataFrame, src: str, ref: str, keys: list[str] | None = None, combine_invalid: bool = True, **kw) -> DataFrame:
-    """(keys, x_perc, y_perc): the CDF parameters of every key.
-
-    The edges' regressions need all values of a key's first and last bins, so a key's two columns meet in one task; see
-    rank_percentiles for percentiles alone, without gathering.
-    """
-    keys = ["loc_id"] if keys is None else keys
-    rows = df.select(*keys, known(src).alias("__x"), known(ref).alias("__y"))
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("x_perc", "y_perc")])
+        x, wx = untied(hazen(x, wx, p), p), np.ones(n, np.int64)
+    ex, ey = np.cumsum(wx), np.cumsum(wy)
+    ends = np.union1d(ex, ey)
+    starts = np.r_[0, ends[:-1]]
+    a, b, w = x[np.searchsorted(ex, starts, side="right")], y[np.searchsorted(ey, starts, side="right")], ends - starts
+    square = float((w * a * a).sum())
+    return float((w * a * b).sum()) / square if square else 0.0
+
+
+def _positions(sizes: DataFrame, percentiles: Column) -> DataFrame:
+    """sizes(..., __n) with a row for each percentile (__k, __p) and for the one or two sorted places that its value lies between."""
+    wanted = sizes.select("*", F.posexplode(percentiles).alias("__k", "__p"))
+    at = F.greatest(F.lit(0.0), F.least(F.col("__p") / 100 * F.col("__n") - 0.5, F.col("__n") - 1.0))
+    wanted = wanted.withColumn("__at", at).withColumn("__low", F.floor("__at"))
+    return wanted.withColumn("__pos", F.explode(F.array_distinct(F.array(F.col("__low"), F.least(F.col("__low") + 1, F.col("__n") - 1)))))
+
+
+def _percentile_values(split: Split, wanted: DataFrame, value: str) -> DataFrame:
+    """(keys, __k, __p, __value): the values at wanted percentiles."""
+    met = values_at(split, value, wanted)
+    low, high = F.max(F.when(F.col("__pos") == F.col("__low"), F.col(value))), F.max(value)
+    return met.groupBy(*split.keys, "__k", "__p").agg((low + F.max(F.col("__at") - F.col("__low")) * (high - low)).alias("__value"))
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        px, py = fit_cdf(part["__x"].to_numpy(float), part["__y"].to_numpy(float), combine_invalid=combine_invalid, **kw)
-        return pd.DataFrame([[*key, px.tolist(), py.tolist()]], columns=[*keys, "x_perc", "y_perc"])
 
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+def _edges(split: Split, params: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
+    """(keys, __low, __high): slopes over the values up to the second percentile and from the last but one on.
+
+    Only these end bins meet in a task for each key and end, as distinct values with their weights.
+    """
+    inner = params.filter(F.size("__pc") > 2).select(*keys, F.array(F.element_at("x_perc", 2), F.element_at("y_perc", 2)).alias("__a"), F.array(F.element_at("x_perc", -2), F.element_at("y_perc", -2)).alias("__b"), F.col("__n").alias("__size"))
+    near = join_split(split, inner, F.col("__size"))
+    v = F.col("__v")
+    low, high = (F.get(F.col(c), F.col("__side")) for c in ("__a", "__b"))
+    ends = F.array_compact(F.array(F.when(v <= low, F.struct(F.lit(0).alias("__end"), (v - low).alias("__d"))), F.when(v >= high, F.struct(F.lit(1).alias("__end"), (v - high).alias("__d")))))
+    near = near.select(*keys, "__side", "__w", F.explode(ends).alias("__e")).select(*keys, "__side", "__w", "__e.*")
+    out = T.StructType([*(schema[k] for k in keys), T.StructField("__end", T.IntegerType()), T.StructField("__slope", T.DoubleType())])
+
+    def fit(part: pa.Table) -> pa.Table:
+        side, d, w = (part.column(c).to_numpy() for c in ("__side", "__d", "__w"))
+        runs = []
+        for k in (0, 1):
+            mine = np.flatnonzero(side == k)
+            mine = mine[np.argsort(d[mine], kind="stable")]
+            runs += [d[mine], w[mine]]
+        one = part.slice(0, 1).select([*keys, "__end"])
+        return one.append_column("__slope", pa.array([edge_slope(*runs)], pa.float64()))
+
+    slopes = near.groupBy(*keys, "__end").applyInArrow(fit, out)
+    return slopes.groupBy(*keys).agg(F.max(F.when(F.col("__end") == 0, F.col("__slope"))).alias("__low"), F.max(F.when(F.col("__end") == 1, F.col("__slope"))).alias("__high"))
+
+
+def cdf_parameters(df: DataFrame, src: str, ref: str, keys: list[str] | None = None, combine_invalid: bool = True, nbins: int = 100, percentiles=None, minobs: int | None = None, linear_edge_scaling: bool = False) -> DataFrame:
+    """(keys, x_perc, y_perc): the values of src and of ref between which a value is carried over; empty without values.
+
+    Percentiles come from places in sorted order, which a very frequent key has split over tasks. With combine_invalid only
+    complete cases count. With linear_edge_scaling the first and last values of y lie on lines fitted to the end bins; if there
+    is but one bin, the line is that of the regression of complete cases.
+    """
+    keys = ["loc_id"] if keys is None else keys
+    both = df.select(*keys, known(src).alias("__x"), known(ref).alias("__y"))
+    full = both.dropna(subset=["__x", "__y"])
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("__side"), F.col("__x").alias("__v")), F.struct(F.lit(1).alias("__side"), F.col("__y").alias("__v"))))
+    long = (full if combine_invalid else both).select(*keys, sides.alias("__s")).select(*keys, "__s.*").filter("__v is not null")
+    split = weighted(long, [*keys, "__side"], ["__v"])
+    counts = split.rows.groupBy(*keys).agg(*(F.sum(F.when(F.col("__side") == k, F.col("__w"))).alias(f"__n{k}") for k in (0, 1)))
+    counts = counts.dropna(subset=["__n0", "__n1"]).withColumn("__least", F.least("__n0", "__n1"))
+    sizes = counts.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("__side")).withColumn("__n", F.when(F.col("__side") == 0, F.col("__n0")).otherwise(F.col("__n1")))
+    wanted = _positions(sizes.drop("__n0", "__n1"), bins_for(F.col("__least"), nbins, percentiles, minobs))
+    values = _percentile_values(split, wanted, "__v")
+
+    def listed(name: str, side: int) -> Column:
+        picked = F.array_sort(F.collect_list(F.when(F.col("__side") == side, F.struct("__k", name))))
+        return F.transform(picked, lambda s: s[name])
+
+    found = values.groupBy(*keys).agg(listed("__p", 0).alias("__pc"), listed("__value", 0).alias("__px"), listed("__value", 1).alias("__py"))
+    found = found.join(counts, keys).withColumn("__n", F.col("__n0") + F.col("__n1"))
+    found = kept(found.select(*keys, "__pc", _spread("__px", "__pc").alias("x_perc"), _spread("__py", "__pc").alias("y_perc"), "__n", "__n0", "__n1"))
+    if linear_edge_scaling:
+        m = full.groupBy(*keys).agg((F.covar_pop("__x", "__y") / F.nullif(F.var_pop("__x"), F.lit(0.0))).alias("__b"), F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"))
+        found = found.join(_edges(split, found, keys, both.schema), keys, "left").join(m, keys, "left")
+        px, py, n = F.col("x_perc"), F.col("y_perc"), F.size("__pc")
+
+        def end(k: int, inner: int, slope: str) -> Column:
+            return F.element_at(py, inner) + F.coalesce(slope, F.lit(0.0)) * (F.element_at(px, k) - F.element_at(px, inner))
+
+        tilted = F.concat(F.array(end(1, 2, "__low")), F.slice(py, F.lit(2), n - 2), F.array(end(-1, -2, "__high")))
+        start = F.col("__my") - F.col("__b") * F.col("__mx")
+        nan = F.lit(float("nan"))
+        straight = (n == 2) & (F.col("__n0") == F.col("__n1"))
+        found = found.withColumn("__yp", F.when(n > 2, tilted).when(straight, F.array(F.coalesce(start, nan), F.coalesce(start + F.col("__b"), nan))).otherwise(py))
+        found = found.withColumn("x_perc", F.when(straight, F.array(F.lit(0.0), F.lit(1.0))).otherwise(px)).withColumn("y_perc", F.col("__yp"))
+    none = F.array().cast("array<double>")
+    every = both.select(*keys).distinct().join(found.select(*keys, "x_perc", "y_perc"), keys, "left")
+    return every.select(*keys, F.coalesce("x_perc", none).alias("x_perc"), F.coalesce("y_perc", none).alias("y_perc"))
 
 
 def apply_parameters(df: DataFrame, params: DataFrame, src: str, keys: list[str] | None = None, out: str | None = None, max_val: float | None = None, min_val: float | None = None) -> DataFrame:
@@ -199,17 +282,12 @@ def cdf_match(df: DataFrame, src: str, ref: str, keys: list[str] | None = None,
 
 
 def rank_percentiles(df: DataFrame, value: str, percentiles=PERCENTILES, keys: list[str] | None = None) -> DataFrame:
-    """(keys, percentile, value): Hazen percentiles from ranks, in expressions only."""
+    """(keys, percentile, value): Hazen percentiles from places in sorted order, in expressions only."""
     keys = ["loc_id"] if keys is None else keys
-    rows = df.select(*keys, known(value).alias("__v")).filter("__v is not null")
-    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__v")) - 1)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    wanted = sizes.withColumn("percentile", F.explode(F.array(*(F.lit(float(p)) for p in percentiles))))
-    at = F.greatest(F.lit(0.0), F.least(F.col("percentile") / 100 * F.col("__n") - 0.5, F.col("__n") - 1.0))
-    wanted = wanted.withColumn("__at", at).withColumn("__low", F.floor("__at")).withColumn("__i", F.explode(F.array_distinct(F.array(F.col("__low"), F.least(F.col("__low") + 1, F.col("__n") - 1)))))
-    met = wanted.join(ranked, [*keys, "__i"])
-    low, high = F.max(F.when(F.col("__i") == F.col("__low"), F.col("__v"))), F.max(F.col("__v"))
-    return met.groupBy(*keys, "percentile").agg((low + F.max(F.col("__at") - F.col("__low")) * (high - low)).alias("value"))
+    split = weighted(df.select(*keys, known(value).alias("__v")).filter("__v is not null"), keys, ["__v"])
+    sizes = split.rows.groupBy(*keys).agg(F.sum("__w").alias("__n"))
+    wanted = _positions(sizes, F.array(*(F.lit(float(p)) for p in percentiles)))
+    return _percentile_values(split, wanted, "__v").select(*keys, F.col("__p").alias("percentile"), F.col("__value").alias("value"))
 
 
 class StoredCdf:

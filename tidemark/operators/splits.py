@@ -7,13 +7,17 @@ lies before a chunk is a sum over a table with a row for each chunk. All other k
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: Rows of one key that one task sorts.
 TASK_ROWS = 1_000_000
 #: Quantiles that are looked at, and how many cuts are searched at once.
-_POINTS, _STRIDE = 1024, 32
+_POINTS, _STRIDE = 256, 16
 
 
 def _cuts(name: str, n: Column, rows: int) -> Column:
@@ -34,52 +38,98 @@ def _chunk(cuts: Column, v: Column) -> Column:
     return F.when(cuts.isNull(), 0).otherwise(2 * k + same.cast("int"))
 
 
-def split(rows: DataFrame, keys: list[str], values: list[str], task_rows: int | None = None) -> DataFrame:
-    """rows with __hot (how many rows a split key has, else null) and, for each value column v, __c_v, its chunk.
+@dataclass
+class Split:
+    """Rows with __w, how often each occurs, and where keys are split, __c_v, the chunk of each value column v; hot has the rows of
+    split keys alone, and is None where no key is split."""
 
-    Values are doubles without nulls. The quantiles come from sketches, in one pass with partial aggregation. What is broadcast
-    is a row for each split key, fewer than rows / task_rows, with as many cuts in all of them together.
-    """
-    task_rows = TASK_ROWS if task_rows is None else task_rows
-    points = [k / _POINTS for k in range(1, _POINTS)]
-    n = F.count(F.lit(1))
-    stats = rows.groupBy(*keys).agg(n.alias("__hot"), *(F.percentile_approx(v, points, 10_000).alias(f"__q_{v}") for v in values)).filter(F.col("__hot") > task_rows)
-    few = stats.select(*keys, "__hot", *(_cuts(f"__q_{v}", F.col("__hot"), task_rows).alias(f"__q_{v}") for v in values))
-    found = rows.join(F.broadcast(few), keys, "left")
-    return found.withColumns({f"__c_{v}": _chunk(F.col(f"__q_{v}"), F.col(v)) for v in values}).drop(*(f"__q_{v}" for v in values))
+    rows: DataFrame
+    hot: DataFrame | None
+    keys: list[str]
 
+    def parts(self, value: str) -> list[str]:
+        """What the rows of one task have in common."""
+        return self.keys if self.hot is None else [*self.keys, f"__c_{value}"]
 
-def before_chunks(dealt: DataFrame, keys: list[str], chunk: str, weight: Column | None = None) -> DataFrame:
-    """(keys, chunk, __before, __held) of the split keys: how many rows lie in lower chunks, and in this one.
+    def before(self, value: str) -> DataFrame:
+        """(keys, __c_value, __before, __held): how much weight lies in lower chunks of a split key, and in this one.
 
-    A split key has at most two chunks for each cut and one more, so this may be broadcast.
-    """
-    held = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = dealt.filter("__hot is not null").groupBy(*keys, chunk).agg(held.cast("long").alias("__held"))
-    lower = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("__before", F.coalesce(F.sum("__held").over(lower), F.lit(0)))
+        A split key has at most two chunks for each cut and one more, so this may be broadcast.
+        """
+        chunk = f"__c_{value}"
+        counts = self.hot.groupBy(*self.keys, chunk).agg(F.sum("__w").cast("long").alias("__held"))
+        lower = Window.partitionBy(*self.keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        return F.broadcast(counts.withColumn("__before", F.coalesce(F.sum("__held").over(lower), F.lit(0))))
 
 
-def weighted(rows: DataFrame, keys: list[str], values: list[str], task_rows: int | None = None) -> DataFrame:
-    """Distinct values of the rows, with __w, how often each occurs, and their chunks as in split()."""
-    return split(rows, keys, values, task_rows).groupBy(*keys, *values, "__hot", *(f"__c_{v}" for v in values)).agg(F.count(F.lit(1)).alias("__w"))
+def weighted(rows: DataFrame, keys: list[str], values: list[str]) -> Split:
+    """Distinct values of the rows with their numbers, split over tasks where a key has more than TASK_ROWS of them.
 
+    Values are doubles without nulls. The distinct rows are written to the shared folder, since they're read several times.
+    What is broadcast is a row for each split key, fewer than rows / TASK_ROWS, with as many cuts in all of them together.
+    """
+    distinct = kept(rows.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("__w")))
+    many = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hot")).filter(F.col("__hot") > TASK_ROWS)
+    if many.isEmpty():
+        return Split(distinct, None, keys)
+    points = ", ".join(f"{k / _POINTS}D" for k in range(1, _POINTS))
+    few = distinct.join(F.broadcast(many), keys).groupBy(*keys, "__hot").agg(*(F.expr(f"percentile_approx(`{v}`, array({points}), 10000)").alias(f"__q_{v}") for v in values))
+    few = F.broadcast(kept(few.select(*keys, "__hot", *(_cuts(f"__q_{v}", F.col("__hot"), TASK_ROWS).alias(f"__q_{v}") for v in values))))
+    chunks = [_chunk(F.col(f"__q_{v}"), F.col(v)).alias(f"__c_{v}") for v in values]
+    every, hot = (distinct.join(few, keys, how).select(*distinct.columns, "__hot", *chunks) for how in ("left", "inner"))
+    return Split(every, hot, keys)
+
+
+def average_ranks(split: Split, columns: dict[str, str]) -> DataFrame:
+    """The rows with the average rank (from 1) of each column within its key, by names.
+
+    One exchange for all columns; with split keys one for each, by key and chunk, where rows of a chunk that is one value have
+    their rank from the chunks' counts, so they're dealt by what else they hold.
+    """
 
-def average_ranks(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
-    """weighted() rows with the average rank (from 1) of each column within its key, by names.
+    def ranks(found: DataFrame, c: str, parts: list[str]) -> Column:
+        by = Window.partitionBy(*parts)
+        upto, ties = F.sum("__w").over(by.orderBy(c).rangeBetween(Window.unboundedPreceding, 0)), F.sum("__w").over(by.partitionBy(*parts, c))
+        return upto - (ties - 1) / 2
 
-    One exchange for each column, by key and chunk. Rows of a chunk that is one value have their rank from the chunks' counts,
-    so they're dealt by what else they hold.
-    """
-    found = rows
+    found, keys = split.rows, split.keys
+    if split.hot is None:
+        found = found.repartition(*keys)
+        return found.withColumns({name: ranks(found, c, keys) for c, name in columns.items()})
     for c, name in columns.items():
         chunk, others = f"__c_{c}", [v for v in columns if v != c]
         spread = F.when(F.col(chunk) % 2 == 1, F.pmod(F.xxhash64(*others), F.lit(1024)).cast("int") if others else F.lit(0)).otherwise(-1)
         found = found.withColumn("__salt", spread).repartition(*keys, chunk, "__salt")
-        offsets = before_chunks(found, keys, chunk, F.col("__w"))
-        by = Window.partitionBy(*keys, chunk, "__salt")
-        upto, ties = F.sum("__w").over(by.orderBy(c).rangeBetween(Window.unboundedPreceding, 0)), F.sum("__w").over(by.partitionBy(*keys, chunk, "__salt", c))
-        found = found.withColumn(name, upto - (ties - 1) / 2).join(F.broadcast(offsets), [*keys, chunk], "left")
+        found = found.withColumn(name, ranks(found, c, [*keys, chunk, "__salt"])).join(split.before(c), [*keys, chunk], "left")
         tied = F.col("__before") + (F.col("__held") + 1) / 2
         found = found.withColumn(name, F.when(F.col("__salt") >= 0, tied).otherwise(F.coalesce("__before", F.lit(0)) + F.col(name))).drop("__salt", "__before", "__held")
     return found
+
+
+def values_at(split: Split, value: str, wanted: DataFrame) -> DataFrame:
+    """wanted(keys, __pos, ...) with the value at place __pos (from 0) of the rows of its key, in rising order.
+
+    Each chunk counts its rows' places on its own; a wanted place goes to its chunk, and there takes the last value that begins
+    before it. A key wants few places.
+    """
+    keys, parts = split.keys, split.parts(value)
+    held, first, chunk = F.struct(*wanted.columns).alias("__wanted"), F.col("__pos"), []
+    if split.hot is not None:
+        wanted = wanted.join(split.before(value), keys, "left").filter("__before is null or (__pos >= __before and __pos < __before + __held)")
+        first, chunk = first - F.coalesce("__before", F.lit(0)), [F.coalesce(f"__c_{value}", F.lit(0)).alias(f"__c_{value}")]
+    marks = wanted.select(*keys, *chunk, first.alias("__from"), F.lit(1).alias("__mark"), held)
+    upto = F.sum("__w").over(Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    runs = split.rows.select(*parts, value, (upto - F.col("__w")).alias("__from"), F.lit(0).alias("__mark"))
+    both = runs.unionByName(marks, allowMissingColumns=True)
+    last = F.last(value, ignorenulls=True).over(Window.partitionBy(*parts).orderBy("__from", "__mark").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn(value, last).filter("__mark = 1").select("__wanted.*", value)
+
+
+def join_split(split: Split, lookup: DataFrame, size: Column) -> DataFrame:
+    """The rows joined to lookup, which has each key once with a size no less than its rows: rows of split keys stay where they
+    are and meet a broadcast of these keys only, fewer than rows / TASK_ROWS; all others are shuffled by key."""
+    on = [k for k in split.keys if k in lookup.columns]
+    if split.hot is None:
+        return split.rows.join(lookup, on)
+    few = split.hot.join(F.broadcast(lookup.filter(size > TASK_ROWS)), on)
+    return few.unionByName(split.rows.filter("__hot is null").join(lookup, on))

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCATIONS = 16
-
+from ..operators.shared import fresh_folder as fresh_folder
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines see; on one machine a temporary one will do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+LOCATIONS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

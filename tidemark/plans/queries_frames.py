@@ -12,6 +12,7 @@ from ..operators import calculators, smoothing, upscale
 from ..sources.datasets import Dataset, frame
 from ..sources.results import Results, from_days, to_days
 from .inputs import SERIES_SQL, fresh_folder, round_all, rounded, series, table
+from .queries_scaling import carried_sql, cdf_sql
 from .queries_metrics import _triple_cells
 from .validation import Validation
 
@@ -69,9 +70,18 @@ def validation_mean_std(spark, sf_dir):
     return round_all(_validation(spark, sf_dir, scaling="mean_std").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS), 10)
 
 
-@query(None)
+_PARAMETERS = "ev as (select loc_id, 'error' as kind, error as x, click as y from w union all select loc_id, 'view', view, click from w), " + cdf_sql("ev", "loc_id, kind")
+_CARRIED = (
+    "cw as (select w.*, e.px as pe, e.py as qe, v.px as pv, v.py as qv from w join cdf e on w.loc_id = e.loc_id and e.kind = 'error' join cdf v on w.loc_id = v.loc_id and v.kind = 'view'), "
+    f"z1 as (select *, pe as px, qe as py from cw), z2 as (select * exclude (px, py), pv as px, qv as py, {carried_sql('error')} as error2 from z1), "
+    f"z as (select loc_id, click, error2 as error, {carried_sql('view')} as view from z2) "
+)
+
+
+@query(_WIDE + _PARAMETERS + ", " + _CARRIED + " union all ".join(_pair_sql(a, b, a, b).replace("from w group", "from z group").replace(", 10)", ", 8)") for a, b in _PAIRS))
 def validation_cdf_matched(spark, sf_dir):
-    return _validation(spark, sf_dir, scaling="cdf_match").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS)
+    """The default scaling, by combination, as validation_mean_std."""
+    return round_all(_validation(spark, sf_dir, scaling="cdf_match").calc(spark, _locations(spark, sf_dir)).select(*_COLUMNS), 8)
 
 
 def _triple_rows() -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import scaling
-from .inputs import fresh_folder, round_all, table
+from .inputs import fresh_folder, round_all, rounded, table
 
 _P = "with p as (select l_orderkey, l_linenumber, l_suppkey as loc_id, l_quantity as x, l_extendedprice / 1000 as y from lineitem), s as (select loc_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy, regr_slope(y, x) as b, regr_intercept(y, x) as a from p group by 1) "
 _OUT = "select p.l_orderkey, p.l_linenumber, p.loc_id, p.y, round({0}, 6) as x from p join s on p.loc_id = s.loc_id"
@@ -96,6 +96,50 @@ def stored_cdf(spark, sf_dir):
     return kept.scale(df, "x", "y").withColumn("x", F.round("x", 9))
 
 
-@query(None)
+def _hazen_list(v: str, n: str, at: str) -> str:
+    """Hazen percentiles of a sorted list v of n values, at percentiles in a list."""
+    place = f"greatest(0.0, least(c / 100 * {n} - 0.5, {n} - 1.0))"
+    low = f"cast(floor({place}) as bigint)"
+    return f"list_transform({at}, lambda c: {v}[{low} + 1] + ({place} - {low}) * ({v}[least({low} + 2, {n})] - {v}[{low} + 1]))"
+
+
+def _untied_lists(name: str, source: str, by: str) -> str:
+    """CTEs up to name(by, h, pc): percentile values h of source(by, h, pc) with equal ones spread."""
+    return (
+        f"{name}_f as (select *, list_filter(range(1, len(h) + 1), lambda i: i = 1 or h[i] > h[i - 1]) as f from {source}), "
+        f"{name}_k as (select *, list_transform(f, lambda i: case when i = f[len(f)] then pc[len(pc)] else pc[i] end) as kx, list_transform(f, lambda i: h[i]) as ky from {name}_f), "
+        f"{name}_j as (select *, list_transform(pc, lambda c: greatest(1, least(len(f) - 1, len(list_filter(kx, lambda t: t <= c))))) as js from {name}_k), "
+        f"{name} as (select {by}, pc, case when len(f) in (1, len(h)) then h else list_transform(range(1, len(pc) + 1), lambda i: ky[js[i]] + (pc[i] - kx[js[i]]) * (ky[js[i] + 1] - ky[js[i]]) / (kx[js[i] + 1] - kx[js[i]])) end as h from {name}_j)"
+    )
+
+
+def cdf_sql(source: str, by: str) -> str:
+    """CTEs up to cdf(by, px, py): the default parameters of CDF matching for source(by, x, y), of rows without nulls."""
+    return (
+        f"ca as (select {by}, list_sort(list(x)) as x, list_sort(list(y)) as y, count(*) as n, regr_slope(y, x) as b, regr_intercept(y, x) as a from {source} group by {by}), "
+        "cb as (select *, case when n / 100.0 < 20 then least(greatest(1, n // 20), 100) else 100 end as m from ca), "
+        "cq as (select *, list_transform(range(m + 1), lambda i: case when i = m then 100.0::double else i * (100.0::double / m) end) as pc from cb), "
+        f"ch as (select {by}, side, pc, {_hazen_list('v', 'n', 'pc')} as h from (select {by}, n, pc, 'x' as side, x as v from cq union all select {by}, n, pc, 'y', y from cq)), "
+        + _untied_lists("cu", "ch", f"{by}, side") + ", "
+        f"cp as (select cq.*, u.h as px, w.h as py from cq join cu u using ({by}) join cu w using ({by}) where u.side = 'x' and w.side = 'y'), "
+        f"ce as (select {by}, 0 as tail, list_transform(list_filter(x, lambda t: t <= px[2]), lambda t: t - px[2]) as u, list_transform(list_filter(y, lambda t: t <= py[2]), lambda t: t - py[2]) as w from cp where m > 1 "
+        f"union all select {by}, 1, list_transform(list_filter(x, lambda t: t >= px[m]), lambda t: t - px[m]), list_transform(list_filter(y, lambda t: t >= py[m]), lambda t: t - py[m]) from cp where m > 1), "
+        f"cr as (select {by}, tail, {_hazen_list('u', 'len(u)', 'pc')} as h, pc from (select *, case when len(w) = 1 then [0.0::double] else list_transform(range(len(w)), lambda i: i * (100.0::double / (len(w) - 1))) end as pc from ce) where len(u) != len(w)), "
+        + _untied_lists("ct", "cr", f"{by}, tail") + ", "
+        f"cs as (select {by}, tail, case when len(u) = len(w) then u else h end as u, w from ce left join ct using ({by}, tail)), "
+        f"cd as (select {by}, tail, coalesce(list_dot_product(u, w) / nullif(list_dot_product(u, u), 0), 0) as slope from cs), "
+        f"cdf as (select cp.* exclude (px, py), case when m = 1 then [0.0::double, 1.0::double] else px end as px, case when m = 1 then [a, a + b] else list_concat([py[2] + l.slope * (px[1] - px[2])], py[2:m], [py[m] + r.slope * (px[m + 1] - px[m])]) end as py "
+        f"from cp left join (select * from cd where tail = 0) l using ({by}) left join (select * from cd where tail = 1) r using ({by}))"
+    )
+
+
+def carried_sql(x: str) -> str:
+    """x carried over by the lists px and py; null where px doesn't increase."""
+    j = f"greatest(1, least(len(px) - 1, len(list_filter(px, lambda t: t <= {x}))))"
+    return f"case when len(list_filter(range(2, len(px) + 1), lambda i: not px[i] > px[i - 1])) = 0 then py[{j}] + ({x} - px[{j}]) * (py[{j} + 1] - py[{j}]) / (px[{j} + 1] - px[{j}]) end"
+
+
+@query(_P + ", " + cdf_sql("p", "loc_id") + f" select p.l_orderkey, p.l_linenumber, p.loc_id, p.y, round({carried_sql('p.x')}, 8) + 0.0 as x from p join cdf using (loc_id)")
 def cdf_matching(spark, sf_dir):
-    return scaling.cdf_match(pairs(spark, sf_dir), "x", "y")
+    """Every row carried over by its location's default parameters, ends by regression."""
+    return scaling.cdf_match(pairs(spark, sf_dir), "x", "y").withColumn("x", rounded("x", 8))

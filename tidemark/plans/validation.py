@@ -160,9 +160,10 @@ class Validation:
         df = df.dropna("any", subset=[*names, *(["__base"] if self.scaling else [])])
         failed = None
         if self.scaling:
-            for i, c in enumerate(names):
-                df = scaling.scaled(df, c, "__base", self.scaling, keys, "__z", **self.scaling_options)
-                df = df.withColumn(c, F.when(F.col("__at") == i, F.col(c)).otherwise(F.col("__z"))).drop("__z")
+            raw = {i: f"__raw{i}" for i in range(len(names))}
+            df = df.withColumns({raw[i]: F.col(c) for i, c in enumerate(names)})
+            df = scaling.scaled_all(df, names, "__base", self.scaling, keys, **self.scaling_options)
+            df = df.withColumns({c: F.when(F.col("__at") == i, F.col(raw[i])).otherwise(F.col(c)) for i, c in enumerate(names)})
             failed = _unscaled(df, keys, names)
         every = present.select("*", F.explode(F.array(*(F.lit(combo_key(c)) for c in combos))).alias("combo"))
         return _with_status(every, calculator(df.select(*keys, "ts", *names), keys), failed, keys)
