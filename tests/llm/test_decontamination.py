@@ -92,3 +92,27 @@ def test_a_full_lot_is_bounded_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(matchers) == 1 and peak < 800 * 50_000  # bytes a window
+
+
+def test_repeated_items_are_one_piece(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(7, text)] * 3000 + [(None, text)] * 3000 + [(k, text) for k in range(100, 150)], "item_id long, text string")
+    lots = D._lots(bench, 10, 1000)
+    sizes = [len(lot()) for lot in lots]
+    assert sum(sizes) == 52 and max(sizes) < 52
+    docs = spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string")
+    for limit in (1 << 20, 300):
+        got = {r.doc_id: r for r in D.contamination(docs, bench, limit=limit).collect()}
+        assert got[1]["items"] == sorted([str(k) for k in [7, *range(100, 150)]]) and got[2]["items"] == []
+    many = D.windows_of([(k, text) for k in range(20_000)])
+    assert all(len(ids) == 20_000 for ids in many[10].values())
+
+
+def test_the_corpus_may_have_any_names(spark):
+    names = ["doc_id", "text", "__text", "__hits", "__items", "__n", "row", "hits", "items", "n_words", "a.b"]
+    rows = [(1, "one two three", "x", "h", "i", 3, "r", 1, 2, 3, "d"), (2, "four five", None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, __hits string, __items string, __n long, row string, hits int, items int, n_words int, `a.b` string")
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    for limit in (1 << 20, 1):
+        got = D.clean(df, bench, limit=limit)
+        assert got.columns == names and [tuple(r) for r in got.collect()] == rows[1:]

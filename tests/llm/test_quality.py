@@ -137,3 +137,14 @@ def test_held_out_labels_are_not_used(spark):
     right = {r.quality: (r.n, r.right) for r in Q.recalls(found, labels).collect()}
     assert sum(n for n, _ in right.values()) == sum(zlib.crc32(str(k).encode()) % 5 == 0 for k, *_ in rows)
     assert all(k >= 0.8 * n for n, k in right.values())
+
+
+def test_the_corpus_may_have_any_names(spark):
+    """A corpus that an earlier run left with names of the operator's own keeps its rows and columns."""
+    rows = [(k, f"plain words of text {k} and more of them" if k % 2 else "!!! $$$ ???", k, [k], "s", 0.5, None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __t long, __m array<long>, __text string, __score double, __fitted boolean")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = Q.keep_good(df, labels)
+    assert got.columns == df.columns
+    kept = {r["doc_id"]: tuple(r) for r in got.collect()}
+    assert kept and all(kept[k] == (rows[k][0], rows[k][1], k, [k], "s", 0.5, None) for k in kept) and all(k % 2 for k in kept)

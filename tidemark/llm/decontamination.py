@@ -82,7 +82,7 @@ def windows_of(items: list[tuple], length: int = WINDOW_WORDS) -> dict[int, dict
         size = min(length, len(words))
         for k in range(len(words) - size + 1 if words else 0):
             ids = found[size].setdefault(tuple(words[k : k + size]), [])
-            if item is not None and item not in ids:
+            if item is not None and (not ids or ids[-1] != item):  # an item's windows come one after another
                 ids.append(item)
     return found
 
@@ -115,7 +115,7 @@ def pieces(text: str, length: int) -> list[str]:
 
 
 def _lots(benchmark: DataFrame, length: int, limit: int) -> list[Callable[[], list]]:
-    """Functions that fetch item pieces (id, text) in lots of at most about `limit` windows; one lot is held at a time."""
+    """Functions that fetch distinct item pieces (id, text) in lots of at most about `limit` windows; one lot is held at a time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +124,7 @@ def _lots(benchmark: DataFrame, length: int, limit: int) -> list[Callable[[], li
                     yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([piece])], names=["i", "t"])
 
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "i string, t string")
-    items = checkpoint(items.select("i", "t", F.size(F.split("t", " ")).alias("n")))
+    items = checkpoint(items.distinct().select("i", "t", F.size(F.split("t", " ")).alias("n")))
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lots = -(-total // limit) or 1
     return [lambda k=k: [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(lots)) == k).collect()] for k in range(lots)]
@@ -142,15 +142,16 @@ def _matchers(name: str, items: Callable[[], list], length: int) -> list[WuManbe
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: int, limit: int) -> DataFrame:
-    """The columns `keep` with __n, __hits and __items."""
+    """row, a struct of the columns `keep`, with n_words, hits and items."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "__text"
-    rows = docs.select(*keep, *([F.col("text").cast("string").alias("__text")] if source == "__text" else []), F.lit(None).cast("array<array<int>>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
+    inside = "text" in keep and dict(docs.dtypes)["text"] == "string"
+    text = [] if inside else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *text, F.lit(None).cast("array<array<int>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     lots = _lots(benchmark, length, limit)
     for k, lot in enumerate(lots):
         shared, name = spark.sparkContext.broadcast(lot()), uuid.uuid4().hex
-        names = rows.columns if k + 1 < len(lots) else [c for c in rows.columns if c != "__text"]  # the last pass needs no text after it
+        names = rows.columns if k + 1 < len(lots) else ["row", "hits", "items"]  # the last pass needs no text after it
 
         def make(shared=shared, name=name, names=names):
             matchers = _matchers(name, lambda: shared.value, length)
@@ -158,21 +159,22 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: in
             def one(batch: pa.RecordBatch) -> pa.RecordBatch:
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 n_words, hits, items = [], [], []
-                for text, old, ids in zip(texts_of(columns[source]), columns["__hits"].to_pylist(), columns["__items"].to_pylist(), strict=True):
+                texts = columns["row"].field("text") if inside else columns["text"]
+                for text, old, ids in zip(texts_of(texts), columns["hits"].to_pylist(), columns["items"].to_pylist(), strict=True):
                     words = words_of(text)
                     ranges, found = scan(words, matchers)
                     n_words.append(len(words))
                     hits.append(merged([*map(tuple, ranges), *map(tuple, old)]) if old else ranges)
                     items.append(sorted(found.union(ids or ())))
-                columns |= {"__hits": pa.array(hits, pa.list_(pa.list_(pa.int32()))), "__items": pa.array(items, pa.list_(pa.string())), "__n": pa.array(n_words, pa.int64())}
-                return pa.RecordBatch.from_arrays([columns[c] for c in (*names, "__n")], names=[*names, "__n"])
+                columns |= {"hits": pa.array(hits, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(n_words, pa.int64())}
+                return pa.RecordBatch.from_arrays([columns[c] for c in (*names, "n_words")], names=[*names, "n_words"])
 
             return one
 
-        schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("__n", T.LongType())])
+        schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("n_words", T.LongType())])
         rows = map_batches(rows, make, schema)
         if k + 1 < len(lots):
-            rows = checkpoint(rows.drop("__n"))
+            rows = checkpoint(rows.drop("n_words"))
     return rows
 
 
@@ -185,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WO
     Items are gathered in lots of about `limit` windows; a further lot is a further pass over checkpointed documents.
     """
     found = _searched(docs, benchmark, ["doc_id"], length, limit)
-    return found.select("doc_id", F.col("__n").alias("n_words"), F.col("__hits").alias("hits"), F.col("__items").alias("items"))
+    return found.select("row.doc_id", "n_words", "hits", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -204,4 +206,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, limit: int = PASS_WINDOWS) -> DataFrame:
     """docs without the documents that a window of an item occurs in; the rest keeps its rows, repeats and columns."""
-    return _searched(docs, benchmark, docs.columns, length, limit).filter(F.size("__hits") == 0).select(*docs.columns)
+    return _searched(docs, benchmark, docs.columns, length, limit).filter(F.size("hits") == 0).select("row.*")

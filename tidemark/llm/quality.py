@@ -551,5 +551,8 @@ def recalls(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that the classifier, which here learns from all labels, rejects."""
-    return judged(docs, labels, docs.columns).filter(F.col("__score") >= threshold).select(*docs.columns)
+    """docs without the documents that the classifier, which here learns from all labels, rejects. Columns may have any names:
+    a row travels as one struct beside what the classifier reads."""
+    read = [c for c in ("doc_id", "text", *_IN) if c in docs.columns]
+    packed = docs.select(*read, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    return judged(packed, labels, ["__row"]).filter(F.col("__score") >= threshold).select("__row.*")
