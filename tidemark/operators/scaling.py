@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.moments import known
+from ..sources.results import table_at
 from .shared import kept
 from .splits import Split, join_split, values_at, weighted
 
@@ -297,10 +298,7 @@ class StoredCdf:
         self.spark, self.path, self.kw = spark, path, {"percentiles": list(percentiles), **kw}
 
     def load(self, keys: list[str]) -> DataFrame | None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.parquet(self.path) if there else None
+        return table_at(self.spark, self.path)
 
     def store(self, params: DataFrame) -> None:
         params.write.mode("append").parquet(self.path)

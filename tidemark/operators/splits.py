@@ -133,3 +133,16 @@ def join_split(split: Split, lookup: DataFrame, size: Column) -> DataFrame:
         return split.rows.join(lookup, on)
     few = split.hot.join(F.broadcast(lookup.filter(size > TASK_ROWS)), on)
     return few.unionByName(split.rows.filter("__hot is null").join(lookup, on))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their place (from 0) in their key by order: rows are dealt by ranges of (key, order), numbered there, and moved
+    up by what lies before. A key that holds most rows is many tasks' work."""
+    ranged = kept(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    lower = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # only a key that lies in several parts has anything before: at most one for each part
+    moved = parts.withColumn("__before", F.sum("__n").over(lower)).filter("__before > 0").drop("__n")
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) - 1
+    placed = ranged.withColumn(name, own).join(F.broadcast(moved), [*keys, "__part"], "left")
+    return placed.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__part", "__before")

@@ -1,4 +1,4 @@
-"""Queries of whole validations, upscaling and smoothing."""
+"""Queries of whole validations, upscaling and results."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import calculators, smoothing, upscale
+from ..operators import calculators, upscale
 from ..sources.datasets import Dataset, frame
-from ..sources.results import Results, from_days, to_days
+from ..sources.results import CellResults, Results, from_days, to_days
 from .inputs import SERIES_SQL, fresh_folder, round_all, rounded, series, table
 from .queries_scaling import carried_sql, cdf_sql
 from .queries_metrics import _triple_cells
@@ -210,21 +210,50 @@ def _stored(spark, sf_dir) -> Results:
     kept.add_metrics(means.filter("loc_id < 8"))
     kept.add_metrics(means.filter("loc_id >= 8"), {"mean": {"unit": "1"}})
     days = events.groupBy("loc_id", "combo", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.sum("value").alias("total"))
-    kept.add_series(days.join(kept.read_locations("view").select("loc_id", "idx"), "loc_id").filter("combo = 'view'"))
+    kept.add_series(days.join(kept.read_locations(None).select("loc_id", "combo", "idx"), ["loc_id", "combo"]))
     return kept
 
 
-@query("with " + _MEANS + " select loc_id, idx::int as idx, combo, n, round(mean, 6) as mean from i where combo = 'click'")
+@query("with " + _MEANS + " select loc_id, idx::int as idx, combo, n, round(mean, 6) as mean from i")
 def stored_results(spark, sf_dir):
-    """Location rows of one combination, numbered as they were added, read back from their tables."""
-    return round_all(_stored(spark, sf_dir).read_locations("click").select("loc_id", "idx", "combo", "n", "mean"))
+    """Location rows of all combinations, numbered as they were added, read back from their tables."""
+    return round_all(_stored(spark, sf_dir).read_locations(None).select("loc_id", "idx", "combo", "n", "mean"))
 
 
-@query("select user_id % 16 as loc_id, 3 as idx, date_trunc('day', ts) as ts, round(sum(value), 4) as total, round(date_diff('day', date '1900-01-01', cast(date_trunc('day', ts) as date)), 6)::double as days from events where event_type = 'view' and user_id % 16 = 3 group by 1, 2, 3")
+@query(
+    "with " + _MEANS + ", d as (select user_id % 16 as loc_id, event_type as combo, date_trunc('day', ts) as ts, round(sum(value), 4) as total from events group by 1, 2, 3) "
+    "select d.loc_id, combo, idx::int as idx, ts, total, round(date_diff('day', date '1900-01-01', cast(ts as date)), 6)::double as days from d join i using (loc_id, combo)"
+)
 def stored_series(spark, sf_dir):
-    """The series of the fourth location, read back in order of time, with its times as days since 1900."""
-    got = _stored(spark, sf_dir).read_series(3, "view")
-    return got.select("loc_id", "idx", from_days(to_days(F.col("ts"))).alias("ts"), rounded("total", 4).alias("total"), to_days(F.col("ts")).alias("days"))
+    """The series of all locations and combinations, read back with their times as days since 1900."""
+    got = _stored(spark, sf_dir).read_all_series()
+    return got.select("loc_id", "combo", "idx", from_days(to_days(F.col("ts"))).alias("ts"), rounded("total", 4).alias("total"), to_days(F.col("ts")).alias("days"))
+
+
+@query("with " + _MEANS + " select loc_id, combo, loc_id * 20.0 - 150 as lon, loc_id % 7 * 10.0 - 30 as lat, idx::int as idx from i")
+def stored_lookup(spark, sf_dir):
+    """Result rows found again by their coordinates."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("loc_id"), F.col("event_type").alias("combo")).distinct()
+    places = events.withColumns({"lon": F.col("loc_id") * 20.0 - 150, "lat": F.col("loc_id") % 7 * 10.0 - 30})
+    kept = Results(spark, fresh_folder(spark, "results"))
+    kept.add_metrics(places)
+    points = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("loc_id")).distinct().select("loc_id", (F.col("loc_id") * 20.0 - 150).alias("lon"), (F.col("loc_id") % 7 * 10.0 - 30).alias("lat"))
+    return kept.indices_of(points.select("lon", "lat"), None).join(points, ["lon", "lat"]).select("loc_id", "combo", "lon", "lat", "idx")
+
+
+@query("select user_id % 16 as loc_id, (user_id % 16) // 3 as cell, event_type as combo, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2, 3")
+def resumed_results(spark, sf_dir):
+    """Results by cell of a run that stops half-way and of another that completes it: each location and combination once."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("loc_id"), F.col("event_type").alias("combo"), "value")
+    places = events.select("loc_id").distinct().withColumn("cell", F.floor(F.col("loc_id") / 3))
+    kept = CellResults(spark, fresh_folder(spark, "cells"))
+
+    def means(locations):
+        return events.join(F.broadcast(locations.select("loc_id")), "loc_id").groupBy("loc_id", "combo").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+    kept.complete(places, means, "first", batches=4, most=2)
+    kept.complete(places, means, "second", batches=3)
+    return round_all(kept.read().select("loc_id", F.col("cell").cast("long").alias("cell"), "combo", "n", "mean"))
 
 
 @query(
@@ -237,11 +266,3 @@ def metadata_calculator(spark, sf_dir):
     places = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "loc_id")
     run = calculators.with_metadata(calculators.basic("x", "y"), places, ["s_name", "s_nationkey"])
     return round_all(run(rows, ["loc_id"]).select("loc_id", "n_obs", "BIAS", "s_name", "s_nationkey"), 8)
-
-
-@query(None)
-def smoothed_arrays(spark, sf_dir):
-    """Every embedding as an array with a gap, smoothed and filled."""
-    t = table(spark, sf_dir, "embeddings")
-    gap = t.select("vec_id", F.transform("embedding", lambda x, i: F.when((i < 20) | (i > 24), x.cast("double"))).alias("a"))
-    return smoothing.smooth_arrays(gap, "a").select("vec_id", "smoothed", "smoothed_s", "smoothed_flag")
