@@ -116,6 +116,18 @@ def test_rank_correlations_by_brute_force(spark, monkeypatch, task_rows):
         assert rho[k].rho == pytest.approx(np.corrcoef(mean_ranks(x), mean_ranks(y))[0, 1]) == pairs[k].rho_between_x_and_y
 
 
+@pytest.mark.parametrize("task_rows", [1_000_000, 30])
+def test_medians_of_split_keys(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(splits, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(3)
+    data = {0: rng.normal(size=501), 1: rng.integers(0, 4, 300) * 1.0, 2: np.array([2.0, 9.0]), 3: np.where(rng.random(400) < 0.5, 1.0, rng.normal(size=400))}
+    rows = [(k, float(v)) for k, x in data.items() for v in x] + [(0, None), (4, None), (2, math.nan)]
+    df = spark.createDataFrame(rows, "loc_id int, x double").repartition(4)
+    got = {r.loc_id: r["median"] for r in ranks.medians(df, moments.known("x"), ["loc_id"]).collect()}
+    assert got.pop(4) is None and got == {k: pytest.approx(np.median(x)) for k, x in data.items()}
+    assert ranks.mad(df.withColumn("y", F.lit(1.0)), ["loc_id"], "x", "y").filter("loc_id = 2").first().mad == pytest.approx(4.5)
+
+
 def test_exact_p_of_kendall(spark):
     def one(x, y):
         return ranks.kendall(frame(spark, x, y), "x", "y").first()

@@ -94,11 +94,6 @@ def rmsd(df: DataFrame, keys: list[str], x: str, y: str, ddof: int = 0) -> DataF
     return found.select(*keys, F.sqrt(F.col("rss") / F.nullif(F.col("n") - ddof, F.lit(0))).alias("rmsd"))
 
 
-def mad(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Median absolute difference, exact."""
-    return df.groupBy(*keys).agg(F.median(F.abs(known(x) - known(y))).alias("mad"))
-
-
 def index_of_agreement(df: DataFrame, keys: list[str], o: str, p: str) -> DataFrame:
     """Willmott's index: one minus the squared differences over the potential error about the observations' mean."""
     full = df.select(*keys, known(o).alias("__o"), known(p).alias("__p")).dropna(subset=["__o", "__p"])

@@ -215,8 +215,13 @@ def unlimited_nearest(reference: DataFrame, other: DataFrame, values: list[str],
     best = F.when(f.isNull(), p).when(p.isNull(), f).when(f["__us"] - us <= us - p["__us"], f).otherwise(p)
     both = both.select(*keys, "__ref", us, best.alias("__o")).withColumn("__d", F.col("__o.__us") - us)
     if dropduplicates:
-        rank = F.row_number().over(Window.partitionBy(*keys, "__o.__us").orderBy(F.abs("__d"), us))
-        both = both.withColumn("__o", F.when(rank == 1, F.col("__o"))).withColumn("__d", F.col("__o.__us") - us)
+        # the row that another row keeps, by partial minima: many rows of the reference may want the same one
+        mine = F.struct(F.abs("__d").alias("d"), us.alias("us"), "__ref")
+        first = both.filter("__o is not null").groupBy(*keys, F.col("__o.__us").alias("__at")).agg(F.min(mine).alias("__first"))
+        first = first.select(*keys, "__at", F.col("__first.us").alias("__us"), F.col("__first.__ref").alias("__winner"))
+        both = both.join(first, [*keys, "__us"], "left")
+        won = (F.col("__at") == F.col("__o.__us")) & F.col("__winner").eqNullSafe(F.col("__ref"))
+        both = both.withColumn("__o", F.when(won, F.col("__o"))).withColumn("__d", F.col("__o.__us") - us)
     near = F.lit(True)
     if window is not None:
         w = window_us(window)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import correlation, known
 from ..functions.special import correlation_p
-from .splits import Split, average_ranks, weighted
+from .splits import Split, average_ranks, values_at, weighted
 
 
 def _complete(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -48,6 +48,21 @@ def spearman_of_pairs(df: DataFrame, pairs: list[tuple[str, str]], keys: list[st
     return rows.groupBy(*keys).agg(n.alias("n_obs"), *(_rank_correlation(n, f"__r_{a}", f"__r_{b}").alias(f"rho_between_{a}_and_{b}") for a, b in pairs))
 
 
+def medians(df: DataFrame, value: Column, keys: list[str], name: str = "median") -> DataFrame:
+    """(keys, name): the exact median of the known values, from places in sorted order; null where there are none."""
+    rows = df.select(*keys, value.alias("__v"))
+    split = weighted(rows.filter("__v is not null"), keys, ["__v"])
+    sizes = split.rows.groupBy(*keys).agg(F.sum("__w").alias("__n"))
+    middle = F.explode(F.array(F.expr("(__n - 1) div 2"), F.expr("__n div 2")))
+    found = values_at(split, "__v", sizes.select(*keys, middle.alias("__pos"))).groupBy(*keys).agg(((F.min("__v") + F.max("__v")) / 2).alias(name))
+    return rows.select(*keys).distinct().join(found, keys, "left")
+
+
+def mad(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Median absolute difference, exact."""
+    return medians(df, F.abs(known(x) - known(y)), keys, "mad")
+
+
 def inversions(values: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The weight of the pairs that stand in the wrong order, strictly: a bottom-up merge sort that counts by binary search."""
     a = np.unique(values, return_inverse=True)[1].astype(np.int64)

@@ -13,6 +13,7 @@ from ..functions import calendar as cal
 from ..functions.moments import correlation, known
 from ..functions.special import correlation_p
 from .collocate import DAY_US, STRETCH, US, micros
+from .ranks import medians
 from .windows import window_moments, window_sums
 
 MISSING = -999999.0
@@ -116,8 +117,10 @@ def climatology(
         rows = moving_average(rows, value, moving_avg_orig, fillna, min_obs_orig, keys, ts)
     slot = F.month(ts) if n == 12 else (F.dayofyear(ts) if respect_leap_years else cal.leap_doy(F.col(ts)))
     v = present(value)
-    central = F.median(v) if statistic == "median" else F.avg(v)
-    stats = rows.groupBy(*keys, slot.alias("slot")).agg(central.alias("climatology"), *([F.stddev_samp(v).alias("climatology_std")] if std else []))
+    rows = rows.withColumn("slot", slot)
+    stats = rows.groupBy(*keys, "slot").agg(F.avg(v).alias("climatology"), *([F.stddev_samp(v).alias("climatology_std")] if std else []))
+    if statistic == "median":
+        stats = stats.drop("climatology").join(medians(rows, v, [*keys, "slot"], "climatology"), [*keys, "slot"])
     slots = rows.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
     full = slots.join(stats, [*keys, "slot"], "left")
     half = width / 2 if width else 0

@@ -35,7 +35,7 @@ def rmsd_ddof(spark, sf_dir):
 
 @query(_L + "select loc_id, round(median(abs(qty - price)), 6) as mad from l group by 1")
 def median_absolute_difference(spark, sf_dir):
-    return round_all(moments.mad(items(spark, sf_dir), ["loc_id"], "qty", "price"))
+    return round_all(ranks.mad(items(spark, sf_dir), ["loc_id"], "qty", "price"))
 
 
 @query(_L + ", a as (select *, avg(qty) over (partition by loc_id) as m from l) select loc_id, round(1 - sum((qty-price)*(qty-price)) / sum(pow(abs(price-m) + abs(qty-m), 2)), 6) as index_of_agreement from a group by 1")
