@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import calculators, collocate, intervals, series
+from tidemark.operators import calculators, collocate, intervals, resampling, series
 
 T0 = datetime(2000, 1, 1)
 
@@ -154,3 +154,56 @@ def test_resampling_by_sums_equals_resampling_by_rows():
         assert np.allclose(intervals.left_out(x, y, name), intervals.left_out(x, y, intervals.SAMPLED[name]), rtol=1e-8, atol=1e-9)
     flat = np.full(150, 7.25)
     assert np.isnan(intervals.resampled(flat, y, ["pearson_r"], np.random.default_rng(5), 10)).all() and (intervals.OF_SUMS["mse_var"](intervals.Sums(intervals._products(flat, flat).sum(axis=1))) == 0).all()
+
+
+def test_draws_are_split_without_loss():
+    """Every replicate's draws add up to n, follow the buckets' sizes, and are the same whoever asks."""
+    sizes = np.array([5, 0, 40, 1, 300, 54, 100])
+    got = resampling.split_draws(sizes, 500, 4000, 7, ("a", 1))
+    assert (got.sum(axis=0) == 500).all() and (got[1] == 0).all() and (got >= 0).all()
+    p = sizes / 500
+    assert got.mean(axis=1) == pytest.approx(500 * p, abs=0.6) and got.var(axis=1) == pytest.approx(500 * p * (1 - p), rel=0.1, abs=0.1)
+    assert (resampling.split_draws(sizes, 500, 4000, 7, ("a", 1)) == got).all() and (resampling.split_draws(sizes, 500, 4000, 8, ("a", 1)) != got).any()
+
+
+@pytest.mark.parametrize("bucket", [200_000, 40])
+def test_split_resampling_by_plain_resampling(spark, monkeypatch, bucket):
+    """A key in one bucket or in many, with ties and an outlying mean: intervals are those of plain resampling but for chance."""
+    monkeypatch.setattr(resampling, "BUCKET_ROWS", bucket)
+    rng = np.random.default_rng(6)
+    x = rng.normal(1e6, 2, 400).round(1)
+    y = x + rng.normal(1, 1, 400).round(2)
+    x[:100], y[:100] = x[0], y[0]  # copies of one row
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(2, 1.0, 2.0)] * 50, "loc_id int, x double, y double").repartition(6)
+    names = {m: m for m in ("bias", "rmsd", "ubrmsd", "pearson_r", "mse_corr")}
+    for method in ("percentile", "basic", "BCa"):
+        got = {r.loc_id: r for r in intervals.bootstrapped_many(df, "x", "y", names, method=method, nsamples=1500).collect()}
+        again = {r.loc_id: r for r in intervals.bootstrapped_many(df.repartition(3), "x", "y", names, method=method, nsamples=1500).collect()}
+        assert got[2].n_obs == 50 and got[2].bias == -1 and got[2].bias_lower is None
+        for m in names:
+            value, low, high = (got[1][f"{m}{end}"] for end in ("", "_lower", "_upper"))
+            samples = intervals.resampled(x, y, [m], np.random.default_rng(8), 1500)[0]
+            a = intervals.acceleration(intervals.left_out(x, y, m))
+            plain = intervals.interval_of(samples, float(intervals.SAMPLED[m](x, y)), 0.05, method, a)
+            assert value == pytest.approx(intervals.SAMPLED[m](x, y), rel=1e-6)
+            assert (low, high) == pytest.approx(plain, abs=0.25 * (plain[1] - plain[0]))
+            assert (low, high) == pytest.approx((again[1][f"{m}_lower"], again[1][f"{m}_upper"]), rel=1e-9)
+
+
+def test_split_triple_resampling(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "BUCKET_ROWS", 60)
+    rng = np.random.default_rng(2)
+    truth = rng.normal(size=300)
+    data = np.stack([truth + rng.normal(0, s, 300) for s in (0.2, 0.5, 0.3)], axis=1)
+    df = spark.createDataFrame([(1, *map(float, r)) for r in data], "loc_id int, a double, b double, c double")
+    got = {(r.dataset, r.metric): r for r in intervals.bootstrapped_triple(df, ["a", "b", "c"], nsamples=600).collect()}
+    samples = []
+    for _ in range(600):
+        samples.append(intervals.triple_of_covariances(np.cov(data[rng.integers(0, 300, 300)].T)[:, :, None])[:, :, 0])
+    want = intervals.triple_of_covariances(np.cov(data.T)[:, :, None])[:, :, 0]
+    for i, d in enumerate("abc"):
+        for m, name in enumerate(("snr", "err_std", "beta")):
+            r = got[d, name]
+            low, high = np.nanquantile([s[m, i] for s in samples], [0.025, 0.975])
+            assert r.n_obs == 300 and r.value == pytest.approx(want[m, i])
+            assert (r.lower, r.upper) == pytest.approx((low, high), abs=0.25 * (high - low))

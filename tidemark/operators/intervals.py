@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.moments import correlation, known, pair_moments
 from ..functions.special import chi2_quantile_of, normal_quantile, t_quantile_of
-from . import ranks
+from . import ranks, resampling
 
 ANALYTICAL = ("bias", "ubrmsd", "pearson_r", "spearman_r", "kendall_tau")
 
@@ -68,8 +69,16 @@ def moment_interval(metric: str, alpha: float = 0.05) -> tuple[Column, Column, C
     return value, *fisher_interval(value, n, alpha)
 
 
-def interval_of(samples: np.ndarray, value: float, alpha: float, method: str, jackknife: np.ndarray | None = None) -> tuple[float, float]:
-    """The interval of a bootstrapped metric: "percentile", "basic" or "BCa" (with alpha at either end, as results have it)."""
+def acceleration(jackknife: np.ndarray) -> float:
+    """BCa's correction for skewness, from the metric without each row in turn."""
+    centred = jackknife.mean() - jackknife
+    spread = float((centred**2).sum()) ** 1.5
+    return float((centred**3).sum()) / (6 * spread) if spread else 0.0
+
+
+def interval_of(samples: np.ndarray, value: float, alpha: float, method: str, a: float = 0.0) -> tuple[float, float]:
+    """The interval of a bootstrapped metric: "percentile", "basic" or "BCa" (with alpha at either end, as results have it, and
+    the acceleration a)."""
     samples = samples[~np.isnan(samples)]
     if not len(samples) or math.isnan(value):
         return math.nan, math.nan
@@ -84,9 +93,7 @@ def interval_of(samples: np.ndarray, value: float, alpha: float, method: str, ja
     if not 0 < share < 1:
         return float(samples.min()), float(samples.max())
     norm = NormalDist()
-    z0, centred = norm.inv_cdf(share), jackknife.mean() - jackknife
-    spread = float((centred**2).sum()) ** 1.5
-    a = float((centred**3).sum()) / (6 * spread) if spread else 0.0
+    z0 = norm.inv_cdf(share)
     ends = [norm.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (norm.inv_cdf(alpha), norm.inv_cdf(1 - alpha))]
     low, high = np.quantile(samples, ends)
     return float(low), float(high)
@@ -177,13 +184,38 @@ def resampled(x: np.ndarray, y: np.ndarray, metrics: list[str | Callable], rng:
     return np.concatenate(parts, axis=1)
 
 
+def _bootstrapped_by_sums(df: DataFrame, x: str, y: str, metrics: dict[str, str], keys: list[str], alpha: float, method: str, nsamples: int, minimum: int, seed: int) -> DataFrame:
+    if method not in ("percentile", "basic", "BCa"):
+        raise ValueError(f"no such method: {method}")
+
+    def of_sums(sums: np.ndarray) -> np.ndarray:
+        """The metrics (rows) of samples given by their sums of 1, x, y, xx, xy and yy."""
+        n, sx, sy, sxx, sxy, syy = sums
+        return np.array([OF_SUMS[m](Sums(np.stack([n, sx, sy, sxx, syy, sxy]))) for m in metrics.values()])
+
+    rows = df.select(*keys, known(x).alias("__x"), known(y).alias("__y")).filter("__x is not null and __y is not null")
+    ends = [f"{name}{end}" for name in metrics for end in ("", "_lower", "_upper")]
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n_obs", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ends)])
+
+    def finish(n: int, values: np.ndarray, samples: np.ndarray | None, a: np.ndarray) -> list[list]:
+        cells: list[float] = []
+        for k, value in enumerate(values):
+            cells += [value, *(interval_of(samples[k], float(value), alpha, method, a[k]) if samples is not None else (math.nan, math.nan))]
+        return [[n, *(None if math.isnan(v) else float(v) for v in cells)]]
+
+    return resampling.resampled(rows, keys, ["__x", "__y"], of_sums, finish, schema, nsamples, minimum, seed, method == "BCa", [tuple(range(2))])
+
+
 def bootstrapped_many(df: DataFrame, x: str, y: str, metrics: dict[str, str | Callable], keys: list[str] | None = None, alpha: float = 0.05, method: str = "percentile", nsamples: int = 1000, minimum_data_length: int = 100, seed: int = 0) -> DataFrame:
     """(keys, n_obs, <name>, <name>_lower, <name>_upper of every metric): one resampling of a key's rows serves all metrics.
 
-    Intervals are null for too few rows. Resampling is seeded by `seed` and the key, and rows are put in order first, so
-    results repeat exactly. A key's complete cases meet in one task.
+    Intervals are null for too few rows. Resampling is seeded by `seed` and the key, and results repeat exactly however the rows
+    lie. Metrics by name split a key's rows over tasks (see `resampling`); with a function of arrays, a key's complete cases meet
+    in one task.
     """
     keys = ["loc_id"] if keys is None else keys
+    if all(isinstance(m, str) for m in metrics.values()):
+        return _bootstrapped_by_sums(df, x, y, metrics, keys, alpha, method, nsamples, minimum_data_length, seed)
     functions = {name: SAMPLED[m] if isinstance(m, str) else m for name, m in metrics.items()}
     rows = df.select(*keys, known(x).alias("__x"), known(y).alias("__y")).filter("__x is not null and __y is not null")
     ends = [f"{name}{end}" for name in functions for end in ("", "_lower", "_upper")]
@@ -197,7 +229,7 @@ def bootstrapped_many(df: DataFrame, x: str, y: str, metrics: dict[str, str | Ca
         cells: list[float] = []
         for row, metric, function in zip(samples, metrics.values(), functions.values(), strict=True):
             value = function(a, b)
-            cells += [value, *(interval_of(row, value, alpha, method, left_out(a, b, metric) if method == "BCa" else None) if enough else (math.nan, math.nan))]
+            cells += [value, *(interval_of(row, value, alpha, method, acceleration(left_out(a, b, metric)) if method == "BCa" else 0.0) if enough else (math.nan, math.nan))]
         return pd.DataFrame([[*key, len(a), *(None if math.isnan(v) else v for v in cells)]], columns=schema.names).astype({c: float for c in ends})
 
     return rows.groupBy(*keys).applyInPandas(resample, schema)
@@ -210,16 +242,15 @@ def bootstrapped(df: DataFrame, x: str, y: str, metric: str | Callable, keys: li
     return found.select(*keys, "n_obs", "value", F.col("value_lower").alias("lower"), F.col("value_upper").alias("upper"))
 
 
-def triple_values(data: np.ndarray, ref: int = 0) -> np.ndarray:
-    """snr, err_std and beta of the three columns of data, one row each."""
-    c = np.cov(data.T)
-    out = np.empty((3, 3))
+def triple_of_covariances(c: np.ndarray, ref: int = 0) -> np.ndarray:
+    """snr, err_std and beta (rows) of three columns by their covariances c[i, j], each for many samples."""
+    out = np.empty((3, 3, c.shape[2]))
     with np.errstate(all="ignore"):
         for i in range(3):
             j, k = (v for v in range(3) if v != i)
-            noise = abs(abs(c[i, i] * c[j, k] / (c[i, j] * c[i, k])) - 1)
+            noise = np.abs(np.abs(c[i, i] * c[j, k] / (c[i, j] * c[i, k])) - 1)
             other = next(v for v in range(3) if v not in (i, ref))
-            beta = 1.0 if i == ref else c[ref, other] / c[i, other]
+            beta = np.ones(c.shape[2]) if i == ref else c[ref, other] / c[i, other]
             out[0, i], out[1, i], out[2, i] = -10 * np.log10(noise), np.sqrt(c[i, i] - c[i, j] * c[i, k] / c[j, k]) * beta, beta
     return out
 
@@ -229,25 +260,25 @@ def bootstrapped_triple(df: DataFrame, columns: list[str], keys: list[str] | Non
     keys = ["loc_id"] if keys is None else keys
     at = columns.index(ref) if ref else 0
     rows = df.select(*keys, *(known(c).alias(f"__{k}") for k, c in enumerate(columns))).dropna(subset=["__0", "__1", "__2"])
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("dataset", T.StringType()), T.StructField("metric", T.StringType()), T.StructField("n_obs", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("value", "lower", "upper")])
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("dataset", T.StringType()), T.StructField("metric", T.StringType()), T.StructField("n_obs", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("value", "lower", "upper"))])
 
-    def resample(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        data = part.sort_values(["__0", "__1", "__2"])[["__0", "__1", "__2"]].to_numpy(float)
-        n = len(data)
-        value = triple_values(data, at) if n > 1 else np.full((3, 3), np.nan)
-        samples = jack = None
-        if n >= minimum_data_length:
-            rng = _generator(seed, key)
-            samples = np.array([triple_values(data[rng.integers(0, n, n)], at) for _ in range(nsamples)])
-            jack = np.array([triple_values(np.delete(data, i, axis=0), at) for i in range(n)]) if method == "BCa" else None
+    def of_sums(sums: np.ndarray) -> np.ndarray:
+        """snr, err_std and beta of each column (nine rows) of samples given by their sums of 1, the columns and their products."""
+        n, first, second = sums[0], sums[1:4], sums[4:]
+        mean, c = first / n, np.empty((3, 3, sums.shape[1]))
+        for k, (i, j) in enumerate(itertools.combinations_with_replacement(range(3), 2)):
+            c[i, j] = c[j, i] = (second[k] / n - mean[i] * mean[j]) * n / np.maximum(n - 1, 1)
+        return triple_of_covariances(c, at).reshape(9, -1)
+
+    def finish(n: int, values: np.ndarray, samples: np.ndarray | None, a: np.ndarray) -> list[list]:
         out = []
         for i, dataset in enumerate(columns):
             for m, name in enumerate(("snr", "err_std", "beta")):
                 low = high = math.nan
+                value = float(values[3 * m + i]) if n > 1 else math.nan
                 if samples is not None:
-                    low, high = (1.0, 1.0) if (name, i) == ("beta", at) else interval_of(samples[:, m, i], float(value[m, i]), alpha, method, None if jack is None else jack[:, m, i])
-                out.append([*key, dataset, name, n, float(value[m, i]), low, high])
-        frame = pd.DataFrame(out, columns=schema.names)
-        return frame.astype(object).where(frame.notna(), None).astype({c: float for c in ("value", "lower", "upper")})
+                    low, high = (1.0, 1.0) if (name, i) == ("beta", at) else interval_of(samples[3 * m + i], value, alpha, method, a[3 * m + i])
+                out.append([dataset, name, n, *(None if math.isnan(v) else v for v in (value, low, high))])
+        return out
 
-    return rows.groupBy(*keys).applyInPandas(resample, schema)
+    return resampling.resampled(rows, keys, ["__0", "__1", "__2"], of_sums, finish, schema, nsamples, minimum_data_length, seed, method == "BCa", [(0,), (1,), (2,)])

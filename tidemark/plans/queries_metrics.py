@@ -199,6 +199,15 @@ def bootstrap_interval(spark, sf_dir):
     return intervals.bootstrapped(items(spark, sf_dir), "qty", "price", "rmsd", nsamples=200, seed=7)
 
 
+@query(_L + " select loc_id, count(*) as n_obs, round(avg(qty - price), 6) + 0.0 as bias, round(sqrt(avg((qty - price) * (qty - price))), 6) as rmsd, round(covar_pop(qty, price) / sqrt(var_pop(qty) * var_pop(price)), 6) as r, true as inside from l group by 1")
+def bootstrap_values(spark, sf_dir):
+    """What is certain of resampled metrics: their values, and that these lie within their intervals of 99.9 %."""
+    names = {"bias": "bias", "rmsd": "rmsd", "r": "pearson_r"}
+    got = intervals.bootstrapped_many(items(spark, sf_dir), "qty", "price", names, alpha=0.001, nsamples=200, seed=7)
+    within = [F.col(n).between(F.col(f"{n}_lower"), F.col(f"{n}_upper")) for n in names]
+    return round_all(got.select("loc_id", "n_obs", *names, (within[0] & within[1] & within[2]).alias("inside")))
+
+
 @query(None)
 def bootstrap_triple(spark, sf_dir):
     return intervals.bootstrapped_triple(items(spark, sf_dir), COLUMNS[:3], nsamples=100, seed=7)
