@@ -41,4 +41,4 @@ def test_only_the_pipeline_is_missing(forgotten):
     pytest.importorskip("tidemark.llm.queries")
     forgotten.setitem(sys.modules, "corpus_pipeline", None)
     names = set(entry.queries())
-    assert "pipeline" not in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" not in names and sum(n.startswith("op") for n in names) == 13
