@@ -32,6 +32,62 @@ def test_segments_cover_what_the_definition_finds(s):
     assert max((x for x, _, _ in got), default=0) == max((x for x, _, _ in all_segments(s)), default=0)
 
 
+def test_segments_without_ties_are_those_of_the_definition():
+    """Scores of which no two sums are equal leave one answer: the same segments, with the same places."""
+    rng = random.Random(11)
+    for n in (0, 1, 2, 5, 12, 30, 45):
+        for _ in range(15):
+            s = [rng.gauss(-0.2, 1) for _ in range(n)]
+            want, got = all_segments(s), T.segments(np.array(s, float))
+            assert [x[1:] for x in got] == [x[1:] for x in want] and np.allclose([x[0] for x in got], [x[0] for x in want])
+
+
+def plain_log_odds(table, docs, cells, without=None):
+    """A word's log-odds level by level: a level's rate of toxic documents is pulled to that of the level before it."""
+    totals = [max(1, docs[c] - (1 if without == c else 0)) for c in (0, 1)]
+    rate = 0.5
+    for cell in cells:
+        share = [max(0, table[c][cell] - (1 if without == c else 0)) / totals[c] * min(totals) for c in (0, 1)]
+        rate = (share[1] + T.PRIOR * rate) / (share[0] + share[1] + T.PRIOR)
+    return np.log(rate / (1 - rate))
+
+
+def test_log_odds_by_a_plain_version():
+    rng = np.random.default_rng(4)
+    docs = np.array([90, 12])
+    table = np.stack([rng.integers(0, 91, 50), rng.integers(0, 13, 50)])
+    model = T.Model(table, docs)
+    cells = rng.integers(0, 50, (40, 3))
+    for without in (None, 0, 1):
+        assert np.allclose(model.log_odds(cells, without), [plain_log_odds(table, docs, row, without) for row in cells])
+    unseen = T.Model(np.zeros((2, 50), int), docs)
+    assert np.allclose(unseen.log_odds(cells), 0)
+
+
+def test_a_text_is_scored_as_a_plain_version_scores_it():
+    """Word scores, segments, surprise and the logistic function, each written out."""
+    rng = np.random.default_rng(8)
+    size = max(max(T._cells(w)) for w in ("river", "stone", "grobax", "light")) + 1
+    model = T.Model(rng.integers(0, 20, (2, size)), np.array([60, 20]), lam=0.9, k=0.2, weights=(-3.0, 0.4, 0.7))
+    for text in ("", "river", "river stone grobax light grobax grobax river", "light " * 30 + "grobax stone"):
+        words = T.words_of(text)
+        scores = [plain_log_odds(model.table, model.docs, T._cells(w)) - T.DRIFT for w in words]
+        surprises = [-np.log(1 - np.exp(-model.k * max(len(words), 1) * np.exp(-model.lam * x))) for x, _, _ in all_segments(scores)]
+        best = min(max(surprises, default=0.0), 60.0)
+        many = np.log(1 + sum(x >= -np.log(T.SIGNIFICANT) for x in surprises))
+        want = 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * best + model.weights[2] * many)))
+        assert abs(T.Scorer(model).judge(text)[0] - want) < 1e-9
+
+
+def test_logistic_weights_leave_no_slope():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + rng.normal(size=300) > 0.3).astype(float)
+    w = T.logistic(x, y)
+    slope = [sum((1 / (1 + np.exp(-(w[0] + w[1] * a + w[2] * b))) - t) * z[k] for a, b, t in zip(*x.T, y, strict=True) for z in [(1, a, b)]) / 300 + 1e-3 * w[k] for k in range(3)]
+    assert np.allclose(slope, 0, atol=1e-7)
+
+
 def corpus(n=600):
     rng = random.Random(4)
     calm = ["river", "stone", "green", "walks", "under", "light", "paper", "seven", "about", "music"]
