@@ -67,6 +67,7 @@ def scaled_all(df: DataFrame, columns: list[str], ref: str, method: str, keys: l
     if method in ("cdf_match", "cdf_beta_match"):
         kw = {"nbins": 100, "minobs": 20, "linear_edge_scaling": True} | kw
         limits = {k: kw.pop(k, None) for k in ("max_val", "min_val")}
+        df = kept(df)  # its values are read for the parameters and again to be carried over
         sides = F.explode(F.array(*(F.struct(F.lit(i).alias("__i"), known(c).alias("__c")) for i, c in enumerate(columns))))
         long = df.select(*keys, known(ref).alias("__r"), sides.alias("__s")).select(*keys, "__r", "__s.*")
         params = kept(cdf_parameters(long, "__c", "__r", [*keys, "__i"], **kw))
