@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -172,3 +174,19 @@ def test_calendar_golden(spark):
     assert cal.Yearless(3, 1).doy == 61 and cal.Yearless(2, 29) < cal.Yearless(3, 1)
     year = spark.range(1).select(cal.Yearless(2, 29).in_year(F.lit(2001)).alias("a"), cal.Yearless(2, 29).in_year(F.lit(2004)).cast("string").alias("b"), cal.running_dekad_date(F.lit(2004), F.lit(6)).cast("string").alias("c")).first()
     assert (year.a, year.b, year.c) == (None, "2004-02-29 00:00:00", "2004-02-29")
+
+
+def test_covariances_of_any_order(spark):
+    """Covariances that nearly cancel out are right to the last digits, however the rows are dealt and added up."""
+    rng = random.Random(4)
+    rows = [(k % 3 or None, 40.125 + rng.randrange(-400, 400) / 8, 3.0e6 + rng.randrange(-(2**20), 2**20) / 8, 7.25) for k in range(3000)]
+    want = {}
+    for key in (None, 1, 2):
+        x, y = ([Fraction(r[c]) for r in rows if r[0] == key] for c in (1, 2))
+        want[key] = (sum(x) * sum(y) / len(x), sum(a * b for a, b in zip(x, y, strict=True)), len(x))
+        want[key] = float((want[key][1] - want[key][0]) / (len(x) - 1))
+    for parts, order in ((1, "x"), (3, "y"), (7, "x desc")):
+        df = spark.createDataFrame(rows, "loc_id int, x double, y double, z double").repartition(parts).sortWithinPartitions(F.expr(order.split()[0]).desc() if " " in order else order)
+        got = {r.loc_id: r for r in moments.covariance_matrix(df, ["loc_id"], ["x", "y", "z"]).collect()}
+        assert {k: r.c_0_1 for k, r in got.items()} == {k: pytest.approx(v, rel=1e-15) for k, v in want.items()}
+        assert {(r.n, r.c_2_2, r.c_0_2) for r in got.values()} == {(1000, 0.0, 0.0)}
