@@ -40,11 +40,12 @@ def nearest_lookup(reference: DataFrame, other: DataFrame, max_dist: float, ref_
     """(ref_id, other_id, distance): the nearest other point within max_dist metres; -1 and null where there is none.
 
     Both sides are put in cubes of the sphere's chord space with edges of the largest chord, so only 27 neighbouring cubes
-    join, at poles and the date line too. Ties go to the smaller id.
+    join, at poles and the date line too. Ties go to the smaller id. Points at one place are one point to the join.
     """
-    found = _within(reference.select(ref_id, "lon", "lat"), other.select(F.col(other_id).alias("__other"), "lon", "lat"), max_dist)
-    best = found.groupBy(ref_id).agg(F.min(F.struct("__d", "__other")).alias("__best"))
-    out = reference.select(ref_id).join(best, ref_id, "left")
+    places = other.groupBy("lon", "lat").agg(F.min(other_id).alias("__other"))
+    found = _within(reference.select("lon", "lat").distinct(), places, max_dist)
+    best = found.groupBy("lon", "lat").agg(F.min(F.struct("__d", "__other")).alias("__best"))
+    out = reference.select(ref_id, "lon", "lat").join(best, ["lon", "lat"], "left")
     return out.select(ref_id, F.coalesce("__best.__other", F.lit(-1)).alias(other_id), F.col("__best.__d").alias("distance"))
 
 
