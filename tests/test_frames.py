@@ -91,6 +91,19 @@ def test_spatial_lookup_within_distance(spark):
     assert {(r.loc_id, r["count"]) for r in placed.groupBy("loc_id").count().collect()} == {(1, 10)}
 
 
+def test_points_at_one_place_meet_once(spark, monkeypatch):
+    """Copies of places add nothing to the spatial join, and every one of them counts in the results."""
+    met, within = [], spatial._within
+    monkeypatch.setattr(spatial, "_within", lambda a, b, d: met.append((a.count(), b.count())) or within(a, b, d))
+    ref = spark.createDataFrame([(k, float(k % 2), 0.0) for k in range(40)], "loc_id long, lon double, lat double")
+    other = spark.createDataFrame([(k, k % 3 + 0.1, 0.0, None if k % 2 else float(k)) for k in range(300)], "other_id long, lon double, lat double, v double")
+    got = {r.loc_id: (r.other_id, round(r.distance)) for r in spatial.nearest_lookup(ref, other, 150_000.0).collect()}
+    assert got == {k: (k % 2, 11_120) for k in range(40)}
+    found = {r.loc_id: (r.n_obs, r.v) for r in spatial.resample_to_grid(other, ref, ["v"], 50_000.0).collect()}
+    assert found == {k: (100, pytest.approx(sum(j for j in range(k % 2, 300, 3) if j % 2 == 0) / 50)) for k in range(40)}
+    assert met == [(2, 3), (2, 3)]
+
+
 def test_results_tables(spark, tmp_path):
     out = Results(spark, str(tmp_path / "r"))
     rows = spark.createDataFrame([("a_with_b", k, float(k), 1.0, 0.5 * k) for k in range(3)], "combo string, loc_id long, lon double, lat double, R double")

@@ -64,11 +64,13 @@ def resample_to_grid(swath: DataFrame, grid: DataFrame, values: list[str], radiu
     """(grid_id, n_obs, values...): weighted means of the swath's values within radius metres of each grid point.
 
     swath and grid have lon and lat; missing values have no weight. With fewer than min_obs observations a point's values
-    are null, or with only_valid it drops out.
+    are null, or with only_valid it drops out. Observations at one place are added up before the join, and a grid's points at
+    one place are one point to it.
     """
-    rows = swath.select("lon", "lat", *values)
-    met = _within(grid.select(grid_id, "lon", "lat"), rows, radius).withColumn("__w", weight(radius, F.col("__d")))
-    cells = [(F.sum(F.col("__w") * known(c)) / F.nullif(F.sum(F.when(known(c).isNotNull(), F.col("__w"))), F.lit(0.0))).alias(c) for c in values]
-    found = met.groupBy(grid_id).agg(F.count("*").alias("n_obs"), *cells).filter(F.col("n_obs") >= min_obs)
-    out = grid.select(grid_id).join(found, grid_id, "inner" if only_valid else "left")
+    sums = [f.alias(f"__{name}{i}") for i, c in enumerate(values) for name, f in (("sum", F.sum(known(c))), ("held", F.count(known(c))))]
+    places = swath.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("__n"), *sums)
+    met = _within(grid.select("lon", "lat").distinct(), places, radius).withColumn("__w", weight(radius, F.col("__d")))
+    cells = [(F.sum(F.col("__w") * F.col(f"__sum{i}")) / F.nullif(F.sum(F.col("__w") * F.col(f"__held{i}")), F.lit(0.0))).alias(c) for i, c in enumerate(values)]
+    found = met.groupBy("lon", "lat").agg(F.sum("__n").alias("n_obs"), *cells).filter(F.col("n_obs") >= min_obs)
+    out = grid.select(grid_id, "lon", "lat").join(found, ["lon", "lat"], "inner" if only_valid else "left").select(grid_id, "n_obs", *values)
     return out.withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))
