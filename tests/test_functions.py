@@ -190,3 +190,23 @@ def test_covariances_of_any_order(spark):
         got = {r.loc_id: r for r in moments.covariance_matrix(df, ["loc_id"], ["x", "y", "z"]).collect()}
         assert {k: r.c_0_1 for k, r in got.items()} == {k: pytest.approx(v, rel=1e-15) for k, v in want.items()}
         assert {(r.n, r.c_2_2, r.c_0_2) for r in got.values()} == {(1000, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("task_rows", (1_000_000, 300))
+def test_tasks_follow_the_distinct_rows(spark, monkeypatch, task_rows):
+    """What a task ranks doesn't grow with the number of keys, and ties that leave few distinct rows ask for no more tasks."""
+    monkeypatch.setattr(splits, "SHARE_ROWS", 100)
+    monkeypatch.setattr(splits, "TASK_ROWS", task_rows)
+    rows = [(k % 10, float(k * 7919 % 4001), float(k % 3)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "loc_id int, x double, y double")
+    split = splits.weighted(df, ["loc_id"], ["x", "y"])
+    assert split.tasks == pytest.approx(40, abs=4)
+    ranked = splits.average_ranks(split, {"x": "rx"})
+    assert split.rows.rdd.getNumPartitions() == split.tasks and ranked.count() == 4000
+    assert splits.weighted(df, ["loc_id"], ["y"]).tasks is None
+    got = {r.loc_id: (r.n_obs, r.rho) for r in ranks.spearman(df, "x", "y").collect()}
+    tau = {r.loc_id: r.tau for r in ranks.kendall(df, "x", "y").collect()}
+    monkeypatch.setattr(splits, "SHARE_ROWS", 500_000)
+    monkeypatch.setattr(splits, "TASK_ROWS", 1_000_000)
+    assert got == {r.loc_id: (r.n_obs, pytest.approx(r.rho, abs=1e-12)) for r in ranks.spearman(df, "x", "y").collect()}
+    assert tau == {r.loc_id: pytest.approx(r.tau, abs=1e-12) for r in ranks.kendall(df, "x", "y").collect()}
