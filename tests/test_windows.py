@@ -207,3 +207,13 @@ def test_split_triple_resampling(spark, monkeypatch):
             low, high = np.nanquantile([s[m, i] for s in samples], [0.025, 0.975])
             assert r.n_obs == 300 and r.value == pytest.approx(want[m, i])
             assert (r.lower, r.upper) == pytest.approx((low, high), abs=0.25 * (high - low))
+
+
+@pytest.mark.parametrize("weight", ([1] * 6, [3, 1, 2, 1, 1, 1], [9, 1, 40, 2, 7, 1]))
+def test_draws_are_multinomial(weight):
+    """Whether rows are drawn one by one or by binomials: so many draws for each replicate, in proportion to the weights."""
+    w, wanted = np.array(weight), np.array([30, 0, 200] * 2000)
+    got = resampling._draws(np.random.default_rng(3), wanted, w)
+    assert (got.sum(axis=1) == wanted).all() and (got == resampling._draws(np.random.default_rng(3), wanted, w)).all()
+    share, many = w / w.sum(), got[2::3]
+    assert many.mean(axis=0) == pytest.approx(200 * share, rel=0.05) and many.var(axis=0) == pytest.approx(200 * share * (1 - share), rel=0.15)

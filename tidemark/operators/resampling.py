@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .shared import kept
+from .splits import tasks_of
 
 #: Distinct rows of one bucket, and numbers that the counts of resampled rows may hold at once.
 BUCKET_ROWS, COUNT_CELLS = 200_000, 1 << 22
@@ -55,6 +57,18 @@ def _products(values: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(values.shape[1]), *values, *(values[i] * values[j] for i, j in pairs)])
 
 
+def _draws(rng: np.random.Generator, wanted: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often each row (column) is drawn in each replicate (row) of so many wanted draws: a multinomial. Rows that seldom repeat
+    are drawn one by one and counted, which takes a fraction of the time of a binomial for each row."""
+    total, rows = int(weight.sum()), len(weight)
+    if total > 4 * rows:
+        return rng.multinomial(wanted, weight / total)
+    picks = rng.integers(0, total, int(wanted.sum()), dtype=np.int32 if total < 2**31 else np.int64)
+    if total > rows:
+        picks = np.repeat(np.arange(rows), weight)[picks]
+    return np.bincount(picks + np.repeat(np.arange(len(wanted)) * rows, wanted), minlength=len(wanted) * rows).reshape(len(wanted), rows)
+
+
 def resampled(
     rows: DataFrame,
     keys: list[str],
@@ -74,7 +88,9 @@ def resampled(
     `together` less the same. With fewer than `minimum` rows there are no replicates (None). With jackknife, the accelerations
     come from sums over the rows of powers of what leaving each out changes.
     """
-    distinct = kept(rows.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("__w")))
+    rows = rows.select(*keys, *values)
+    tasks = tasks_of(rows)  # what a task holds must not grow with the input
+    distinct = kept((rows.repartition(tasks, *keys, *values) if tasks else rows).groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("__w")))
     w = F.col("__w")
     stats = distinct.groupBy(*keys).agg(F.sum(w).alias("__n"), F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("__buckets"), *((F.sum(w * F.col(v)) / F.sum(w)).alias(f"__m{k}") for k, v in enumerate(values)))
     # in single precision, so that it doesn't depend on the order in which Spark has added up
@@ -83,16 +99,59 @@ def resampled(
     stats = kept(stats.select(*keys, "__n", "__buckets", *(m.alias(f"__c{k}") for k, m in middle.items())))
     # a row for each key; buckets of a split key are as even as hashes are
     centred = [(F.col(v) - F.col(f"__c{k}")).alias(f"__v{k}") for k, v in enumerate(values)]
-    dealt = kept(distinct.join(stats, keys).select(*keys, "__w", F.pmod(F.xxhash64(*values), "__buckets").cast("int").alias("__bucket"), *centred))
+    dealt = kept((distinct.repartition(tasks, *keys) if tasks else distinct).join(stats, keys).select(*keys, "__w", F.pmod(F.xxhash64(*values), "__buckets").cast("int").alias("__bucket"), (F.col("__buckets") > 1).alias("__split"), *centred))
     names = [f"__v{k}" for k in range(len(values))]
     n_sums = 1 + len(values) + len(values) * (len(values) + 1) // 2
     columns = [f"__s{k}" for k in range(n_sums)]
     by_key = [rows.schema[k] for k in keys]
-    sizes = dealt.groupBy(*keys, "__bucket").agg(F.sum("__w").alias("__held"))
+    told_schema = to_arrow_schema(schema)
+
+    def told(key: tuple, sums: np.ndarray, powers: np.ndarray | None) -> list[tuple]:
+        """The key's results by sums of products of its rows themselves (first column) and of its replicates."""
+        with np.errstate(all="ignore"):
+            metrics = of_sums(sums)
+        n, a = round(sums[0, 0]), np.zeros(len(metrics))
+        if powers is not None:
+            s1, s2, s3 = powers
+            mean = s1 / n
+            spread = np.maximum(s2 - n * mean**2, 0) ** 1.5
+            with np.errstate(all="ignore"):
+                a = np.where(spread > 0, -(s3 - 3 * mean * s2 + 2 * n * mean**3) / (6 * spread), 0.0)
+        return [(*key, *row) for row in finish(n, metrics[:, 0], metrics[:, 1:] if metrics.shape[1] > 1 else None, a)]
+
+    def drawn_sums(data: np.ndarray, weight: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Sums of products of the rows themselves, and of what each replicate draws of them."""
+        order = np.lexsort(data[::-1])
+        weight, products = weight[order], _products(data[:, order])
+        found = [products @ weight[:, None]]
+        for k in range(0, len(counts), step := max(1, COUNT_CELLS // len(weight))):
+            found.append(products @ _draws(rng, counts[k : k + step], weight).T)
+        return np.concatenate(found, axis=1)
+
+    def left(data: np.ndarray, weight: np.ndarray, every: np.ndarray) -> np.ndarray:
+        """Over the rows, sums of the first three powers of what each metric becomes without the row, less its value."""
+        apart = of_sums(every - _products(data)) - of_sums(every)
+        return np.stack([(weight * apart**k).sum(axis=1) for k in (1, 2, 3)])
+
+    def whole(part: pa.Table) -> pa.Table:
+        """All of it for a key that is one bucket."""
+        key = key_of(part)
+        data, weight = np.stack([part.column(c).to_numpy() for c in names]), part.column("__w").to_numpy().astype(np.int64)
+        n = int(weight.sum())
+        sums = drawn_sums(data, weight, np.full(nsamples if n >= minimum else 0, n, np.int64), generator(seed, key, "rows", 0))
+        lines = told(key, sums, left(data, weight, sums[:, :1]) if jackknife else None)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*lines, strict=True), told_schema, strict=True)], schema=told_schema)
 
     def key_of(part: pa.Table) -> tuple:
         return tuple(part.column(k)[0].as_py() for k in keys)
 
+    one = dealt.filter("not __split")
+    one = (one.repartition(tasks, *keys) if tasks else one).groupBy(*keys).applyInArrow(whole, schema)
+    if stats.filter("__buckets > 1").isEmpty():
+        return one
+    dealt = dealt.filter("__split")
+    sizes = dealt.groupBy(*keys, "__bucket").agg(F.sum("__w").alias("__held"))
+
     def deal(part: pa.Table) -> pa.Table:
         order = np.argsort(part.column("__bucket").to_numpy())
         held = part.column("__held").to_numpy()[order]
@@ -104,15 +163,9 @@ def resampled(
 
     def draw(part: pa.Table, wanted: pa.Table) -> pa.Table:
         """Sums of products of the bucket's rows themselves (replicate -1), and of what each replicate draws of them."""
-        data = np.stack([part.column(c).to_numpy() for c in names])
-        order = np.lexsort(data[::-1])
-        data, weight = data[:, order], part.column("__w").to_numpy()[order].astype(np.int64)
-        products, total = _products(data), int(weight.sum())
         counts = np.asarray(wanted.column("__draws")[0].as_py(), np.int64)
-        rng, found = generator(seed, key_of(part), "rows", part.column("__bucket")[0].as_py()), [products @ weight[:, None]]
-        for k in range(0, len(counts), step := max(1, COUNT_CELLS // len(weight))):
-            found.append(products @ rng.multinomial(counts[k : k + step], weight / total).T)
-        sums = np.concatenate(found, axis=1)
+        data, weight = np.stack([part.column(c).to_numpy() for c in names]), part.column("__w").to_numpy().astype(np.int64)
+        sums = drawn_sums(data, weight, counts, generator(seed, key_of(part), "rows", part.column("__bucket")[0].as_py()))
         one = part.select(keys).take(pa.array(np.zeros(sums.shape[1], np.int64)))
         one = one.append_column("__r", pa.array(np.arange(-1, sums.shape[1] - 1), pa.int32()))
         for c, v in zip(columns, sums, strict=True):
@@ -128,12 +181,8 @@ def resampled(
         whole = replicates.filter("__r = -1").select(*keys, F.array(*columns).alias("__all"))
 
         def leave(part: pa.Table, totals: pa.Table) -> pa.Table:
-            """Over the bucket's rows, sums of the first three powers of what each metric becomes without the row, less its value."""
-            products = _products(np.stack([part.column(c).to_numpy() for c in names]))
-            every = np.asarray(totals.column("__all")[0].as_py())[:, None]
-            apart = of_sums(every - products) - of_sums(every)
-            weight = part.column("__w").to_numpy()
-            sums = [(weight * apart**k).sum(axis=1).tolist() for k in (1, 2, 3)]
+            data, weight = np.stack([part.column(c).to_numpy() for c in names]), part.column("__w").to_numpy()
+            sums = left(data, weight, np.asarray(totals.column("__all")[0].as_py())[:, None]).tolist()
             return part.select(keys).slice(0, 1).append_column("__p", pa.array([sums], pa.list_(pa.list_(pa.float64()))))
 
         bucketed = dealt.select(*(F.col(c).alias(c) for c in (*keys, "__bucket"))).distinct().join(whole, keys)  # with names of its own
@@ -142,18 +191,8 @@ def resampled(
 
     def end(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("__r")
-        sums = part[columns].to_numpy(float).T
-        with np.errstate(all="ignore"):
-            metrics = of_sums(sums)
-        n, a = round(sums[0, 0]), np.zeros(len(metrics))
-        if jackknife:
-            s1, s2, s3 = np.array([[list(p) for p in ps] for ps in part["__ps"].iloc[0]], float).sum(axis=0)
-            mean = s1 / n
-            spread = np.maximum(s2 - n * mean**2, 0) ** 1.5
-            with np.errstate(all="ignore"):
-                a = np.where(spread > 0, -(s3 - 3 * mean * s2 + 2 * n * mean**3) / (6 * spread), 0.0)
-        samples = metrics[:, 1:] if metrics.shape[1] > 1 else None
-        return pd.DataFrame([[*key, *row] for row in finish(n, metrics[:, 0], samples, a)], columns=schema.names)
+        powers = np.array([[list(p) for p in ps] for ps in part["__ps"].iloc[0]], float).sum(axis=0) if jackknife else None
+        return pd.DataFrame(told(key, part[columns].to_numpy(float).T, powers), columns=schema.names)
 
-    told = replicates if powers is None else replicates.join(powers, keys)
-    return told.groupBy(*keys).applyInPandas(end, schema)  # nsamples + 1 rows for each key
+    every = replicates if powers is None else replicates.join(powers, keys)
+    return one.unionByName(every.groupBy(*keys).applyInPandas(end, schema))  # nsamples + 1 rows for each key
