@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,23 @@ def test_piece_encoder_of_any_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in ENC.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aé×÷ǁ東\u00a0\u0085\u2003\u3000\u1680\u200b\x1c .,;|'s1\n\t", "<|endoftext|>", None]), max_size=12).map(lambda x: None if None in x[:1] else "".join(c or "" for c in x)), min_size=1, max_size=5))
+def test_piece_encoder_of_columns_with_other_white_space(texts):
+    column = pa.array(["before ", *texts, None, " after"])[1:-1]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENC.encode_column(column)] == [LIB.encode(t or "", add_special_tokens=False).ids for t in [*texts, None]]
+
+
+def test_words_that_meet_other_punctuation_or_a_line_end_are_encoded_once(monkeypatch):
+    enc, words = T.PieceEncoder(PATH), ["thonre", "oftionn", "énatha"]
+    enc.encode(["".join(f"{lead}{w}" for lead in " \n" for w in words)])
+    seen = []
+    monkeypatch.setattr(T.PieceEncoder, "learn", lambda self, new, learn=T.PieceEncoder.learn: (seen.extend(new), learn(self, new)))
+    text = "".join(f"{lead}{w}{mark}" for lead in " \n" for w in words for mark in (".", ",", "!?", "|", ";", ":"))
+    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
+    assert len(seen) <= 9 and not any(w.encode() in x for x in seen for w in words)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=200), st.sampled_from([1, 7, 64, 1024]), st.sampled_from([0.0, 0.5, 0.9, 1.0]))
 def test_packing_round_trip(ids, block, share):

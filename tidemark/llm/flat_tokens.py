@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_dir, small_batches, texts_of
+from .common import checkpoint, fresh_dir, small_batches
 from .token_files import open_fs, piece_encoder
 
 END_ID = 50256
@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int =
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(path)
-            for got in encoder.encode(texts_of(batch.column(1))):
+            for got in encoder.encode_column(batch.column(1)):
                 out.write(np.frombuffer(got, "<u4").astype(kind).tobytes() + end)
             yield pa.RecordBatch.from_arrays([pa.array([path] * batch.num_rows), pa.array(np.arange(n, n + batch.num_rows)), batch.column(0)], names=["path", "ordinal", "doc_id"])
             n += batch.num_rows

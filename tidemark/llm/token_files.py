@@ -21,18 +21,20 @@ import functools
 import gc
 import json
 import os
+import string
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_dir, small_batches, texts_of
+from .common import checkpoint, fresh_dir, small_batches
 
 BLOCK_IDS = 1024
 PERCENTILE = 0.9
@@ -42,25 +44,49 @@ FILE_IDS = 1 << 22
 BEGINNING_CHARS = 64
 #: Pieces of texts whose ids a worker remembers.
 CACHE_PIECES = 500_000
-#: New words that the library encodes as one text.
-LEARN_WORDS = 1000
+#: New pieces that the library encodes as one text.
+LEARN_WORDS = 200
 
-#: Punctuation after a word that is a match of its own. No apostrophe: contractions are matches too.
-_TAIL = ".,;:!?|"
+def _bytes_in(those: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), np.frombuffer(those, np.uint8))
+
+
+#: Punctuation after a letter that begins a match of its own. No apostrophe: contractions are matches too.
+_MARKS = _bytes_in(b".,;:!?|")
+_BREAKS, _LETTERS = _bytes_in(b" \n"), _bytes_in(string.ascii_letters.encode())
 
 _HEAD = struct.Struct("<4sIIQQQ")
 _BLOCK = struct.Struct("<IBH")
 
 
+def _solid(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character that surely isn't white space ends before each place of UTF-8 bytes (three bytes precede the first)."""
+    last, second, third = raw[at - 1], raw[at - 2], raw[at - 3]
+    ascii_ = (last > 32) & (last < 128)
+    # two bytes from U+00C0 on; three from U+4000 on, and four: no white space there
+    return ascii_ | ((last >= 128) & ((second >= 0xC3) | ((second >= 128) & (second < 192) & ((third >= 0xE4) | ((third >= 128) & (third < 192))))))
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Places between two matches of the byte-level pattern: before a space or line feed after what isn't white space, and
+    between a Latin letter and punctuation."""
+    at = np.flatnonzero(_BREAKS[raw[3:]]) + 3
+    at = at[_solid(raw, at)]
+    marks = np.flatnonzero(_MARKS[raw[3:]]) + 3
+    last, second = raw[marks - 1], raw[marks - 2]
+    letter = _LETTERS[last] | ((last >= 128) & (((second == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((second >= 0xC4) & (second <= 0xC8))))
+    return np.concatenate([at, marks[letter]])
+
+
 class PieceEncoder:
     """Ids of whole texts as unsigned 32-bit integers, from ids that the library gave for their pieces.
 
-    A piece is what stands between single spaces. No match of the byte-level pattern goes from a character that isn't white
-    space on to a space, so a text's ids are those of its pieces, each with the space before it. A text with a piece that is
-    empty or has white space at an edge is encoded as a whole. A Latin word with punctuation after it is two matches, so its
-    ids are the word's and the punctuation's. New words and pieces are encoded together, as one text, and their ids are told
-    apart by the tokens' bytes. With `special`, the library's own setting, strings of special tokens in a text get those
-    tokens' ids, so texts that have any are encoded as a whole; without it they are ordinary text.
+    A piece goes from one surely known place between two matches of the byte-level pattern to the next one. No match goes from a
+    character that isn't white space on to white space, nor from a letter on to punctuation, and what a match takes depends on
+    nothing before it, so a text's ids are those of its pieces. A batch's distinct pieces are looked up once. New pieces that
+    begin with white space and don't end with any are encoded together, as one text, and their ids are told apart by the
+    tokens' bytes; others on their own. With `special`, the library's own setting, strings of special tokens in a text get
+    those tokens' ids, so texts that have any are encoded as a whole; without it they are ordinary text.
     """
 
     def __init__(self, path: str, special: bool = True):
@@ -78,82 +104,100 @@ class PieceEncoder:
         with open(path, "rb") as f:
             pre = json.load(f).get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tokenizer.normalizer is None
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: The place of each known piece; its ids lie in ids[starts[place] : starts[place] + sizes[place]].
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), LEARN_WORDS):
-            part = new[k : k + LEARN_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.bytes[ids])
-            sizes = np.fromiter((len(x.encode()) + 1 for x in part), np.int64, len(part))
-            cuts = np.searchsorted(ends, np.cumsum(sizes)) + 1
-            raw, at = ids.tobytes(), 0
-            for piece, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                self.words[piece] = raw[at:cut]
-                at = cut
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = len(self.known), len(pieces)
+        while self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + k > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.starts[n : n + k] = self.held + np.cumsum(sizes) - sizes
+        self.sizes[n : n + k] = sizes
+        self.held += len(ids)
+        self.known.update(zip(pieces, range(n, n + k), strict=True))
+
+    def learn(self, new: list[bytes]) -> None:
+        raw = np.frombuffer(b"\0\0\0" + b"".join(new), np.uint8)
+        ends = 3 + np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        together = _BREAKS[raw[np.r_[3, ends[:-1]]]] & _solid(raw, ends)
+        alone = [new[k] for k in np.flatnonzero(~together).tolist()]
+        if alone:
+            got = self.whole([x.decode() for x in alone])
+            self._keep(alone, np.frombuffer(b"".join(got), "<u4"), np.fromiter((len(x) // 4 for x in got), np.int64, len(got)))
+        joined = [new[k] for k in np.flatnonzero(together).tolist()]
+        for k in range(0, len(joined), LEARN_WORDS):
+            part = joined[k : k + LEARN_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))) + 1
+            self._keep(part, ids, np.diff(cuts, prepend=0))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.large_string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Of an Arrow array of strings; null is the empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_piece:
-            return self.whole(texts)
+            return self.whole(texts.to_pylist())
+        apart = {}
+        for t in self.apart:
+            for k in np.flatnonzero(pc.match_substring(texts, t).to_numpy(zero_copy_only=False)).tolist():
+                apart[k] = texts[k].as_py()
+        got = dict(zip(apart, self.whole(list(apart.values())), strict=True)) if apart else {}
+        if apart:
+            usual = np.ones(len(texts), bool)
+            usual[list(apart)] = False
+            texts = texts.filter(pa.array(usual))
         collects = gc.isenabled()
-        gc.disable()  # millions of live strings and no cycles: the collector would walk them again and again
+        gc.disable()  # many live strings and no cycles: the collector would walk them again and again
         try:
-            return self._by_pieces(texts)
+            found = self._by_pieces(texts)
         finally:
             if collects:
                 gc.enable()
+        if not apart:
+            return found
+        rest = iter(found)
+        return [got[k] if k in got else next(rest) for k in range(len(usual))]
 
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+    def _by_pieces(self, texts: pa.Array) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
-        if len(self.first) > CACHE_PIECES // 4:
-            self.first.clear()
-        known, words, out, whole, waiting, new = self.known, self.words, [b""] * len(texts), [], [], {}
-        look_up = known.get
-        for k, text in enumerate(texts):
-            if any(t in text for t in self.apart):
-                whole.append(k)
-                continue
-            pieces = text.split(" ")
-            got = list(map(look_up, pieces))
-            unknown = [i for i, x in enumerate(got) if x is None] if None in got else []
-            waiting.append((k, pieces, got, unknown))
-            for i in unknown:
-                p = pieces[i]
-                if p not in new:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        waiting.pop()
-                        whole.append(k)
-                        break
-                    word = p.rstrip(_TAIL)
-                    if word is not p and (not word.isalpha() or max(word) > "\u024f"):
-                        word = p
-                    new[p] = word
-        lacking = [w for w in dict.fromkeys(new.values()) if w not in words]
-        if lacking:
-            self.learn(lacking)
-        tails = list({p[len(w) :] for p, w in new.items() if len(w) < len(p)} - self.tails.keys())
-        self.tails.update(zip(tails, self.whole(tails), strict=True))
-        for p, w in new.items():
-            known[p] = words[w] + self.tails[p[len(w) :]] if len(w) < len(p) else words[w]
-        begin = list(dict.fromkeys(p[0] for _, p, _, _ in waiting if p[0] not in self.first))
-        self.first.update(zip(begin, self.whole(begin), strict=True))
-        for k, got in zip(whole, self.whole([texts[k] for k in whole]), strict=True):
-            out[k] = got
-        for k, pieces, got, unknown in waiting:
-            for i in unknown:
-                got[i] = known[pieces[i]]
-            got[0] = self.first[pieces[0]]
-            out[k] = b"".join(got)
-        return out
+            self.forget()
+        n = len(texts)
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset) if n else np.zeros(1, np.int64)
+        first, last = int(bounds[0]), int(bounds[-1])
+        if first == last:
+            return [b""] * n
+        data = b"\0\0\0" + texts.buffers()[2].slice(first, last - first).to_pybytes()
+        bounds = bounds - first + 3
+        # a text's start is a cut of its own; cuts that the text before seems to ask for there are the same
+        marked = np.zeros(len(data) + 1, bool)
+        marked[_cuts(np.frombuffer(data, np.uint8))] = True
+        marked[bounds] = True
+        edges = np.flatnonzero(marked)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        new = [x for x in distinct if x not in self.known]
+        if new:
+            self.learn(new)
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        sizes = self.sizes[place]
+        upto = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[place] - (upto - sizes), sizes) + np.arange(upto[-1])].astype("<u4", copy=False).tobytes()
+        cuts = (4 * np.r_[0, upto][np.searchsorted(edges, bounds)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -301,7 +345,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
             return row
 
         for batch in batches:
-            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1))), strict=True):
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode_column(batch.column(1)), strict=True):
                 held.append(got + end)
                 ids.append(doc_id)
                 size += len(held[-1]) // 4
