@@ -1,4 +1,5 @@
 import math
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -387,3 +388,25 @@ def test_stability_filter_golden(spark):
     assert upscale.stable_points(df.filter("point_id > 2"), "value").count() == 2000
     one = upscale.averaged(upscale.temporally_matched(df.filter("point_id < 2"), "value"), "value")
     assert values(one) == pytest.approx(np.sin(k).tolist())
+
+
+def test_upscaling_matches_as_nearest_does_with_one_order_of_time(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    T = DAY
+    rows = [(int(rng.integers(3)), int(p), None if rng.random() < 0.03 else T + timedelta(hours=int(rng.integers(2400))), None if rng.random() < 0.1 else float(rng.integers(50))) for p in rng.integers(0, 4, 900)]
+    df = spark.createDataFrame(rows, "loc_id int, point_id int, ts timestamp_ntz, value double")
+    df = df.unionByName(df.limit(60).withColumn("value", F.col("value") + 1))  # two rows at one time
+    got = upscale.temporally_matched(df, "value", hours=6)
+    counts = df.groupBy("loc_id", "point_id").agg(F.count("value").alias("n"))
+    best = counts.groupBy("loc_id").agg(F.min(F.struct(-F.col("n"), "point_id")).getField("point_id").alias("point_id"))
+    marks = df.join(best, ["loc_id", "point_id"]).select("loc_id", "ts").distinct().join(counts.select("loc_id", "point_id"), "loc_id")
+    want = collocate.nearest(marks, collocate.Other(df, ["value"]), 0.25, ["loc_id", "point_id"])
+    as_rows = [sorted(map(tuple, d.select("loc_id", "point_id", "ts", "value").collect()), key=str) for d in (got, want)]
+    assert as_rows[0] == as_rows[1] and len(as_rows[0]) > 900 and any(r[2] is None for r in as_rows[0])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.rfind("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert len(re.findall(r"(?<!\w)Window \[", plan)) == 1  # nearest() has three, each with an order of its own
+    seen = []
+    monkeypatch.setattr(upscale, "kept", lambda d, k=upscale.kept: seen.append(d.columns) or k(d))
+    upscale.stable_points(got, "value")
+    assert seen[0] == ["loc_id", "point_id", "ts", "value"]  # matched once, though read twice

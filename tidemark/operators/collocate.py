@@ -55,7 +55,7 @@ class Other:
     use_invalid: bool = False  # fall back on invalid rows
 
 
-def _stretches(us: Column, size: int, around: int) -> Column:
+def stretches(us: Column, size: int, around: int) -> Column:
     return F.explode(F.sequence(F.floor((us - around) / size), F.floor((us + around) / size)))
 
 
@@ -102,7 +102,7 @@ def nearest(
         for tag, predicate in versions:
             name = f"__{tag}{k}"
             rows = (o.df.filter(predicate) if predicate else o.df).withColumn("__us", micros(ts)).filter("__us is not null")
-            rows = rows.withColumn("__b", _stretches(F.col("__us"), size, tolerance))
+            rows = rows.withColumn("__b", stretches(F.col("__us"), size, tolerance))
             rows = rows.select(*keys, "__us", "__b", F.lit(len(names)).alias("__series"), F.lit(0).alias("__kind"), F.struct("__us", ts, *o.values).alias(name), *([F.struct(*lead).alias(f"{name}t")] if lead else []))
             found = found.unionByName(rows, allowMissingColumns=True)
             names.append(name)
@@ -149,7 +149,7 @@ def windowed_mean(
     ref = reference.withColumn("__us", micros(ts)).withColumn("__b", F.floor(F.col("__us") / size))
     ref = ref.select(*keys, "__us", "__b", F.struct(*reference.columns).alias("__ref"))
     rows = (other.filter(valid) if valid else other).select(*keys, micros(ts).alias("__us"), *(F.col(c).cast("double").alias(f"__{c}") for c in values))
-    rows = rows.filter("__us is not null").withColumn("__b", _stretches(F.col("__us"), size, w))
+    rows = rows.filter("__us is not null").withColumn("__b", stretches(F.col("__us"), size, w))
     by = [*keys, "__b"]
     both = ref.unionByName(rows, allowMissingColumns=True).repartition(*keys, "__b")
     first = F.row_number().over(Window.partitionBy(*keys, "__b", "__us", F.col("__ref").isNull()).orderBy("__ref"))
