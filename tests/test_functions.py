@@ -4,12 +4,14 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions import moments, special
 from tidemark.operators import intervals, ranks, splits
+from tidemark.operators.shared import whole_groups
 
 
 def frame(spark, x, y):
@@ -210,3 +212,31 @@ def test_tasks_follow_the_distinct_rows(spark, monkeypatch, task_rows):
     monkeypatch.setattr(splits, "TASK_ROWS", 1_000_000)
     assert got == {r.loc_id: (r.n_obs, pytest.approx(r.rho, abs=1e-12)) for r in ranks.spearman(df, "x", "y").collect()}
     assert tau == {r.loc_id: pytest.approx(r.tau, abs=1e-12) for r in ranks.kendall(df, "x", "y").collect()}
+
+
+def test_inversions_of_many_groups_take_a_pass_for_each_bit(monkeypatch):
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 40, 1200))
+    group = np.unique(group, return_inverse=True)[1]
+    v, w = rng.integers(0, 12, 1200).astype(float), rng.integers(1, 4, 1200)
+    sorts = []
+    monkeypatch.setattr(ranks.np, "argsort", lambda *a, f=np.argsort, **k: sorts.append(1) or f(*a, **k))
+    got = ranks.inversions(v, w, group)
+    assert len(sorts) <= 4
+    for g in range(40):
+        a, b = v[group == g], w[group == g]
+        assert got[g] == sum(b[i] * b[j] for j in range(len(a)) for i in range(j) if a[i] > a[j])
+    assert ranks.inversions(np.zeros(0)).tolist() == [0.0] and ranks.inversions(np.array([3.0, 1, 2])).tolist() == [2.0]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_groups_are_whole_whatever_the_batches(size):
+    keys = [(1, "a")] * 9 + [(1, None)] * 2 + [(2, None)] + [(None, "a")] * 20 + [(None, "b")]
+    rows = pa.table({"k": [a for a, _ in keys], "l": [b for _, b in keys], "v": list(range(len(keys)))})
+    seen, tables = [], 0
+    for part, first in whole_groups(rows.to_batches(max_chunksize=size), ["k", "l"]):
+        tables += 1
+        ends = [*first.tolist()[1:], part.num_rows]
+        seen += [((part["k"][a].as_py(), part["l"][a].as_py()), part["v"].slice(a, b - a).to_pylist()) for a, b in zip(first.tolist(), ends)]
+    assert [k for k, _ in seen] == list(dict.fromkeys(keys)) and [v for _, vs in seen for v in vs] == list(range(len(keys)))
+    assert size < 100 or tables == 2  # not a call for each group
