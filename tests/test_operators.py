@@ -256,6 +256,53 @@ def test_cdf_parameters_by_whole_arrays(spark, monkeypatch, task_rows, edges):
     assert "InPandas" not in plan and "Cross" not in plan
 
 
+def test_cdf_keys_are_whole_in_a_task(spark, monkeypatch):
+    """Many keys are one call, without a sort by value or a call for each; what comes out is what split keys give."""
+    rng = np.random.default_rng(5)
+    data = {0: (rng.integers(0, 9, 300) * 1.0, rng.normal(size=300)), 1: ([0.1] * 7, [1.0, 2, 3, 4, 5, 6, 7]), 2: ([1.0], [2.0]), 3: ([math.nan, 4.0], [1.0, None]), 4: (rng.normal(size=45), np.ones(45)), 5: (rng.normal(size=25), rng.normal(size=25)), None: ([1.0, 2.0], [3.0, 5.0])}
+    rows = [(k, None if a is None else float(a), None if b is None else float(b)) for k, (x, y) in data.items() for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([*rows, (5, 30.0, None), (5, None, 30.0), (4, 0.5, math.inf)], "loc_id int, x double, y double")
+
+    def found(combine: bool) -> tuple[dict, str]:
+        got = scaling.cdf_parameters(df, "x", "y", minobs=20, combine_invalid=combine, linear_edge_scaling=True)
+        return {r.loc_id: (r.x_perc, r.y_perc) for r in got.collect()}, got._jdf.queryExecution().optimizedPlan().toString()
+
+    for combine in (True, False):
+        whole, plan = found(combine)
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Window" not in plan
+        assert set(whole) == {*range(6), None} and whole[None] == ([], []) and len(whole[3][0]) == (0 if combine else 2)
+        monkeypatch.setattr(splits, "TASK_ROWS", 6)
+        split, plan = found(combine)
+        monkeypatch.setattr(splits, "TASK_ROWS", 1_000_000)
+        assert "MapInArrow" in plan and "FlatMapGroups" in plan and set(split) == set(whole)
+        for k, both in whole.items():
+            assert all(a == pytest.approx(b, rel=1e-9, abs=1e-12, nan_ok=True) for a, b in zip(both, split[k], strict=True)), k
+    many = spark.range(1, 3000, 7).select(F.col("id").cast("int").alias("n"))
+    for given, minobs in ((100, 20), (100, None), (7, 3)):
+        for r in many.select("n", scaling.bins_for(F.col("n"), given, None, minobs).alias("p")).collect():
+            assert r.p == scaling.bins_of(r.n, np.linspace(0, 100, given + 1), minobs).tolist()
+
+
+def test_values_are_carried_over_between_any_number_of_edges(spark):
+    """On edges, between them and beyond both ends; a key's edges may be as few as two, and are nothing to another's."""
+    rng = np.random.default_rng(6)
+    edges = {k: (np.cumsum(rng.random(k) + 0.1), rng.normal(size=k)) for k in (2, 3, 4, 7, 8, 9, 63, 64, 65, 130)}
+    params = spark.createDataFrame([*((k, x.tolist(), y.tolist()) for k, (x, y) in edges.items()), (1, [1.0], [1.0]), (0, [], []), (5, [1.0, 1.0, 2.0], [1.0, 2.0, 3.0])], "loc_id int, x_perc array<double>, y_perc array<double>")
+    at = [(k, float(v)) for k, (x, _) in edges.items() for v in [*x, *(x[1:] - 0.05), x[0] - 3, x[-1] + 3]]
+    df = spark.createDataFrame([*at, *((k, v) for k in (0, 1, 5, 99) for v in (1.0, None)), (2, math.nan)], "loc_id int, x double")
+    for most in (None, 130):
+        plan = scaling.apply_parameters(df, params, "x", out="z", most=most)
+        assert "filter(" not in plan.select("z")._jdf.queryExecution().optimizedPlan().toString().lower().split("join")[0]  # nothing interpreted for each row
+        got = plan.collect()
+        assert len(got) == len(at) + 9
+        for r in got:
+            if r.loc_id in edges and not math.isnan(r.x):
+                x, y = edges[r.loc_id]
+                assert r.z == pytest.approx(scaling.line(x, y, np.array([r.x]))[0], rel=1e-9, abs=1e-12)
+            else:
+                assert r.z is None
+
+
 def test_cdf_of_separate_series(spark):
     """Without combining, each column counts its own values; with one bin the line is a regression of complete cases."""
     df = spark.createDataFrame([(1, float(k), None) for k in range(10)] + [(1, None, float(k)) for k in range(20)], "loc_id int, x double, y double")

@@ -1,13 +1,13 @@
 """Bias correction: scaling series to a reference by moments, regression, extrema or distributions, by location.
 
 Parameters are one row for each location from a groupBy with partial sums; they are joined back. CDF matching needs values at
-some places in sorted order, which a very frequent location has split over tasks (see `splits`); only the regressions of its
-end bins take the rows of these bins into one task.
+some places in sorted order: locations are whole in a task, many in one call, but for very frequent ones. These are split over
+tasks (see `splits`); only the regressions of their end bins take the rows of these bins into one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions.moments import known
 from ..sources.results import table_at
-from .shared import kept
-from .splits import Split, join_split, values_at, weighted
+from .shared import kept, whole_groups
+from .splits import Split, join_split, parted, values_at, weighted
 
-_STRIDE = 10
 PERCENTILES = (0, 5, 10, 30, 50, 70, 90, 95, 100)
 
 
@@ -72,7 +71,7 @@ def scaled_all(df: DataFrame, columns: list[str], ref: str, method: str, keys: l
         long = df.select(*keys, known(ref).alias("__r"), sides.alias("__s")).select(*keys, "__r", "__s.*")
         params = kept(cdf_parameters(long, "__c", "__r", [*keys, "__i"], **kw))
         for i, c in enumerate(columns):
-            df = apply_parameters(df, params.filter(F.col("__i") == i).drop("__i"), c, keys, **limits)
+            df = apply_parameters(df, params.filter(F.col("__i") == i).drop("__i"), c, keys, **limits, most=_edges_for(kw["nbins"], kw.get("percentiles")))
         return df
     function = MOMENT_METHODS[method]
     pairs = [F.struct(F.lit(i).alias("__i"), known(c).alias("__c")) for i, c in enumerate(columns)]
@@ -105,7 +104,7 @@ def add_scaled(df: DataFrame, src: str, ref: str, method: str = "linreg", keys:
 
 def bins_for(n: Column, nbins: int = 100, percentiles=None, minobs: int | None = None) -> Column:
     """The percentiles for n values: as given unless the narrowest bin would hold fewer than minobs; then equal ones."""
-    p = np.linspace(0, 100, nbins + 1) if percentiles is None else np.asarray(percentiles, float)
+    p = _given(nbins, percentiles)
     given = F.expr(f"array({', '.join(f'{v!r}D' for v in p.tolist())})")
     if minobs is None:
         return given
@@ -114,6 +113,23 @@ def bins_for(n: Column, nbins: int = 100, percentiles=None, minobs: int | None =
     return F.when(n * float(np.diff(p).min()) / 100 < minobs, equal).otherwise(given)
 
 
+def _given(nbins: int, percentiles) -> np.ndarray:
+    return np.linspace(0, 100, nbins + 1) if percentiles is None else np.asarray(percentiles, float)
+
+
+def _edges_for(nbins: int, percentiles) -> int:
+    """The most edges that a key may get."""
+    return max(2, len(_given(nbins, percentiles)))
+
+
+def bins_of(n: int, given: np.ndarray, minobs: int | None) -> np.ndarray:
+    """bins_for() of one number."""
+    if minobs is None or n * float(np.diff(given).min()) / 100 >= minobs:
+        return given
+    bins = max(1, min(n // minobs, len(given) - 1))
+    return np.append(np.arange(bins) * (100.0 / bins), 100.0)
+
+
 def hazen(runs: np.ndarray, weights: np.ndarray, percentiles: np.ndarray) -> np.ndarray:
     """Values at percentiles by plotting positions 100 (i + 0.5) / n, constant beyond the first and last one; each of the
     rising runs occurs as often as its weight says."""
@@ -164,6 +180,49 @@ def edge_slope(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) ->
     return float((w * a * b).sum()) / square if square else 0.0
 
 
+def fitted(x: np.ndarray, y: np.ndarray, given: np.ndarray, minobs: int | None, combine_invalid: bool, linear_edge_scaling: bool) -> tuple[np.ndarray, np.ndarray]:
+    """cdf_parameters() of one key's rows, where NaN is a missing value."""
+    full = ~(np.isnan(x) | np.isnan(y))
+    (vx, wx), (vy, wy) = (np.unique(v[full if combine_invalid else ~np.isnan(v)], return_counts=True) for v in (x, y))
+    nx, ny = int(wx.sum()), int(wy.sum())
+    if not nx or not ny:
+        return np.zeros(0), np.zeros(0)
+    p = bins_of(min(nx, ny), given, minobs)
+    px, py = untied(hazen(vx, wx, p), p), untied(hazen(vy, wy, p), p)
+    if linear_edge_scaling and len(p) > 2:
+        low, high = (vx <= px[1], vy <= py[1]), (vx >= px[-2], vy >= py[-2])
+        first, last = (edge_slope(vx[a] - px[k], wx[a], vy[b] - py[k], wy[b]) for k, (a, b) in ((1, low), (-2, high)))
+        py = py.copy()
+        py[0], py[-1] = py[1] + first * (px[0] - px[1]), py[-2] + last * (px[-1] - px[-2])
+    elif linear_edge_scaling and len(p) == 2 and nx == ny:
+        px, py = np.array([0.0, 1.0]), np.full(2, np.nan)
+        if full.any():
+            # from the first value on, so that equal ones have no variance at all
+            dx, my = x[full] - x[full][0], float(y[full].mean())
+            mx, square = float(dx.mean()), float(dx.var())
+            b = float(((dx - mx) * (y[full] - my)).mean()) / square if square else np.nan
+            start = my - b * (mx + float(x[full][0]))
+            py = np.array([start, start + b])
+    return px, py
+
+
+def _whole_parameters(rows: DataFrame, keys: list[str], *how) -> DataFrame:
+    """(keys, x_perc, y_perc) of rows (keys, __x, __y) that are in order of their keys, each key whole in a task."""
+    edges = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("x_perc", edges), T.StructField("y_perc", edges)])
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, first in whole_groups(batches, keys):
+            x, y = (part.column(c).to_numpy() for c in ("__x", "__y"))
+            found = [fitted(x[a:b], y[a:b], *how) for a, b in zip(first, np.r_[first[1:], len(x)], strict=True)]
+            out = part.select(keys).take(first)
+            for name, column in zip(("x_perc", "y_perc"), zip(*found, strict=True), strict=True):
+                out = out.append_column(name, pa.array(column, pa.list_(pa.float64())))
+            yield from out.to_batches()
+
+    return rows.mapInArrow(fit, schema)
+
+
 def _positions(sizes: DataFrame, percentiles: Column) -> DataFrame:
     """sizes(..., __n) with a row for each percentile (__k, __p) and for the one or two sorted places that its value lies between."""
     wanted = sizes.select("*", F.posexplode(percentiles).alias("__k", "__p"))
@@ -206,15 +265,8 @@ def _edges(split: Split, params: DataFrame, keys: list[str], schema: T.StructTyp
     return slopes.groupBy(*keys).agg(F.max(F.when(F.col("__end") == 0, F.col("__slope"))).alias("__low"), F.max(F.when(F.col("__end") == 1, F.col("__slope"))).alias("__high"))
 
 
-def cdf_parameters(df: DataFrame, src: str, ref: str, keys: list[str] | None = None, combine_invalid: bool = True, nbins: int = 100, percentiles=None, minobs: int | None = None, linear_edge_scaling: bool = False) -> DataFrame:
-    """(keys, x_perc, y_perc): the values of src and of ref between which a value is carried over; empty without values.
-
-    Percentiles come from places in sorted order, which a very frequent key has split over tasks. With combine_invalid only
-    complete cases count. With linear_edge_scaling the first and last values of y lie on lines fitted to the end bins; if there
-    is but one bin, the line is that of the regression of complete cases.
-    """
-    keys = ["loc_id"] if keys is None else keys
-    both = df.select(*keys, known(src).alias("__x"), known(ref).alias("__y"))
+def _split_parameters(both: DataFrame, keys: list[str], combine_invalid: bool, nbins: int, percentiles, minobs: int | None, linear_edge_scaling: bool) -> DataFrame:
+    """(keys, x_perc, y_perc) of rows (keys, __x, __y) of very frequent keys, which are split over tasks."""
     full = both.dropna(subset=["__x", "__y"])
     sides = F.explode(F.array(F.struct(F.lit(0).alias("__side"), F.col("__x").alias("__v")), F.struct(F.lit(1).alias("__side"), F.col("__y").alias("__v"))))
     long = (full if combine_invalid else both).select(*keys, sides.alias("__s")).select(*keys, "__s.*").filter("__v is not null")
@@ -246,41 +298,61 @@ def cdf_parameters(df: DataFrame, src: str, ref: str, keys: list[str] | None = N
         straight = (n == 2) & (F.col("__n0") == F.col("__n1"))
         found = found.withColumn("__yp", F.when(n > 2, tilted).when(straight, F.array(F.coalesce(start, nan), F.coalesce(start + F.col("__b"), nan))).otherwise(py))
         found = found.withColumn("x_perc", F.when(straight, F.array(F.lit(0.0), F.lit(1.0))).otherwise(px)).withColumn("y_perc", F.col("__yp"))
-    none = F.array().cast("array<double>")
-    every = both.select(*keys).distinct().join(found.select(*keys, "x_perc", "y_perc"), keys, "left")
-    return every.select(*keys, F.coalesce("x_perc", none).alias("x_perc"), F.coalesce("y_perc", none).alias("y_perc"))
+    return found.select(*keys, "x_perc", "y_perc")
 
 
-def apply_parameters(df: DataFrame, params: DataFrame, src: str, keys: list[str] | None = None, out: str | None = None, max_val: float | None = None, min_val: float | None = None) -> DataFrame:
-    """df with src carried over by stored parameters; null for keys without any, and where they can't be used."""
+def cdf_parameters(df: DataFrame, src: str, ref: str, keys: list[str] | None = None, combine_invalid: bool = True, nbins: int = 100, percentiles=None, minobs: int | None = None, linear_edge_scaling: bool = False) -> DataFrame:
+    """(keys, x_perc, y_perc): the values of src and of ref between which a value is carried over; empty without values.
+
+    A key is whole in a task, and many keys are one call; one with more rows than a task should hold is split over tasks. With
+    combine_invalid only complete cases count. With linear_edge_scaling the first and last values of y lie on lines fitted to
+    the end bins; if there is but one bin, the line is that of the regression of complete cases.
+    """
     keys = ["loc_id"] if keys is None else keys
-    px, py, x = F.col("x_perc"), F.col("y_perc"), known(src)
-    n = F.size(px)
-    # what concerns a key's parameters alone is worked out once for each key; a value is then sought among every 10th edge first
-    rising = F.forall(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.coalesce(F.element_at(px, k) > F.element_at(px, k - 1), F.lit(False)))
-    usable = params.filter(n >= 2).select(*keys, px, py, rising.alias("__rising"), F.filter(px, lambda v, i: i % _STRIDE == 0).alias("__coarse"))
+    both = df.select(*keys, known(src).alias("__x"), known(ref).alias("__y"))
+    x, y = F.col("__x").isNotNull(), F.col("__y").isNotNull()
+    counted = x & y if combine_invalid else x | y
+    for k in keys:  # a null key meets no parameters
+        counted = counted & F.col(k).isNotNull()
+    sizes = kept(both.groupBy(*keys).agg(F.count_if(counted).alias("__rows")))
+    whole, many = parted(both.filter(counted), keys, sizes)
+    found = _whole_parameters(whole, keys, _given(nbins, percentiles), minobs, combine_invalid, linear_edge_scaling)
+    if many is not None:
+        found = found.unionByName(_split_parameters(many, keys, combine_invalid, nbins, percentiles, minobs, linear_edge_scaling))
+    none = F.array().cast("array<double>")
+    return sizes.join(found, keys, "left").select(*keys, F.coalesce("x_perc", none).alias("x_perc"), F.coalesce("y_perc", none).alias("y_perc"))
 
-    def below(edges: Column) -> Column:
-        return F.size(F.filter(edges, lambda v: v <= F.col("__v")))
 
-    start = F.greatest(F.lit(0), below(F.col("__coarse")) - 1) * _STRIDE
-    k = F.greatest(F.lit(1), F.least(n - 1, start + below(F.slice(px, start + 1, F.lit(_STRIDE)))))
-    a, b, c, d = F.element_at(px, F.col("__k")), F.element_at(px, F.col("__k") + 1), F.element_at(py, F.col("__k")), F.element_at(py, F.col("__k") + 1)
-    got = F.when(F.col("__k").isNotNull(), c + (F.col("__v") - a) * (d - c) / F.nullif(b - a, F.lit(0.0)))
+def apply_parameters(df: DataFrame, params: DataFrame, src: str, keys: list[str] | None = None, out: str | None = None, max_val: float | None = None, min_val: float | None = None, most: int | None = None) -> DataFrame:
+    """df with src carried over by stored parameters; null for keys without any, and where they can't be used. No key has more than
+    `most` edges; where that isn't known, the parameters are read for it."""
+    keys = ["loc_id"] if keys is None else keys
+    px, py, v, k = F.col("x_perc"), F.col("y_perc"), F.col("__v"), F.col("__k")
+    n = F.size(px)
+    if most is None:
+        most = params.agg(F.max(n)).first()[0] or 0
+    # what concerns a key's parameters alone is worked out once for each key
+    rising = F.forall(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.coalesce(F.element_at(px, i) > F.element_at(px, i - 1), F.lit(False)))
+    usable = params.filter(n >= 2).select(*keys, px, py, F.when(rising, 0).alias("__k"))
+    rows = df.join(usable, keys, "left").withColumn("__v", known(src))
+    # how many edges the value has reached, by halves: plain expressions, which are compiled with the join
+    for bit in reversed(range(most.bit_length())):
+        rows = rows.withColumn("__k", F.when(F.get(px, k + (2**bit - 1)) <= v, k + 2**bit).otherwise(k))
+    rows = rows.withColumn("__k", F.when(k.isNotNull(), F.greatest(F.lit(1), F.least(n - 1, k))))
+    a, b, c, d = F.element_at(px, k), F.element_at(px, k + 1), F.element_at(py, k), F.element_at(py, k + 1)
+    got = F.when(k.isNotNull(), c + (v - a) * (d - c) / F.nullif(b - a, F.lit(0.0)))
     if max_val is not None:
         got = F.when(got.isNotNull(), F.least(got, F.lit(float(max_val))))
     if min_val is not None:
         got = F.when(got.isNotNull(), F.greatest(got, F.lit(float(min_val))))
     name = out or src
-    rows = df.join(usable, keys, "left").withColumn("__v", x)
-    rows = rows.withColumn("__k", F.when(F.col("__rising") & F.col("__v").isNotNull(), k)).withColumn("__out", got)
-    return rows.select(*(c for c in df.columns if c != name), F.col("__out").alias(name))
+    return rows.select(*(c for c in df.columns if c != name), got.alias(name))
 
 
 def cdf_match(df: DataFrame, src: str, ref: str, keys: list[str] | None = None, out: str | None = None, nbins: int = 100, minobs: int | None = 20, linear_edge_scaling: bool = True, percentiles=None, combine_invalid: bool = True, max_val: float | None = None, min_val: float | None = None) -> DataFrame:
     """df with src carried over to ref's distribution, key by key."""
     params = cdf_parameters(df, src, ref, keys, combine_invalid, nbins=nbins, minobs=minobs, linear_edge_scaling=linear_edge_scaling, percentiles=percentiles)
-    return apply_parameters(df, params, src, keys, out, max_val, min_val)
+    return apply_parameters(df, params, src, keys, out, max_val, min_val, _edges_for(nbins, percentiles))
 
 
 def rank_percentiles(df: DataFrame, value: str, percentiles=PERCENTILES, keys: list[str] | None = None) -> DataFrame:
