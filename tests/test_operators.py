@@ -292,7 +292,7 @@ def test_values_are_carried_over_between_any_number_of_edges(spark):
     df = spark.createDataFrame([*at, *((k, v) for k in (0, 1, 5, 99) for v in (1.0, None)), (2, math.nan)], "loc_id int, x double")
     for most in (None, 130):
         plan = scaling.apply_parameters(df, params, "x", out="z", most=most)
-        assert "filter(" not in plan.select("z")._jdf.queryExecution().optimizedPlan().toString().lower().split("join")[0]  # nothing interpreted for each row
+        assert len(plan.filter("z is not null")._jdf.queryExecution().optimizedPlan().toString()) < 20_000  # a filter doesn't multiply it
         got = plan.collect()
         assert len(got) == len(at) + 9
         for r in got:

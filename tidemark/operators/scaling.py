@@ -335,10 +335,10 @@ def apply_parameters(df: DataFrame, params: DataFrame, src: str, keys: list[str]
     rising = F.forall(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.coalesce(F.element_at(px, i) > F.element_at(px, i - 1), F.lit(False)))
     usable = params.filter(n >= 2).select(*keys, px, py, F.when(rising, 0).alias("__k"))
     rows = df.join(usable, keys, "left").withColumn("__v", known(src))
-    # how many edges the value has reached, by halves: plain expressions, which are compiled with the join
-    for bit in reversed(range(most.bit_length())):
-        rows = rows.withColumn("__k", F.when(F.get(px, k + (2**bit - 1)) <= v, k + 2**bit).otherwise(k))
-    rows = rows.withColumn("__k", F.when(k.isNotNull(), F.greatest(F.lit(1), F.least(n - 1, k))))
+    # how many edges the value has reached, by halves; one expression, since a filter on the result is pushed through chained ones
+    steps = F.array(*(F.lit(2**bit) for bit in reversed(range(max(1, most.bit_length())))))
+    reached = F.aggregate(steps, F.lit(0), lambda found, step: found + F.when(F.get(px, found + step - 1) <= v, step).otherwise(0))
+    rows = rows.withColumn("__k", F.when(k.isNotNull(), F.greatest(F.lit(1), F.least(n - 1, reached))))
     a, b, c, d = F.element_at(px, k), F.element_at(px, k + 1), F.element_at(py, k), F.element_at(py, k + 1)
     got = F.when(k.isNotNull(), c + (v - a) * (d - c) / F.nullif(b - a, F.lit(0.0)))
     if max_val is not None:
