@@ -372,6 +372,39 @@ def test_triple_collocation_recovers_errors(spark):
     assert e.snr_x == pytest.approx(10 * math.log10(0.04 / 0.0004), abs=1)
 
 
+def test_seasonal_triple_exchanges_rows_once(spark, monkeypatch):
+    """Rows are exchanged once and nothing is written; what comes out is what keys give that are split over tasks."""
+    rng = np.random.default_rng(8)
+    odd = [None, math.nan, math.inf, -math.inf]
+    rows = []
+    for key, n in ((1, 150), (2, 40), (3, 5), (4, 1), (5, 30), (6, 3)):
+        for k in range(n):
+            x, y, z = float(rng.integers(0, 6)), float(rng.normal()), float(rng.integers(0, 4)) / 8 - 0.0
+            if key == 2 and k % 3 == 0:
+                x, y, z = (odd[rng.integers(0, 4)] if rng.random() < 0.4 else v for v in (x, y, z))
+            rows.append((key, DAY + timedelta(days=int(rng.integers(0, 900))), x, 4.5 if key == 5 else math.inf if key == 6 else y, z))
+    schema = "loc_id int, ts timestamp_ntz, x double, y double, z double"
+    run = calculators.seasonal_triple(["x", "y", "z"], "y")
+
+    def found(data):
+        return {(r.loc_id, r.subset, r.dataset, r.pair): r for r in run(spark.createDataFrame(data, schema), ["loc_id"]).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(splits, "kept", lambda df: pytest.fail("rows are written"))
+        plan = run(spark.createDataFrame(rows, schema), ["loc_id"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and plan.count(" Sort ") == 3 and "Join" not in plan
+        whole = found([*rows, *((None, *r[1:]) for r in rows if r[0] == 1)])
+    same = [k for k in whole if k[0] is None]
+    assert len(same) == 30 and all(tuple(whole.pop(k))[1:] == tuple(whole[(1, *k[1:])])[1:] for k in same)
+    assert {whole[6, "ALL", d, None].status for d in "xyz"} == {4} and whole[6, "ALL", None, "x_and_z"].n_obs == 3
+    assert (whole[5, "ALL", None, "x_and_y"].n_obs, whole[5, "ALL", None, "x_and_z"].n_obs, whole[4, "ALL", "x", None].status) == (0, 30, 1)
+    monkeypatch.setattr(splits, "TASK_ROWS", 1)  # all keys but one are split
+    split = found(rows)
+    assert split.keys() == whole.keys()
+    for k, r in split.items():
+        assert all(a == (pytest.approx(b, rel=1e-9, abs=1e-7) if isinstance(b, float) else b) for a, b in zip(r, whole[k], strict=True)), (k, r, whole[k])
+
+
 def test_extended_collocation_with_correlated_errors(spark):
     rng = np.random.default_rng(4)
     n = 100_000
